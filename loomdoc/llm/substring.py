@@ -138,7 +138,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text: str = "text", spa
     def cut(texts, marks):
         import pandas as pd
 
-        return pd.Series([" ".join(_cut(WORD.findall(t or ""), m, span)) for t, m in zip(texts, marks, strict=True)])
+        return pd.Series([" ".join(_cut(WORD.findall(t or ""), list(m), span)) for t, m in zip(texts, marks, strict=True)])
 
     m = _marked(docs, id_col, text, span)
     changed = m.where("__marks IS NOT NULL").withColumn(text, cut(F.col(text), F.col("__marks")))
