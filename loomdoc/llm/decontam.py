@@ -55,13 +55,14 @@ def placements(docs: DataFrame, items: DataFrame) -> DataFrame:
     for size in sizes:
         own = _shingles(items.where(F.col("size") == size), "iw", size).select("item", "n", "len", F.posexplode("__g").alias("off", "g"))
         own = written(own, f"item_shingles_{size}")
-        spread = _shingles(docs, "dw", size).where(F.size("__g") > 0)
-        counts = spread.select(F.explode("__g").alias("g")).join(own.select("g").distinct(), "g").groupBy("g").agg(F.count("*").alias("freq"))
+        # outer, as a filter for empty arrays would be pushed down with a copy of all that makes the array
+        spread = _shingles(docs, "dw", size)
+        counts = spread.select(F.explode_outer("__g").alias("g")).join(own.select("g").distinct(), "g").groupBy("g").agg(F.count("*").alias("freq"))
         ranked = own.join(written(counts, f"frequency_{size}"), "g", "left").withColumn("rank", F.struct(F.coalesce("freq", F.lit(0)).alias("f"), "g", "off"))
         starts = ranked.withColumn("start", F.explode(F.sequence(F.greatest(F.lit(0), F.col("off") + size - F.col("len")), F.least(F.col("off"), F.col("n") - F.col("len")))))
         best = starts.groupBy("item", "start").agg(F.min("rank").alias("r")).where("r.f > 0")
         probes = written(best.select("item", F.col("r.g").alias("g"), F.col("r.off").alias("off")).distinct(), f"probes_{size}")
-        found = spread.select("key", F.posexplode("__g").alias("pos", "g")).join(probes, "g").select("key", "item", (F.col("pos") - F.col("off")).alias("at")).distinct()
+        found = spread.select("key", F.posexplode_outer("__g").alias("pos", "g")).join(probes, "g").select("key", "item", (F.col("pos") - F.col("off")).alias("at")).distinct()
         out = found if out is None else out.unionByName(found)
     return out
 
