@@ -87,7 +87,8 @@ def disclosing_terms(d: DataFrame, spans: DataFrame) -> DataFrame:
     near = pairs.distinct().groupBy("entity", "term", "context").agg(F.count("*").alias("docs")).groupBy("entity", "term").agg(F.count("*").alias("contexts"), F.sum("docs").alias("both"))
     near = written(near.where(F.col("contexts") >= MIN_CONTEXTS), "near")
     of_entity = spans.select("key", entity.alias("entity")).distinct().groupBy("entity").agg(F.count("*").alias("df_e"))
-    of_term = d.select(F.explode(F.array_distinct(terms_in(F.coalesce("t", F.lit(""))))).alias("term")).groupBy("term").agg(F.count("*").alias("df_t"))
+    # outer, as a filter for empty arrays would be pushed down with a copy of all that makes the array
+    of_term = d.select(F.explode_outer(F.array_distinct(terms_in(F.coalesce("t", F.lit(""))))).alias("term")).groupBy("term").agg(F.count("*").alias("df_t"))
     whole = F.lit(float(max(2, d.count())))
     j = near.join(of_entity, "entity").join(of_term, "term")
     both = F.least(F.col("both"), F.col("df_e"), F.col("df_t"))
@@ -101,7 +102,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFra
     spans = written(base_spans(d.select("key", F.coalesce("t", F.lit("")).alias("t"))), "spans").distinct()
     terms = written(disclosing_terms(d, spans), "terms")
     t = F.coalesce(F.col("t"), F.lit(""))
-    told = d.select("key", F.explode(F.array_distinct(terms_in(t))).alias("term")).join(terms, "term").groupBy("key").agg(F.map_from_entries(F.collect_set(F.struct("term", "ratio"))).alias("told"))
+    told = d.select("key", F.explode_outer(F.array_distinct(terms_in(t))).alias("term")).join(terms, "term").groupBy("key").agg(F.map_from_entries(F.collect_set(F.struct("term", "ratio"))).alias("told"))
     told = written(told, "told")
     rows = d.join(told, "key").select("key", "told", F.regexp_extract_all("t", F.lit(TERM), F.lit(0)).alias("m"), F.split("t", TERM).alias("p")).dropDuplicates(["key"])
     at = _pieces(rows.select("key", "m", "p"), ["key"], "m", "p", 0).select("key", F.translate("value", UPPER, LOWER).alias("term"), "start", "end").join(terms, "term")
