@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, mixing, neardup, pii, quality, sharding, substring, tokens, urls
+from . import decontam, mixing, neardup, pii, quality, sharding, substring, tokens, toxicity, urls
 from .common import shared_dir
 
 
@@ -26,6 +26,10 @@ def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(_table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "class_id", "kept")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digest(_table(spark, sf_dir, "documents"))
 
@@ -65,7 +69,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_duplicates, op3_substring_dedup, op4_url_filters, op5_token_files, op6_source_mixing, op7_personal_data, op8_sharding, op9_quality_rules, op10_decontamination)}
+    return {f.__name__: f for f in (op1_near_duplicates, op2_toxicity, op3_substring_dedup, op4_url_filters, op5_token_files, op6_source_mixing, op7_personal_data, op8_sharding, op9_quality_rules, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
