@@ -1,0 +1,6 @@
+"""All registered queries of the reference's own operators and their SQL."""
+
+from . import block_queries, text_queries
+from .registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL", "block_queries", "text_queries"]
