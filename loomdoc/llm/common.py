@@ -51,3 +51,12 @@ def joined_hashes(a: Column, step: int) -> Column:
     """Hashes of runs: element i stands for a[i] followed by a[i + step]; the array gets shorter by step."""
     n = F.size(a) - step
     return F.when(n > 0, F.zip_with(F.slice(a, 1, n), F.slice(a, 1 + step, n), lambda x, y: F.xxhash64(x, y))).otherwise(F.array().cast("array<bigint>"))
+
+
+#: Rows of keys that a broadcast may hold: some 60 MB.
+BROADCAST_ROWS = 500_000
+
+
+def if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df, to be broadcast if it has so few rows; beyond that Spark joins it as it finds best. df should be a written table."""
+    return F.broadcast(df) if df.count() <= rows else df

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hashed, joined_hashes, row_key, written
+from .common import hashed, if_small, joined_hashes, row_key, written
 
 WINDOW = 13
 SHINGLE = 3
@@ -108,4 +108,4 @@ def judge(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: s
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", **kw) -> DataFrame:
     """The rows of docs that are not contaminated, with all columns of docs."""
     bad = written(judge(docs, benchmark, id_col, text, **kw).where("contaminated").select(F.col("key").alias("__bad")).distinct(), "contaminated")
-    return docs.join(bad, row_key(docs[id_col], docs[text]) == bad["__bad"], "left_anti")
+    return docs.join(if_small(bad), row_key(docs[id_col], docs[text]) == F.col("__bad"), "left_anti")

@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WS_CHARS, WS_CLASS, hashed, joined_hashes, row_key, words, written
+from .common import WS_CHARS, WS_CLASS, hashed, if_small, joined_hashes, row_key, words, written
 
 #: measure: (narrowest distance that counts as a quartile distance, both sides fenced). In thousandths.
 MEASURES = {
@@ -102,4 +102,4 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str
 def quality_filter(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", min_rows: int = MIN_ROWS) -> DataFrame:
     """The rows of docs that are kept, with all columns of docs."""
     bad = written(judge(docs, id_col, text, lang, source, min_rows).where("NOT kept").select(F.col("key").alias("__bad")).distinct(), "rejected")
-    return docs.join(bad, row_key(docs[id_col], docs[text]) == bad["__bad"], "left_anti")
+    return docs.join(if_small(bad), row_key(docs[id_col], docs[text]) == F.col("__bad"), "left_anti")
