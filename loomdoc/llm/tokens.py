@@ -35,44 +35,87 @@ SAMPLE_CHARS = 8192
 DICT_BYTES = 64 << 10
 LEVEL = 3
 #: Pieces that a worker remembers.
-CACHE = 200_000
+CACHE = 600_000
 SHARD_SCHEMA = "first_id bigint, seq bigint, n_docs bigint, n_ids bigint, dict_sha256 string, width int, ids_index binary, offset_index binary, count_index binary, frames binary"
 
 
 class Encoder:
-    """Ids of whole texts; pieces between spaces are encoded once and remembered."""
+    """Ids of whole texts; pieces between spaces are encoded once and remembered, the first CACHE of them for as long as the worker lives."""
 
-    def __init__(self, path: str, end_id: int | None):
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tok, self.end, self.known = Tokenizer.from_file(path), end_id, {}
+        self.tok = Tokenizer.from_file(path)
         self.width = 2 if self.tok.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
-
-    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        self.place: dict[str, int] = {}
+        self.begin, self.ids, self.used = np.zeros(1 << 12, np.int64), np.empty(1 << 14, np.uint32), 0
+
+    def _encoded(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces one after the other, and where each piece's begin (one more than pieces): many in one text, told apart by their offsets."""
+        ids, counts = [], []
+        for i in range(0, len(pieces), 20_000):
+            some = [pieces[j : j + 200] for j in range(i, min(i + 20_000, len(pieces)), 200)]
+            for part, e in zip(some, self.tok.encode_batch([" ".join(p) for p in some], add_special_tokens=False), strict=True):
+                ends = np.cumsum([len(x) + 1 for x in part])
+                at = np.fromiter((o[0] for o in e.offsets), np.int64, len(e.offsets))
+                counts.append(np.bincount(np.searchsorted(ends, at, "right"), minlength=len(part)))
+                ids.append(np.array(e.ids, np.uint32))
+        if not pieces:
+            return np.empty(0, np.uint32), np.zeros(1, np.int64)
+        return np.concatenate(ids), np.concatenate([[0], np.cumsum(np.concatenate(counts))])
+
+    def _remember(self, pieces: list[str], ids: np.ndarray, at: np.ndarray) -> None:
+        n = len(self.place)
+        while len(self.begin) < n + len(pieces) + 1:
+            self.begin = np.concatenate([self.begin, np.zeros_like(self.begin)])
+        while len(self.ids) < self.used + len(ids):
+            self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.begin[n + 1 : n + 1 + len(pieces)] = self.used + at[1:]
+        self.place.update(zip(pieces, range(n, n + len(pieces)), strict=True))
+        self.used += len(ids)
+
+    def __call__(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where each text's begin (one more than texts)."""
         lists = pc.split_pattern(pc.fill_null(texts.cast(pa.large_string()), ""), " ")
         pieces = lists.flatten().dictionary_encode()
         which, names = np.asarray(pieces.indices), pieces.dictionary.to_pylist()
-        if len(self.known) > CACHE:
-            self.known.clear()
-        new = [x for x in names if x not in self.known]
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            self.known.update(zip(part, (np.array(e.ids, np.uint32) for e in self.tok.encode_batch_fast(part, add_special_tokens=False)), strict=True))
-        got = [self.known[x] for x in names]
-        size = np.fromiter(map(len, got), np.int64, len(got))
-        flat, begin = (np.concatenate(got) if got else np.empty(0, np.uint32)), np.cumsum(size) - size
+        new = [x for x in names if x not in self.place]
+        more, at = self._encoded(new)
+        room = CACHE - len(self.place)
+        if len(new) <= room:
+            self._remember(new, more, at)
+            new = []
+        where = np.fromiter((self.place.get(x, -1) for x in names), np.int64, len(names))
+        begin, end = self.begin[where], self.begin[where + 1]
+        ids = self.ids[: self.used]
+        if new:  # beyond what is remembered
+            out = np.flatnonzero(where < 0)
+            begin[out], end[out] = self.used + at[:-1], self.used + at[1:]
+            ids = np.concatenate([ids, more])
+        size = end - begin
         n = size[which]
         ends = np.cumsum(n)
-        ids = flat[np.repeat(begin[which] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+        total = int(ends[-1]) if len(ends) else 0
+        ids = ids[np.repeat(begin[which] - (ends - n), n) + np.arange(total)]
         bounds = np.concatenate([[0], ends])[np.asarray(lists.offsets) - lists.offsets[0].as_py()]
-        if self.end is not None:
-            ids = np.insert(ids, bounds[1:], self.end)
+        if end_id is not None:
+            ids = np.insert(ids, bounds[1:], end_id)
             bounds = bounds + np.arange(len(bounds))
         return ids, bounds
 
 
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """The worker's encoder of this vocabulary file."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
 def _codec(trained: bytes) -> zstandard.ZstdCompressionDict | None:
     return zstandard.ZstdCompressionDict(trained) if trained else None
 
@@ -83,8 +126,8 @@ def _trained(docs: DataFrame, id_col: str, text: str, path: str, end_id: int | N
     rows = docs.join(F.broadcast(some), docs[id_col].eqNullSafe(some["i"])).select(F.substring(F.col(text), 1, SAMPLE_CHARS).alias("t")).limit(SAMPLE_DOCS).collect()  # noqa: E501  bounded by the two parameters
     if not rows:
         return b""
-    enc = Encoder(path, end_id)
-    ids, at = enc(pa.array([r["t"] for r in rows], pa.string()))
+    enc = encoder(path)
+    ids, at = enc(pa.array([r["t"] for r in rows], pa.string()), end_id)
     dtype = f"<u{enc.width}"
     try:
         return zstandard.train_dictionary(DICT_BYTES, [ids[a:b].astype(dtype).tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]).as_bytes()
@@ -100,7 +143,7 @@ def write_ids(docs: DataFrame, out: str, tokenizer: str, end_id: int | None = No
     spark.createDataFrame([(sha, bytearray(trained))], "dict_sha256 string, bytes binary").write.parquet(f"{out}/dictionary")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = Encoder(tokenizer, end_id)
+        enc = encoder(tokenizer)
         z, dtype = zstandard.ZstdCompressor(level=LEVEL, dict_data=_codec(trained), write_content_size=True), f"<u{enc.width}"
         ids_of, counts, frames, total, seq = [], [], [], 0, 0
         schema = pa.schema([("first_id", pa.int64()), ("seq", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("dict_sha256", pa.string()), ("width", pa.int32()), ("ids_index", pa.binary()), ("offset_index", pa.binary()), ("count_index", pa.binary()), ("frames", pa.binary())])
@@ -112,9 +155,9 @@ def write_ids(docs: DataFrame, out: str, tokenizer: str, end_id: int | None = No
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, schema, strict=True)], schema=schema)
 
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
-                ids, at = enc(part.column(1))
+            for i in range(0, batch.num_rows, 512):
+                part = batch.slice(i, 512)
+                ids, at = enc(part.column(1), end_id)
                 for name, a, b in zip(part.column(0).to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
                     ids_of.append(name)
                     counts.append(b - a)
