@@ -62,11 +62,12 @@ def probes_of(docs: DataFrame, items: DataFrame, size: int) -> DataFrame:
     return written(best.select("item", F.col("r.g").alias("g"), F.col("r.off").alias("off")).distinct(), f"probes_{size}")
 
 
-def _verified(at: Column) -> Column:
-    """Spans (from, to) of the item's windows that lie in the document word by word, if the item's first word lies at ``at``."""
-    n, first = F.size("dw"), F.greatest(F.lit(0), -at)
-    last = F.least(F.size("iw"), n - at) - F.col("len")
-    fits = F.filter(F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<int>")), lambda o: F.slice("dw", at + o + 1, F.col("len")) == F.slice("iw", o + 1, F.col("len")))
+def _verified() -> Column:
+    """Spans (from, to) of the item's windows that lie in the document word by word, where the item's first word lies at ``at`` and seg are the document's words from there on (from its start, if at is negative)."""
+    at, begin = F.col("at"), F.greatest(F.lit(0), F.col("at"))
+    first = F.greatest(F.lit(0), -at)
+    last = F.least(F.size("iw"), begin + F.size("seg") - at) - F.col("len")
+    fits = F.filter(F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<int>")), lambda o: F.slice("seg", at + o - begin + 1, F.col("len")) == F.slice("iw", o + 1, F.col("len")))
     return F.transform(fits, lambda o: F.struct((at + o).alias("from"), (at + o + F.col("len")).alias("to")))
 
 
@@ -83,7 +84,10 @@ def matches(docs: DataFrame, items: DataFrame, most_probes: int = MOST_PROBES) -
         else:  # places first, without the texts
             places = spread.select("key", F.posexplode_outer("__g").alias("pos", "g")).join(probes, "g").select("key", "item", at).distinct()
             meet = places.join(items, "item").join(docs, "key")
-        found = meet.select("key", "ids", _verified(F.col("at")).alias("spans")).where(F.size("spans") > 0)
+        # no more than the item's length of a text leaves this step: all of a text's rows wait here at once
+        seg = F.slice("dw", F.greatest(F.lit(0), F.col("at")) + 1, F.size("iw") + F.least(F.lit(0), F.col("at")))
+        meet = meet.select("key", "ids", "iw", "len", "at", seg.alias("seg"))
+        found = meet.select("key", "ids", _verified().alias("spans")).where(F.size("spans") > 0)
         out = found if out is None else out.unionByName(found)
     return out
 
