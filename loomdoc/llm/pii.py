@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import row_key, written
+from .common import if_small, row_key, written
 from .decontam import LOWER, UPPER
 
 KINDS = ["email", "ip", "card", "phone", "term"]
@@ -31,7 +31,7 @@ PATTERNS = {
 }
 #: What a text must hold for a pattern to be tried.
 NEEDED = {"email": "@", "ip": ".", "card": None, "phone": "+"}
-TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]++"
+CHAR = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"  # of a term
 CONTEXT = 8
 CONTEXT_CHARS = 160
 MIN_CONTEXTS = 3
@@ -54,7 +54,8 @@ def _pieces(rows: DataFrame, by: list[str], matches: str, pieces: str, keep: int
     n = F.size(matches)
     zipped = F.arrays_zip(F.col(matches).alias("m"), F.slice(pieces, 1, n).alias("p"), F.slice(pieces, F.lit(2), n).alias("q"))
     x = rows.select(*by, F.posexplode(zipped).alias("i", "x"))
-    x = x.select(*by, "i", F.col("x")["m"].alias("value"), F.length(before).alias("gap"), F.when(F.length(before) > keep, F.concat(F.lit("\x00"), F.substring(before, -keep, keep))).otherwise(before).alias("left"), F.when(F.length(after) > keep, F.concat(F.substring(after, 1, keep), F.lit("\x00"))).otherwise(after).alias("right"))
+    # repeated rows of one key are one text
+    x = x.select(*by, "i", F.col("x")["m"].alias("value"), F.length(before).alias("gap"), F.when(F.length(before) > keep, F.concat(F.lit("\x00"), F.substring(before, -keep, keep))).otherwise(before).alias("left"), F.when(F.length(after) > keep, F.concat(F.substring(after, 1, keep), F.lit("\x00"))).otherwise(after).alias("right")).distinct()
     upto = F.sum(F.col("gap") + F.length("value")).over(Window.partitionBy(*by).orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
     return x.withColumn("end", upto.cast("long")).withColumn("start", F.col("end") - F.length("value"))
 
@@ -102,10 +103,11 @@ def find(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFra
     spans = written(base_spans(d.select("key", F.coalesce("t", F.lit("")).alias("t"))), "spans").distinct()
     terms = written(disclosing_terms(d, spans), "terms")
     t = F.coalesce(F.col("t"), F.lit(""))
-    told = d.select("key", F.explode_outer(F.array_distinct(terms_in(t))).alias("term")).join(terms, "term").groupBy("key").agg(F.map_from_entries(F.collect_set(F.struct("term", "ratio"))).alias("told"))
-    told = written(told, "told")
-    rows = d.join(told, "key").select("key", "told", F.regexp_extract_all("t", F.lit(TERM), F.lit(0)).alias("m"), F.split("t", TERM).alias("p")).dropDuplicates(["key"])
-    at = _pieces(rows.select("key", "m", "p"), ["key"], "m", "p", 0).select("key", F.translate("value", UPPER, LOWER).alias("term"), "start", "end").join(terms, "term")
+    told = d.select("key", F.explode_outer(F.array_distinct(terms_in(t))).alias("term")).join(terms, "term").distinct()
+    # each told term is looked for by itself, so that only its own occurrences become rows
+    low, alone = F.translate("t", UPPER, LOWER), F.concat(F.lit(f"(?<!{CHAR})\\Q"), "term", F.lit(f"\\E(?!{CHAR})"))
+    rows = d.join(if_small(written(told, "told")), "key").select("key", "term", "ratio", F.regexp_extract_all(low, alone, F.lit(0)).alias("m"), F.split(low, alone).alias("p"))
+    at = _pieces(rows, ["key", "term", "ratio"], "m", "p", 0)
     span = lambda kind, ratio: F.struct("start", F.array_position(F.array(*[F.lit(k) for k in KINDS]), kind).cast("int").alias("ord"), "end", kind.alias("kind"), ratio.alias("ratio"))
     every = spans.select("key", span(F.col("kind"), F.lit(None).cast("double")).alias("s")).unionByName(at.select("key", span(F.lit("term"), F.col("ratio")).alias("s")))
     found = every.groupBy("key").agg(F.sort_array(F.collect_set("s")).alias("spans"))
