@@ -20,8 +20,8 @@ from .common import hashed, if_small, joined_hashes, row_key, written
 
 WINDOW = 13
 SHINGLE = 3
-#: Probes that are broadcast (with their items, well below 1 GB); a larger benchmark is joined by shuffles.
-MOST_PROBES = 200_000
+#: Documents with placements that a broadcast may hold, with their items' words: some 50 MB.
+BROADCAST_CANDIDATES = 20_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -62,49 +62,40 @@ def probes_of(docs: DataFrame, items: DataFrame, size: int) -> DataFrame:
     return written(best.select("item", F.col("r.g").alias("g"), F.col("r.off").alias("off")).distinct(), f"probes_{size}")
 
 
-def _verified() -> Column:
-    """Spans (from, to) of the item's windows that lie in the document word by word, where the item's first word lies at ``at`` and seg are the document's words from there on (from its start, if at is negative)."""
-    at, begin = F.col("at"), F.greatest(F.lit(0), F.col("at"))
-    first = F.greatest(F.lit(0), -at)
-    last = F.least(F.size("iw"), begin + F.size("seg") - at) - F.col("len")
-    fits = F.filter(F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<int>")), lambda o: F.slice("seg", at + o - begin + 1, F.col("len")) == F.slice("iw", o + 1, F.col("len")))
-    return F.transform(fits, lambda o: F.struct((at + o).alias("from"), (at + o + F.col("len")).alias("to")))
-
-
-def matches(docs: DataFrame, items: DataFrame, most_probes: int = MOST_PROBES) -> DataFrame | None:
-    """(key, ids, spans): the verified windows of each placement of an item; placements without any are left out. docs: (key, dw)."""
+def placements(docs: DataFrame, items: DataFrame) -> DataFrame | None:
+    """(key, item, at): where an item's rarest shingles let it lie; at may be negative. docs: (key, dw). The texts stay behind."""
     sizes = [r["size"] for r in items.select("size").distinct().orderBy("size").collect()]  # three values at most
     out = None
     for size in sizes:
         probes = probes_of(docs, items, size)
-        spread = _shingles(docs, "dw", size)
-        at = (F.col("pos") - F.col("off")).alias("at")
-        if probes.count() <= most_probes:  # words and probes meet where the text is read
-            meet = spread.select("key", "dw", F.posexplode_outer("__g").alias("pos", "g")).join(F.broadcast(probes.join(items, "item")), "g").select("key", "dw", "ids", "iw", "len", at)
-        else:  # places first, without the texts
-            places = spread.select("key", F.posexplode_outer("__g").alias("pos", "g")).join(probes, "g").select("key", "item", at).distinct()
-            meet = places.join(items, "item").join(docs, "key")
-        # no more than the item's length of a text leaves this step: all of a text's rows wait here at once
-        seg = F.slice("dw", F.greatest(F.lit(0), F.col("at")) + 1, F.size("iw") + F.least(F.lit(0), F.col("at")))
-        meet = meet.select("key", "ids", "iw", "len", "at", seg.alias("seg"))
-        found = meet.select("key", "ids", _verified().alias("spans")).where(F.size("spans") > 0)
+        spread = _shingles(docs, "dw", size).select("key", F.posexplode_outer("__g").alias("pos", "g"))
+        found = spread.join(probes, "g").select("key", "item", (F.col("pos") - F.col("off")).alias("at")).distinct()
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def judge(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, most_probes: int = MOST_PROBES) -> DataFrame:
+def judge(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, broadcast_rows: int = BROADCAST_CANDIDATES) -> DataFrame:
     """(key, doc_id, n_words, n_hit, items, contaminated) for each row of docs; items: sorted ids of items with a window in it."""
-    d = docs.select(row_key(F.col(id_col), F.col(text)).alias("key"), F.col(id_col).alias("doc_id"), item_words(F.col(text)).alias("dw"))
+    d = docs.select(row_key(F.col(id_col), F.col(text)).alias("key"), F.col(id_col).alias("doc_id"), F.col(text).alias("t"))
     items = written(items_of(benchmark, item_id, item_text, window), "items")
-    found = matches(d.select("key", "dw"), items, most_probes)
-    sizes = d.select("key", "doc_id", F.size("dw").cast("long").alias("n_words"))
-    if found is None:
-        return sizes.withColumns({"n_hit": F.lit(0).cast("long"), "items": F.array().cast("array<string>"), "contaminated": F.lit(False)})
-    v = written(found.distinct().groupBy("key").agg(F.collect_list(F.struct("ids", "spans")).alias("v")), "matches")
+    at = placements(d.select("key", item_words(F.col("t")).alias("dw")), items)
+    if at is None:
+        return d.select("key", "doc_id", F.size(item_words(F.col("t"))).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"), F.lit(False).alias("contaminated"))
+    cands = at.join(items, "item").groupBy("key").agg(F.collect_list(F.struct("ids", "iw", "len", "at")).alias("c"))
+    j = d.join(if_small(written(cands, "candidates"), broadcast_rows), "key", "left").select("key", "doc_id", "c", item_words(F.col("t")).alias("dw"))
+    n = F.size("dw")
+
+    def verified(c: Column) -> Column:
+        """The item's windows that lie there word by word, as spans of the document."""
+        first, last = F.greatest(F.lit(0), -c["at"]), F.least(F.size(c["iw"]), n - c["at"]) - c["len"]
+        fits = F.filter(F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<int>")), lambda o: F.slice("dw", c["at"] + o + 1, c["len"]) == F.slice(c["iw"], o + 1, c["len"]))
+        return F.struct(c["ids"].alias("ids"), F.transform(fits, lambda o: F.struct((c["at"] + o).alias("from"), (c["at"] + o + c["len"]).alias("to"))).alias("spans"))
+
+    j = j.select("key", "doc_id", n.cast("long").alias("n_words"), F.transform("c", verified).alias("v"))
+    j = j.withColumn("v", F.filter("v", lambda x: F.size(x["spans"]) > 0))
     spans = F.sort_array(F.array_distinct(F.flatten(F.transform("v", lambda x: x["spans"]))))
     hit = F.aggregate(spans, F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")), lambda a, s: F.struct((a["n"] + F.greatest(F.lit(0), s["to"] - F.greatest(a["end"], s["from"]))).alias("n"), F.greatest(a["end"], s["to"]).alias("end")), lambda a: a["n"])
     ids = F.sort_array(F.array_distinct(F.flatten(F.transform("v", lambda x: x["ids"]))))
-    j = sizes.join(v, "key", "left")
     out = j.select("key", "doc_id", "n_words", F.coalesce(hit, F.lit(0)).cast("long").alias("n_hit"), F.coalesce(ids, F.array().cast("array<string>")).alias("items"))
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
