@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, mixing, neardup, pii, quality, sharding, substring, tokens, toxicity, urls
+from . import decontam, mixing, neardup, oracles, pii, quality, sharding, substring, tokens, toxicity, urls
 from .common import shared_dir
 
 
@@ -73,4 +73,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_sharding": oracles.SHARDING, "op9_quality_rules": oracles.QUALITY, "op10_decontamination": oracles.DECONTAMINATION}
