@@ -23,8 +23,8 @@ from .common import WS_CHARS, WS_CLASS, hashed, if_small, joined_hashes, row_key
 MEASURES = {
     "mean_word": (700, True),
     "symbol_share": (50, False),
-    "dup_line_share": (100, False),
-    "repeat_share": (60, False),
+    "dup_line_share": (200, False),
+    "repeat_share": (90, False),
 }
 FENCE = 3
 MIN_ROWS = 200
