@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -106,6 +107,58 @@ def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75)
     return q.join(df, "t").join(tf, "t").groupBy("qid", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
 
 
+def bm25_top(docs: DataFrame, queries: DataFrame, k: int, k1: float = 1.5, b: float = 0.75, block: int = 512) -> DataFrame:
+    """(qid, id, score, rank): each query's k best of all documents by ``bm25``; equal scores by id.
+
+    Terms of the queries and their weights go to the workers in blocks of queries; a block of documents meets a block of queries in one matrix product, and a task keeps k rows a query.
+    """
+    tokens = lambda c: F.array_remove(F.split(F.lower(c), " "), "")
+    d = docs.select(F.col("doc_id").cast("long").alias("id"), tokens(F.col("text")).alias("ts"))
+    n, mean = d.agg(F.count("*"), F.avg(F.size("ts"))).first()
+    asked = queries.select(F.col("qid").cast("long"), F.array_sort(F.array_distinct(tokens(F.col("text")))).alias("ts")).where(F.size("ts") > 0).orderBy("qid").collect()
+    every = sorted({t for q in asked for t in q["ts"]})
+    terms = docs.sparkSession.createDataFrame([(t,) for t in every], "t string")
+    idf = {r["t"]: float(np.log(1 + (n - r["df"] + 0.5) / (r["df"] + 0.5))) for r in d.select(F.explode(F.array_distinct("ts")).alias("t")).join(F.broadcast(terms), "t").groupBy("t").agg(F.count("*").alias("df")).collect()}
+    parts = []
+    for i in range(0, len(asked), block):
+        own = asked[i : i + block]
+        place = {t: j for j, t in enumerate(sorted({t for q in own for t in q["ts"] if t in idf}))}
+        parts.append(([q["qid"] for q in own], list(place), [(place[t], j, idf[t]) for j, q in enumerate(own) for t in q["ts"] if t in idf]))
+    mean = float(mean or 1)
+    schema = pa.schema([("qid", pa.int64()), ("id", pa.int64()), ("score", pa.float64())])
+    none = np.iinfo(np.int64).max
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state = []
+        for qids, own, cells in parts:
+            m = np.zeros((len(own), len(qids)))
+            for t, j, x in cells:
+                m[t, j] = x
+            state.append((pa.array(own, pa.string()), m, np.full((len(qids), k), none), np.zeros((len(qids), k))))
+        for batch in batches:
+            for lo in range(0, batch.num_rows, block):
+                ids = batch.column(0).slice(lo, block).to_numpy()
+                ts = batch.column(1).slice(lo, block)
+                size = pc.fill_null(pc.list_value_length(ts), 0).to_numpy()
+                flat, row = ts.flatten(), np.repeat(np.arange(len(ids)), size)
+                for s, (own, m, best_ids, best) in enumerate(state):
+                    at = pc.fill_null(pc.index_in(flat, value_set=own), -1).to_numpy()
+                    hit = at >= 0
+                    tf = np.bincount(row[hit] * len(own) + at[hit], minlength=len(ids) * len(own)).reshape(len(ids), len(own))
+                    w = tf * (k1 + 1) / (tf + k1 * (1 - b + b * size / mean)[:, None])
+                    score = np.concatenate([best, np.round(w @ m, 6).T], axis=1)
+                    whose = np.concatenate([best_ids, np.broadcast_to(ids, (len(best), len(ids)))], axis=1)
+                    first = np.lexsort((whose, -score), axis=1)[:, :k]
+                    state[s] = (own, m, np.take_along_axis(whose, first, 1), np.take_along_axis(score, first, 1))
+        for (qids, _, _), (_, _, best_ids, best) in zip(parts, state, strict=True):
+            q, found = np.repeat(np.asarray(qids, np.int64), k), best.ravel() > 0
+            yield pa.RecordBatch.from_arrays([pa.array(q[found]), pa.array(best_ids.ravel()[found]), pa.array(best.ravel()[found])], schema=schema)
+
+    found = d.mapInArrow(search, "qid bigint, id bigint, score double")
+    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("long"))
+
+
 def upsert(stored: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     """stored with new's rows in place of those with the same key; of new's own duplicates the largest ``version`` wins."""
     last = new.withColumn("n", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("version")))).where("n = 1").drop("n")
