@@ -134,12 +134,15 @@ SEARCHED = f"""d AS (SELECT doc_id, list_filter(string_split(lower(text), ' '),
   reranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rerank_score DESC, id) AS rank FROM s QUALIFY rank <= 8)"""
 
 
+def _few(spark, d):
+    return table(spark, d, "benchmark").count() * CANDIDATES <= 100_000
+
+
 def _searched(spark, d):
     """The reranked hits of every benchmark item in a search over all documents."""
     docs, b = table(spark, d, "documents"), table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
     hits = V.bm25_top(docs, b.select("qid", F.col("query").alias("text")), CANDIDATES).select("qid", "id", "score").join(b, "qid")
-    few = b.count() * CANDIDATES <= 100_000
-    c = docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(hits) if few else hits, "id")
+    c = docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(hits) if _few(spark, d) else hits, "id")
     return V.rerank(c, V.overlap_scorer, 8)
 
 
@@ -199,6 +202,16 @@ def h10_h11_context(spark, d):
     return R.context_text(R.prompt_order(c).where("chunk_id <> 'note'"))
 
 
+@query(f"""WITH {SEARCHED}, c AS (SELECT qid, source AS file, 'chk_' || doc_id AS chunk_id, text, doc_id FROM reranked JOIN documents ON doc_id = id),
+  placed AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY file, doc_id, chunk_id) AS place FROM c)
+  SELECT qid, string_agg('[' || chunk_id || '] ' || text, chr(10) || '---' || chr(10) ORDER BY place) AS context FROM placed GROUP BY qid""")
+def h10_h11_question_context(spark, d):
+    """A context for each question from its reranked hits, whole texts: a group is 8 hits at most."""
+    hits = _searched(spark, d).select("qid", F.col("id").alias("doc_id"))
+    c = table(spark, d, "documents").join(F.broadcast(hits) if _few(spark, d) else hits, "doc_id").select("qid", F.col("source").alias("file"), F.concat(F.lit("chk_"), F.col("doc_id").cast("string")).alias("chunk_id"), "text")
+    return R.context_text(R.prompt_order(c))
+
+
 @query("""WITH q AS (SELECT DISTINCT user_id AS qid, CASE WHEN user_id % 2 = 0 THEN 'current_affairs' ELSE 'mains' END AS mode FROM events), c AS (SELECT user_id AS qid, max(value - 100) AS best FROM events WHERE event_id % 4 = 0 GROUP BY ALL)
   SELECT qid, best IS NULL OR best < CASE WHEN mode = 'current_affairs' THEN -5.0 ELSE 0.0 END AS gated FROM q LEFT JOIN c USING (qid)""")
 def h12_gate(spark, d):

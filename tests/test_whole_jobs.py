@@ -24,3 +24,14 @@ def test_every_item_is_reranked(spark):
     got = plans.QUERIES["g9_reranked_search"](spark, DATA).collect()
     assert {r["qid"] for r in got} == items
     assert any(r["id"] % 40 != r["qid"] % 40 for r in got)
+
+
+def test_contexts_hold_whole_texts(spark):
+    texts = {f"[chk_{r['doc_id']}] ": r["text"] for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    items = spark.read.parquet(f"{DATA}/benchmark.parquet").count()
+    got = plans.QUERIES["h10_h11_question_context"](spark, DATA).collect()
+    assert len(got) == items
+    for r in got:
+        held = [k + t for k, t in texts.items() if k in r["context"]]
+        assert 0 < len(held) <= 8 and len(r["context"]) == sum(map(len, held)) + 5 * (len(held) - 1)
+        assert all(t in r["context"] for t in held)
