@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..operators import evaluation as E
 from ..operators import state as S
+from ..sources import web as W
 from ..sources.layout import BLOCKS_SQL, blocks
 from .registry import query, table
 
@@ -97,6 +98,39 @@ def k4_k8_day_statistics(spark, d):
     return _articles(spark, d).groupBy("date", "tag").agg(F.count("*").alias("n"), F.count_if(F.col("priority") == "high").alias("important"))
 
 
+def _page_articles(spark, d):
+    """Articles with a page's whole title and body; tags read both. Pages have no date, so it follows from their number."""
+    a = W.body_v1(W.articles(table(spark, d, "pages")))
+    a = a.select(F.col("page_id").alias("place"), "title", F.col("body").alias("summary"), F.expr("date_add(DATE '2024-01-01', cast(page_id % 30 as int))").alias("date"), F.when(F.col("page_id") % 3 == 0, "high").otherwise("low").alias("priority"))
+    return a.withColumns({"tag": S.tag_by_words(F.concat_ws(" ", "title", "summary"), PAPERS, "GS-2"), "id": S.article_id(F.col("title"), F.col("date"))})
+
+
+@query()
+def k1_k2_page_tags(spark, d):
+    return _page_articles(spark, d).select("place", "tag", "id")
+
+
+@query()
+def k3_new_page_articles(spark, d):
+    a = _page_articles(spark, d).select("place", "title", "id")
+    return S.new_articles(a, a.where("place % 4 = 0")).select("id", "place", "title")
+
+
+@query()
+def k5_page_retention(spark, d):
+    return S.retained(_page_articles(spark, d), F.expr(TODAY), 5).select("id", "place")
+
+
+@query()
+def k6_page_feed(spark, d):
+    return S.feed(_page_articles(spark, d), F.expr(TODAY), 5, None, "er").select("id", "date", "place")
+
+
+@query()
+def k4_k8_page_day_statistics(spark, d):
+    return _page_articles(spark, d).groupBy("date", "tag").agg(F.count("*").alias("n"), F.count_if(F.col("priority") == "high").alias("important"))
+
+
 @query(f"SELECT unnest(range({TODAY} - 7, {TODAY} + 1, INTERVAL 1 DAY))::DATE AS date, (SELECT count(*) FROM documents) AS documents")
 def k9_backfill_days(spark, d):
     n = table(spark, d, "documents").agg(F.count("*").alias("documents"))
