@@ -15,6 +15,8 @@ ONE_TO_MANY = [("…", "..."), ("​", ""), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬀ"
 ABBREVIATIONS = [("U.P.S.C.", "UPSC"), ("I.A.S.", "IAS"), ("I.P.S.", "IPS"), ("I.F.S.", "IFS"), ("C.S.A.T.", "CSAT"), ("N.C.E.R.T.", "NCERT"), ("M.L.A.", "MLA"), ("M.P.", "MP"), ("B.C.E.", "BCE"), ("C.E.", "CE")]
 #: Words that recognition splits or runs together.
 SPLIT_WORDS = [(r"\bV[ \t\n]+ol\.", "Vol."), (r"\bV[ \t\n]+olume\b", "Volume"), (r"\bY[ \t\n]+ork\b", "York"), (r"\bV[ \t\n]+ernacular", "Vernacular"), (r"(?i)\bMiddleEastern\b", "Middle Eastern"), (r"\bCentralAsian\b", "Central Asian"), (r"\bSouthAsian\b", "South Asian"), (r"\bS[ \t\n]+hah\b", "Shah"), (r"\bK[ \t\n]+han\b", "Khan")]
+#: Fixed value: letters that transliteration writes and recognition parts from their word.
+DIACRITICS = "ṇṣśñṭḍṛḷṃḥĀāĪīŪūṚṛṜṝḶḷḸḹṂṃḤḥÑñṬṭḌḍṆṇŚśṢṣ"
 #: List markers at a line's start.
 BULLETS = r"(?m)^[ \t]*(?:[•‣◦⁃▪▫●○’➢▸▹►▻➔→>*]|-{1,2}|–|—)[ \t]+"
 #: Openings of questions that carry no content, in order of trial.
@@ -61,6 +63,12 @@ def collapse_repeats(c: Column) -> Column:
     return F.regexp_replace(c, rf"(?i)\b([a-z]{{3,}}){S}+\1\b", "$1")
 
 
+def rejoin_diacritics(c: Column) -> Column:
+    """Letters with diacritics that recognition parts from their word; the reference's letters, so that a Spanish word with ñ in front joins the one before it too."""
+    word, gap = r"([\p{L}\p{N}_])", r"(?U:\s+)"
+    return _each(c, [(rf"{word}{gap}([{DIACRITICS}])(?U:\s*){word}", "$1$2$3"), (rf"{word}{gap}([{DIACRITICS}])", "$1$2")])
+
+
 def squeeze(c: Column) -> Column:
     return _each(c, [(r"[ \t]{2,}", " "), (r"\n{3,}", "\n\n")])
 
@@ -95,7 +103,7 @@ def repair_ellipsis(c: Column) -> Column:
 
 def corrected(c: Column) -> Column:
     """All corrections in their order, trimmed."""
-    steps = [map_characters, join_hyphens, shorten_abbreviations, join_split_words, normalise_lists, collapse_repeats, repair_page_ranges, repair_urls, squeeze]
+    steps = [map_characters, join_hyphens, shorten_abbreviations, join_split_words, normalise_lists, collapse_repeats, rejoin_diacritics, repair_page_ranges, repair_urls, squeeze]
     return F.trim(reduce(lambda x, f: f(x), steps, c))
 
 

@@ -27,16 +27,16 @@ def drop_junk(blocks: DataFrame) -> DataFrame:
     return blocks.where(~junk)
 
 
-def duplicate_pages(pages: DataFrame, look_back: int = 4, least: float = 0.8, min_chars: int = 60) -> DataFrame:
-    """(doc_id, page_num) of pages whose word set nearly equals that of one of the previous ``look_back`` pages; dropped pages stay comparable."""
+def duplicate_pages(pages: DataFrame, look_back: int = 4, least: float = 0.8, min_chars: int = 60, least_told: float = 0.5, telling: tuple[str, ...] = ("cave architecture", "gandhara")) -> DataFrame:
+    """(doc_id, page_num) of pages whose word set nearly equals that of one of the previous ``look_back`` pages; dropped pages stay comparable. For pages with a telling phrase ``least_told`` is enough."""
     t = F.lower(F.trim(F.regexp_replace("text", WS, " ")))
     p = pages.select("doc_id", "page_num", F.dense_rank().over(Window.partitionBy("doc_id").orderBy("page_num")).alias("r"), t.alias("t"))
-    p = p.where(F.length("t") >= min_chars).select("doc_id", "page_num", "r", F.array_distinct(split_words(F.col("t"))).alias("w"))
+    p = p.where(F.length("t") >= min_chars).select("doc_id", "page_num", "r", F.array_distinct(split_words(F.col("t"))).alias("w"), F.when(F.exists(F.array(*map(F.lit, telling)), lambda x: F.contains("t", x)), least_told).otherwise(least).alias("enough"))
     # a band join as an equi-join: each page looks at ranks r - 1 .. r - look_back
     probe = p.withColumn("rr", F.explode(F.sequence(F.col("r") - look_back, F.col("r") - 1)))
     back = p.select("doc_id", F.col("r").alias("rr"), F.col("w").alias("v"))
     both = F.size(F.array_intersect("w", "v"))
-    return probe.join(back, ["doc_id", "rr"]).where(both >= least * (F.size("w") + F.size("v") - both)).select("doc_id", "page_num").distinct()
+    return probe.join(back, ["doc_id", "rr"]).where(both >= F.col("enough") * (F.size("w") + F.size("v") - both)).select("doc_id", "page_num").distinct()
 
 
 def drop_duplicate_pages(blocks: DataFrame, **kw) -> DataFrame:

@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 TYPES = ["heading", "paragraph", "list_item", "caption", "footer", "header", "footnote", "diagram", "blank_page"]
 
+#: The rules of the whole audit, and the types that it takes for valid.
+RULES = ["valid_json", "metadata_present", "non_empty_blocks", "page_numbers_valid", "block_types_valid", "non_empty_text", "boilerplate_tagged", "table_structure_valid", "ner_populated"]
+AUDIT_TYPES = ("heading", "paragraph", "list_item", "caption", "footnote", "header", "footer", "table", "blank_page", "exercise_heading", "toc_page_number")
+
 
 def audit(blocks: DataFrame) -> DataFrame:
     """(doc_id, rules about a document's blocks, one boolean each, and how many fail)."""
@@ -23,6 +31,43 @@ def audit(blocks: DataFrame) -> DataFrame:
     return b.withColumn("failed", sum((F.when(F.col(c), 0).otherwise(1) for c in rules), F.lit(0)).cast("long"))
 
 
+def nine_rules(extracted: DataFrame) -> DataFrame:
+    """(doc_id, nine rules about an extracted document, one boolean each, and how many fail) from (doc_id, json). Without valid JSON all fail, without blocks those about blocks and tables."""
+
+    def judge(text: str | None) -> list[bool]:
+        try:
+            data = json.loads(text)
+        except (TypeError, ValueError):
+            return [False] * len(RULES)
+        data = data if isinstance(data, dict) else {}
+        meta, bs, ts = (data.get(k) for k in ("document_metadata", "text_blocks", "tables"))
+        meta = meta if isinstance(meta, dict) else {}
+        told = bool(meta.get("file_name") and meta.get("extracted_at"))
+        if not isinstance(bs, list) or not bs:
+            return [True, told] + [False] * (len(RULES) - 2)
+        bs = [b if isinstance(b, dict) else {} for b in bs]
+        ts = [t if isinstance(t, dict) else {} for t in ts] if isinstance(ts, list) else []
+        said = lambda b: isinstance(b.get("text"), str) and b["text"].strip() != ""
+        return [
+            True,
+            told,
+            True,
+            all(isinstance(b.get("page_num"), int) and b["page_num"] >= 1 for b in bs),
+            all(b.get("type") in AUDIT_TYPES for b in bs),
+            all(b.get("type") == "blank_page" or said(b) for b in bs),
+            all("is_boilerplate" in b for b in bs),
+            all(isinstance(t.get("table_id"), str) and isinstance(t.get("rows"), list) for t in ts),
+            all("entities" in b for b in bs),
+        ]
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(i, *(r := judge(t)), len(r) - sum(r)) for i, t in zip(pdf["doc_id"], pdf["json"], strict=True)]
+            yield pd.DataFrame(rows, columns=["doc_id", *RULES, "failed"])
+
+    return extracted.select("doc_id", "json").mapInPandas(read, f"doc_id bigint, {', '.join(f'{r} boolean' for r in RULES)}, failed bigint")
+
+
 def coverage(blocks: DataFrame, expected: DataFrame) -> DataFrame:
     """(doc_id, coverage, coverage_capped, missing): pages found of those expected (doc_id, pages), in per cent, uncapped as it is reported; missing pages counted."""
     found = blocks.groupBy("doc_id").agg(F.count_distinct("page_num").alias("found"), F.collect_set("page_num").alias("ps"))

@@ -158,12 +158,47 @@ AUDIT = f"""{BLOCKS_SQL}, audit AS (SELECT doc_id, count(*) > 0 AS has_blocks, b
   scores AS (SELECT *, CASE WHEN score >= 90 THEN 'Excellent' WHEN score >= 75 THEN 'Good' WHEN score >= 55 THEN 'Fair' ELSE 'Poor' END AS rating FROM v)"""
 
 
-def _scores(spark, d):
+def _scores(spark, d, audited=None):
     b = blocks(table(spark, d, "documents"))
     expected = b.groupBy("doc_id").agg((F.max("page_num") + F.col("doc_id") % 2).alias("pages"))
     n = F.length("text")
     issues = b.groupBy("doc_id").agg(F.count_if(n < 5).alias("critical"), F.count_if(n.between(5, 20)).alias("major"), F.count_if(n > 2000).alias("minor"))
-    return E.score(E.audit(b), E.coverage(b.where("seq % 11 <> 3"), expected), issues)
+    return E.score(E.audit(b) if audited is None else audited, E.coverage(b.where("seq % 11 <> 3"), expected), issues)
+
+
+@query()
+def k9_backfill_page_days(spark, d):
+    """One run for each of the last days: its articles, and those that are new to the stored ones."""
+    a = _page_articles(spark, d).select("place", "id", "date")
+    days = spark.range(1).select(F.explode(F.expr(f"sequence(date_sub({TODAY}, 7), {TODAY})")).alias("date"))
+    every = a.groupBy("date").agg(F.count("*").alias("articles"))
+    new = S.new_articles(a, a.where("place % 4 = 0")).groupBy("date").agg(F.count("*").alias("added"))
+    return days.join(every, "date", "left").join(new, "date", "left").select("date", F.coalesce("articles", F.lit(0)).cast("long").alias("articles"), F.coalesce("added", F.lit(0)).cast("long").alias("added"))
+
+
+def _extracted(spark, d):
+    """Documents as extracted JSON. A document's number says what its JSON lacks."""
+    n = F.col("doc_id")
+    b = blocks(table(spark, d, "documents")).select(n, "seq", F.struct("page_num", "type", "text", F.when(n % 7 != 0, F.col("type") == "footer").alias("is_boilerplate"), F.when(n % 5 != 0, F.array().cast("array<string>")).alias("entities")).alias("b"))
+    bs = b.groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("seq", "b"))), lambda x: x["b"]).alias("bs"))
+    meta = F.struct(F.concat(F.lit("doc_"), n.cast("string")).alias("file_name"), F.when(n % 3 != 0, "2024-01-01").alias("extracted_at"))
+    tables = F.array(F.struct(F.lit("t1").alias("table_id"), F.when(n % 11 != 0, F.array().cast("array<string>")).alias("rows")))
+    text = F.to_json(F.struct(meta.alias("document_metadata"), F.col("bs").alias("text_blocks"), tables.alias("tables")))
+    return bs.select("doc_id", F.when(n % 13 == 0, F.concat(text, F.lit("}"))).otherwise(text).alias("json"))
+
+
+NINE = f"""{BLOCKS_SQL}, nine AS (SELECT doc_id, doc_id % 13 <> 0 AS valid_json, doc_id % 13 <> 0 AND doc_id % 3 <> 0 AS metadata_present, doc_id % 13 <> 0 AS non_empty_blocks, doc_id % 13 <> 0 AS page_numbers_valid, doc_id % 13 <> 0 AS block_types_valid,
+  doc_id % 13 <> 0 AND bool_and(trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> '') AS non_empty_text, doc_id % 13 <> 0 AND doc_id % 7 <> 0 AS boilerplate_tagged, doc_id % 13 <> 0 AND doc_id % 11 <> 0 AS table_structure_valid, doc_id % 13 <> 0 AND doc_id % 5 <> 0 AS ner_populated FROM blocks GROUP BY doc_id)"""
+
+
+@query(f"WITH {NINE} SELECT *, ({' + '.join(f'(NOT {r})::INT' for r in E.RULES)})::BIGINT AS failed FROM nine")
+def l1_nine_rule_audit(spark, d):
+    return E.nine_rules(_extracted(spark, d))
+
+
+@query()
+def l3_nine_rule_scores(spark, d):
+    return _scores(spark, d, E.nine_rules(_extracted(spark, d)))
 
 
 @query(f"WITH {AUDIT} SELECT doc_id, has_blocks, pages_valid, no_empty_text, types_valid, ids_unique, has_headings, failed FROM a")

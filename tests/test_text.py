@@ -24,3 +24,18 @@ def test_all_url_gaps_are_closed(spark):
     assert "".join(f"p{i}/" for i in range(10)) + " end" in got[ten]
     for t in texts:
         assert got[t] == brute_urls(t), t
+
+
+def test_diacritics_join_their_words(spark):
+    letters = "ṇṣśñṭḍṛḷṃḥĀāĪīŪūṚṛṜṝḶḷḸḹṂṃḤḥÑñṬṭḌḍṆṇŚśṢṣ"
+
+    def brute(t):
+        return re.sub(rf"(\w)\s+([{letters}])", r"\1\2", re.sub(rf"(\w)\s+([{letters}])\s*(\w)", r"\1\2\3", t))
+
+    r = random.Random(2)
+    texts = ["Hir ṇ ayak ṣ a", *("".join(r.choice(["a", "é", "ṇ", "ñ", "Ś", " ", "  ", "\n", "\xa0", ".", "9"]) for _ in range(r.randrange(25))) for _ in range(1000))]
+    d = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = {x["t"]: x for x in d.select("t", T.rejoin_diacritics(F.col("t")).alias("u"), T.corrected(F.col("t")).alias("c")).collect()}
+    assert got["Hir ṇ ayak ṣ a"]["c"] == "Hirṇayakṣa"
+    for t in texts:
+        assert got[t]["u"] == brute(t), repr(t)
