@@ -1,8 +1,9 @@
 """URL filters: fixed host and path rules, then association rules mined from labels (operator 4; DataFrame functions and Spark's FP-growth only).
 
-A URL's tokens are its host labels, host suffixes, path segments that are not numbers, and query names. FP-growth mines the
+A URL's tokens are its host labels, host suffixes, path segments that are not numbers, and query names;
+query values are none. FP-growth mines the
 token combinations of labelled URLs together with the label; combinations that imply the label with at least
-``min_confidence``, on at least ``min_rows`` rows and ``min_support`` of all, become block rules, without those that a
+``min_confidence``, on at least ``min_rows`` rows (and ``min_support`` of all, if that is given), become block rules, without those that a
 shorter one already covers. Each rule is indexed under its rarest token only (inverted index), so a URL meets few
 rules, and a rule fits if all its tokens are there. Fixed rules win over mined ones.
 
@@ -28,7 +29,8 @@ RULES = [
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 ]
-MIN_SUPPORT = 0.001
+#: None by itself: with a share of all rows, a bad host would lose its rule as other hosts come in.
+MIN_SUPPORT = 0.0
 MIN_ROWS = 20
 MIN_CONFIDENCE = 0.6
 BLOCK = "=block"
@@ -47,8 +49,8 @@ def tokens_of(url: Column) -> Column:
     labels = F.array_remove(F.split(host, r"\."), "")
     n = F.size(labels)
     suffix = F.when(n >= 2, F.array(F.concat(F.lit("d:"), F.array_join(F.slice(labels, F.greatest(n - 1, F.lit(1)), 2), ".")))).otherwise(F.array().cast("array<string>"))
-    segments = F.filter(F.split(path, "/"), lambda x: (x != "") & ~x.rlike("[0-9]"))
-    names = F.filter(F.regexp_extract_all(F.coalesce(url, F.lit("")), F.lit("[?&]([A-Za-z_]+)="), F.lit(1)), lambda x: x != "")
+    segments = F.filter(F.split(path, "/"), lambda x: (x != "") & ~x.rlike("^[0-9]+$"))
+    names = F.filter(F.regexp_extract_all(F.coalesce(url, F.lit("")), F.lit("[?&]([^=&#]+)="), F.lit(1)), lambda x: x != "")
     tag = lambda k, a: F.transform(a, lambda x: F.concat(F.lit(k), x))
     return F.array_distinct(F.concat(tag("h:", labels), suffix, tag("s:", segments), tag("q:", names)))
 
