@@ -61,13 +61,13 @@ def _pieces(rows: DataFrame, by: list[str], matches: str, pieces: str, keep: int
 
 
 def base_spans(d: DataFrame) -> DataFrame:
-    """(key, kind, value, start, end, left, right) of the fixed patterns; d: (key, t)."""
+    """(key, kind, value, start, end) of the fixed patterns; d: (key, t)."""
     per_kind = []
     for k, pattern in PATTERNS.items():
         tried = F.col("t").contains(NEEDED[k]) if NEEDED[k] else F.col("t").rlike("[0-9]")
         per_kind.append(F.when(tried & F.col("t").rlike(pattern), F.struct(F.lit(k).alias("kind"), F.regexp_extract_all("t", F.lit(pattern), F.lit(0)).alias("m"), F.split("t", pattern).alias("p"))))
     rows = d.select("key", F.explode(F.array_compact(F.array(*per_kind))).alias("s")).select("key", "s.kind", "s.m", "s.p")
-    return _pieces(rows, ["key", "kind"], "m", "p", CONTEXT_CHARS).where(_valid(F.col("kind"), F.col("value"))).select("key", "kind", "value", "start", "end", "left", "right")
+    return _pieces(rows, ["key", "kind"], "m", "p", 0).where(_valid(F.col("kind"), F.col("value"))).select("key", "kind", "value", "start", "end")
 
 
 def terms_in(text: Column) -> Column:
@@ -75,14 +75,31 @@ def terms_in(text: Column) -> Column:
     return F.array_remove(F.split(F.translate(text, UPPER, LOWER), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), "")
 
 
+def _around(t: Column, start: Column, end: Column) -> Column:
+    """The CONTEXT terms before start and after end, whatever stands between: from CONTEXT_CHARS characters if these hold as many, or else more, up to the whole text. A term that the window cuts is left out."""
+    after = F.length(t) - end
+
+    def before(n: Column) -> Column:
+        x = t.substr(start - n + 1, n)
+        return terms_in(F.when(n < start, F.regexp_replace(x, f"^{CHAR}+", "")).otherwise(x))
+
+    def behind(n: Column) -> Column:
+        x = t.substr(end + 1, n)
+        return terms_in(F.when(n < after, F.regexp_replace(x, f"{CHAR}++$", "")).otherwise(x))
+
+    def enough(side, most: Column) -> Column:
+        some, more = (side(F.least(most, F.lit(n))) for n in (CONTEXT_CHARS, 16 * CONTEXT_CHARS))
+        return F.when(F.size(some) >= CONTEXT, some).when(F.size(more) >= CONTEXT, more).otherwise(side(most))
+
+    left, right = enough(before, start), enough(behind, after)
+    return F.concat(F.slice(left, F.greatest(F.size(left) - CONTEXT + 1, F.lit(1)), CONTEXT), F.slice(right, 1, CONTEXT))
+
+
 def disclosing_terms(d: DataFrame, spans: DataFrame) -> DataFrame:
     """(term, ratio): terms that give a protected entity away; ratio: the largest PMI / IC over the entities."""
     entity = F.concat("kind", F.lit(":"), F.when(F.col("kind").isin("card", "phone"), F.regexp_replace("value", "[^0-9]", "")).otherwise(F.translate("value", UPPER, LOWER)))
-    cut = lambda side: F.regexp_replace(side, "^\x00[^ \t\n]*|[^ \t\n]*\x00$", "")  # noqa: E731  a word that the limit cuts
-    left, right = terms_in(cut(F.col("left"))), terms_in(cut(F.col("right")))
-    left = F.slice(left, F.greatest(F.size(left) - CONTEXT + 1, F.lit(1)), CONTEXT)
-    around = F.concat(left, F.slice(right, 1, CONTEXT))
-    c = spans.select("key", entity.alias("entity"), around.alias("around")).where(F.size("around") > 0)
+    at = spans.select("key", "start", "end", entity.alias("entity"))
+    c = d.select("key", F.coalesce("t", F.lit("")).alias("t")).join(if_small(at), "key").select("key", "entity", _around(F.col("t"), F.col("start").cast("int"), F.col("end").cast("int")).alias("around")).where(F.size("around") > 0)
     pairs = c.select("key", "entity", F.xxhash64("around").alias("context"), F.explode(F.array_distinct("around")).alias("term"))
     # in steps, so that a common pair is pre-aggregated: documents of a context, then contexts
     near = pairs.distinct().groupBy("entity", "term", "context").agg(F.count("*").alias("docs")).groupBy("entity", "term").agg(F.count("*").alias("contexts"), F.sum("docs").alias("both"))
