@@ -14,21 +14,25 @@ WS_CHARS = " \t\n\x0b\x0c\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or, where all run in one process, a temporary one."""
     where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where and spark.sparkContext.master.startswith("local"):
+        where = _OWN.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="spark-loomdoc-"))
     if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="spark-loomdoc-")
-        spark.conf.set("spark.checkpoint.dir", where)
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return where.rstrip("/")
 
 
+_OWN: dict[str, str] = {}
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df, written as Parquet in the shared folder and read again: its lineage ends there, and its size is known.
 
-    Unlike a cache it outlives lost executors.
+    Unlike a cache it outlives lost executors. The folders of one application lie together, so that they can be dropped when it is done.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/loomdoc-{uuid.uuid4().hex}/{name}"
+    path = f"{shared_dir(spark)}/loomdoc-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -53,10 +57,11 @@ def joined_hashes(a: Column, step: int) -> Column:
     return F.when(n > 0, F.zip_with(F.slice(a, 1, n), F.slice(a, 1 + step, n), lambda x, y: F.xxhash64(x, y))).otherwise(F.array().cast("array<bigint>"))
 
 
-#: Rows of keys that a broadcast may hold: some 60 MB.
-BROADCAST_ROWS = 500_000
+#: Rows of keys that a broadcast may hold, and bytes of rows that are not of one width.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 64 << 20
 
 
-def if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df, to be broadcast if it has so few rows; beyond that Spark joins it as it finds best. df should be a written table."""
-    return F.broadcast(df) if df.count() <= rows else df
+def if_small(df: DataFrame, rows: int = BROADCAST_ROWS, width: Column | None = None) -> DataFrame:
+    """df, to be broadcast if it has so few rows and, by their width, bytes; beyond that Spark joins it as it finds best. df should be a written table."""
+    n, size = df.agg(F.count("*"), F.sum(F.lit(0) if width is None else width)).first()
+    return F.broadcast(df) if n <= rows and (size or 0) <= BROADCAST_BYTES else df

@@ -81,15 +81,22 @@ def judge(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: s
     at = placements(d.select("key", item_words(F.col("t")).alias("dw")), items)
     if at is None:
         return d.select("key", "doc_id", F.size(item_words(F.col("t"))).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"), F.lit(False).alias("contaminated"))
-    cands = at.join(items, "item").groupBy("key").agg(F.collect_list(F.struct("ids", "iw", "len", "at")).alias("c"))
-    j = d.join(if_small(written(cands, "candidates"), broadcast_rows), "key", "left").select("key", "doc_id", "c", item_words(F.col("t")).alias("dw"))
+    at = at.groupBy("key", "item").agg(F.collect_set("at").alias("ats"))  # an item's words come once for each document
+    cands = at.join(items, "item").groupBy("key").agg(F.collect_list(F.struct("ids", "iw", "len", "ats")).alias("c"))
+    width = F.lit(64) + F.aggregate("c", F.lit(0).cast("long"), lambda a, x: a + 16 * F.size(x["iw"]) + 8 * F.size(x["ats"]) + 32 * F.size(x["ids"]))
+    j = d.join(if_small(written(cands, "candidates"), broadcast_rows, width), "key", "left").select("key", "doc_id", "c", item_words(F.col("t")).alias("dw"))
     n = F.size("dw")
 
     def verified(c: Column) -> Column:
         """The item's windows that lie there word by word, as spans of the document."""
-        first, last = F.greatest(F.lit(0), -c["at"]), F.least(F.size(c["iw"]), n - c["at"]) - c["len"]
-        fits = F.filter(F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<int>")), lambda o: F.slice("dw", c["at"] + o + 1, c["len"]) == F.slice(c["iw"], o + 1, c["len"]))
-        return F.struct(c["ids"].alias("ids"), F.transform(fits, lambda o: F.struct((c["at"] + o).alias("from"), (c["at"] + o + c["len"]).alias("to"))).alias("spans"))
+
+        def placed(at: Column) -> Column:
+            first, last = F.greatest(F.lit(0), -at), F.least(F.size(c["iw"]), n - at) - c["len"]
+            offsets = F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+            fits = F.filter(offsets, lambda o: F.slice("dw", at + o + 1, c["len"]) == F.slice(c["iw"], o + 1, c["len"]))
+            return F.transform(fits, lambda o: F.struct((at + o).alias("from"), (at + o + c["len"]).alias("to")))
+
+        return F.struct(c["ids"].alias("ids"), F.flatten(F.transform(c["ats"], placed)).alias("spans"))
 
     j = j.select("key", "doc_id", n.cast("long").alias("n_words"), F.transform("c", verified).alias("v"))
     j = j.withColumn("v", F.filter("v", lambda x: F.size(x["spans"]) > 0))

@@ -6,9 +6,9 @@ whose weights have ``entropy`` (in nats; clamped to what is attainable). Without
 one that holds every source once, so nothing is lost; with one, small budgets leave documents out by design.
 
 A source's budget is dealt as whole passes plus a partial one. A pass is a permutation: documents are ordered by a
-hash of source, pass and id, cut into ``BLOCKS`` blocks. The partial pass takes whole blocks up to the budget, and of
-the block on the border the documents whose running sum still fits; so only block sums and one block are ever ordered,
-never a source. ``mix_at`` in [0, 1) orders the mixed stream: any stretch of it holds the sources near their weights.
+hash of source, pass and id, cut into ``BLOCKS`` blocks. The partial pass takes whole blocks up to the budget; the block on the
+border is cut into blocks again, and of its own border block the documents are taken whose running sum still fits; so only block sums
+and one block of a million are ever ordered, never a source. ``mix_at`` in [0, 1) orders the mixed stream: any stretch of it holds the sources near their weights.
 
 Defined cases: null text has no words; a null source counts as the empty string; sources without words stay as they
 are, once; repeated rows share a place in each permutation and are taken or left together; an empty table gives an
@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from .common import words, written
 
 BLOCKS = 1024
+#: How often the block on the border is cut again: a window holds one in BLOCKS ** LEVELS of a source.
+LEVELS = 2
 MAX_EPOCHS = 2.0
 SEED = 17
 STEPS_A_JOB = 4
@@ -78,15 +80,21 @@ def _cuts(docs: DataFrame, p: DataFrame, key: str, source: str, text: str, seed:
     """(__src, cut): the last place in the partial pass that still fits; -1 if none."""
     d = docs.select(F.coalesce(F.col(source).cast("string"), F.lit("")).alias("__src"), F.col(key).alias("k"), F.size(words(F.col(text))).cast("long").alias("w"))
     d = d.join(p.select("__src", "full", "rest").where("rest > 0"), "__src").select("__src", "rest", "w", place(F.col("__src"), F.col("full"), F.col("k"), seed).alias("u"))
-    d = written(d.withColumn("b", F.floor(F.col("u") * BLOCKS).cast("int")), "places")
+    d = written(d, "places")
     run = Window.partitionBy("__src").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
-    blocks = d.groupBy("__src", "b", "rest").agg(F.sum("w").alias("w")).withColumn("upto", F.sum("w").over(run))
-    blocks = written(blocks, "blocks")
-    whole = blocks.where("upto <= rest").groupBy("__src").agg(F.max((F.col("b") + 1) / BLOCKS).alias("cut"))
-    border = blocks.where("upto > rest").groupBy("__src").agg(F.min_by(F.struct("b", (F.col("upto") - F.col("w")).alias("before")), "b").alias("x")).select("__src", "x.b", "x.before")
-    inner = d.join(border, ["__src", "b"]).withColumn("upto", F.col("before") + F.sum("w").over(Window.partitionBy("__src", "b").orderBy("u")))
+    cuts, inside, width = None, d.withColumn("before", F.lit(0).cast("long")), 1
+    for _ in range(LEVELS):  # blocks, then blocks of the block on the border
+        width *= BLOCKS
+        inside = inside.withColumn("b", F.floor(F.col("u") * width))
+        blocks = inside.groupBy("__src", "b", "rest", "before").agg(F.sum("w").alias("w")).withColumn("upto", F.col("before") + F.sum("w").over(run))
+        blocks = written(blocks, "blocks")
+        whole = blocks.where("upto <= rest").groupBy("__src").agg(F.max((F.col("b") + 1) / width).alias("cut"))
+        cuts = whole if cuts is None else cuts.unionByName(whole)
+        border = blocks.where("upto > rest").groupBy("__src").agg(F.min_by(F.struct("b", (F.col("upto") - F.col("w")).alias("before")), "b").alias("x"))
+        inside = inside.drop("before").join(F.broadcast(border.select("__src", "x.b", "x.before")), ["__src", "b"])
+    inner = inside.withColumn("upto", F.col("before") + F.sum("w").over(Window.partitionBy("__src", "b").orderBy("u")))
     part = inner.where("upto <= rest").groupBy("__src").agg(F.max("u").alias("cut"))
-    return whole.unionByName(part).groupBy("__src").agg(F.max("cut").alias("cut"))
+    return cuts.unionByName(part).groupBy("__src").agg(F.max("cut").alias("cut"))
 
 
 def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", max_epochs: float | None = MAX_EPOCHS, entropy: float | None = None, budget: int | None = None, seed: int = SEED) -> DataFrame:

@@ -7,7 +7,7 @@ and right is keyed by (anchor, hash of the whole stretch), 96 bits together, and
 Neighbouring repeated stretches join to maximal repeats, all of ``span`` words or more, and a word is removed if a repeat
 covers it that also starts in a document with a smaller id.
 
-An anchor in at most ``HOT`` documents, or one in MOST_HOT of all anchors, is worked on beside the others of its hash partition. A hotter one is not gathered:
+An anchor with at most ``HOT`` records is worked on beside the others of its hash partition. A hotter one is not gathered:
 its stretches are first reduced to (key, smallest document) on the map side and then joined under salted keys. Both ways give the same rows.
 
 Defined cases: null text has no words; texts shorter than ``span`` keep all; a null id is larger than all others; rows that
@@ -26,14 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hashed, row_key, words, written
+from .common import hashed, if_small, row_key, words, written
 from .hashing import flat, inner, least, runs
 
 SPAN = 50
 SEED_WORDS = 20
 HOT = 2000
-#: Hot anchors at most, as a broadcast holds them: the limit grows with the number of anchors.
-MOST_HOT = 100_000
 SALTS = 32
 #: Stretches in one record: as many as bits in use.
 MOST = 32
@@ -76,11 +74,10 @@ def repeats(d: DataFrame, span: int = SPAN) -> DataFrame:
     """(key, at, mask): from word ``at`` on, bit i of mask says that the stretch at word at + i is a repeat. d: (key, doc, t)."""
     seeds = _anchored(d, span, False).groupBy("anchor").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.count("*").alias("n")).where(F.col("first") < F.col("last"))
     seeds = written(seeds.select("anchor", "n"), "seeds")
-    limit = max(HOT, (seeds.agg(F.sum("n")).first()[0] or 0) // MOST_HOT)
-    hot = seeds.where(F.col("n") > limit).select("anchor")  # at most MOST_HOT rows
+    hot = written(seeds.where(F.col("n") > HOT).select("anchor", F.lit(True).alias("is_hot")), "hot")
     salts = F.sequence(F.lit(1), F.lit(SALTS))
-    dealt = seeds.select("anchor", F.explode(F.when(F.col("n") > limit, salts).otherwise(F.array(F.lit(0)))).alias("salt"))
-    every = _anchored(d, span, True).join(F.broadcast(hot.withColumn("is_hot", F.lit(True))), "anchor", "left")
+    dealt = seeds.select("anchor", F.explode(F.when(F.col("n") > HOT, salts).otherwise(F.array(F.lit(0)))).alias("salt"))
+    every = _anchored(d, span, True).join(if_small(hot), "anchor", "left")
     every = every.withColumn("salt", F.when(F.col("is_hot"), F.pmod(F.hash("key"), F.lit(SALTS)) + 1).otherwise(0)).drop("is_hot")
     joined = every.join(dealt, ["anchor", "salt"])
     # usual anchors: the join has put an anchor's records side by side

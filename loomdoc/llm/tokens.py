@@ -4,7 +4,7 @@ Documents are put in ascending id order by ranges, encoded, and packed into shar
 document is its own zstandard frame over its little-endian id array, compressed with one dictionary that is trained on
 the id arrays of a bounded sample (``SAMPLE_DOCS`` documents, their first ``SAMPLE_CHARS`` characters; for the
 dictionary alone: every document is encoded whole). A shard holds the dictionary's SHA-256, an index of (doc id, frame
-offset, ids) and the frames; any document is read with one index lookup and one frame. Shards are rows of a Parquet
+offset, ids) and the frames; any document is read with one index lookup and one frame (``read_some``). Shards are rows of a Parquet
 table, so they go wherever Spark writes, and lost tasks are simply written again.
 
 Encoding a text is encoding its space-separated pieces one after the other: the tokenizer drops white space and never
@@ -29,6 +29,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import written
+
 SHARD_IDS = 1 << 20
 SAMPLE_DOCS = 1000
 SAMPLE_CHARS = 8192
@@ -178,13 +180,59 @@ def _packed_ids(named: pa.Array) -> bytes:
     return np.asarray(named.is_valid()).astype("u1").tobytes() + np.asarray(named.fill_null(0)).astype("<i8").tobytes()
 
 
+def _bases(shards: DataFrame) -> DataFrame:
+    """(f, s, base): the ids before each shard, by sums of ranges of shards and sums within a range."""
+    ranged = shards.select(F.col("first_id").alias("f"), F.col("seq").alias("s"), "n_ids").repartitionByRange("f", "s")
+    ranged = written(ranged.withColumn("range", F.spark_partition_id()), "ranges")
+    ahead = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    totals = ranged.groupBy("range").agg(F.sum("n_ids").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(ahead), F.lit(0)))
+    within = Window.partitionBy("range").orderBy("f", "s").rowsBetween(Window.unboundedPreceding, -1)
+    inside = ranged.withColumn("inside", F.coalesce(F.sum("n_ids").over(within), F.lit(0)))
+    return inside.join(F.broadcast(totals.select("range", "before")), "range").select("f", "s", (F.col("before") + F.col("inside")).alias("base"))
+
+
+def read_some(spark: SparkSession, out: str, wanted: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(doc_id, ids) of the documents whose ids are in wanted: the index tells the shards, and only their own frames are decompressed.
+
+    Every document of a repeated id is returned; ids that aren't there, and null, give no row.
+    """
+    shards = spark.read.parquet(f"{out}/shards")
+    trained = bytes(spark.read.parquet(f"{out}/dictionary").first()["bytes"])  # at most DICT_BYTES
+    index_schema = pa.schema([("first_id", pa.int64()), ("seq", pa.int64()), ("place", pa.int32()), ("doc_id", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int64()))])
+
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                n = len(row["ids_index"]) // 9
+                valid, names = np.frombuffer(row["ids_index"][:n], "u1") == 0, np.frombuffer(row["ids_index"][n:], "<i8")
+                yield pa.RecordBatch.from_arrays([pa.array([row["first_id"]] * n, pa.int64()), pa.array([row["seq"]] * n, pa.int64()), pa.array(np.arange(n, dtype=np.int32)), pa.array(names, mask=valid)], schema=index_schema)
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        z = zstandard.ZstdDecompressor(dict_data=_codec(trained))
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["dict_sha256"] != hashlib.sha256(trained).hexdigest():
+                    raise ValueError("the shard was written with another dictionary")
+                off = np.frombuffer(row["offset_index"], "<u8").tolist()
+                n = len(off) - 1
+                names = np.frombuffer(row["ids_index"][n:], "<i8")
+                got = [np.frombuffer(z.decompress(row["frames"][off[i] : off[i + 1]]), f"<u{row['width']}").astype(np.int64) if off[i + 1] > off[i] else [] for i in row["places"]]
+                yield pa.RecordBatch.from_arrays([pa.array(names[row["places"]]), pa.array(got, schema.field("ids").type)], schema=schema)
+
+    places = shards.select("first_id", "seq", "ids_index").mapInArrow(index, "first_id bigint, seq bigint, place int, doc_id bigint")
+    ids = wanted.select(F.col(id_col).cast("long").alias("doc_id")).where("doc_id IS NOT NULL").distinct()
+    at = places.join(ids, "doc_id").groupBy(F.col("first_id").alias("f"), F.col("seq").alias("s")).agg(F.sort_array(F.collect_list("place")).alias("places"))
+    need = shards.join(at, shards["first_id"].eqNullSafe(at["f"]) & (shards["seq"] == at["s"])).select("places", "dict_sha256", "width", "ids_index", "offset_index", "frames")
+    return need.mapInArrow(unpack, "doc_id bigint, ids array<bigint>")
+
+
 def read_ids(spark: SparkSession, out: str, digest_only: bool = False) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32, ids) of each document, from the files; start: ids of all documents before it."""
     shards = spark.read.parquet(f"{out}/shards")
     trained = bytes(spark.read.parquet(f"{out}/dictionary").first()["bytes"])  # at most DICT_BYTES
     sha = hashlib.sha256(trained).hexdigest()
-    before = Window.orderBy("first_id", "seq").rowsBetween(Window.unboundedPreceding, -1)  # a row for each shard of a million ids
-    starts = shards.select("first_id", "seq", "n_ids").withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0))).select(F.col("first_id").alias("f"), F.col("seq").alias("s"), "base")
+    starts = _bases(shards)
     whole = shards.join(starts, shards["first_id"].eqNullSafe(starts["f"]) & (shards["seq"] == starts["s"])).select("base", "dict_sha256", "width", "ids_index", "offset_index", "count_index", "frames")
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), *([] if digest_only else [("ids", pa.list_(pa.int64()))])])
 

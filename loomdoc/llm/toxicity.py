@@ -3,9 +3,9 @@
 Linear classifiers over the words a text holds (each counted once) are trained in numpy from confirmed toxic texts and
 unlabelled ones. With class prior p and logistic loss l, the risk is p * R_P(+) + max(0, R_U(-) - p * R_P(-)); where the
 difference turns negative in a batch, its gradient is reversed, as the unlabelled risk would otherwise be overfitted. The
-classifiers of ``MODELS`` seeds are averaged. They are fitted on a bounded sample: at most ``POSITIVES`` toxic and
-``UNLABELLED`` other texts, ``WORDS`` different words of each, and the words, ``FEATURES`` at most, that tell both apart by more than chance;
-every text is then scored whole.
+classifiers of ``MODELS`` seeds are averaged. They are fitted on a bounded sample of rows: at most ``POSITIVES`` toxic and
+``UNLABELLED`` other texts, each with all its words, of which those, ``FEATURES`` at most, that tell both apart by more than chance are features;
+every text is then scored whole. Rows are drawn by a hash of id and text, so that the sample doesn't depend on the partitioning.
 
 Defined cases: null and empty texts get the score of a text without known words; without any confirmed toxic text the
 score is 0 for all; null labels count as unlabelled; repeated rows are each scored alike; an empty table gives an empty
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import hashed
 from .hashing import flat
 
-POSITIVES, UNLABELLED, WORDS = 4000, 12000, 4096
+POSITIVES, UNLABELLED = 4000, 12000
 FEATURES = 1 << 15
 MODELS, EPOCHS, BATCH, RATE, DECAY = 3, 40, 2000, 0.05, 1e-4
 #: A word must be in so many texts of the sample to be a feature.
@@ -140,17 +140,16 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     if prior is None:
         prior = given.agg(F.avg(F.col("y").cast("double"))).first()[0] or 0.0
     prior = min(max(prior, 1e-3), 0.5)
-    toxic = given.where("y = 1").select("i").distinct()
-    some = toxic.orderBy(F.xxhash64("i"), "i").limit(POSITIVES)
-    ids = docs.select(F.col(id_col).alias("i")).where(F.col("i").isNotNull() & ~held_out(F.col("i")))
-    other = ids.orderBy(F.xxhash64("i", F.lit("u")), "i").limit(UNLABELLED).distinct()
+    rows = docs.select(F.col(id_col).alias("i"), F.xxhash64(F.col(text)).alias("x")).where(F.col("i").isNotNull() & ~held_out(F.col("i"))).distinct()
+    toxic = rows.join(given.where("y = 1").select("i").distinct(), "i")
 
-    def sample(chosen: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
-        t = docs.select(F.col(id_col).alias("i"), F.col(text).alias("t")).join(F.broadcast(chosen), "i").limit(most).select("i", F.slice(terms(F.col("t")), 1, WORDS).alias("h")).toArrow()
-        t = t.sort_by("i")
-        return flat(t.column("h").combine_chunks())
+    def sample(of: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+        chosen = of.orderBy(F.xxhash64("i", F.lit("sample")), "i", "x").limit(most)
+        t = docs.select(F.col(id_col).alias("i"), F.xxhash64(F.col(text)).alias("x"), F.col(text).alias("t")).join(F.broadcast(chosen), ["i", "x"])
+        t = t.dropDuplicates(["i", "x"]).select("i", "x", terms(F.col("t")).alias("h")).toArrow()  # most rows
+        return flat(t.sort_by([("i", "ascending"), ("x", "ascending")]).column("h").combine_chunks())
 
-    return fit(sample(some, POSITIVES), sample(other, UNLABELLED), prior)
+    return fit(sample(toxic, POSITIVES), sample(rows, UNLABELLED), prior)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "text") -> DataFrame:

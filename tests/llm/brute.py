@@ -108,3 +108,40 @@ def op10(rows, items, n=13):
                     ids |= windows[g]
         out[i] = (len(w), len(hit), len(ids), sha(",".join(sorted(ids))), len(hit) > 0 and 20 * len(hit) >= len(w))
     return out
+
+
+def near_pairs(texts, least, rare=1024, size=5):
+    """{(i, j): similarity >= least} of texts by position: weighted Jaccard over runs of words, tf * (1 + log(N / df) / log(rare)), from counts of the runs themselves."""
+    sets = []
+    for t in texts:
+        w = WORD.findall(t or "")
+        sets.append(Counter(tuple(w[k : k + size]) for k in range(max(1, len(w) - size + 1))) if w else Counter())
+    n = sum(1 for s in sets if s)
+    df = Counter(g for s in sets for g in s)
+    weighted = [{g: k * (1 + np.log(n / max(df[g], n / rare, 1)) / np.log(rare)) for g, k in s.items()} for s in sets]
+    total = [sum(s.values()) for s in weighted]
+    where = defaultdict(list)
+    for i, s in enumerate(weighted):
+        for g in s:
+            where[g].append(i)
+    both = Counter()
+    for g, at in where.items():
+        for k, i in enumerate(at):
+            for j in at[:k]:
+                both[j, i] += min(weighted[i][g], weighted[j][g])
+    return {p: b / (total[p[0]] + total[p[1]] - b) for p, b in both.items() if b / (total[p[0]] + total[p[1]] - b) >= least}
+
+
+def joined(n, pairs):
+    """The class of each of n positions."""
+    root = list(range(n))
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for i, j in pairs:
+        root[max(find(i), find(j))] = min(find(i), find(j))
+    return [find(i) for i in range(n)]
