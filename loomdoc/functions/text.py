@@ -2,19 +2,82 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .confusions import CONFUSIONS
+
 S = r"[ \t\n\x0b\f\r]"
 #: Characters for one character each, and those for none or several.
-ONE_TO_ONE = ("“”‘’—– Ííņ�", "\"\"''-- Iin✓✓✓✗••➢✉ •")
+ONE_TO_ONE = (
+    "\u201c\u201d\u2018\u2019\u2014\u2013\u00a0\u00cd\u00ed\u0146\uf050\uf051\uf052\uf078\uf0a7\uf0b7\uf0d8\uf0e0\uf020\ufffd",
+    "\"\"''-- Iin\u2713\u2713\u2713\u2717\u2022\u2022\u27a2\u2709 \u2022",
+)
 ONE_TO_MANY = [("…", "..."), ("​", ""), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬀ", "ff"), ("ﬃ", "ffi")]
 #: Abbreviations of the domain; the closing dot only counts before a word character.
 ABBREVIATIONS = [("U.P.S.C.", "UPSC"), ("I.A.S.", "IAS"), ("I.P.S.", "IPS"), ("I.F.S.", "IFS"), ("C.S.A.T.", "CSAT"), ("N.C.E.R.T.", "NCERT"), ("M.L.A.", "MLA"), ("M.P.", "MP"), ("B.C.E.", "BCE"), ("C.E.", "CE")]
 #: Words that recognition splits or runs together.
-SPLIT_WORDS = [(r"\bV[ \t\n]+ol\.", "Vol."), (r"\bV[ \t\n]+olume\b", "Volume"), (r"\bY[ \t\n]+ork\b", "York"), (r"\bV[ \t\n]+ernacular", "Vernacular"), (r"(?i)\bMiddleEastern\b", "Middle Eastern"), (r"\bCentralAsian\b", "Central Asian"), (r"\bSouthAsian\b", "South Asian"), (r"\bS[ \t\n]+hah\b", "Shah"), (r"\bK[ \t\n]+han\b", "Khan")]
+SPLIT_WORDS = [
+    (r"\bV\s+ol\.", "Vol."),
+    (r"\bV\s+olume\b", "Volume"),
+    (r"\bY\s+ork\b", "York"),
+    (r"\bV\s+ernacular", "Vernacular"),
+    (r"\bMiddleEastern\b", "Middle Eastern"),
+    (r"(?i)\bmiddleeastern\b", "Middle Eastern"),
+    (r"\bCentralAsian\b", "Central Asian"),
+    (r"\bSouthAsian\b", "South Asian"),
+    (r"\bNorthIndia\b", "North India"),
+    (r"\bSouthIndia\b", "South India"),
+    (r"\bS\s+hah\b", "Shah"),
+    (r"\bK\s+han\b", "Khan"),
+    (r"\bK\s+hafi\b", "Khafi"),
+    (r"\bImreBangha\b", "Imre Bangha"),
+    (r"\bPerso\s+-\s+Islamic\b", "Perso-Islamic"),
+    (r"\bSabk\s+-\s+i\s+Hindi\b", "Sabk-i Hindi"),
+    (r"\bNagari\s+Rekhta\b", "Nagari Rekhta"),
+    (r"\bChandarBhan\b", "Chandar Bhan"),
+    (r"\bAndhara\s+Pradesh\b", "Andhra Pradesh"),
+]
+#: Running headers of the domain's booklets, in order of trial.
+RUNNING_HEADERS = [
+    "Persian Histories and Memoirs",
+    "Sources and Literary Traditions",
+    "History of India-VII",
+    "History of India-VI",
+    "History of Modern Europe",
+    "History of China",
+    "Political Processes",
+    "Production and Commercial Practices",
+    "State, Society and Religion",
+    "Visual Culture",
+    "Society and Culture",
+    "The 18th Century",
+    "Mughal Decline and Disintegration",
+    "Sanskrit Kavya Literature, Regional Sources and Travelogues",
+    "Indian Ocean Trade Network",
+    "Trading Communities and Commercial Practices",
+    "Religious Ideas and Movements",
+    "Courtly Culture",
+    "Women and Gender",
+    "Importance and Implications of Biological Variation",
+    "Introduction to Biological Diversity",
+    "Sources of Genetic Variation",
+    "Genetic Polymorphism",
+    "Role of Bio-cultural Factors",
+    "Ethnic Elements in Indian Population",
+    "Classification of Racial Elements in India",
+    "Major Races of Mankind",
+    "Demographic Anthropology",
+    "Indian Demography",
+    "Inbreeding and Consanguinity",
+    "Biological Diversity in Human Populations",
+]
+#: Foreign terms that are set in italics.
+FOREIGN_TERMS = ["schwerpunkt", "auftragstaktik", "blitzkrieg", "levee en masse", "volk", "volksgemeinschaft", "jihad", "jehad", "ghazi", "Kesselschlacht", "kesselschlacht"]
 #: Fixed value: letters that transliteration writes and recognition parts from their word.
 DIACRITICS = "ṇṣśñṭḍṛḷṃḥĀāĪīŪūṚṛṜṝḶḷḸḹṂṃḤḥÑñṬṭḌḍṆṇŚśṢṣ"
 #: List markers at a line's start.
@@ -83,17 +146,35 @@ def repair_urls(c: Column) -> Column:
     return F.regexp_replace(c, r"(https?://\S*+|\G(?!\A)\S++)\s++(?=\S*(?:\.[a-zA-Z]{2,}|/))", "$1")
 
 
-def strip_tail(c: Column, phrases: list[str]) -> Column:
-    """Cuts the first of the phrases that ends the text."""
-    out, hit = c, F.lit(False)
-    for p in phrases:
-        ends = F.rtrim(c).endswith(p) & ~hit
-        out = F.when(ends, F.rtrim(F.substring(F.rtrim(c), F.lit(1), F.length(F.rtrim(c)) - len(p)))).otherwise(out)
-        hit = hit | ends
-    return out
+def bound(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f(c), with c worked out once however often f names it."""
+    return F.transform(F.array(c), f)[0]
+
+
+def repair_confusions(c: Column, pairs: list[tuple[str, str]] = CONFUSIONS) -> Column:
+    """What recognition makes of words. Texts without any of it are told by one look."""
+    found = "|".join(f"(?:{p})" for p, _ in pairs)
+    return bound(c, lambda x: F.when(x.rlike(found), _each(x, pairs)).otherwise(x))
+
+
+def _either(phrases: list[str]) -> str:
+    return "(?:" + "|".join(re.escape(p) for p in phrases) + ")"
+
+
+def strip_tail(c: Column, phrases: list[str] = RUNNING_HEADERS) -> Column:
+    """Cuts the phrase that ends the text; no phrase ends another."""
+    tail = rf"\s*{_either(phrases)}\s*$"
+    return bound(c, lambda x: F.when(x.rlike(tail), F.regexp_replace(x, rf"{tail}|\s+$", "")).otherwise(x))
+
+
+def strip_inline(c: Column, phrases: list[str] = RUNNING_HEADERS) -> Column:
+    """Cuts the first place of each phrase that stands between two words."""
+    between = rf"(?<=\w)\s+{_either(phrases)}\s+(?=\w)"
+    firsts = [(rf"(?s)\A(.*?)(?<=\w)\s+{re.escape(p)}\s+(?=\w)", "$1 ") for p in phrases]
+    return bound(c, lambda x: F.when(x.rlike(between), _each(x, firsts)).otherwise(x))
 
 
-def emphasise(c: Column, terms: list[str]) -> Column:
+def emphasise(c: Column, terms: list[str] = FOREIGN_TERMS) -> Column:
     return _each(c, [(rf"(?<![*])\b({t})\b(?![*])", r"*$1*") for t in terms])
 
 
@@ -103,8 +184,8 @@ def repair_ellipsis(c: Column) -> Column:
 
 def corrected(c: Column) -> Column:
     """All corrections in their order, trimmed."""
-    steps = [map_characters, join_hyphens, shorten_abbreviations, join_split_words, normalise_lists, collapse_repeats, rejoin_diacritics, repair_page_ranges, repair_urls, squeeze]
-    return F.trim(reduce(lambda x, f: f(x), steps, c))
+    steps = [map_characters, join_hyphens, shorten_abbreviations, repair_confusions, join_split_words, normalise_lists, collapse_repeats, rejoin_diacritics, squeeze, repair_urls, repair_page_ranges, strip_tail, strip_inline, emphasise]
+    return F.regexp_replace(reduce(lambda x, f: f(x), steps, c), r"\A\s+|\s+\z", "")
 
 
 def clean_query(c: Column, openings: list[str] = QUESTION_OPENINGS) -> Column:
@@ -151,7 +232,7 @@ def sentences(c: Column) -> Column:
 def decode_redirect(token: Column) -> Column:
     """The target that a redirect carries as base64: the first of four offsets at which a URL comes out."""
     def at(k: int) -> Column:
-        part = F.substring(token, k + 1, 100_000)
+        part = F.substring(token, F.lit(k + 1), F.length(token))
         text = F.try_to_binary(F.rpad(part, F.length(part) + (4 - F.length(part) % 4) % 4, "="), F.lit("base64")).cast("string")
         return F.when(text.startswith("http"), text)
 

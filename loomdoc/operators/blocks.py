@@ -6,6 +6,9 @@ on (doc_id, page_num), so a document never has to fit in one task unless an oper
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,15 +31,20 @@ def drop_junk(blocks: DataFrame) -> DataFrame:
 
 
 def duplicate_pages(pages: DataFrame, look_back: int = 4, least: float = 0.8, min_chars: int = 60, least_told: float = 0.5, telling: tuple[str, ...] = ("cave architecture", "gandhara")) -> DataFrame:
-    """(doc_id, page_num) of pages whose word set nearly equals that of one of the previous ``look_back`` pages; dropped pages stay comparable. For pages with a telling phrase ``least_told`` is enough."""
+    """(doc_id, page_num) of pages whose word set nearly equals that of one of the previous ``look_back`` pages; dropped pages stay comparable. For pages with a telling phrase ``least_told`` is enough.
+
+    One pass over a document's pages in order: each looks at a frame of those before it.
+    """
     t = F.lower(F.trim(F.regexp_replace("text", WS, " ")))
-    p = pages.select("doc_id", "page_num", F.dense_rank().over(Window.partitionBy("doc_id").orderBy("page_num")).alias("r"), t.alias("t"))
-    p = p.where(F.length("t") >= min_chars).select("doc_id", "page_num", "r", F.array_distinct(split_words(F.col("t"))).alias("w"), F.when(F.exists(F.array(*map(F.lit, telling)), lambda x: F.contains("t", x)), least_told).otherwise(least).alias("enough"))
-    # a band join as an equi-join: each page looks at ranks r - 1 .. r - look_back
-    probe = p.withColumn("rr", F.explode(F.sequence(F.col("r") - look_back, F.col("r") - 1)))
-    back = p.select("doc_id", F.col("r").alias("rr"), F.col("w").alias("v"))
-    both = F.size(F.array_intersect("w", "v"))
-    return probe.join(back, ["doc_id", "rr"]).where(both >= F.col("enough") * (F.size("w") + F.size("v") - both)).select("doc_id", "page_num").distinct()
+    rank = F.dense_rank().over(Window.partitionBy("doc_id").orderBy("page_num"))
+    told = F.exists(F.array(*map(F.lit, telling)), lambda x: F.contains("t", x))
+    p = pages.select("doc_id", "page_num", rank.alias("r"), t.alias("t")).where(F.length("t") >= min_chars)
+    p = p.select("doc_id", "page_num", "r", F.array_distinct(split_words(F.col("t"))).alias("w"), F.when(told, least_told).otherwise(least).alias("enough"))
+    before = Window.partitionBy("doc_id").orderBy("r").rangeBetween(-look_back, -1)
+    p = p.withColumn("back", F.collect_list("w").over(before))
+    sizes = F.transform("back", lambda v: F.struct(F.size(F.array_intersect("w", v)).alias("both"), F.size(v).alias("n")))
+    near = F.exists(sizes, lambda x: x["both"] >= F.col("enough") * (F.size("w") + x["n"] - x["both"]))
+    return p.where(near).select("doc_id", "page_num").distinct()
 
 
 def drop_duplicate_pages(blocks: DataFrame, **kw) -> DataFrame:
@@ -81,14 +89,21 @@ def footers_to_headings(blocks: DataFrame) -> DataFrame:
     return blocks.withColumn("type", F.when((F.col("type") == "footer") & title, "heading").otherwise(F.col("type")))
 
 
-def odd_share(text: Column) -> Column:
-    """Share of characters beyond printable ASCII; 0 for an empty text."""
+def odd_share(text: Column, fine: str) -> Column:
+    """Share of characters outside a class; 0 for an empty text."""
     n = F.length(text)
-    return F.when(n > 0, F.length(F.regexp_replace(text, r"[\x20-\x7E\n\t]", "")) / n).otherwise(0.0)
+    return F.when(n > 0, F.length(F.regexp_replace(text, f"[{fine}]", "")) / n).otherwise(0.0)
+
 
+def flag_mojibake(blocks: DataFrame, most: float = 0.4) -> DataFrame:
+    """Adds encoding_error: more than the share is neither printable ASCII, Latin nor Devanagari."""
+    return blocks.withColumn("encoding_error", odd_share(F.col("text"), r"\x20-\x7E\u00A0-\u024F\u0900-\u097F") > most)
 
-def flag_mojibake(blocks: DataFrame, most: float) -> DataFrame:
-    return blocks.withColumn("encoding_error", odd_share(F.col("text")) >= most)
+
+def flag_boilerplate_mojibake(blocks: DataFrame, least: float = 0.3) -> DataFrame:
+    """Adds encoding_error to boilerplate: at least the share is no printable ASCII (line ends and tabs are none)."""
+    odd = odd_share(F.col("text"), r"\x20-\x7E") >= least
+    return blocks.withColumn("encoding_error", F.col("is_boilerplate") & (F.col("text") != "") & odd)
 
 
 def column_gap(blocks: DataFrame, width: float = 612.0, least: float = 15.0) -> DataFrame:
@@ -163,20 +178,26 @@ def rejoin_captions(blocks: DataFrame) -> DataFrame:
 
 
 def merge_split_sentences(blocks: DataFrame) -> DataFrame:
-    """Joins a paragraph without an end with the next page's first one unless that starts in upper case; a joined one starts no new pair."""
+    """Joins a paragraph without an end with the next block that is no boilerplate, if that is a paragraph of the next page that doesn't start in upper case; a joined one starts no new pair."""
     doc = Window.partitionBy("doc_id").orderBy("seq")
+    body = blocks.where("NOT is_boilerplate")
     nxt = lambda c: F.lead(c).over(doc)
-    joins = (F.col("type") == "paragraph") & (nxt("type") == "paragraph") & (nxt("page_num") == F.col("page_num") + 1) & (F.trim("text") != "") & ~F.rtrim("text").rlike(r"[.?!:;\"')]$") & (F.trim(nxt("text")) != "") & ~F.ltrim(nxt("text")).rlike("^[A-Z]")
-    b = blocks.withColumns({"joins": F.coalesce(joins, F.lit(False)), "after": nxt("text")})
+    ends = F.col("text").rlike("[.!?:\u2019\"'\u201d]\\s*$")
+    after = F.regexp_replace(nxt("text"), r"\A\s+", "")
+    joins = (F.col("type") == "paragraph") & (nxt("type") == "paragraph") & (nxt("page_num") == F.col("page_num") + 1) & (F.trim("text") != "") & ~ends & (after != "") & ~after.rlike("^[A-Z\u2018\u201c]")
+    b = body.withColumns({"joins": F.coalesce(joins, F.lit(False)), "after": after})
     b = b.withColumn("chain", F.sum(F.when(F.coalesce(F.lag("joins").over(doc), F.lit(False)), 0).otherwise(1)).over(doc))
     b = b.withColumn("place", F.row_number().over(Window.partitionBy("doc_id", "chain").orderBy("seq")))
     used = F.col("place") % 2 == 0
-    text = F.when(F.col("joins") & ~used, F.concat(F.rtrim("text"), F.lit(" "), F.ltrim("after"))).otherwise(F.col("text"))
-    return b.where(~used).withColumn("text", text).drop("joins", "after", "chain", "place")
+    text = F.when(F.col("joins") & ~used, F.concat(F.regexp_replace("text", r"\s+\z", ""), F.lit(" "), F.col("after"))).otherwise(F.col("text"))
+    return b.where(~used).withColumn("text", text).drop("joins", "after", "chain", "place").unionByName(blocks.where("is_boilerplate"))
 
 
 def near_duplicate_blocks(blocks: DataFrame, least: float = 0.85, min_words: int = 8) -> DataFrame:
-    """Drops the shorter of two near-equal blocks of a page (the later one of equals): word sets with a Jaccard similarity of ``least``, lengths within half of the longer one."""
+    """Drops the shorter of two near-equal blocks of a page (the later one of equals): word sets with a Jaccard similarity of ``least``, lengths within half of the longer one.
+
+    Blocks are tried in order; each takes its first match that isn't dropped yet, and a dropped one drops no other: a fold over the page's similar pairs.
+    """
     norm = F.trim(F.regexp_replace(F.regexp_replace(F.lower("text"), r"[\x21-\x2F\x3A-\x40\x5B-\x5E\x60\x7B-\x7E]", ""), WS, " "))
     b = blocks.select("doc_id", "page_num", "seq", F.length("text").alias("n"), norm.alias("t")).withColumns({"w": F.array_distinct(split_words(F.col("t"))), "k": F.size(split_words(F.col("t"))), "m": F.length("t")})
     one = b.where(F.col("k") >= min_words)
@@ -184,7 +205,15 @@ def near_duplicate_blocks(blocks: DataFrame, least: float = 0.85, min_words: int
     both = F.size(F.array_intersect("w", "v"))
     union = F.size("w") + F.size("v") - both
     pairs = one.join(two, ["doc_id", "page_num"]).where((F.col("seq") < F.col("seq2")) & (F.abs(F.col("m") - F.col("m2")) <= 0.5 * F.greatest("m", "m2")) & (both >= least * union))
-    gone = pairs.select("doc_id", F.when(F.col("n") >= F.col("n2"), F.col("seq2")).otherwise(F.col("seq")).alias("seq")).distinct()
+    listed = pairs.groupBy("doc_id", "page_num").agg(F.sort_array(F.collect_list(F.struct("seq", "seq2", (F.col("n") >= F.col("n2")).alias("first")))).alias("ps"))
+    none = F.array().cast("array<bigint>")
+
+    def step(a: Column, p: Column) -> Column:
+        skip = F.array_contains(a["gone"], p["seq"]) | F.array_contains(a["done"], p["seq"]) | F.array_contains(a["gone"], p["seq2"])
+        shorter = F.when(p["first"], p["seq2"]).otherwise(p["seq"])
+        return F.when(skip, a).otherwise(F.struct(F.array_append(a["gone"], shorter).alias("gone"), F.array_append(a["done"], p["seq"]).alias("done")))
+
+    gone = listed.select("doc_id", F.explode(F.aggregate("ps", F.struct(none.alias("gone"), none.alias("done")), step, lambda a: a["gone"])).alias("seq"))
     return blocks.join(gone, ["doc_id", "seq"], "left_anti")
 
 
@@ -193,3 +222,120 @@ def shredded_tables(blocks: DataFrame, least: int = 15) -> DataFrame:
     h = blocks.where("type = 'heading'")
     order = F.transform(F.sort_array(F.collect_list(F.struct((-F.col("y0")).alias("up"), "x0", "seq", "text"))), lambda x: x["text"])
     return h.groupBy("doc_id", "page_num").agg(F.count("*").alias("n"), F.bool_or(F.col("text").rlike(r"^[ \t]*[0-9]+")).alias("numbered"), F.array_join(order, "\n").alias("text")).where((F.col("n") >= least) & F.col("numbered")).drop("n", "numbered")
+
+
+#: Lines of a collapsed page that are its header.
+HEADER_PHRASES = [
+    "social science - part i",
+    "social science - part 1",
+    "social science part 1",
+    "social science part i",
+    "india's struggle for independence",
+    "the heritage of india",
+]
+#: Lines of a collapsed page that are headings.
+HEADINGS = [
+    r"(?i)^\s*chapter\s+\d+",
+    r"(?i)^\s*exercises\s*$",
+    r"(?i)^\s*things\s+to\s+know\b",
+    r"(?i)^\s*india['’]?s\s+struggle\s+for\s+independence\b",
+    r"(?i)^\s*revolt\s+of\s+1857\b",
+    r"(?i)^\s*rise\s+of\s+indian\s+nationalism\b",
+    r"(?i)^\s*indian\s+national\s+congress\b",
+    r"(?i)^\s*boycott\s+and\s+swadeshi\b",
+    r"(?i)^\s*morley[- ]minto\b",
+    r"(?i)^\s*khilafat\b",
+    r"(?i)^\s*non[- ]cooperation\b",
+    r"(?i)^\s*civil\s+disobedience\b",
+    r"(?i)^\s*quit\s+india\b",
+    r"(?i)^\s*the\s+medieval\s+period\b",
+    r"(?i)^\s*languages?\s+and\s+literature\b",
+    r"(?i)^\s*architecture\b",
+    r"(?i)^\s*cave\s*architecture\b",
+    r"(?i)^\s*the\s+heritage\s+of\s+india\b",
+]
+LIST_ITEM = r"(?i)^\s*(\d+[\.\)]|[a-z][\.\)]|[•\-➢])\s+"
+#: Handwritten headings that recognition breaks, and what they say.
+STYLISED = [
+    (r"(?i)\bLet['’]s\s+recal\s*l\b", "Let's recall"),
+    (r"(?i)\bLet['’]s\s+imagin\s*e\b", "Let's imagine"),
+    (r"(?i)\bLet['’]s\s+(?:discus\s*s|di\s*scus\s*s)\b", "Let's discuss"),
+    (r"(?i)\bLet['’]s\s+d\s*o\b", "Let's do"),
+]
+#: Fixed value: how exam questions begin.
+QUESTION = r"(?i)^(Q[.\t\s]|PREVIOUS YEAR QUESTION|With reference|Consider the following|Which (of|one|among)|How many|What (is|are|was|were)|\([a-d]\)\s)"
+
+
+def split_collapsed(blocks: DataFrame, most: int = 400) -> DataFrame:
+    """Parts paragraphs of more than ``most`` characters with line ends: headers, page numbers, headings and list items each become a block, in order, and then all other lines one paragraph. Adds part, the place within the old block."""
+    lines = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    kind = lambda x: F.when(F.lower(x).isin(HEADER_PHRASES), "header").when(x.rlike(r"^[0-9]{1,3}$"), "footer").when(x.rlike("|".join(f"(?:{p})" for p in HEADINGS)), "heading").when(x.rlike(LIST_ITEM), "list_item")
+    typed = F.transform(lines, lambda x: F.struct(kind(x).alias("type"), x.alias("text")))
+    rest = F.array_join(F.transform(F.filter("typed", lambda x: x["type"].isNull()), lambda x: x["text"]), " ")
+    para = F.when(rest != "", F.array(F.struct(F.lit("paragraph").alias("type"), rest.alias("text")))).otherwise(F.array().cast("array<struct<type:string,text:string>>"))
+    collapsed = (F.col("type") == "paragraph") & (F.length("text") > most) & F.contains("text", F.lit("\n"))
+    b = blocks.withColumn("typed", F.when(collapsed, typed))
+    parts = F.when(F.col("typed").isNotNull(), F.concat(F.filter("typed", lambda x: x["type"].isNotNull()), para)).otherwise(F.array(F.struct("type", "text")))
+    return b.select(*[c for c in blocks.columns if c not in ("type", "text")], F.posexplode(parts).alias("part", "x")).select("*", "x.type", "x.text").drop("x")
+
+
+def repair_stylised(blocks: DataFrame) -> DataFrame:
+    """Mends handwritten headings; a paragraph with one is a heading."""
+    hit = F.col("text").rlike("|".join(f"(?:{p})" for p, _ in STYLISED))
+    text = F.col("text")
+    for p, said in STYLISED:
+        text = F.regexp_replace(text, p, said)
+    b = blocks.withColumn("hit", hit).withColumn("text", F.when(F.col("hit"), text).otherwise(F.col("text")))
+    return b.withColumn("type", F.when(F.col("hit") & (F.col("type") == "paragraph"), "heading").otherwise(F.col("type"))).drop("hit")
+
+
+def reading_order(blocks: DataFrame, band: float = 6.0) -> DataFrame:
+    """Adds read_order within a page, high y first. Blocks on one line (y within a band) go from left to right; a page with two columns goes header, left, right, footer; blocks without a box come last."""
+    page = Window.partitionBy("doc_id", "page_num")
+    boxed = F.col("x0").isNotNull() & F.col("y0").isNotNull() & F.col("x1").isNotNull() & F.col("y1").isNotNull()
+    b = blocks.withColumns({"boxed": boxed, "lo": F.min(F.when(boxed, F.col("x0"))).over(page), "hi": F.max(F.when(boxed, F.col("x1"))).over(page)})
+    b = b.withColumn("width", F.greatest(F.col("hi") - F.col("lo"), F.lit(100.0)))
+    b = b.withColumns({"left": (F.col("x0") + F.col("x1")) / 2 < F.col("lo") + F.col("width") / 2, "narrow": F.col("boxed") & ((F.col("x1") - F.col("x0")) / F.col("width") < 0.5)})
+    n = lambda c: F.sum(F.when(c, 1).otherwise(0)).over(page)
+    b = b.withColumns({"nl": n(F.col("narrow") & F.col("left")), "nr": n(F.col("narrow") & ~F.col("left")), "nb": n(F.col("boxed"))})
+    two = (F.col("nl") >= 4) & (F.col("nr") >= 4) & ((F.col("nl") + F.col("nr")) / F.greatest("nb", F.lit(1)) > 0.6)
+    part = F.when(~F.col("boxed"), 9).when(~two, 0).when(F.col("type") == "header", 0).when(F.col("type") == "footer", 3).when(F.col("left"), 1).otherwise(2)
+    b = b.withColumns({"part": part, "up": F.when(F.col("boxed"), -F.bround(F.col("y0") / band)), "x": F.when(F.col("boxed"), F.col("x0"))})
+    order = F.row_number().over(page.orderBy("part", "up", "x", "seq"))
+    return b.withColumn("read_order", order.cast("long")).select(*blocks.columns, "read_order")
+
+
+@F.pandas_udf("string")
+def _composed(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+
+
+def drop_recent_repeats(blocks: DataFrame, window: int = 10, chars: int = 120) -> DataFrame:
+    """Drops a block whose fingerprint (compatibility form, one blank for white space, lower case, ``chars`` characters) is among the last ``window`` that the page kept: a fold over the page's blocks in order."""
+    text = F.coalesce("text", F.lit(""))
+    plain = F.when(text.rlike(r"[^\x00-\x7F]"), _composed(text)).otherwise(text)
+    mark = F.substring(F.lower(F.trim(F.regexp_replace(plain, r"(?U)\s+", " "))), 1, chars)
+    pages = blocks.select("doc_id", "page_num", "seq", F.md5(mark).alias("mark")).groupBy("doc_id", "page_num").agg(F.sort_array(F.collect_list(F.struct("seq", "mark"))).alias("bs"))
+    start = F.struct(F.array().cast("array<string>").alias("last"), F.array().cast("array<bigint>").alias("gone"))
+
+    def step(a: Column, x: Column) -> Column:
+        more = F.array_append(a["last"], x["mark"])
+        kept = F.when(F.size(more) > window, F.slice(more, 2, window)).otherwise(more)
+        return F.when(F.array_contains(a["last"], x["mark"]), F.struct(a["last"].alias("last"), F.array_append(a["gone"], x["seq"]).alias("gone"))).otherwise(F.struct(kept.alias("last"), a["gone"].alias("gone")))
+
+    gone = pages.select("doc_id", "page_num", F.explode(F.aggregate("bs", start, step, lambda a: a["gone"])).alias("seq"))
+    return blocks.join(gone, ["doc_id", "page_num", "seq"], "left_anti")
+
+
+def rescue_questions(blocks: DataFrame) -> DataFrame:
+    """Footers taken for boilerplate that begin like an exam question are questions."""
+    t = F.trim("text")
+    hit = F.col("is_boilerplate") & (F.col("type") == "footer") & (t != "") & t.rlike(QUESTION)
+    b = blocks.withColumn("was_corrected", hit)
+    return b.withColumns({"type": F.when(hit, "pyq_question").otherwise(F.col("type")), "is_boilerplate": F.col("is_boilerplate") & ~hit})
+
+
+def drop_false_blanks(blocks: DataFrame, tables: DataFrame) -> DataFrame:
+    """Drops blank-page markers of pages that have a table (doc_id, page_num)."""
+    full = tables.where("page_num IS NOT NULL").select("doc_id", "page_num").distinct().withColumn("full", F.lit(True))
+    return blocks.join(full, ["doc_id", "page_num"], "left").where((F.col("type") != "blank_page") | F.col("full").isNull()).drop("full")

@@ -5,15 +5,101 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Patterns of each kind, as the rules of the ladder name them.
-EXERCISE = [r"(?i)^\s*check\s+your\s+progress\s*[-–]?\s*\d*\s*$", r"(?i)^\s*intext\s+questions?\s*\d*\s*$", r"(?i)^\s*self\s+assessment\s+questions?\s*\d*\s*$", r"(?i)^\s*activity\s+\d+\s*$", r"(?i)^\s*terminal\s+questions?\s*$"]
-BIBLIOGRAPHY = [r"^[A-Z][a-zA-Z\-]+,\s+[A-Z][a-zA-Z\s\.]+\.\s+\d{4}\.", r"(?i)^doi\s*:\s*(10\.\d{4,})", r"(?i)https?://doi\.org/", r"(?i)https?://dx\.doi\.org/", r"(?i)\bModern\s+Asian\s+Studies\b"]
-FOOTER = [r"(?i)^\s*page\s+\d+\s*(of\s+\d+)?\s*$", r"^\s*\d+\s*/\s*\d+\s*$", r"^\s*-\s*\d+\s*-\s*$", r"^\s*\[\s*\d+\s*\]\s*$", r"^\s*\d+\s*$", r"(?i)^\s*continued\s+on\s+next\s+page", r"(?i)^\s*turn\s+over\s*$", r"(?i)^\s*pto\s*$"]
-HEADER = [r"(?i)^\s*upsc\s+(civil\s+services|prelims|mains|examination)", r"(?i)^\s*module\s+\d+\s*[-–:]?\s*", r"(?i)^\s*chapter\s+\d+\s*[-–:]?\s*$", r"(?i)^\s*unit\s+\d+\s*$", r"(?i)^\s*block[-\s]\d+\s*$", r"(?i)^\s*ignou\s*$"]
-COPYRIGHT = [r"(?i)all\s+rights?\s+reserved", r"(?i)copyright\s*(©|\(c\))?\s*\d{4}", r"(?i)for\s+(internal|personal)\s+use\s+only", r"(?i)do\s+not\s+(copy|duplicate|reproduce|distribute)", r"(?i)www\.[a-z0-9\-]+\.[a-z]{2,}", r"(?i)email\s*:\s*[^\s]+@[^\s]+"]
-TOC = [r"\.{4,}\s*\d+\s*$", r"_{4,}\s*\d+\s*$", r"(?i)^\s*contents\s*$", r"(?i)^\s*table\s+of\s+contents\s*$", r"^.{5,80}\s+\d{2,3}\s*$", r"(?i)^\s*pages?\s*$"]
-WATERMARK = [r"(?i)^\s*draft\s*$", r"(?i)^\s*confidential\s*$", r"(?i)^\s*sample\s+only\s*$", r"(?i)^\s*for\s+review\s+only\s*$", r"(?i)^\s*not\s+for\s+sale\s*$"]
-INLINE = [r"(?i)\s*ignou\s+the\s+people's\s+university\s*", r"(?i)\s*the\s+people's\s+university\s*", r"(?i)\s*ignou\s*"]
+#: Patterns of each kind, in order of trial.
+HEADER = [
+    r"(?i)^\s*upsc\s+(civil\s+services|prelims|mains|examination)",
+    r"(?i)^\s*general\s+studies\s*[-–:]?\s*paper\s+[i|v|x\d]+",
+    r"(?i)^\s*egyankosh\s*\|\s*ignou",
+    r"(?i)^\s*subject\s*:\s*(history|geography|polity|economy|anthropology)",
+    r"(?i)^\s*module\s+\d+\s*[-–:]?\s*",
+    r"(?i)^\s*chapter\s+\d+\s*[-–:]?\s*$",
+    r"(?i)^\s*vision\s+ias\s*",
+    r"(?i)^\s*drishti\s+ias\s*",
+    r"(?i)^\s*insights\s+on\s+india\s*",
+    r"(?i)^\s*forum\s+ias\s*",
+    r"(?i)^\s*byju'?s\s+classes\s*",
+    r"(?i)^\s*violence\s+and\s+repression\s*$",
+    r"(?i)^\s*modern\s+warfare\s*$",
+    r"(?i)^\s*total\s+war\s*$",
+    r"(?i)^\s*violence\s+by\s+non[-\s]state\s+actors\s*$",
+    r"(?i)^\s*unit\s+\d+\s*$",
+    r"(?i)^\s*block[-\s]\d+\s*$",
+    r"(?i)^\s*ignou\s+the\s+people[']?s\s+university\s*$",
+    r"(?i)^\s*the\s+people[']?s\s+university\s*$",
+    r"(?i)^\s*ignou\s*$",
+]
+FOOTER = [
+    r"(?i)^\s*page\s+\d+\s*(of\s+\d+)?\s*$",
+    r"^\s*\d+\s*/\s*\d+\s*$",
+    r"^\s*-\s*\d+\s*-\s*$",
+    r"^\s*\[\s*\d+\s*\]\s*$",
+    r"^\s*\d+\s*$",
+    r"(?i)^\s*continued\s+on\s+next\s+page",
+    r"(?i)^\s*turn\s+over\s*$",
+    r"(?i)^\s*pto\s*$",
+]
+COPYRIGHT = [
+    r"(?i)all\s+rights?\s+reserved",
+    r"(?i)copyright\s*(©|\(c\))?\s*\d{4}",
+    r"(?i)for\s+(internal|personal)\s+use\s+only",
+    r"(?i)do\s+not\s+(copy|duplicate|reproduce|distribute)",
+    r"(?i)no\s+part\s+of\s+this\s+(publication|document)\s+may\s+be",
+    r"(?i)www\.[a-z0-9\-]+\.[a-z]{2,}",
+    r"(?i)email\s*:\s*[^\s]+@[^\s]+",
+    r"(?i)call\s*/?s*whatsapp\s*:\s*\+?\d[\d\s\-]{8,}",
+    r"(?i)contact\s*:\s*\+?\d[\d\s\-]{8,}",
+]
+BIBLIOGRAPHY = [
+    r"^[A-Z][a-zA-Z\-]+,\s+[A-Z][a-zA-Z\s\.]+\.\s+\d{4}\.",
+    r"^[A-Z][a-zA-Z\s\-]+\.\s+\d{4}\.\s+['\"‘’“”]",
+    r"(?i)^doi\s*:\s*(10\.\d{4,})",
+    r"(?i)https?://doi\.org/",
+    r"(?i)https?://dx\.doi\.org/",
+    r"(?i)https?://[a-z]+\.jstor\.org/stable/",
+    r"(?i)https?://[a-z]+\.luminosoa\.org/",
+    r"(?i)\bProceedings\s+of\s+the\s+Indian\s+History\s+Congress\b",
+    r"(?i)\bModern\s+Asian\s+Studies\b",
+    r"(?i)\bThe\s+Journal\s+of\s+Asian\s+Studies\b",
+]
+EXERCISE = [
+    r"(?i)^\s*check\s+your\s+progress\s*[-–]?\s*\d*\s*$",
+    r"(?i)^\s*intext\s+questions?\s*\d*\s*$",
+    r"(?i)^\s*self\s+assessment\s+questions?\s*\d*\s*$",
+    r"(?i)^\s*activity\s+\d+\s*$",
+    r"(?i)^\s*terminal\s+questions?\s*$",
+]
+TOC = [
+    r"\.{4,}\s*\d+\s*$",
+    r"_{4,}\s*\d+\s*$",
+    r"(?i)^\s*contents\s*$",
+    r"(?i)^\s*table\s+of\s+contents\s*$",
+    r"^.{5,80}\s+\d{2,3}\s*$",
+    r"(?i)^\s*course\s+contents\s*$",
+    r"(?i)^\s*pages?\s*$",
+]
+WATERMARK = [
+    r"(?i)^\s*draft\s*$",
+    r"(?i)^\s*confidential\s*$",
+    r"(?i)^\s*sample\s+only\s*$",
+    r"(?i)^\s*for\s+review\s+only\s*$",
+    r"(?i)^\s*not\s+for\s+sale\s*$",
+    r"(?i)^\s*people[']?s\s*$",
+    r"(?i)^\s*ople[']?s\s*$",
+    r"(?i)^\s*he\s+people[']?s\s+ople[']?s\s*$",
+    r"(?i)^\s*he\s+people[']?s\s*$",
+    r"(?i)^\s*university\s*$",
+    r"(?i)^\s*indira\s+gandhi\s+national\s+open\s+university\s*$",
+    r"(?i)^\s*ingou\s*$",
+]
+INLINE = [
+    r"(?i)\s*ignou\s+the\s+people[']?s\s+university\s*",
+    r"(?i)\s*the\s+people[']?s\s+university\s*",
+    r"(?i)\s*he\s+people[']?s\s+ople[']?s\s*",
+    r"(?i)\s*he\s+people[']?s\s*",
+    r"(?i)\s*people[']?s\s+university\s*",
+    r"(?i)\s*indira\s+gandhi\s+national\s+open\s+university\s*",
+    r"(?i)\s*ignou\s*",
+]
 TOP_WORDS = ["upsc", "paper", "module", "chapter", "notes", "unit", "block"]
 CONTENTS_WORDS = ["course contents", "theme", "unit", "introduction", "pages"]
 KEPT = ["exercise_heading", "bibliography"]

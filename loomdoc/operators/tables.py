@@ -6,12 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Headers that name nothing.
-GENERIC_HEADERS = ["", "column_1", "column_2", "column_3", "column_4", "column_5", "list?", "col1", "col2"]
+GENERIC_HEADERS = ["column_1", "column_2", "column_3", "column_4", "column_5", "column_6", "column_7", "column_8", "list?", "s/no", "s.no", "sno", ""]
 S = r"[ \t\n\x0b\f\r]+"
 
 
 def _filled(row: Column) -> Column:
-    return F.filter(F.transform(row, F.trim), lambda c: c != "")
+    return F.filter(F.transform(row, lambda c: F.trim(c)), lambda c: c != "")
 
 
 def contents_like(rows: Column) -> Column:
@@ -64,15 +64,20 @@ def row_texts(tables: DataFrame, caption: Column | None = None) -> DataFrame:
     return t.select("doc_id", F.format_string("tbl_%d_row_%d", "doc_id", F.col("i") + 1).alias("block_id"), F.concat("head", F.array_join(F.transform("row", cell), " | ")).alias("text"))
 
 
-def rescued_rows(tables: DataFrame, blocks: DataFrame) -> DataFrame:
-    """(doc_id, row_no, text): rows of contents-like tables as text, unless the document already says it; equal ones once."""
+def _unsaid(tables: DataFrame, blocks: DataFrame, cells) -> DataFrame:
+    """(doc_id, row_no, text): the tables' rows as text, where no block of the document says the same; equal ones once."""
     mark = lambda c: F.lower(F.trim(F.regexp_replace(c, S, " ")))
-    rows = tables.where(contents_like(F.col("rows"))).select("doc_id", F.posexplode("rows").alias("i", "row")).select("doc_id", (F.col("i") + 1).cast("long").alias("row_no"), F.trim(F.array_join(_filled(F.col("row")), " ")).alias("text")).where("text <> ''").withColumn("mark", mark(F.col("text")))
+    rows = tables.select("doc_id", F.posexplode("rows").alias("i", "row")).select("doc_id", (F.col("i") + 1).cast("long").alias("row_no"), F.trim(F.array_join(cells(F.col("row")), " ")).alias("text")).where("text <> ''").withColumn("mark", mark(F.col("text")))
     known = blocks.select("doc_id", mark(F.col("text")).alias("mark")).distinct()
     first = rows.withColumn("n", F.row_number().over(Window.partitionBy("doc_id", "mark").orderBy("row_no"))).where("n = 1")
     return first.join(known, ["doc_id", "mark"], "left_anti").select("doc_id", "row_no", "text")
 
 
+def rescued_rows(tables: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(doc_id, row_no, text): rows of contents-like tables as text, unless the document already says it; equal ones once."""
+    return _unsaid(tables.where(contents_like(F.col("rows"))), blocks, _filled)
+
+
 def label_values(blocks: DataFrame) -> DataFrame:
     """(doc_id, page_num, label_seq, value_seq, text): short blocks with the block beside them that belongs to them.
 
@@ -92,7 +97,7 @@ def label_values(blocks: DataFrame) -> DataFrame:
 
 def blob_lines(blocks: DataFrame) -> DataFrame:
     """(doc_id, block_id, text): a collapsed paragraph line by line; one of a single line stays one block."""
-    ls = F.filter(F.transform(F.split("text", "\n"), F.trim), lambda x: x != "")
+    ls = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: x != "")
     b = blocks.select("doc_id", "block_id", ls.alias("ls"), F.trim("text").alias("t"))
     many = b.where(F.size("ls") > 1).select("doc_id", "block_id", F.posexplode("ls").alias("i", "text")).select("doc_id", F.format_string("%s_line_%d", "block_id", F.col("i") + 1).alias("block_id"), "text")
     return many.unionByName(b.where(F.size("ls") <= 1).select("doc_id", "block_id", F.col("t").alias("text")))
@@ -107,13 +112,61 @@ def split_diagram(text: Column, mark: str = "---SUMMARY---") -> Column:
 #: Entity labels with their patterns, in order of priority.
 ENTITIES = [
     ("CONSTITUTIONAL_ARTICLE", r"(?i)\b(article|art\.)\s+\d+[a-z]?(\(\d+\))?|\b\d+(st|nd|rd|th)\s+constitutional\s+amendment(\s+act)?\b"),
-    ("GOVT_BODY", r"(?i)\b(niti\s+aayog|election\s+commission|finance\s+commission|upsc|spsc|cag|law\s+commission|national\s+green\s+tribunal|ngt|supreme\s+court|high\s+court|rbi)\b"),
+    ("ACT_POLICY", r"(?i)\b([a-z\s]+)\s+act,?\s+\d{4}\b|\b([a-z\s]+)\s+policy,?\s+\d{4}\b|\bcode\s+of\s+[a-z\s]+\d{4}\b"),
+    ("GOVT_BODY", r"(?i)\b(niti\s+aayog|election\s+commission|finance\s+commission|upsc|spsc|cag|law\s+commission|national\s+green\s+tribunal|ngt|supreme\s+court|high\s+court|rbi|reserve\b[a-z\s]*bank)\b"),
     ("SCHEME", r"(?i)\b(pm-?[a-z]+|mgnrega|ayushman\s+bharat|poshan\s+abhiyaan|swachh\s+bharat|make\s+in\s+india|digital\s+india|atmanirbhar\s+bharat)\b"),
-    ("DATE_YEAR", r"\b(1[0-9]{3}|20[0-2][0-9])\b"),
+    ("HISTORICAL_EVENT", r"(?i)\b(battle\s+of\s+[a-z]+|quit\s+india\s+movement|non-?cooperation\s+movement|civil\s+disobedience\s+movement|swadeshi\s+movement|treaty\s+of\s+[a-z]+|revolt\s+of\s+1857|sepoy\s+mutiny)\b"),
+    ("DATE_YEAR", r"\b(1[0-9]{3}|20[0-2][0-9])\b|\b\d{1,2}(st|nd|rd|th)?\s+(january|february|march|april|may|june|july|august|september|october|november|december)\s+\d{4}\b"),
 ]
+#: What a text must hold for a label's pattern to be tried, where that pattern is slow on long texts.
+NEEDED = {"ACT_POLICY": r"(?i)\s(act|policy),?\s+\d{4}\b|\bcode\s+of\s"}
+SPAN = "array<struct<start:int,end:int,label:string,text:string>>"
+
+
+def _matches(text: Column, label: str, pattern: str) -> Column:
+    """Spans of a pattern's matches: what lies between them gives their places."""
+    found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern)
+    pairs = F.arrays_zip(found.alias("m"), F.slice(between, 1, F.size(found)).alias("p"))
+    start = F.struct(F.array().cast(SPAN).alias("spans"), F.lit(0).alias("at"))
+
+    def step(a: Column, x: Column) -> Column:
+        begin = a["at"] + F.length(x["p"])
+        end = begin + F.length(x["m"])
+        span = F.struct(begin.alias("start"), end.alias("end"), F.lit(label).alias("label"), F.trim(x["m"]).alias("text"))
+        return F.struct(F.array_append(a["spans"], span).alias("spans"), end.alias("at"))
+
+    tried = text.rlike(NEEDED[label]) if label in NEEDED else text.rlike(pattern)
+    return F.when(tried, F.aggregate(pairs, start, step, lambda a: a["spans"])).otherwise(F.array().cast(SPAN))
+
+
+def entities(text: Column) -> Column:
+    """Entities of a text by place, as struct(start, end, label, text). Of overlapping ones that of the earlier label counts, and of one label the first."""
+    every = F.concat(*[_matches(text, k, p) for k, p in ENTITIES])
+    free = lambda a, s: ~F.exists(a, lambda x: (s["start"] < x["end"]) & (x["start"] < s["end"]))
+    kept = F.aggregate(every, F.array().cast(SPAN), lambda a, s: F.when(free(a, s), F.array_append(a, s)).otherwise(a))
+    return F.array_sort(kept)
 
 
 def entity_counts(blocks: DataFrame) -> DataFrame:
-    """(doc_id, label, n): matches of each label over a document's blocks."""
-    found = F.array(*[F.struct(F.lit(k).alias("label"), F.regexp_count("text", F.lit(p)).alias("k")) for k, p in ENTITIES])
-    return blocks.select("doc_id", F.explode(found).alias("e")).groupBy("doc_id", "e.label").agg(F.sum("e.k").alias("n")).where("n > 0")
+    """(doc_id, label, n): entities of each label over a document's blocks."""
+    return blocks.select("doc_id", F.explode(entities(F.coalesce("text", F.lit("")))).alias("e")).groupBy("doc_id", "e.label").agg(F.count("*").alias("n"))
+
+
+def triaged_tables(tables: DataFrame) -> DataFrame:
+    """Adds needs_review, without empty tables and single cells; generic headers and sparse rows stay, to be reviewed."""
+    t = tables.withColumn("reason", degenerate(F.col("headers"), F.col("rows")))
+    return t.where("reason IS NULL OR reason NOT IN ('empty', 'single_cell')").withColumn("needs_review", F.col("reason").isNotNull()).drop("reason")
+
+
+def rescued_cells(tables: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(doc_id, row_no, type, text): rows of the tables that triage drops as list items, unless the document already says it; equal ones once."""
+    lost = tables.where(degenerate(F.col("headers"), F.col("rows")).isin("empty", "single_cell"))
+    return _unsaid(lost, blocks, _filled).withColumn("type", F.lit("list_item"))
+
+
+def normalised(docs: DataFrame) -> DataFrame:
+    """(doc_id, page_num, kind, text) of documents in either form: flat blocks, or blocks within pages (which then give the page). docs: (doc_id, text_blocks, pages)."""
+    flat = docs.select("doc_id", F.posexplode("text_blocks").alias("i", "b")).select("doc_id", F.lit(0).alias("j"), "i", F.coalesce("b.page_num", F.lit(1)).cast("long").alias("page_num"), "b.type", "b.text")
+    paged = docs.select("doc_id", F.posexplode("pages").alias("j", "p")).select("doc_id", "j", F.col("p.page_num").alias("n"), F.posexplode("p.text_blocks").alias("i", "b"))
+    paged = paged.select("doc_id", "j", "i", F.coalesce("n", F.col("j") + 1).cast("long").alias("page_num"), "b.type", "b.text")
+    return flat.unionByName(paged)

@@ -6,27 +6,70 @@ from ..operators import boilerplate as P
 from ..operators import chunking as C
 from ..operators import tables as X
 from ..sources.layout import BLOCKS_SQL, blocks
-from .registry import query, table
+from .registry import SQL, query, table
 
 S = "[ \\t\\n\\x0b\\f\\r]+"
 #: Lines among the blocks that the ladder knows, by number.
-PUT = "CASE seq % 17 WHEN 1 THEN 'Page 12 of 90' WHEN 3 THEN 'Unit 7' WHEN 5 THEN 'Check Your Progress 2' WHEN 7 THEN 'Rao, Anil Kumar. 1999. Title' WHEN 9 THEN 'All rights reserved' WHEN 10 THEN 'Intro ..... 12' WHEN 11 THEN 'DRAFT' WHEN 13 THEN 'notes of unit' WHEN 14 THEN '44' WHEN 15 THEN 'x ignou the people''s university y' ELSE text END"
+LINES = {
+    1: "Page 12 of 90",
+    2: "General Studies - Paper II",
+    3: "Unit 7",
+    4: "eGyankosh | IGNOU",
+    5: "Check Your Progress 2",
+    6: "Drishti IAS notes",
+    7: "Rao, Anil Kumar. 1999. Title",
+    8: "Sharma R S. 2004. 'Looking for the Aryans'",
+    9: "All rights reserved",
+    10: "Intro ..... 12",
+    11: "DRAFT",
+    12: "No part of this document may be copied",
+    13: "notes of unit",
+    14: "44",
+    15: "x ignou the people's university y",
+    16: "Contact: +91 98765 43210",
+    17: "The people's university",
+    18: "ople's",
+    19: "see https://www.jstor.org/stable/4",
+    20: "Course contents",
+    21: "z he people's ople's w",
+    22: "Indira Gandhi National Open University",
+    23: "in Proceedings of the Indian History Congress",
+    24: "Total  war",
+    25: "University",
+    26: "call whatsapp: +91 98765 43210",
+    27: "Demographic data 205",
+    28: "violence by non-state actors",
+}
+PUT = "CASE seq % 31 " + " ".join("WHEN {} THEN '{}'".format(k, v.replace("'", "''")) for k, v in LINES.items()) + " ELSE text END"
 Y = "CASE WHEN seq % 17 = 13 THEN 800.0 WHEN seq % 6 = 0 THEN 20.0 ELSE 400.0 END"
 ROWS = f"WITH {BLOCKS_SQL}, b AS (SELECT doc_id, seq, page_num, type, {PUT} AS text, ({Y})::DOUBLE AS y0 FROM blocks)"
 
 
 def _put(spark, d):
     b = blocks(table(spark, d, "documents"))
-    return b.withColumns({"text": F.expr(PUT.replace("people''s", "people\\'s")), "y0": F.expr(f"cast({Y} as double)")}).select("doc_id", "seq", "page_num", "type", "text", "y0")
+    return b.withColumns({"text": F.expr(PUT.replace("''", "\\'")), "y0": F.expr(f"cast({Y} as double)")}).select("doc_id", "seq", "page_num", "type", "text", "y0")
 
 
-def _any(patterns, c="trim(text)"):
-    return "(" + " OR ".join("regexp_matches({}, '{}')".format(c, p.replace("'", "''")) for p in patterns) + ")"
+#: The patterns of each kind, written out for SQL.
+PATTERNS = {
+    "exercise_heading": r"(?i)^\s*(check\s+your\s+progress\s*[-–]?\s*\d*|intext\s+questions?\s*\d*|self\s+assessment\s+questions?\s*\d*|activity\s+\d+|terminal\s+questions?)\s*$",
+    "bibliography": r"^[A-Z][a-zA-Z\-]+,\s+[A-Z][a-zA-Z\s\.]+\.\s+\d{4}\.|^[A-Z][a-zA-Z\s\-]+\.\s+\d{4}\.\s+['\"‘’“”]|(?i:^doi\s*:\s*(10\.\d{4,}))|(?i:https?://(doi\.org/|dx\.doi\.org/|[a-z]+\.jstor\.org/stable/|[a-z]+\.luminosoa\.org/))|(?i:\b(Proceedings\s+of\s+the\s+Indian\s+History\s+Congress|Modern\s+Asian\s+Studies|The\s+Journal\s+of\s+Asian\s+Studies)\b)",
+    "footer": r"(?i)^\s*(page\s+\d+\s*(of\s+\d+)?|\d+\s*/\s*\d+|-\s*\d+\s*-|\[\s*\d+\s*\]|\d+|turn\s+over|pto)\s*$|^\s*continued\s+on\s+next\s+page",
+    "header": r"(?i)^\s*(upsc\s+(civil\s+services|prelims|mains|examination)|general\s+studies\s*[-–:]?\s*paper\s+[i|v|x\d]+|egyankosh\s*\|\s*ignou|subject\s*:\s*(history|geography|polity|economy|anthropology)|module\s+\d+|vision\s+ias|drishti\s+ias|insights\s+on\s+india|forum\s+ias|byju'?s\s+classes)|^\s*(chapter\s+\d+\s*[-–:]?|violence\s+and\s+repression|modern\s+warfare|total\s+war|violence\s+by\s+non[-\s]state\s+actors|unit\s+\d+|block[-\s]\d+|ignou\s+the\s+people'?s\s+university|the\s+people'?s\s+university|ignou)\s*$",
+    "copyright": r"(?i)all\s+rights?\s+reserved|copyright\s*(©|\(c\))?\s*\d{4}|for\s+(internal|personal)\s+use\s+only|do\s+not\s+(copy|duplicate|reproduce|distribute)|no\s+part\s+of\s+this\s+(publication|document)\s+may\s+be|www\.[a-z0-9\-]+\.[a-z]{2,}|email\s*:\s*[^\s]+@[^\s]+|call\s*/?s*whatsapp\s*:\s*\+?\d[\d\s\-]{8,}|contact\s*:\s*\+?\d[\d\s\-]{8,}",
+    "toc": r"(?i)\.{4,}\s*\d+\s*$|_{4,}\s*\d+\s*$|^\s*(contents|table\s+of\s+contents|course\s+contents|pages?)\s*$|^.{5,80}\s+\d{2,3}\s*$",
+    "watermark": r"(?i)^\s*(draft|confidential|sample\s+only|for\s+review\s+only|not\s+for\s+sale|people'?s|ople'?s|he\s+people'?s\s+ople'?s|he\s+people'?s|university|indira\s+gandhi\s+national\s+open\s+university|ingou)\s*$",
+}
+TOP = ["upsc", "paper", "module", "chapter", "notes", "unit", "block"]
 
 
-KIND = f"""CASE WHEN trim(text) = '' THEN NULL WHEN {_any(P.EXERCISE)} THEN 'exercise_heading' WHEN {_any(P.BIBLIOGRAPHY)} THEN 'bibliography' WHEN {_any(P.FOOTER)} THEN 'footer' WHEN {_any(P.HEADER)} THEN 'header'
-  WHEN y0 > 842 * 0.93 AND length(trim(text)) < 80 AND ({" OR ".join(f"contains(lower(text), '{w}')" for w in P.TOP_WORDS)}) THEN 'header' WHEN y0 < 842 * 0.07 AND length(trim(text)) < 60 THEN 'footer'
-  WHEN {_any(P.COPYRIGHT)} THEN 'copyright' WHEN {_any(P.TOC)} THEN 'toc' WHEN {_any(P.WATERMARK)} THEN 'watermark' END"""
+def _is(kind):
+    return "regexp_matches(trim(text), '{}')".format(PATTERNS[kind].replace("'", "''"))
+
+
+KIND = f"""CASE WHEN trim(text) = '' THEN NULL WHEN {_is("exercise_heading")} THEN 'exercise_heading' WHEN {_is("bibliography")} THEN 'bibliography' WHEN {_is("footer")} THEN 'footer' WHEN {_is("header")} THEN 'header'
+  WHEN y0 > 842 * 0.93 AND length(trim(text)) < 80 AND ({" OR ".join(f"contains(lower(text), '{w}')" for w in TOP)}) THEN 'header' WHEN y0 < 842 * 0.07 AND length(trim(text)) < 60 THEN 'footer'
+  WHEN {_is("copyright")} THEN 'copyright' WHEN {_is("toc")} THEN 'toc' WHEN {_is("watermark")} THEN 'watermark' END"""
 C1 = f"{ROWS}, k AS (SELECT *, {KIND} AS boilerplate_type FROM b), c1 AS (SELECT *, boilerplate_type IS NOT NULL AND boilerplate_type NOT IN ('exercise_heading', 'bibliography') AS is_boilerplate FROM k)"
 
 
@@ -53,23 +96,35 @@ def c3_enforced_types(spark, d):
     return P.enforce_types(P.tag_repeats(P.tag(_put(spark, d)))).select("doc_id", "seq", "type", "boilerplate_type", "is_boilerplate")
 
 
-HITS = " + ".join(f"contains(lower(text), '{w}')::INT" for w in ("th", "er", "zu"))
+#: Every thirteenth line is a contents page's paragraph.
+CONTENTS = "concat('Course Contents: theme and unit, with introduction and pages. ', repeat('and so on ', 20))"
+HITS = " + ".join(f"contains(lower(text), '{w}')::INT" for w in ("course contents", "theme", "unit", "introduction", "pages"))
+C4 = C2.replace(f"{PUT} AS text", f"CASE WHEN seq % 13 = 3 THEN {CONTENTS} ELSE {PUT} END AS text").replace("page_num, type, CASE", "page_num, CASE WHEN seq % 13 = 3 THEN 'paragraph' ELSE type END AS type, CASE")
 
 
-@query(f"""{C2}, pg AS (SELECT DISTINCT doc_id, page_num FROM c3 WHERE type = 'paragraph' AND length(text) > 200 AND {HITS} >= 3),
+@query(f"""{C4}, pg AS (SELECT DISTINCT doc_id, page_num FROM c3 WHERE type = 'paragraph' AND length(text) > 200 AND {HITS} >= 3),
   n AS (SELECT c3.*, pg.doc_id IS NOT NULL AND is_boilerplate AND regexp_matches(trim(text), '^[0-9]{{1,4}}$') AS num FROM c3 LEFT JOIN pg USING (doc_id, page_num))
   SELECT doc_id, seq, CASE WHEN num THEN 'toc_page_number' ELSE type END AS type, CASE WHEN num THEN 'toc_page_number' ELSE boilerplate_type END AS boilerplate_type FROM n""")
 def c4_contents_numbers(spark, d):
-    t = P.enforce_types(P.tag_repeats(P.tag(_put(spark, d))))
-    return P.tag_contents_numbers(t, ["th", "er", "zu"]).select("doc_id", "seq", "type", "boilerplate_type")
+    put = _put(spark, d).withColumns({"text": F.expr(f"CASE WHEN seq % 13 = 3 THEN {CONTENTS} ELSE text END"), "type": F.expr("CASE WHEN seq % 13 = 3 THEN 'paragraph' ELSE type END")})
+    return P.tag_contents_numbers(P.enforce_types(P.tag_repeats(P.tag(put)))).select("doc_id", "seq", "type", "boilerplate_type")
 
 
 CUT = "text"
-for _p in P.INLINE:
-    CUT = "regexp_replace({}, '{}', ' ', 'g')".format(CUT, _p.replace("'", "''"))
-
-
-@query(f"""{ROWS}, w AS (SELECT *, type IN ('paragraph', 'heading', 'list_item', 'caption') AND {_any(P.INLINE, 'text')} AS was_corrected FROM b)
+for _p in (
+    "ignou\\s+the\\s+people''?s\\s+university",
+    "the\\s+people''?s\\s+university",
+    "he\\s+people''?s\\s+ople''?s",
+    "he\\s+people''?s",
+    "people''?s\\s+university",
+    "indira\\s+gandhi\\s+national\\s+open\\s+university",
+    "ignou",
+):
+    CUT = f"regexp_replace({CUT}, '(?i)\\s*{_p}\\s*', ' ', 'g')"
+BLED = "regexp_matches(text, '(?i)the\\s+people''?s\\s+university|he\\s+people''?s|people''?s\\s+university|indira\\s+gandhi\\s+national\\s+open\\s+university|ignou')"
+
+
+@query(f"""{ROWS}, w AS (SELECT *, type IN ('paragraph', 'heading', 'list_item', 'caption') AND {BLED} AS was_corrected FROM b)
   SELECT doc_id, seq, was_corrected, CASE WHEN was_corrected THEN trim(regexp_replace({CUT}, '[ \\t]{{2,}}', ' ', 'g')) ELSE text END AS text FROM w""")
 def c5_inline_watermarks(spark, d):
     return P.strip_watermarks(_put(spark, d)).select("doc_id", "seq", "was_corrected", "text")
@@ -100,13 +155,23 @@ def e3_contents_like_tables(spark, d):
     return _tables(spark, d).select("doc_id", X.contents_like(F.col("rows")).alias("contents_like"))
 
 
-@query()
+#: Every second table as a contents list, with its first row twice.
+LISTED = TABLES + """, listed AS (SELECT doc_id, headers, CASE WHEN doc_id % 2 = 0 THEN list_concat(rows[:1], list_transform(rows, lambda r: list_concat(r, [' ..... 7 ']))) ELSE rows END AS rows FROM tables)"""
+
+
+@query(f"""{LISTED}, n AS (SELECT *, len(rows) AS n, len(list_filter(rows, lambda r: regexp_matches(array_to_string(r, ' '), '\\.{{4,}}'))) AS dots, len(list_filter(rows, lambda r: len(list_distinct({FILLED.format('r')})) < len({FILLED.format('r')}))) AS twice FROM listed),
+  r AS (SELECT doc_id, unnest(rows) AS row, generate_subscripts(rows, 1) AS row_no FROM n WHERE n > 0 AND (dots / n > 0.5 OR twice / n > 0.4)), cells AS (SELECT doc_id, row_no, trim(array_to_string({FILLED.format('row')}, ' ')) AS text FROM r),
+  m AS (SELECT *, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS mark FROM cells WHERE text <> '' QUALIFY row_number() OVER (PARTITION BY doc_id, mark ORDER BY row_no) = 1),
+  said AS (SELECT DISTINCT doc_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS mark FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS text FROM documents))
+  SELECT doc_id, row_no, text FROM m ANTI JOIN said USING (doc_id, mark)""")
 def e4_rescued_rows(spark, d):
-    return X.rescued_rows(_tables(spark, d), blocks(table(spark, d, "documents")))
+    more = F.concat(F.slice("rows", 1, 1), F.transform("rows", lambda r: F.array_append(r, F.lit(" ..... 7 "))))
+    listed = _tables(spark, d).withColumn("rows", F.when(F.col("doc_id") % 2 == 0, more).otherwise(F.col("rows")))
+    return X.rescued_rows(listed, blocks(table(spark, d, "documents")))
 
 
 @query(f"""{TABLES} SELECT doc_id, CASE WHEN len(rows) = 0 OR len(headers) = 0 THEN 'empty' WHEN len(rows) <= 1 AND len(headers) <= 1 THEN 'single_cell'
-  WHEN len(list_filter(headers, lambda h: lower(trim(h)) NOT IN ({", ".join(f"'{h}'" for h in X.GENERIC_HEADERS)}))) = 0 THEN 'generic_headers'
+  WHEN len(list_filter(headers, lambda h: lower(trim(h)) NOT IN ('', 'column_1', 'column_2', 'column_3', 'column_4', 'column_5', 'column_6', 'column_7', 'column_8', 'list?', 's/no', 's.no', 'sno'))) = 0 THEN 'generic_headers'
   WHEN len(list_filter(rows, lambda r: len({FILLED.format('r')}) <= 1)) / len(rows) > 0.4 THEN 'sparse_rows' END AS reason FROM tables""")
 def e5_e6_degenerate_tables(spark, d):
     return _tables(spark, d).select("doc_id", X.degenerate(F.col("headers"), F.col("rows")).alias("reason"))
@@ -162,14 +227,92 @@ def e13_label_values(spark, d):
     return X.label_values(b)
 
 
-TOLD = "CASE seq % 5 WHEN 0 THEN 'Article 21A of 1950' WHEN 1 THEN 'the Supreme Court and RBI in 2019' WHEN 2 THEN 'PM-KISAN' ELSE '' END || ' ' || text"
-COUNTS = " UNION ALL ".join("SELECT doc_id, '{}' AS label, sum(len(regexp_extract_all(t, '{}')))::BIGINT AS n FROM x GROUP BY doc_id".format(k, p.replace("'", "''")) for k, p in X.ENTITIES)
+TOLD = "concat(CASE seq % 7 WHEN 0 THEN 'Article 21A of 1950 and the 42nd Constitutional Amendment Act' WHEN 1 THEN 'the Supreme Court and RBI in 2019, Reserve Bank' WHEN 2 THEN 'PM-KISAN, the Right to Information Act, 2005' WHEN 3 THEN 'Battle of Plassey on 23rd June 1757' WHEN 4 THEN 'code of criminal procedure 1973; Industrial Policy 1991' ELSE '' END, ' ', text)"
+#: The entities' patterns, written out for SQL, in order of priority.
+ENTITIES = [
+    ("CONSTITUTIONAL_ARTICLE", r"(?i)\b(?:article|art\.)\s+\d+[a-z]?(?:\(\d+\))?|\b\d+(?:st|nd|rd|th)\s+constitutional\s+amendment(?:\s+act)?\b"),
+    ("ACT_POLICY", r"(?i)\b[a-z\s]+\s+act,?\s+\d{4}\b|\b[a-z\s]+\s+policy,?\s+\d{4}\b|\bcode\s+of\s+[a-z\s]+\d{4}\b"),
+    ("GOVT_BODY", r"(?i)\b(?:niti\s+aayog|election\s+commission|finance\s+commission|upsc|spsc|cag|law\s+commission|national\s+green\s+tribunal|ngt|supreme\s+court|high\s+court|rbi|reserve\b[a-z\s]*bank)\b"),
+    ("SCHEME", r"(?i)\b(?:pm-?[a-z]+|mgnrega|ayushman\s+bharat|poshan\s+abhiyaan|swachh\s+bharat|make\s+in\s+india|digital\s+india|atmanirbhar\s+bharat)\b"),
+    ("HISTORICAL_EVENT", r"(?i)\b(?:battle\s+of\s+[a-z]+|quit\s+india\s+movement|non-?cooperation\s+movement|civil\s+disobedience\s+movement|swadeshi\s+movement|treaty\s+of\s+[a-z]+|revolt\s+of\s+1857|sepoy\s+mutiny)\b"),
+    ("DATE_YEAR", r"\b(?:1[0-9]{3}|20[0-2][0-9])\b|\b\d{1,2}(?:st|nd|rd|th)?\s+(?:january|february|march|april|may|june|july|august|september|october|november|december)\s+\d{4}\b"),
+]
+
+
+def _entity_sql():
+    """Matches of a label, but for those that overlap one of an earlier label: a step for each label. Places follow from what lies between matches."""
+    steps, before = [], None
+    for i, (label, pattern) in enumerate(ENTITIES):
+        steps.append(f"""p{i} AS (SELECT doc_id, seq, regexp_extract_all(t, '{pattern}') AS m, string_split_regex(t, '{pattern}') AS p FROM x WHERE regexp_matches(t, '{pattern}')),
+  s{i} AS (SELECT doc_id, seq, m[k] AS text, length(array_to_string(p[:k], '')) + length(array_to_string(m[:k - 1], '')) AS b FROM (SELECT *, unnest(range(1, len(m) + 1)) AS k FROM p{i})),
+  k{i} AS (SELECT doc_id, seq, '{label}' AS label, trim(text) AS text, b AS "begin", b + length(text) AS "end" FROM s{i} s""" + (f" WHERE NOT EXISTS (SELECT 1 FROM a{i - 1} a WHERE a.doc_id = s.doc_id AND a.seq = s.seq AND s.b < a.\"end\" AND s.b + length(s.text) > a.\"begin\")" if before else "") + ")")
+        steps.append(f"a{i} AS (SELECT * FROM k{i}" + (f" UNION ALL SELECT * FROM a{i - 1}" if before else "") + ")")
+        before = i + 1
+    return f"WITH {BLOCKS_SQL}, x AS (SELECT doc_id, seq, regexp_replace({TOLD}, '[^ -~]', '', 'g') AS t FROM blocks), " + ", ".join(steps)
+
+
+LAST = len(ENTITIES) - 1
+
+
+def _told(spark, d):
+    return blocks(table(spark, d, "documents")).select("doc_id", "seq", F.regexp_replace(F.expr(TOLD), "[^ -~]", "").alias("text"))
+
 
+@query(f'{_entity_sql()} SELECT doc_id, seq, label, text, "begin"::INT AS start, "end"::INT AS "end" FROM a{LAST}')
+def e1_entities(spark, d):
+    e = _told(spark, d).select("doc_id", "seq", F.explode(X.entities(F.col("text"))).alias("e"))
+    return e.select("doc_id", "seq", "e.label", "e.text", "e.start", "e.end")
 
-@query(f"WITH {BLOCKS_SQL}, x AS (SELECT doc_id, regexp_replace({TOLD}, '[^ -~]', '', 'g') AS t FROM blocks) SELECT * FROM ({COUNTS}) WHERE n > 0")
+
+@query(f"{_entity_sql()} SELECT doc_id, label, count(*) AS n FROM a{LAST} GROUP BY ALL")
 def e1_e2_entity_counts(spark, d):
-    t = F.regexp_replace(F.expr(TOLD.replace("END || ' ' || text", "END || ' ' || text")), "[^ -~]", "")
-    return X.entity_counts(blocks(table(spark, d, "documents")).select("doc_id", t.alias("text")))
+    return X.entity_counts(_told(spark, d))
+
+
+REASON = SQL["e5_e6_degenerate_tables"].replace("SELECT doc_id, CASE WHEN len(rows) = 0", "SELECT doc_id, headers, rows, CASE WHEN len(rows) = 0")
+#: Tables of all kinds: cut to one row and column, with headers that name nothing, with rows of one cell.
+BENT = TABLES + """, bent AS (SELECT doc_id * 10 + k AS doc_id, CASE k WHEN 1 THEN headers[:1] WHEN 2 THEN list_transform(headers, lambda h, i: CASE i WHEN 1 THEN ' S.No' WHEN 2 THEN 'Column_8' ELSE '' END) ELSE headers END AS headers,
+  CASE k WHEN 1 THEN list_transform(rows[:1], lambda r: r[:1]) WHEN 3 THEN list_transform(rows, lambda r: list_concat([' '], r[2:2])) ELSE rows END AS rows FROM tables, (SELECT unnest(range(4)) AS k))"""
+
+
+def _bent(spark, d):
+    """Tables as they are, as a single cell, with generic headers, with sparse rows."""
+    t = _tables(spark, d).withColumn("k", F.explode(F.array(*map(F.lit, range(4)))))
+    generic = F.transform("headers", lambda h, i: F.when(i == 0, " S.No").when(i == 1, "Column_8").otherwise(""))
+    headers = F.when(F.col("k") == 1, F.slice("headers", 1, 1)).when(F.col("k") == 2, generic).otherwise(F.col("headers"))
+    one = F.transform(F.slice("rows", 1, 1), lambda r: F.slice(r, 1, 1))
+    sparse = F.transform("rows", lambda r: F.concat(F.array(F.lit(" ")), F.slice(r, 2, 1)))
+    return t.select((F.col("doc_id") * 10 + F.col("k")).alias("doc_id"), headers.alias("headers"), F.when(F.col("k") == 1, one).when(F.col("k") == 3, sparse).otherwise(F.col("rows")).alias("rows"))
+
+
+WHY = REASON.split("tables AS", 1)[1].split("SELECT doc_id, headers, rows, ", 1)[1].replace("AS reason FROM tables", "AS reason FROM bent")
+
+
+@query(f"{BENT}, w AS (SELECT doc_id, headers, rows, {WHY}) SELECT doc_id, array_to_string(headers, '|') AS headers, len(rows) AS n_rows, reason IS NOT NULL AS needs_review FROM w WHERE reason IS NULL OR reason NOT IN ('empty', 'single_cell')")
+def e6_triaged_tables(spark, d):
+    t = X.triaged_tables(_bent(spark, d))
+    return t.select("doc_id", F.array_join("headers", "|").alias("headers"), F.size("rows").alias("n_rows"), "needs_review")
+
+
+@query(f"""{BENT}, w AS (SELECT doc_id, headers, rows, {WHY}), r AS (SELECT doc_id, unnest(rows) AS row, generate_subscripts(rows, 1) AS row_no FROM w WHERE reason IN ('empty', 'single_cell')),
+  cells AS (SELECT doc_id, row_no, array_to_string({FILLED.format('row')}, ' ') AS text FROM r), said AS (SELECT DISTINCT doc_id * 10 + 1 AS doc_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS mark FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS text FROM documents WHERE doc_id % 2 = 0))
+  SELECT doc_id, row_no, 'list_item' AS type, text FROM cells c WHERE text <> '' AND NOT EXISTS (SELECT 1 FROM said s WHERE s.doc_id = c.doc_id AND s.mark = lower(trim(regexp_replace(c.text, '\\s+', ' ', 'g'))))""")
+def e6_rescued_cells(spark, d):
+    said = blocks(table(spark, d, "documents").where("doc_id % 2 = 0")).withColumn("doc_id", F.col("doc_id") * 10 + 1)
+    return X.rescued_cells(_bent(spark, d), said).select("doc_id", "row_no", "type", "text")
+
+
+@query(f"""WITH {BLOCKS_SQL} SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN CASE WHEN seq % 4 = 0 THEN 1 ELSE page_num END ELSE CASE WHEN page_num % 2 = 0 THEN page_num ELSE dense_rank() OVER (PARTITION BY doc_id ORDER BY page_num) END END AS page_num, type, text FROM blocks""")
+def e11_normalised_documents(spark, d):
+    """Half of the documents as flat blocks, some without page; half as pages, some without number."""
+    b = blocks(table(spark, d, "documents"))
+    struct = F.struct(F.when((F.col("doc_id") % 2 == 1) | (F.col("seq") % 4 == 0), None).otherwise(F.col("page_num")).alias("page_num"), "type", "text")
+    inner = lambda x: F.transform(F.sort_array(x), lambda y: y["b"])
+    flat = b.where("doc_id % 2 = 0").groupBy("doc_id").agg(inner(F.collect_list(F.struct("seq", struct.alias("b")))).alias("text_blocks"))
+    page = b.where("doc_id % 2 = 1").groupBy("doc_id", "page_num").agg(inner(F.collect_list(F.struct("seq", struct.alias("b")))).alias("text_blocks"))
+    number = F.when(F.col("page_num") % 2 == 0, F.col("page_num")).alias("page_num")
+    paged = page.groupBy("doc_id").agg(inner(F.collect_list(F.struct(F.col("page_num").alias("o"), F.struct(number, "text_blocks").alias("b")))).alias("pages"))
+    return X.normalised(flat.unionByName(paged, allowMissingColumns=True)).select("doc_id", "page_num", "type", "text")
 
 
 # ---- chunks

@@ -23,9 +23,10 @@ def _nest(c, rules, flags="g"):
     return c
 
 
-GLYPHS = "replace(replace(replace(text, 'th', 'ﬁ—'), '. ', '… '), 'on', '“on”')"
-MAPPED = "translate(raw, '" + T.ONE_TO_ONE[0] + "', '" + T.ONE_TO_ONE[1].replace("'", "''") + "')"
-for _a, _b in T.ONE_TO_MANY:
+GLYPHS = "replace(replace(replace(replace(replace(text, 'th', 'ﬁ—'), '. ', '… '), 'on', '“on”'), 'er ', ' '), 'en ', ' �ņ ')"
+FROM = "“”‘’—– Ííņ�"
+MAPPED = f"translate(raw, '{FROM}', '\"\"''''-- Iin✓✓✓✗••➢✉ •')"
+for _a, _b in (("…", "..."), ("​", ""), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬀ", "ff"), ("ﬃ", "ffi")):
     MAPPED = f"replace({MAPPED}, '{_a}', '{_b}')"
 
 
@@ -42,18 +43,48 @@ def d2_join_hyphens(spark, d):
     return _with(spark, d, HYPHENS.replace('{0}', '')).select("doc_id", "seq", T.join_hyphens(F.col("raw")).alias("text"))
 
 
+SHORT = [("U.P.S.C.", "UPSC"), ("I.A.S.", "IAS"), ("I.P.S.", "IPS"), ("I.F.S.", "IFS"), ("C.S.A.T.", "CSAT"), ("N.C.E.R.T.", "NCERT"), ("M.L.A.", "MLA"), ("M.P.", "MP"), ("B.C.E.", "BCE"), ("C.E.", "CE")]
 ABBREVIATED = "replace(replace(text, 'the ', 'U.P.S.C.x '), 'and ', 'M.P.s C.E. ')"
 
 
-@query(_sql(ABBREVIATED, _nest("raw", [("\\b" + a.replace(".", "\\.") + "\\b", b) for a, b in T.ABBREVIATIONS])))
+@query(_sql(ABBREVIATED, _nest("raw", [("\\b" + a.replace(".", "\\.") + "\\b", b) for a, b in SHORT])))
 def d3_abbreviations(spark, d):
     return _with(spark, d, ABBREVIATED).select("doc_id", "seq", T.shorten_abbreviations(F.col("raw")).alias("text"))
 
 
-SPLIT = "replace(replace(replace(text, 'the ', 'V ol. Y  ork '), 'and ', 'CentralAsian S hah '), 'of ', 'middleeastern ')"
+#: Confused words among the lines; letters beyond ASCII are left out, as word borders differ between the engines there.
+CONFUSED = "concat(regexp_replace(text, '[^ -~]', ''{0}), case seq % 5 when 0 then ' Thls is nol il' when 1 then ' {{ho Sull-kutl aud New  Dehi, Mughalempire' when 2 then ' easten anthroplogists, tribal  socites' when 3 then ' SOCIAL SCIENCE PART 1 SOCIAL SCIENCE - PART 1' else '' end)"
 
 
-@query(_sql(SPLIT, _nest("raw", T.SPLIT_WORDS)))
+@query(_sql(CONFUSED.format(", 'g'"), _nest("raw", [(a.replace("'", "''"), b) for a, b in T.CONFUSIONS])))
+def d4_confusions(spark, d):
+    return _with(spark, d, CONFUSED.format("")).select("doc_id", "seq", T.repair_confusions(F.col("raw")).alias("text"))
+
+
+SPLIT = "replace(replace(replace(replace(text, 'the ', 'V ol. Y  ork V olume '), 'and ', 'CentralAsian S hah K hafi Perso - Islamic '), 'of ', 'middleeastern NorthIndia ImreBangha '), 'der ', 'Sabk - i Hindi, Nagari  Rekhta, ChandarBhan of Andhara Pradesh, V ernacular ')"
+JOINED = [
+    ("\\bV\\s+ol\\.", "Vol."),
+    ("\\bV\\s+olume\\b", "Volume"),
+    ("\\bY\\s+ork\\b", "York"),
+    ("\\bV\\s+ernacular", "Vernacular"),
+    ("(?i)\\bmiddleeastern\\b", "Middle Eastern"),
+    ("\\bCentralAsian\\b", "Central Asian"),
+    ("\\bSouthAsian\\b", "South Asian"),
+    ("\\bNorthIndia\\b", "North India"),
+    ("\\bSouthIndia\\b", "South India"),
+    ("\\bS\\s+hah\\b", "Shah"),
+    ("\\bK\\s+han\\b", "Khan"),
+    ("\\bK\\s+hafi\\b", "Khafi"),
+    ("\\bImreBangha\\b", "Imre Bangha"),
+    ("\\bPerso\\s+-\\s+Islamic\\b", "Perso-Islamic"),
+    ("\\bSabk\\s+-\\s+i\\s+Hindi\\b", "Sabk-i Hindi"),
+    ("\\bNagari\\s+Rekhta\\b", "Nagari Rekhta"),
+    ("\\bChandarBhan\\b", "Chandar Bhan"),
+    ("\\bAndhara\\s+Pradesh\\b", "Andhra Pradesh"),
+]
+
+
+@query(_sql(SPLIT, _nest("raw", JOINED)))
 def d5_split_words(spark, d):
     return _with(spark, d, SPLIT).select("doc_id", "seq", T.join_split_words(F.col("raw")).alias("text"))
 
@@ -92,23 +123,47 @@ def d11_page_ranges(spark, d):
     return _with(spark, d, RANGES.replace("varchar(10)", "string")).select("doc_id", "seq", T.repair_page_ranges(F.col("raw")).alias("text"))
 
 
-PHRASES = ["Visual Culture", "Political Processes", "The 18th Century"]
-TAILS = "concat(text, case seq % 3 when 0 then ' Visual Culture ' when 1 then ' The 18th Century' else '' end)"
+#: Running headers, written out for SQL.
+PHRASES = """Persian Histories and Memoirs|Sources and Literary Traditions|History of India-VII|History of India-VI|History of Modern Europe|History of China|Political Processes|Production and Commercial Practices|State, Society and Religion|Visual Culture
+Society and Culture|The 18th Century|Mughal Decline and Disintegration|Sanskrit Kavya Literature, Regional Sources and Travelogues|Indian Ocean Trade Network|Trading Communities and Commercial Practices|Religious Ideas and Movements|Courtly Culture|Women and Gender
+Importance and Implications of Biological Variation|Introduction to Biological Diversity|Sources of Genetic Variation|Genetic Polymorphism|Role of Bio-cultural Factors|Ethnic Elements in Indian Population|Classification of Racial Elements in India|Major Races of Mankind
+Demographic Anthropology|Indian Demography|Inbreeding and Consanguinity|Biological Diversity in Human Populations""".replace("\n", "|").split("|")
+TAILS = "concat(text, case seq % 5 when 0 then ' Visual Culture ' when 1 then ' The 18th Century' when 2 then ' Sources of Genetic Variation' when 3 then ' Visual Culture Indian Demography' else '' end)"
+TAIL = f"\\s*(?:{'|'.join(PHRASES)})\\s*$"
 
 
-@query(_sql(TAILS, "CASE " + " ".join(f"WHEN rtrim(raw) LIKE '%{p}' THEN rtrim(left(rtrim(raw), length(rtrim(raw)) - {len(p)}))" for p in PHRASES) + " ELSE raw END"))
+@query(_sql(TAILS, f"CASE WHEN regexp_matches(raw, '{TAIL}') THEN regexp_replace(regexp_replace(raw, '{TAIL}', ''), '\\s+$', '') ELSE raw END"))
 def d12_header_tails(spark, d):
-    return _with(spark, d, TAILS).select("doc_id", "seq", T.strip_tail(F.col("raw"), PHRASES).alias("text"))
+    return _with(spark, d, TAILS).select("doc_id", "seq", T.strip_tail(F.col("raw")).alias("text"))
 
 
-@query()
+INLINE = "replace(replace(regexp_replace(text, '[^ -~]', ''{0}), ' of ', ' Women and Gender of  History of China '), ' and ', ' Major Races of Mankind and ')"
+#: The first place between two words of each phrase in turn, from the text around it.
+INLINE_SQL = "raw"
+for _p in PHRASES:
+    INLINE_SQL = f"regexp_replace({INLINE_SQL}, '(\\w)\\s+{_p}\\s+(\\w)', '\\1 \\2')"
+
+
+@query(_sql(INLINE.format(", 'g'"), INLINE_SQL))
+def d12_inline_headers(spark, d):
+    return _with(spark, d, INLINE.format("")).select("doc_id", "seq", T.strip_inline(F.col("raw")).alias("text"))
+
+
+FOREIGN = "replace(replace(text, 'the ', 'volk *jihad* Kesselschlacht, '), 'der ', 'levee en masse volksgemeinschaft ')"
+STEPS, _from = "", "t"
+for _i, _t in enumerate(("schwerpunkt", "auftragstaktik", "blitzkrieg", "levee en masse", "volk", "volksgemeinschaft", "jihad", "jehad", "ghazi", "Kesselschlacht", "kesselschlacht")):
+    STEPS += f", e{_i} AS (SELECT doc_id, seq, string_split_regex(raw, '[*]?\\b{_t}\\b[*]?') AS p, regexp_extract_all(raw, '[*]?\\b{_t}\\b[*]?') AS m FROM {_from}), f{_i} AS (SELECT doc_id, seq, array_to_string(list_transform(p, lambda x, k: CASE WHEN k = 1 THEN '' WHEN contains(m[k - 1], '*') THEN m[k - 1] ELSE '*' || m[k - 1] || '*' END || x), '') AS raw FROM e{_i})"
+    _from = f"f{_i}"
+
+
+@query(f"WITH {BLOCKS_SQL}, t AS (SELECT doc_id, seq, {FOREIGN} AS raw FROM blocks){STEPS} SELECT doc_id, seq, raw AS text FROM {_from}")
 def d13_emphasis(spark, d):
-    return _with(spark, d, "replace(text, 'the ', 'volk *jihad* ')").select("doc_id", "seq", T.emphasise(F.col("raw"), ["volk", "jihad", "blitzkrieg"]).alias("text"))
+    return _with(spark, d, FOREIGN).select("doc_id", "seq", T.emphasise(F.col("raw")).alias("text"))
 
 
 @query()
 def d14_corrected(spark, d):
-    raw = _with(spark, d, "replace(replace(text, 'th', 'ﬁ'), 'the ', 'the the ')")
+    raw = _with(spark, d, "replace(replace(replace(text, 'th', 'ﬁ'), 'the ', 'the the '), 'and ', 'aud V ol. Visual Culture volk ')")
     new = raw.withColumn("text", T.corrected(F.col("raw")))
     return new.select("doc_id", "seq", "text", (F.col("text") != F.col("raw")).alias("was_corrected"), F.when(F.col("text") != F.col("raw"), F.col("raw")).alias("raw_text"))
 
