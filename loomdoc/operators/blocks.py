@@ -339,3 +339,22 @@ def drop_false_blanks(blocks: DataFrame, tables: DataFrame) -> DataFrame:
     """Drops blank-page markers of pages that have a table (doc_id, page_num)."""
     full = tables.where("page_num IS NOT NULL").select("doc_id", "page_num").distinct().withColumn("full", F.lit(True))
     return blocks.join(full, ["doc_id", "page_num"], "left").where((F.col("type") != "blank_page") | F.col("full").isNull()).drop("full")
+
+
+#: Fixed value: how list items begin.
+LIST_PREFIX = r"^(z |\? |\([a-d]\)\s|\d+\.\s|[•\-➢]\s)"
+
+
+def restructured_pages(blocks: DataFrame, spans: DataFrame) -> DataFrame:
+    """blocks, with each page that spans give at least two blocks for replaced by these.
+
+    spans: (doc_id, page_num, blk, at, text, size, y0, page_height). A block is its spans in order; its kind follows from its height on the page, its largest letters, and how it begins; blocks of one character drop out.
+    """
+    said = F.transform(F.sort_array(F.collect_list(F.struct("at", F.trim("text").alias("t")))), lambda x: x["t"])
+    b = spans.where(F.trim("text") != "").groupBy("doc_id", "page_num", "blk").agg(F.array_join(said, " ").alias("text"), F.max("size").alias("size"), F.min("y0").alias("y0"), F.max("page_height").alias("h")).where(F.length("text") >= 2)
+    kind = F.when(F.col("y0") > F.col("h") * 0.93, "footer").when(F.col("y0") < F.col("h") * 0.07, "header").when((F.col("size") >= 11.0) & (F.length("text") < 120), "heading").when(F.col("text").rlike(LIST_PREFIX), "list_item").otherwise("paragraph")
+    page = Window.partitionBy("doc_id", "page_num")
+    b = b.withColumns({"type": kind, "n": F.count("*").over(page)}).where("n > 1")
+    no = F.row_number().over(page.orderBy("blk"))
+    b = b.select("doc_id", "page_num", F.format_string("blk_dict_p%04d_%03d", "page_num", no).alias("block_id"), "type", "text", F.col("type").isin("footer", "header").alias("is_boilerplate"))
+    return blocks.join(b.select("doc_id", "page_num").distinct(), ["doc_id", "page_num"], "left_anti").select(b.columns).unionByName(b)

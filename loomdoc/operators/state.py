@@ -86,3 +86,132 @@ def update_with_coalesce(stored: DataFrame, changes: DataFrame, key: str, column
     c = changes.select(key, *[F.col(x).alias(f"new_{x}") for x in columns])
     j = stored.join(c, key, "left")
     return j.withColumns({x: F.coalesce(f"new_{x}", x) for x in columns}).drop(*[f"new_{x}" for x in columns])
+
+
+#: News tags with their words, in order of trial, and the category each counts to.
+NEWS_TAGS = [
+    ("Polity", ["court", "parliament", "bill", "election", "governor", "constitution", "judicial"]),
+    ("Economy", ["gdp", "rbi", "inflation", "budget", "fta", "trade", "rupee", "tax"]),
+    ("International", ["india-", "treaty", "summit", "bilateral", "un ", "nato", "g20"]),
+    ("Environment", ["forest", "climate", "biodiversity", "pollution", "carbon", "wildlife"]),
+    ("Science", ["isro", "space", "ai ", "technology", "research", "satellite", "digital"]),
+    ("Defense", ["army", "navy", "missile", "defence", "security", "border"]),
+    ("Schemes", ["yojana", "scheme", "mission", "launch", "government program"]),
+]
+NEWS_CATEGORIES = {
+    "Polity": "polity_governance",
+    "Economy": "economy",
+    "International": "international_relations",
+    "Environment": "environment_ecology",
+    "Science": "science_technology",
+    "Defense": "defense_security",
+    "Schemes": "government_schemes",
+}
+#: Papers of the syllabus with their words, in order of trial.
+PAPERS = [
+    ("GS-3", ["economy", "rbi", "inflation", "gdp", "tax", "banking", "rupee", "fiscal", "isro", "drdo", "ai", "space", "climate", "environment", "pollution", "wildlife", "security", "defense", "missile"]),
+    ("GS-2", ["constitution", "parliament", "supreme court", "high court", "governance", "treaty", "bilateral", "un", "diplomacy", "ambassador", "foreign policy"]),
+    ("GS-1", ["culture", "heritage", "monument", "history", "geography", "monsoon", "cyclone", "earthquake", "society", "women"]),
+]
+
+
+def analysed(articles: DataFrame) -> DataFrame:
+    """Adds tag, category, summary and priority to (title, content) by rule."""
+    tag = tag_by_words(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("content", F.lit(""))), NEWS_TAGS, "Polity")
+    a = articles.withColumn("tag", tag)
+    category = F.create_map(*[F.lit(x) for pair in NEWS_CATEGORIES.items() for x in pair])[F.col("tag")]
+    return a.withColumns({"category": category, "summary": F.substring(F.coalesce("content", F.lit("")), 1, 400), "priority": F.lit("medium")})
+
+
+def merged_days(stored: DataFrame, new: DataFrame) -> DataFrame:
+    """(date, title, overview, n_articles, ids) of the days that new has articles for: the stored ones first, then the new, each in its order. Both: (date, place, id)."""
+    every = stored.select("date", F.lit(0).alias("part"), "place", "id").unionByName(new.select("date", F.lit(1).alias("part"), "place", "id"))
+    every = every.join(new.select("date").distinct(), "date", "left_semi")
+    ids = F.transform(F.sort_array(F.collect_list(F.struct("part", "place", "id"))), lambda x: x["id"])
+    title = F.concat(F.lit("UPSC Daily Briefing — "), F.date_format("date", "MMMM dd, yyyy"))
+    told = F.concat(F.lit("UPSC news roundup for "), F.col("date").cast("string"), F.lit(" — "), F.col("added").cast("string"), F.lit(" articles from The Hindu and PIB."))
+    d = every.groupBy("date").agg(F.count("*").alias("n_articles"), F.count_if(F.col("part") == 1).alias("added"), ids.alias("ids"))
+    return d.select("date", title.alias("title"), told.alias("overview"), "n_articles", "ids")
+
+
+def day_view(articles: DataFrame) -> DataFrame:
+    """Articles as they are shown: an empty field counts as missing and gives way to its older name or a default."""
+    said = lambda *cs: F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in cs])
+    return articles.withColumns(
+        {
+            "title": F.coalesce(said("title", "headline"), F.lit("Untitled")),
+            "tag": F.coalesce(said("tag", "category"), F.lit("Polity")),
+            "summary": F.coalesce(said("summary", "analysis_summary"), F.lit("")),
+            "isImportant": F.coalesce("isImportant", F.lit(False)) | F.coalesce("is_most_important", F.lit(False)),
+        }
+    )
+
+
+def upsert_days(stored: DataFrame, changed: DataFrame) -> DataFrame:
+    """stored with whole days (date) replaced by those that changed has."""
+    return stored.join(changed.select("date").distinct(), "date", "left_anti").unionByName(changed)
+
+
+def purged(stored: DataFrame, dates: list[str]) -> DataFrame:
+    """stored without the named days."""
+    return stored.where(~F.col("date").cast("string").isin(dates))
+
+
+def fresh(cache: DataFrame, now: float, ttl: float) -> DataFrame:
+    """Articles stored less than ttl seconds ago; an older one counts as absent."""
+    return cache.where(F.lit(now) - F.col("stored_at") <= ttl)
+
+
+def cleared(cache: DataFrame, mode: Column | None = None) -> DataFrame:
+    """(removed) entries that clearing takes, all or those of a condition."""
+    return cache.agg(F.count("*") if mode is None else F.count_if(mode)).toDF("removed")
+
+
+def storage_counts(**stores: DataFrame) -> DataFrame:
+    """(store, rows) of the named tables."""
+    out = None
+    for name, df in stores.items():
+        one = df.agg(F.count("*").alias("rows")).select(F.lit(name).alias("store"), "rows")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def deleted_vectors(points: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The points (file_id, ...) that stay, and (file_id, deleted): how many each deletion takes, 0 where a file has none."""
+    n = gone.select("file_id").distinct().join(points.groupBy("file_id").agg(F.count("*").alias("n")), "file_id", "left")
+    return points.join(gone.select("file_id").distinct(), "file_id", "left_anti"), n.select("file_id", F.coalesce("n", F.lit(0)).alias("deleted"))
+
+
+def retries(documents: DataFrame, files: DataFrame, embedded: DataFrame) -> DataFrame:
+    """(id, status, reason) of failed documents tried again: skipped without a path or file (path), failed with an error of embedding (id, error), else ingested. documents: (id, status, path)."""
+    f = documents.where("status = 'failed'").select("id", "path")
+    j = f.join(files.select("path").distinct().withColumn("there", F.lit(True)), "path", "left").join(embedded, "id", "left")
+    none, lost = F.coalesce("path", F.lit("")) == "", F.col("there").isNull()
+    status = F.when(none | lost, "skipped").when(F.col("error").isNotNull(), "failed").otherwise("ingested")
+    reason = F.when(none, "no path").when(lost, "file missing").otherwise(F.col("error"))
+    return j.select("id", status.alias("status"), reason.alias("reason"))
+
+
+def retry_counts(tried: DataFrame) -> DataFrame:
+    return tried.agg(F.count_if(F.col("status") == "ingested").alias("recovered"), F.count_if(F.col("status") == "skipped").alias("skipped"), F.count_if(F.col("status") == "failed").alias("still_failed"))
+
+
+def expected_files(inputs: DataFrame, files: DataFrame, suffix: str = "_extracted_preprocessed.json") -> DataFrame:
+    """(folder, name, path, there): what each input (folder, name) should have become, and whether that file is listed."""
+    stem = F.trim(F.regexp_replace("name", r"\.[^.]*$", ""))
+    want = inputs.select("folder", "name", F.concat(stem, F.lit(suffix)).alias("path"))
+    return want.join(files.select("path").distinct().withColumn("listed", F.lit(True)), "path", "left").select("folder", "name", "path", F.coalesce("listed", F.lit(False)).alias("there"))
+
+
+def folder_tallies(outcomes: DataFrame) -> DataFrame:
+    """(folder, total, extract_ok, extract_fail, chunk_ok, chunk_fail) from (folder, extracted, chunked); what isn't extracted is never chunked."""
+    e, c = F.coalesce("extracted", F.lit(False)), F.coalesce("chunked", F.lit(False))
+    return outcomes.groupBy("folder").agg(F.count("*").alias("total"), F.count_if(e).alias("extract_ok"), F.count_if(~e).alias("extract_fail"), F.count_if(e & c).alias("chunk_ok"), F.count_if(e & ~c).alias("chunk_fail"))
+
+
+def kept_figures(figures: DataFrame, least: int = 60, least_bytes: int = 3000) -> DataFrame:
+    """Adds filename to the figures (doc_id, page_num, at, width, height, bytes, ext) that are no fragments; numbers run through a document. A size of 0 is unknown."""
+    small = lambda c: (F.col(c) > 0) & (F.col(c) < least)
+    f = figures.where(~(small("width") | small("height") | (F.col("bytes") < least_bytes)))
+    n = F.row_number().over(Window.partitionBy("doc_id").orderBy("page_num", "at"))
+    return f.withColumn("filename", F.format_string("fig_p%03d_%02d.%s", "page_num", n, "ext"))

@@ -170,3 +170,35 @@ def normalised(docs: DataFrame) -> DataFrame:
     paged = docs.select("doc_id", F.posexplode("pages").alias("j", "p")).select("doc_id", "j", F.col("p.page_num").alias("n"), F.posexplode("p.text_blocks").alias("i", "b"))
     paged = paged.select("doc_id", "j", "i", F.coalesce("n", F.col("j") + 1).cast("long").alias("page_num"), "b.type", "b.text")
     return flat.unionByName(paged)
+
+
+#: Running headers that tables take in, and rows that cite the table's source.
+TABLE_BOILERPLATE = [r"(?i)india:\s*6\s*th\s*century\s*bce\s*to\s*200\s*bce", r"(?i)^\s*page\s+nos?\.\s*$", r"(?i)^\s*bhic-101\s*$"]
+CITATION_ROW = r"(?i)^\s*\(.*?(?:Kumar|MHI|Block|Unit|p\.\s*\d+|Press|Edition|ISBN|Source|Adapted).*?\)\s*$"
+
+
+def repaired_export(tables: DataFrame) -> DataFrame:
+    """Repairs exported tables (headers, rows, caption): placeholders, numbers for headers, a first column of running headers, and rows that cite a source, which go to the caption."""
+    held = lambda c: F.contains(c, F.lit("<!--"))
+    t = tables.withColumns({"headers": F.transform("headers", lambda h, i: F.when(held(h), F.concat(F.lit("Col_"), (i + 1).cast("string"))).otherwise(h)), "rows": F.transform("rows", lambda r: F.transform(r, lambda c: F.when(held(c), "").otherwise(c)))})
+    numbers = (F.size("headers") > 0) & F.forall("headers", lambda h: h.rlike("^[0-9]+$"))
+    named = F.when(F.size("headers") == 2, F.array(F.lit("Section / Unit"), F.lit("Page Number"))).otherwise(F.transform("headers", lambda h: F.concat(F.lit("Column_"), (h.cast("int") + 1).cast("string"))))
+    t = t.withColumn("headers", F.when(numbers, named).otherwise(F.col("headers")))
+    first = lambda r: F.trim(F.coalesce(F.get(r, 0), F.lit("")))
+    phantom = (F.size("headers") > 0) & (F.size("rows") > 0) & F.forall("rows", lambda r: (first(r) == "") | first(r).rlike("|".join(f"(?:{p})" for p in TABLE_BOILERPLATE)))
+    t = t.withColumn("phantom", phantom)
+    cut = F.transform(F.filter("rows", lambda r: F.size(r) > 1), lambda r: F.slice(r, 2, F.size(r)))
+    t = t.withColumns({"headers": F.when(F.col("phantom"), F.slice("headers", 2, F.greatest(F.size("headers"), F.lit(1)))).otherwise(F.col("headers")), "rows": F.when(F.col("phantom"), cut).otherwise(F.col("rows"))})
+    said = lambda r: F.array_join(_filled(r), " ")
+    cites = F.transform(F.filter("rows", lambda r: said(r).rlike(CITATION_ROW)), said)
+    t = t.withColumns({"cites": cites, "rows": F.filter("rows", lambda r: ~said(r).rlike(CITATION_ROW))})
+    more = F.array_join(F.transform("cites", lambda c: F.concat(F.lit("("), c, F.lit(")"))), " ")
+    later = F.array_join(F.transform(F.slice("cites", 2, F.size("cites") + 1), lambda c: F.concat(F.lit("("), c, F.lit(")"))), " ")
+    caption = F.when(F.size("cites") == 0, F.col("caption")).when(F.col("caption") != "", F.concat_ws(" ", "caption", more)).when(F.size("cites") == 1, F.col("cites")[0]).otherwise(F.concat_ws(" ", F.col("cites")[0], later))
+    return t.withColumn("caption", caption).drop("phantom", "cites")
+
+
+def merged_page_rows(blocks: DataFrame, rows: DataFrame) -> DataFrame:
+    """Blocks and table rows of a document by page, adding place: on a page blocks come first, each kind in its order. Both: (doc_id, page_num, seq, text)."""
+    both = blocks.select("doc_id", "page_num", F.lit(0).alias("kind"), "seq", "text").unionByName(rows.select("doc_id", "page_num", F.lit(1).alias("kind"), "seq", "text"))
+    return both.withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy("page_num", "kind", "seq")).cast("long"))
