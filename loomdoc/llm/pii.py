@@ -1,6 +1,7 @@
 """Personal data: fixed patterns and information-theoretic sanitisation (operator 7; DataFrame functions only).
 
-Patterns find the protected entities: e-mail and IP addresses, card and phone numbers. Every entity's surroundings
+Patterns find e-mail and IP addresses, card and phone numbers. Protected entities are their values, the classes of values
+(an e-mail's domain, a network of 16 bits, a card's issuer, an area code) and their kinds. Every entity's surroundings
 (``CONTEXT`` words to each side) are compared with the whole corpus. With p(.) over all documents, a term t discloses
 entity e as far as PMI(e; t) = log p(e, t) / (p(e) p(t)) comes near the information content IC(e) = -log p(e), which it
 reaches when t never occurs without e. Terms with PMI >= GENERALISE * IC are generalised, those with PMI >= REMOVE * IC removed,
@@ -95,16 +96,25 @@ def _around(t: Column, start: Column, end: Column) -> Column:
     return F.concat(F.slice(left, F.greatest(F.size(left) - CONTEXT + 1, F.lit(1)), CONTEXT), F.slice(right, 1, CONTEXT))
 
 
+def entities(kind: Column, value: Column) -> Column:
+    """What a span is evidence of: its value, the class that holds it (an e-mail's domain, a network, a card's issuer, an area code), and its kind."""
+    digits, low = F.regexp_replace(value, "[^0-9]", ""), F.translate(value, UPPER, LOWER)
+    own = F.when(kind.isin("card", "phone"), digits).otherwise(low)
+    of = F.when(kind == "email", F.substring_index(low, "@", -1)).when(kind == "ip", F.substring_index(low, ".", 2)).when(kind == "card", F.substring(digits, 1, 6)).otherwise(F.substring(digits, 1, 4))
+    name = lambda level, x: F.concat(kind, F.lit(f":{level}:"), x)
+    return F.array(name("value", own), name("class", of), name("kind", F.lit("")))
+
+
 def disclosing_terms(d: DataFrame, spans: DataFrame) -> DataFrame:
     """(term, ratio): terms that give a protected entity away; ratio: the largest PMI / IC over the entities."""
-    entity = F.concat("kind", F.lit(":"), F.when(F.col("kind").isin("card", "phone"), F.regexp_replace("value", "[^0-9]", "")).otherwise(F.translate("value", UPPER, LOWER)))
-    at = spans.select("key", "start", "end", entity.alias("entity"))
+    named = spans.select("key", "start", "end", F.explode(entities(F.col("kind"), F.col("value"))).alias("entity"))
+    at = written(named, "entities")
     c = d.select("key", F.coalesce("t", F.lit("")).alias("t")).join(if_small(at), "key").select("key", "entity", _around(F.col("t"), F.col("start").cast("int"), F.col("end").cast("int")).alias("around")).where(F.size("around") > 0)
     pairs = c.select("key", "entity", F.xxhash64("around").alias("context"), F.explode(F.array_distinct("around")).alias("term"))
     # in steps, so that a common pair is pre-aggregated: documents of a context, then contexts
     near = pairs.distinct().groupBy("entity", "term", "context").agg(F.count("*").alias("docs")).groupBy("entity", "term").agg(F.count("*").alias("contexts"), F.sum("docs").alias("both"))
     near = written(near.where(F.col("contexts") >= MIN_CONTEXTS), "near")
-    of_entity = spans.select("key", entity.alias("entity")).distinct().groupBy("entity").agg(F.count("*").alias("df_e"))
+    of_entity = at.select("key", "entity").distinct().groupBy("entity").agg(F.count("*").alias("df_e"))
     # outer, as a filter for empty arrays would be pushed down with a copy of all that makes the array
     of_term = d.select(F.explode_outer(F.array_distinct(terms_in(F.coalesce("t", F.lit(""))))).alias("term")).groupBy("term").agg(F.count("*").alias("df_t"))
     whole = F.lit(float(max(2, d.count())))
