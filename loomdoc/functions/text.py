@@ -211,6 +211,18 @@ def intent(q: Column) -> Column:
     return F.struct(name.alias("archetype"), F.coalesce(F.when(said > 0, said), words).cast("long").alias("word_limit"), F.coalesce(said > 0, F.lit(False)).alias("explicit_limit"))
 
 
+def token_budget_of(mode: Column, archetype: Column, limit: Column) -> Column:
+    """Tokens of an answer: by kind and length for long answers, fixed for the other modes."""
+    long = F.when(archetype == "indetail", 2048).when(archetype.isin("summary", "brief"), 800).otherwise(token_budget(limit))
+    return F.when(mode == "mains", long).when(mode == "current_affairs", 1200).otherwise(768).cast("long")
+
+
+def quiz_sentences(c: Column) -> Column:
+    """Sentences of 36 to 219 characters, white space squeezed, without those that begin like a heading."""
+    s = F.filter(F.split(F.regexp_replace(c, r"\s+", " "), r"(?<=[.?!])\s+"), lambda x: F.length(F.trim(x)).between(36, 219))
+    return F.filter(F.transform(s, lambda x: F.trim(x)), lambda x: ~F.lower(x).rlike(r"^(page|chapter|module|paper|figure|table)\b"))
+
+
 def token_budget(limit: Column) -> Column:
     return F.greatest(F.lit(1024).cast("long"), F.floor(2.5 * limit).cast("long"))
 
@@ -239,7 +251,14 @@ def decode_redirect(token: Column) -> Column:
     return F.coalesce(*[at(k) for k in range(4)])
 
 
+#: Sites that a trusted one goes by as well.
+ALIASES = {"insightsias.com": ["insightsonindia.com"]}
+
+
 def trusted(url: Column, domains: list[str]) -> Column:
-    """The host is one of the domains or below one."""
+    """The host is one of the domains, or of their aliases, or below one; without domains every host is trusted."""
+    if not domains:
+        return F.lit(True)
+    domains = [x for d in domains for x in (d.lower().strip(), *ALIASES.get(d.lower().strip(), []))]
     host = F.regexp_replace(F.lower(F.regexp_extract(url, "^[a-zA-Z]+://([^/?#]*)", 1)), "^www\\.", "")
     return reduce(lambda a, d: a | (host == d) | host.endswith(f".{d}"), domains, F.lit(False))

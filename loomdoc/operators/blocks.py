@@ -11,6 +11,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Icon names that text recognition takes for words.
 GARBAGE = ["headright", "boxshadowdwn", "boxshadow"]
@@ -130,7 +131,7 @@ def callout_boxes(blocks: DataFrame, colour: str = "colour") -> DataFrame:
     doc = Window.partitionBy("doc_id", "page_num").orderBy("seq")
     new = F.when(F.col(colour).isNotNull() & ~F.coalesce(F.lag(colour).over(doc) == F.col(colour), F.lit(False)), 1).otherwise(0)
     b = blocks.withColumn("new", new).withColumn("n", F.sum("new").over(doc.rowsBetween(Window.unboundedPreceding, 0)))
-    return b.withColumn("box", F.when(F.col(colour).isNotNull(), F.format_string("box_p%d_%d", F.col("page_num"), F.col("n")))).drop("new", "n")
+    return b.withColumn("box", F.when(F.col(colour).isNotNull(), F.format_string("box_p%d_%03d", F.col("page_num"), F.col("n")))).drop("new", "n")
 
 
 def covered_blocks(blocks: DataFrame, rects: DataFrame, least: float = 0.85) -> DataFrame:
@@ -217,11 +218,36 @@ def near_duplicate_blocks(blocks: DataFrame, least: float = 0.85, min_words: int
     return blocks.join(gone, ["doc_id", "seq"], "left_anti")
 
 
+#: Fixed value: headings that aren't cells of a broken table.
+NO_CELL = r"(?i)^(anthropology|formation of new population and species|[0-9]{1,3})$"
+
+
 def shredded_tables(blocks: DataFrame, least: int = 15) -> DataFrame:
-    """(doc_id, page_num, text): pages with ``least`` headings, one of them numbered, are broken tables: their headings in one text, from the top down."""
-    h = blocks.where("type = 'heading'")
-    order = F.transform(F.sort_array(F.collect_list(F.struct((-F.col("y0")).alias("up"), "x0", "seq", "text"))), lambda x: x["text"])
-    return h.groupBy("doc_id", "page_num").agg(F.count("*").alias("n"), F.bool_or(F.col("text").rlike(r"^[ \t]*[0-9]+")).alias("numbered"), F.array_join(order, "\n").alias("text")).where((F.col("n") >= least) & F.col("numbered")).drop("n", "numbered")
+    """(doc_id, page_num, text): pages with ``least`` headings, one of them numbered, are broken tables: their headings in one text, from the top down, without running headers."""
+    h = blocks.where("type = 'heading'").withColumn("t", F.trim("text"))
+    cells = F.collect_list(F.when((F.col("t") != "") & ~F.col("t").rlike(NO_CELL), F.struct((-F.col("y0")).alias("up"), "x0", "seq", "t")))
+    order = F.transform(F.sort_array(cells), lambda x: x["t"])
+    return h.groupBy("doc_id", "page_num").agg(F.count("*").alias("n"), F.bool_or(F.col("t").rlike(r"^[0-9]+\.\s")).alias("numbered"), F.array_join(order, "\n").alias("text")).where((F.col("n") >= least) & F.col("numbered")).drop("n", "numbered")
+
+
+def merge_shredded(blocks: DataFrame, **kw) -> DataFrame:
+    """(doc_id, page_num, place, type, text): blocks with the headings of broken tables replaced by one fragment, before all else on its page."""
+    t = shredded_tables(blocks, **kw)
+    gone = t.select("doc_id", "page_num").withColumn("type", F.lit("heading"))
+    left = blocks.join(gone, ["doc_id", "page_num", "type"], "left_anti").select("doc_id", "page_num", F.lit(1).alias("kind"), "seq", "type", "text")
+    both = left.unionByName(t.select("doc_id", "page_num", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("seq"), F.lit("table_fragment").alias("type"), "text"))
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("page_num", "kind", "seq"))
+    return both.select("doc_id", "page_num", place.cast("long").alias("place"), "type", "text")
+
+
+def highlight(r: Column, g: Column, b: Column, white: int = 230) -> Column:
+    """The callout that a background colour stands for; null for white and for other colours."""
+    return (
+        F.when((r >= white) & (g >= white) & (b >= white), None)
+        .when((r > 200) & (b > 150) & (r - g > 20) & (b - g > 10), "pink_callout")
+        .when((r > 200) & (g > 180) & (b < 150) & (r - b > 60), "yellow_callout")
+        .when((b > 180) & (b - r > 30) & (b - g > 20), "blue_callout")
+    )
 
 
 #: Lines of a collapsed page that are its header.
@@ -305,7 +331,7 @@ def reading_order(blocks: DataFrame, band: float = 6.0) -> DataFrame:
     return b.withColumn("read_order", order.cast("long")).select(*blocks.columns, "read_order")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _composed(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 

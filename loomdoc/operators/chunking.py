@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import S, repair_ellipsis, sentences
+from ..functions.text import S, bound, repair_ellipsis, sentences
 
 
 def sampled_paragraphs(docs: DataFrame, sep: str = "\n", min_chars: int = 30, most: int = 12, cap: int = 14_000) -> DataFrame:
@@ -68,31 +68,59 @@ def _pack(texts: list[str], ids: list[int], most: int) -> Iterator[tuple[str, li
 
 
 def page_chunks(blocks: DataFrame, most: int = 1000, least: int = 300) -> DataFrame:
-    """(doc_id, chunk_id, page_numbers, block_seqs, character_count, sub_chunk_index, text) of each document.
+    """(doc_id, chunk_id, page_numbers, block_seqs, character_count, sub_chunk_index, total_sub_chunks, text) of each document.
 
     Pages below ``least`` characters are carried to the next; what is gathered is one chunk if its blocks have ``most``
-    characters at most, else it is packed block by block. A fold over one document's pages, document by document.
+    characters at most, else it is packed block by block, and all its parts name all its pages. A pass over the sorted blocks holds what is carried, never a document.
     """
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(text=pdf["text"].str.strip(), page_num=pdf["page_num"].astype(int)).sort_values(["page_num", "seq"])
-        pdf = pdf[pdf["text"] != ""]
-        out, held, last = [], [], (pdf["page_num"].iloc[-1] if len(pdf) else None)
-        for page, rows in pdf.groupby("page_num", sort=True):
-            held += list(zip(rows["text"], rows["seq"].astype(int), rows["page_num"], strict=True))
-            size = sum(len(t) for t, _, _ in held)
-            if size < least and page != last:
-                continue
-            of = {s: p for _, s, p in held}
-            if size <= most:
-                got, sub = [(" ".join(t for t, _, _ in held), [s for _, s, _ in held])], [None]
-            else:
-                got = list(_pack([t for t, _, _ in held], [s for _, s, _ in held], most))
-                sub = range(1, len(got) + 1)
-            out += [(pdf["doc_id"].iloc[0], f"chk_{len(out) + k:04d}", sorted({of[s] for s in seqs}), seqs, len(text), i, text) for k, ((text, seqs), i) in enumerate(zip(got, sub, strict=True), 1)]
-            held = []
-        return pd.DataFrame(out, columns=["doc_id", "chunk_id", "page_numbers", "block_seqs", "character_count", "sub_chunk_index", "text"]).astype({"sub_chunk_index": "Int64"})
-
-    return blocks.select("doc_id", "page_num", "seq", "text").groupBy("doc_id").applyInPandas(fold, "doc_id bigint, chunk_id string, page_numbers array<bigint>, block_seqs array<bigint>, character_count bigint, sub_chunk_index bigint, text string")
+    types = {"doc_id": pa.int64(), "chunk_id": pa.string(), "page_numbers": pa.list_(pa.int64()), "block_seqs": pa.list_(pa.int64()), "character_count": pa.int64(), "sub_chunk_index": pa.int64(), "total_sub_chunks": pa.int64(), "text": pa.string()}
+    schema = pa.schema(list(types.items()))
+
+    def cut(doc: int, held: list[tuple[str, int, int]], done: int) -> list[tuple]:
+        """The chunks of what is gathered; held: (text, seq, page)."""
+        pages = sorted({p for _, _, p in held})
+        if sum(len(t) for t, _, _ in held) <= most:
+            return [(doc, f"chk_{done + 1:04d}", pages, [s for _, s, _ in held], len(x := " ".join(t for t, _, _ in held)), None, None, x)]
+        got = list(_pack([t for t, _, _ in held], [s for _, s, _ in held], most))
+        return [(doc, f"chk_{done + i:04d}", pages, seqs, len(x), i, len(got), x) for i, (x, seqs) in enumerate(got, 1)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc, page, held, done = None, None, [], 0
+        for batch in batches:
+            out = []
+            for d, p, s, t in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if d != doc:
+                    out += cut(doc, held, done) if held else []
+                    doc, held, done = d, [], 0
+                elif p != page and sum(len(x) for x, _, _ in held) >= least:
+                    out += cut(doc, held, done)
+                    held, done = [], int(out[-1][1][4:])
+                page = p
+                held.append((t, s, p))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*cut(doc, held, done), strict=True), schema, strict=True)], schema=schema)
+
+    t = F.regexp_replace("text", r"(?U)\A\s+|\s+\z", "")
+    b = blocks.select("doc_id", F.col("page_num").cast("long").alias("page_num"), F.col("seq").cast("long").alias("seq"), t.alias("text")).where("text <> ''")
+    ddl = "doc_id bigint, chunk_id string, page_numbers array<bigint>, block_seqs array<bigint>, character_count bigint, sub_chunk_index bigint, total_sub_chunks bigint, text string"
+    return b.repartition("doc_id").sortWithinPartitions("doc_id", "page_num", "seq").mapInArrow(run, ddl)
+
+
+def sampled_content(text: Column, cap: int = 14_000, min_chars: int = 30, most: int = 12) -> Column:
+    """A text up to the cap: whole if it fits, else evenly spaced paragraphs until one would pass it; few or no paragraphs give the text's beginning."""
+    paragraphs = F.filter(F.transform(F.split(text, "\n\n"), lambda p: F.regexp_replace(p, r"\A\s+|\s+\z", "")), lambda p: F.length(p) > min_chars)
+
+    def chosen(ps: Column) -> Column:
+        step = F.greatest(F.lit(1), F.floor(F.size(ps) / most))
+        spaced = F.filter(ps, lambda p, i: i % step == 0)
+        start = F.struct(F.array().cast("array<string>").alias("got"), F.lit(0).alias("n"), F.lit(False).alias("full"))
+        take = lambda a, p: F.when(a["full"] | (a["n"] + F.length(p) > cap), F.struct(a["got"].alias("got"), a["n"].alias("n"), F.lit(True).alias("full"))).otherwise(F.struct(F.array_append(a["got"], p).alias("got"), (a["n"] + F.length(p)).alias("n"), F.lit(False).alias("full")))
+        got = F.aggregate(spaced, start, take, lambda a: a["got"])
+        return F.when((F.size(ps) > 6) & (F.size(got) > 0), F.array_join(got, "\n\n")).otherwise(F.substring(text, 1, cap))
+
+    return F.when(F.length(text) <= cap, text).otherwise(bound(paragraphs, chosen))
 
 
 def chunk_statistics(chunks: DataFrame) -> DataFrame:

@@ -84,18 +84,32 @@ def contamination(blocks: DataFrame, least: int = 40) -> DataFrame:
 
 
 def split_sentences(blocks: DataFrame) -> DataFrame:
-    """(doc_id, n): paragraphs that end within a sentence before the next page's paragraph."""
+    """(doc_id, n): neighbouring paragraphs, neither boilerplate, of which the first has no end and the second goes on in lower case."""
     w = Window.partitionBy("doc_id").orderBy("seq")
-    p = blocks.where("type = 'paragraph'").withColumns({"next": F.lead("text").over(w), "page": F.lead("page_num").over(w)})
-    cut = (F.col("page") == F.col("page_num") + 1) & ~F.rtrim("text").rlike("[.?!]$") & F.col("next").rlike("^[a-z]")
+    body = (F.col("type") == "paragraph") & ~F.col("is_boilerplate")
+    t = F.regexp_replace("text", r"\A\s+|\s+\z", "")
+    p = blocks.withColumns({"t": t, "body": body}).withColumns({"next": F.lead("t").over(w), "body2": F.lead("body").over(w)})
+    cut = F.col("body") & F.col("body2") & (F.col("t") != "") & ~F.col("t").rlike('[.!?:"]$') & F.col("next").rlike("^[a-z]")
     return p.groupBy("doc_id").agg(F.count_if(cut).alias("n"))
 
 
+def issues(blocks: DataFrame, covered: DataFrame) -> DataFrame:
+    """(doc_id, critical, major, minor): kinds of issues that a document has. covered: (doc_id, missing).
+
+    Critical: missing pages; no content. Major: recognition errors that are left; texts on several pages. Minor: split sentences; boxes that stand for the whole page.
+    """
+    left = F.contains("text", F.lit("monotheistsant")) | F.col("text").rlike(r"\b[A-Z]\s+ol\b") | F.col("text").rlike(r"\b[A-Z]\s+ork\b")
+    b = blocks.groupBy("doc_id").agg(F.count_if(left).alias("errors"), F.count_if(F.col("bbox_approximate")).alias("boxes"), F.count_if(~F.col("is_boilerplate")).alias("content"))
+    j = b.join(covered.select("doc_id", "missing"), "doc_id").join(contamination(blocks).withColumnRenamed("texts", "again"), "doc_id", "left").join(split_sentences(blocks), "doc_id")
+    one = lambda c: F.when(c, 1).otherwise(0)
+    return j.select("doc_id", (one(F.col("missing") > 0) + one(F.col("content") == 0)).alias("critical"), (one(F.col("errors") > 0) + one(F.coalesce("again", F.lit(0)) > 0)).alias("major"), (one(F.col("n") > 0) + one(F.col("boxes") > 0)).alias("minor"))
+
+
 def score(audited: DataFrame, covered: DataFrame, issues: DataFrame) -> DataFrame:
-    """(doc_id, score, rating): 100 less 0.3 for each missing per cent, 2.2 for each failed rule and 15, 5 or 2 for each issue, between 0 and 100."""
+    """(doc_id, score, rating): 100 less 0.3 for each missing per cent, 2.2 for each failed rule and 15, 5 or 2 for each issue, between 0 and 100, to one place."""
     j = audited.join(covered, "doc_id").join(issues, "doc_id", "left")
     s = 100 - 0.3 * (100 - F.col("coverage")) - 2.2 * F.col("failed") - 15 * F.coalesce("critical", F.lit(0)) - 5 * F.coalesce("major", F.lit(0)) - 2 * F.coalesce("minor", F.lit(0))
-    s = F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), s)), 2)
+    s = F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.round(s, 1)))
     return j.select("doc_id", s.alias("score"), F.when(s >= 90, "Excellent").when(s >= 75, "Good").when(s >= 55, "Fair").otherwise("Poor").alias("rating"))
 
 

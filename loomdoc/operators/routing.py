@@ -35,6 +35,14 @@ def fallback(searched: DataFrame, others: DataFrame) -> DataFrame:
     return j.select("qid", ((F.col("s") < 0) & F.coalesce(F.col("o") > F.col("s"), F.lit(False))).alias("replaced"))
 
 
+def fallen_back(searched: DataFrame, others: DataFrame, routes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The candidates that stand, and (qid, how): where a sure or fair route finds nothing good and the other collections do strictly better, theirs replace them and the route says so."""
+    j = routes.join(fallback(searched, others), "qid", "left").withColumn("replaced", F.coalesce("replaced", F.lit(False)) & F.col("how").isin("high_confidence", "medium_confidence"))
+    r = j.select("qid", F.when(F.col("replaced"), F.concat("how", F.lit("_cross_collection_fallback"))).otherwise(F.col("how")).alias("how"), "replaced")
+    gone = r.where("replaced").select("qid")
+    return searched.join(gone, "qid", "left_anti").unionByName(others.join(gone, "qid", "left_semi")), r.select("qid", "how")
+
+
 def news_first(candidates: DataFrame, least: float = 0.4, many: int = 2) -> DataFrame:
     """(qid, source): local news if enough candidates are good, else the web."""
     return candidates.groupBy("qid").agg(F.when(F.count_if(F.col("score") >= least) >= many, "local").otherwise("web").alias("source"))

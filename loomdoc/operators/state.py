@@ -12,12 +12,16 @@ def last_messages(chat: DataFrame, n: int = 10, session: str = "session_id", ord
     return chat.withColumn("back", back).where(F.col("back") <= n).drop("back")
 
 
-def history(messages: DataFrame, session: str = "session_id", order: str = "id") -> DataFrame:
-    """(session, history): the messages in order as one text; of JSON content the answer counts."""
+NO_HISTORY = "No previous conversation history."
+
+
+def history(messages: DataFrame, sessions: DataFrame | None = None, session: str = "session_id", order: str = "id") -> DataFrame:
+    """(session, history): the messages in order as one text; of JSON content the answer counts. With sessions, those without messages say so."""
     said = F.coalesce(F.get_json_object("content", "$.answer"), F.col("content"))
-    who = F.when(F.col("role") == "user", "User").when(F.col("role") == "assistant", "Assistant").otherwise(F.initcap("role"))
+    who = F.when(F.col("role") == "user", "User").otherwise("Assistant")
     lines = F.transform(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.concat(who, F.lit(": "), said).alias("line")))), lambda x: x["line"])
-    return messages.groupBy(session).agg(F.array_join(lines, "\n").alias("history"))
+    told = messages.groupBy(session).agg(F.array_join(lines, "\n").alias("history"))
+    return told if sessions is None else sessions.select(session).distinct().join(told, session, "left").select(session, F.coalesce("history", F.lit(NO_HISTORY)).alias("history"))
 
 
 def cache_key(query: Column, mode: Column, sub_mode: Column) -> Column:
@@ -29,6 +33,11 @@ def cache_lookup(cache: DataFrame, keys: DataFrame, now: float) -> DataFrame:
     return keys.join(cache.where(F.col("expires_at") > now), "cache_key")
 
 
+def expires(created: Column, mode: Column, ttl: float = 604_800.0, news_ttl: float = 21_600.0) -> Column:
+    """When an entry expires: news after six hours, else after a week; null for modes that aren't cached."""
+    return F.when(mode == "current_affairs", created + news_ttl).when(mode.isin("prelims", "mains"), created + ttl)
+
+
 def cache_store(cache: DataFrame, new: DataFrame, most: int) -> DataFrame:
     """The cache with answered, ungated entries in it (the newest of a key), cut to the newest ``most``: a distributed top-k by creation."""
     every = cache.unionByName(new.where("answered AND NOT gated").drop("answered", "gated"))

@@ -30,7 +30,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id"
     left = v.groupBy("part", F.col(collection).alias("collection")).agg(F.collect_list(F.struct(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))).alias("vs")).drop("part")
     n = queries.count()
     q = queries.withColumn("part", F.pmod(F.xxhash64(id_col), F.lit(max(1, -(-n // block)))))
-    right = q.groupBy("part").agg(F.collect_list(F.struct(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))).alias("qs")).drop("part")
+    right = q.groupBy("part").agg(F.collect_list(F.struct(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))).alias("qs"))
     schema = pa.schema([("qid", pa.int64()), ("collection", pa.int64()), ("id", pa.int64()), ("score", pa.float64())])
 
     def matrix(cell) -> tuple[np.ndarray, np.ndarray]:
@@ -48,7 +48,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id"
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), qids[r])), pa.array(np.full(len(best), batch.column(0)[i].as_py())), pa.array(ids[best]), pa.array(score[r][best])], schema=schema)
 
     # every block meets every query block: the queries are a stated share of the rows, and a pair is one matrix product
-    pairs = left.crossJoin(F.broadcast(right) if n <= 4 * block else right)
+    parts = max(1, -(-n // block))
+    dealt = left.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+    pairs = dealt.join(F.broadcast(right) if n <= 4 * block else right, "part")
     found = pairs.select(F.col("collection").cast("long").alias("collection"), "vs", "qs").mapInArrow(search, "qid bigint, collection bigint, id bigint, score double")
     rank = F.row_number().over(Window.partitionBy("qid", "collection").orderBy(F.desc("score"), "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("long"))

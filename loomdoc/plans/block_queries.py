@@ -106,7 +106,7 @@ COLOUR = "CASE WHEN length(text) % 3 = 0 THEN 'green' WHEN length(text) % 3 = 1
 
 @query(f"""{WITH}, c AS (SELECT *, {COLOUR} AS colour FROM blocks),
   n AS (SELECT *, CASE WHEN colour IS NOT NULL AND NOT coalesce(lag(colour) OVER (PARTITION BY doc_id, page_num ORDER BY seq) = colour, false) THEN 1 ELSE 0 END AS new FROM c)
-  SELECT doc_id, seq, CASE WHEN colour IS NOT NULL THEN 'box_p' || page_num || '_' || (sum(new) OVER (PARTITION BY doc_id, page_num ORDER BY seq ROWS UNBOUNDED PRECEDING))::BIGINT END AS box FROM n""")
+  SELECT doc_id, seq, CASE WHEN colour IS NOT NULL THEN printf('box_p%d_%03d', page_num, (sum(new) OVER (PARTITION BY doc_id, page_num ORDER BY seq ROWS UNBOUNDED PRECEDING))::BIGINT) END AS box FROM n""")
 def b23_callout_boxes(spark, d):
     return B.callout_boxes(_blocks(spark, d).withColumn("colour", F.expr(COLOUR))).select("doc_id", "seq", "box")
 
@@ -172,13 +172,36 @@ def b12_near_duplicate_blocks(spark, d):
     return B.near_duplicate_blocks(_blocks(spark, d)).select("doc_id", "seq")
 
 
-@query(f"""{WITH}, b AS (SELECT doc_id, seq // 20 AS page_num, 'heading' AS type, seq, (seq + 1) || '. ' || text AS text, x0, y0 FROM blocks)
-  SELECT doc_id, page_num, string_agg(text, chr(10) ORDER BY -y0, x0, seq) AS text FROM b GROUP BY ALL HAVING count(*) >= 15 AND bool_or(regexp_matches(text, '^[ \\t]*[0-9]+'))""")
+@query(f"""{WITH}, b AS (SELECT doc_id, seq // 20 AS page_num, 'heading' AS type, seq, CASE WHEN seq % 6 = 2 THEN ' 17 ' WHEN seq % 6 = 4 THEN 'Anthropology' ELSE (seq + 1) || '. ' || text END AS text, x0, y0 FROM blocks)
+  SELECT doc_id, page_num, string_agg(trim(text), chr(10) ORDER BY -y0, x0, seq) FILTER (NOT regexp_matches(trim(text), '(?i)^(anthropology|formation of new population and species|[0-9]{{1,3}})$')) AS text FROM b GROUP BY ALL HAVING count(*) >= 15 AND bool_or(regexp_matches(text, '^[0-9]+\\.\\s'))""")
 def b9_shredded_tables(spark, d):
-    b = _blocks(spark, d).withColumns({"page_num": F.floor(F.col("seq") / 20), "type": F.lit("heading"), "text": F.concat((F.col("seq") + 1).cast("string"), F.lit(". "), "text")})
+    b = _blocks(spark, d).withColumns({"page_num": F.floor(F.col("seq") / 20), "type": F.lit("heading"), "text": _cells()})
     return B.shredded_tables(b)
 
 
+def _cells():
+    return F.when(F.col("seq") % 6 == 2, " 17 ").when(F.col("seq") % 6 == 4, "Anthropology").otherwise(F.concat((F.col("seq") + 1).cast("string"), F.lit(". "), "text"))
+
+
+@query(f"""{WITH}, b AS (SELECT doc_id, seq // 20 AS page_num, CASE WHEN seq % 20 = 7 THEN 'paragraph' ELSE 'heading' END AS type, seq, CASE WHEN seq % 6 = 2 THEN ' 17 ' WHEN seq % 6 = 4 THEN 'Anthropology' ELSE (seq + 1) || '. ' || text END AS text, x0, y0 FROM blocks),
+  t AS (SELECT doc_id, page_num, string_agg(trim(text), chr(10) ORDER BY -y0, x0, seq) FILTER (NOT regexp_matches(trim(text), '(?i)^(anthropology|formation of new population and species|[0-9]{{1,3}})$')) AS text FROM b WHERE type = 'heading' GROUP BY ALL HAVING count(*) >= 15 AND bool_or(regexp_matches(text, '^[0-9]+\\.\\s'))),
+  u AS (SELECT doc_id, page_num, 0 AS kind, 0 AS seq, 'table_fragment' AS type, text FROM t UNION ALL SELECT doc_id, page_num, 1, seq, type, text FROM b WHERE type <> 'heading' OR NOT EXISTS (SELECT 1 FROM t WHERE t.doc_id = b.doc_id AND t.page_num = b.page_num))
+  SELECT doc_id, page_num, row_number() OVER (PARTITION BY doc_id ORDER BY page_num, kind, seq) AS place, type, text FROM u""")
+def b9_merged_fragments(spark, d):
+    b = _blocks(spark, d).withColumns({"page_num": F.floor(F.col("seq") / 20), "type": F.expr("CASE WHEN seq % 20 = 7 THEN 'paragraph' ELSE 'heading' END"), "text": _cells()})
+    return B.merge_shredded(b)
+
+
+RGB = "(seq * 37 % 256) AS r, (seq * 91 % 256) AS g, (length(text) * 53 % 256) AS b"
+
+
+@query(f"""{WITH}, c AS (SELECT doc_id, seq, {RGB} FROM blocks) SELECT doc_id, seq, CASE WHEN r >= 230 AND g >= 230 AND b >= 230 THEN NULL WHEN r > 200 AND b > 150 AND r - g > 20 AND b - g > 10 THEN 'pink_callout'
+  WHEN r > 200 AND g > 180 AND b < 150 AND r - b > 60 THEN 'yellow_callout' WHEN b > 180 AND b - r > 30 AND b - g > 20 THEN 'blue_callout' END AS highlight FROM c""")
+def b23_highlights(spark, d):
+    c = _blocks(spark, d).selectExpr("doc_id", "seq", *RGB.replace("(", "(").split(", "))
+    return c.select("doc_id", "seq", B.highlight(F.col("r"), F.col("g"), F.col("b")).alias("highlight"))
+
+
 @query(f"{WITH} SELECT doc_id, seq, (x0, y0, x1, y1) IN ((50.0, 0.0, 560.0, 12.0)) AS bbox_approximate FROM blocks")
 def b6_approximate_boxes(spark, d):
     moved = _blocks(spark, d)

@@ -333,6 +333,12 @@ def f5_word_windows(spark, d):
     return C.word_windows(table(spark, d, "documents").select(F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("url"), F.col("source").alias("title"), "text"))
 
 
+@query("""WITH w AS (SELECT 'doc/' || doc_id AS url, list_filter(string_split_regex(text, '[ \\t\\n\\x0b\\f\\r]+'), lambda x: x <> '') AS ws, source FROM documents), i AS (SELECT url, source, ws, unnest(range(0, len(ws), 200)) AS i FROM w), c AS (SELECT source, ws[i + 1:i + 250] AS c FROM i),
+  t AS (SELECT length('Title: ' || source || chr(10) || chr(10) || array_to_string(c, ' ')) AS n FROM c WHERE len(c) >= 30) SELECT count(*) AS chunks, avg(n) AS avg_chars, min(n) AS min_chars, max(n) AS max_chars FROM t""")
+def f7_window_statistics(spark, d):
+    return C.chunk_statistics(f5_word_windows(spark, d).select(F.length("text").alias("character_count")))
+
+
 @query(f"WITH {BLOCKS_SQL} SELECT count(*) AS chunks, avg(length(text)) AS avg_chars, min(length(text)) AS min_chars, max(length(text)) AS max_chars FROM blocks")
 def f7_chunk_statistics(spark, d):
     return C.chunk_statistics(blocks(table(spark, d, "documents")).select(F.length("text").alias("character_count")))

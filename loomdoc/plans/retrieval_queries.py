@@ -83,8 +83,8 @@ SIBLINGS = f"""{ANCHORS}, a AS (SELECT *, unnest([-2, -1, 1, 2]) AS hop FROM anc
   siblings AS (SELECT qid, file, no AS chunk_no, round(score * pow(0.9, abs(hop)), 6) AS score, hop::BIGINT AS hop, anchor_no FROM f WHERE NOT EXISTS (SELECT 1 FROM anchors x WHERE x.qid = f.qid AND x.file = f.file AND x.chunk_no = f.no))"""
 
 
-def _anchors(spark, d):
-    return _best(spark, d).where("rank <= 5").join(_chunks(spark, d).withColumnRenamed("vec_id", "id"), "id").select("qid", "file", "chunk_no", "score", "rank")
+def _anchors(spark, d, best=None):
+    return (_best(spark, d) if best is None else best).where("rank <= 5").join(_chunks(spark, d).withColumnRenamed("vec_id", "id"), "id").select("qid", "file", "chunk_no", "score", "rank")
 
 
 @query(f"WITH {SIBLINGS} SELECT * FROM siblings")
@@ -97,7 +97,7 @@ def h7_siblings(spark, d):
 def retrieval(spark, d):
     """The flagship: classify, search, merge, expand by neighbours, gate."""
     top = _best(spark, d)
-    near = R.siblings(_anchors(spark, d), _chunks(spark, d), 2).groupBy("qid").agg(F.count("*").alias("n_siblings"))
+    near = R.siblings(_anchors(spark, d, top), _chunks(spark, d), 2).groupBy("qid").agg(F.count("*").alias("n_siblings"))
     c = _classes(spark, d).where("rank = 1").select("qid", "label", "probability")
     g = top.groupBy("qid").agg(F.max("score").alias("best"))
     j = c.join(g, "qid", "left").join(near, "qid", "left").join(R.gate(c.select("qid", F.lit("mains").alias("mode")), top), "qid")
@@ -173,6 +173,18 @@ def h4_fallback(spark, d):
     return R.fallback(_scores(spark, d, 0, 60), _scores(spark, d, 1, 50))
 
 
+ROUTE = "CASE qid % 3 WHEN 0 THEN 'high_confidence' WHEN 1 THEN 'medium_confidence' ELSE 'all' END"
+
+
+@query(f"""WITH {LOCAL}, {WEB}, r AS (SELECT qid, {ROUTE} AS how FROM l), f AS (SELECT r.qid, how, l < 0 AND coalesce(w > l, false) AND how <> 'all' AS replaced FROM r JOIN l USING (qid) LEFT JOIN w USING (qid)),
+  c AS (SELECT user_id AS qid, 0 AS o, value - 60 AS score FROM events WHERE event_id % 3 = 0 UNION ALL SELECT user_id, 1, value - 50 FROM events WHERE event_id % 3 = 1)
+  SELECT f.qid, CASE WHEN replaced THEN how || '_cross_collection_fallback' ELSE how END AS how, count(*) AS n, round(max(score), 6) AS best FROM f JOIN c ON c.qid = f.qid AND c.o = replaced::INT GROUP BY ALL""")
+def h4_replaced_candidates(spark, d):
+    own, others = _scores(spark, d, 0, 60), _scores(spark, d, 1, 50)
+    kept, routes = R.fallen_back(own, others, own.select("qid").distinct().withColumn("how", F.expr(ROUTE)))
+    return kept.join(routes, "qid").groupBy("qid", "how").agg(F.count("*").alias("n"), F.round(F.max("score"), 6).alias("best"))
+
+
 @query("SELECT user_id AS qid, CASE WHEN count(*) FILTER (WHERE value >= 90) >= 2 THEN 'local' ELSE 'web' END AS source FROM events GROUP BY ALL")
 def h5_news_first(spark, d):
     return R.news_first(table(spark, d, "events").select(F.col("user_id").alias("qid"), F.col("value").alias("score")), 90.0)

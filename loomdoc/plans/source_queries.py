@@ -19,9 +19,9 @@ def _pages(spark, d):
 
 
 @query(f"""WITH {PAGES}, n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page_num) - 1 AS n, greatest(1, count(*) OVER (PARTITION BY doc_id) // 8) AS step FROM pages_),
-  s AS (SELECT * FROM n WHERE n >= step // 2 AND (n - step // 2) % step = 0 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY page_num) <= 8) SELECT doc_id, avg(chars) < 400 AS scanned FROM s GROUP BY doc_id""")
+  s AS (SELECT * FROM n WHERE n >= step // 2 AND (n - step // 2) % step = 0 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY page_num) <= 8) SELECT doc_id, avg(chars) < 150 AS scanned FROM s GROUP BY doc_id""")
 def a2_scanned_documents(spark, d):
-    return C.scanned(_pages(spark, d), least=400.0)
+    return C.scanned(_pages(spark, d))
 
 
 @query(f"""WITH {PAGES}, e AS (SELECT doc_id, unnest(range(1, max(page_num) + 2)) AS page_num FROM pages_ GROUP BY doc_id)
@@ -65,11 +65,31 @@ def a25_cascade_delete(spark, d):
     return C.cascade_delete(table(spark, d, "documents"), table(spark, d, "labels").where("quality = 0"), "doc_id").select(F.col("doc_id").alias("id"), "source")
 
 
-@query("SELECT DISTINCT p_type AS name, CASE WHEN regexp_matches(p_type, '^[A-Za-z][A-Za-z0-9_ ]{1,49}$') THEN lower(replace(p_type, ' ', '_')) || '_collection' END AS collection FROM part")
+@query("SELECT DISTINCT p_type AS name, CASE WHEN regexp_matches(trim(p_type), '^[A-Za-z][A-Za-z0-9 ]*$') THEN lower(replace(p_type, ' ', '_')) || '_collection' END AS collection FROM part")
 def a26_collection_names(spark, d):
     return table(spark, d, "part").select(F.col("p_type").alias("name"), C.collection_name(F.col("p_type")).alias("collection")).distinct()
 
 
+@query("""WITH a AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS said FROM documents) SELECT doc_id, CASE WHEN len(said) >= 3 THEN array_to_string(said, '|') END AS anchors FROM a""")
+def a26_anchors(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.array_join(C.registrable(F.split("text", "\n")), "|").alias("anchors"))
+
+
+@query("SELECT doc_id AS id, source, lang, doc_id % 97 AS created_at FROM documents WHERE source = 'src1' AND lang = 'en'")
+def a23_listing(spark, d):
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "source", "lang", (F.col("doc_id") % 97).alias("created_at"))
+    return C.listing(docs, source="src1", lang="en", status=None)
+
+
+@query(f"""WITH {BLOCKS_SQL}, b AS (SELECT doc_id, count(*) AS total_blocks, count(*) FILTER (type <> 'footer') AS content_blocks, count(*) FILTER (type = 'footer') AS boilerplate_blocks, count(*) FILTER (seq % 3 = 0) AS corrected_blocks, sum(seq % 4)::BIGINT AS total_ner_entities FROM blocks GROUP BY doc_id),
+  t AS (SELECT doc_id, count(*) AS table_count FROM blocks WHERE contains(text, '|') GROUP BY doc_id), i AS (SELECT doc_id, max(page_num) AS image_count FROM blocks GROUP BY doc_id)
+  SELECT b.*, coalesce(table_count, 0) AS table_count, coalesce(image_count, 0) AS image_count FROM b LEFT JOIN t USING (doc_id) LEFT JOIN i USING (doc_id)""")
+def a15_extraction_summaries(spark, d):
+    b = _blocks(spark, d)
+    marks = b.withColumns({"is_boilerplate": F.col("type") == "footer", "was_corrected": F.col("seq") % 3 == 0, "entities": F.array_repeat(F.lit("e"), (F.col("seq") % 4).cast("int"))})
+    return C.extraction_summary(marks, b.where(F.contains("text", F.lit("|"))), b.select("doc_id", "page_num").distinct())
+
+
 @query("SELECT conv_id, turn, replace(left(text, 80), chr(10), ' ') AS query, round(length(text) / 7.0, 2) AS latency_ms FROM conversations")
 def a28_log_rows(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", F.replace(F.substring("text", 1, 80), F.lit("\n"), F.lit(" ")).alias("query"), F.round(F.length("text") / 7.0, 2).alias("latency_ms"))
@@ -87,7 +107,12 @@ def a30_article_bodies_with_titles(spark, d):
 
 @query()
 def a31_filtered_article_bodies(spark, d):
-    return W.body_v3(W.articles(table(spark, d, "pages")), ["subscribe", "cookie"])
+    return W.body_v3(W.articles(table(spark, d, "pages")))
+
+
+@query()
+def a31_whole_article_bodies(spark, d):
+    return W.body_v4(W.articles(table(spark, d, "pages")))
 
 
 @query()

@@ -20,9 +20,12 @@ def i1_last_messages(spark, d):
 
 
 @query("""WITH l AS (SELECT * FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 10)
-  SELECT conv_id AS session_id, string_agg(CASE role WHEN 'user' THEN 'User' WHEN 'assistant' THEN 'Assistant' ELSE upper(role[1]) || role[2:] END || ': ' || text, chr(10) ORDER BY turn) AS history FROM l GROUP BY conv_id""")
+  SELECT conv_id AS session_id, string_agg(CASE role WHEN 'user' THEN 'User' ELSE 'Assistant' END || ': ' || text, chr(10) ORDER BY turn) AS history FROM l GROUP BY conv_id
+  UNION ALL SELECT DISTINCT conv_id + 1000000000, 'No previous conversation history.' FROM conversations WHERE conv_id % 3 = 0""")
 def i2_history(spark, d):
-    return S.history(S.last_messages(_chat(spark, d)))
+    chat = _chat(spark, d)
+    known = chat.select("session_id").distinct()
+    return S.history(S.last_messages(chat), known.unionByName(known.where("session_id % 3 = 0").select((F.col("session_id") + 1000000000).alias("session_id"))))
 
 
 @query("SELECT event_id, sha256(lower(trim(props)) || '|' || event_type || '|' || user_id) AS cache_key FROM events")
@@ -40,8 +43,17 @@ STORED = f"{RAW}, s AS (SELECT cache_key, created_at, expires_at FROM c WHERE an
 
 
 def _stored(spark, d):
+    """A third of the entries was there before."""
     c = _cache(spark, d)
-    return S.cache_store(c.drop("answered", "gated").limit(0), c, 100)
+    old = c.where("created_at % 3 = 0 AND answered AND NOT gated").drop("answered", "gated")
+    return S.cache_store(old, c.where("created_at % 3 <> 0"), 100)
+
+
+@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN event_id + 21600.0 WHEN 3 THEN NULL ELSE event_id + 604800.0 END::DOUBLE AS expires_at FROM events")
+def j3_expiries(spark, d):
+    n = F.col("event_id")
+    mode = F.when(n % 4 == 0, "current_affairs").when(n % 4 == 1, "prelims").when(n % 4 == 2, "mains").otherwise("chat")
+    return table(spark, d, "events").select("event_id", S.expires(n.cast("double"), mode).alias("expires_at"))
 
 
 @query(f"WITH {STORED} SELECT * FROM stored")
@@ -154,7 +166,7 @@ AUDIT = f"""{BLOCKS_SQL}, audit AS (SELECT doc_id, count(*) > 0 AS has_blocks, b
   a AS (SELECT *, ((NOT has_blocks)::INT + (NOT pages_valid)::INT + (NOT no_empty_text)::INT + (NOT types_valid)::INT + (NOT ids_unique)::INT + (NOT has_headings)::INT)::BIGINT AS failed FROM audit),
   cov AS (SELECT doc_id, round(100.0 * count(DISTINCT page_num) FILTER (WHERE seq % 11 <> 3) / (max(page_num) + doc_id % 2), 2) AS coverage FROM blocks GROUP BY doc_id),
   iss AS (SELECT doc_id, count(*) FILTER (WHERE length(text) < 5) AS critical, count(*) FILTER (WHERE length(text) BETWEEN 5 AND 20) AS major, count(*) FILTER (WHERE length(text) > 2000) AS minor FROM blocks GROUP BY doc_id),
-  v AS (SELECT doc_id, round(greatest(0.0, least(100.0, 100 - 0.3 * (100 - coverage) - 2.2 * failed - 15 * critical - 5 * major - 2 * minor)), 2) AS score FROM a JOIN cov USING (doc_id) JOIN iss USING (doc_id)),
+  v AS (SELECT doc_id, round(100 - 0.3 * (100 - coverage) - 2.2 * failed - 15 * critical - 5 * major - 2 * minor, 1) AS raw, greatest(0.0, least(100.0, raw)) AS score FROM a JOIN cov USING (doc_id) JOIN iss USING (doc_id)),
   scores AS (SELECT *, CASE WHEN score >= 90 THEN 'Excellent' WHEN score >= 75 THEN 'Good' WHEN score >= 55 THEN 'Fair' ELSE 'Poor' END AS rating FROM v)"""
 
 
@@ -216,10 +228,39 @@ def l3_quality_scores(spark, d):
     return _scores(spark, d)
 
 
-@query(f"""WITH {BLOCKS_SQL}, p AS (SELECT *, lead(text) OVER w AS nx, lead(page_num) OVER w AS np FROM blocks WHERE type = 'paragraph' WINDOW w AS (PARTITION BY doc_id ORDER BY seq))
-  SELECT doc_id, count(*) FILTER (WHERE np = page_num + 1 AND NOT regexp_matches(rtrim(text), '[.?!]$') AND regexp_matches(nx, '^[a-z]')) AS n FROM p GROUP BY doc_id""")
+#: Lines cut in two, so that sentences part between blocks; every seventh is boilerplate.
+HALVES = f"{BLOCKS_SQL}, h AS (SELECT doc_id, 2 * seq + k AS seq, page_num, CASE WHEN seq % 7 = 3 THEN type ELSE 'paragraph' END AS type, seq % 7 = 5 AS is_boilerplate, CASE k WHEN 0 THEN left(text, length(text) // 2) ELSE substr(text, length(text) // 2 + 1) END AS text, seq % 50 = 7 AS bbox_approximate FROM blocks, (SELECT unnest([0, 1]) AS k))"
+T = "regexp_replace(text, '^\\s+|\\s+$', '', 'g')"
+L4 = f"""{HALVES}, t AS (SELECT doc_id, seq, {T} AS t, type = 'paragraph' AND NOT is_boilerplate AS body FROM h), p AS (SELECT *, lead(t) OVER w AS nx, lead(body) OVER w AS nb FROM t WINDOW w AS (PARTITION BY doc_id ORDER BY seq)),
+  l4 AS (SELECT doc_id, count(*) FILTER (WHERE body AND nb AND t <> '' AND NOT regexp_matches(t, '[.!?:"]$') AND regexp_matches(nx, '^[a-z]')) AS n FROM p GROUP BY doc_id)"""
+
+
+def _halves(spark, d):
+    b = blocks(table(spark, d, "documents")).withColumn("k", F.explode(F.array(F.lit(0), F.lit(1))))
+    n, half = F.col("seq"), F.floor(F.length("text") / 2).cast("int")
+    text = F.when(F.col("k") == 0, F.substring("text", F.lit(1), half)).otherwise(F.substring("text", half + 1, F.length("text")))
+    return b.select("doc_id", (2 * n + F.col("k")).alias("seq"), "page_num", F.when(n % 7 == 3, F.col("type")).otherwise("paragraph").alias("type"), (n % 7 == 5).alias("is_boilerplate"), text.alias("text"), (n % 50 == 7).alias("bbox_approximate"))
+
+
+@query(f"WITH {L4} SELECT doc_id, n FROM l4")
 def l4_split_sentences(spark, d):
-    return E.split_sentences(blocks(table(spark, d, "documents")))
+    return E.split_sentences(_halves(spark, d))
+
+
+@query(f"""WITH {L4}, c AS (SELECT doc_id, trim(text) AS t FROM h WHERE length(trim(text)) > 40 GROUP BY ALL HAVING count(DISTINCT page_num) > 1), g AS (SELECT doc_id, count(*) AS again FROM c GROUP BY doc_id),
+  b AS (SELECT doc_id, count(*) FILTER (contains(text, 'monotheistsant') OR regexp_matches(text, '\\b[A-Z]\\s+ol\\b') OR regexp_matches(text, '\\b[A-Z]\\s+ork\\b')) AS errors, count(*) FILTER (bbox_approximate) AS boxes, count(*) FILTER (NOT is_boilerplate) AS content FROM h GROUP BY doc_id)
+  SELECT doc_id, (doc_id % 4 = 1)::INT + (content = 0)::INT AS critical, (errors > 0)::INT + (coalesce(again, 0) > 0)::INT AS major, (n > 0)::INT + (boxes > 0)::INT AS minor FROM b LEFT JOIN g USING (doc_id) JOIN l4 USING (doc_id)""")
+def l3_issues(spark, d):
+    covered = table(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 4 == 1, 2).otherwise(0).alias("missing"))
+    return E.issues(_halves(spark, d), covered)
+
+
+@query(f"""WITH {BLOCKS_SQL}, f AS (SELECT doc_id, max(page_num) + doc_id % 2 AS pages, count(DISTINCT page_num) FILTER (WHERE page_num % 3 <> 0) AS found, count(DISTINCT page_num) FILTER (WHERE page_num % 3 <> 0 AND page_num <= 1000000) AS had FROM blocks GROUP BY doc_id)
+  SELECT doc_id, round(100.0 * found / pages, 2) AS coverage, least(round(100.0 * found / pages, 2), 100.0) AS coverage_capped, pages - had AS missing FROM f""")
+def l2_coverage(spark, d):
+    b = blocks(table(spark, d, "documents"))
+    expected = b.groupBy("doc_id").agg((F.max("page_num") + F.col("doc_id") % 2).alias("pages"))
+    return E.coverage(b.where("page_num % 3 <> 0"), expected)
 
 
 @query(f"WITH {AUDIT} SELECT rating, count(*) AS n, round(avg(score), 4) AS mean_score FROM scores GROUP BY rating")

@@ -43,11 +43,20 @@ def summary(blocks: DataFrame) -> DataFrame:
 
 
 def listing(documents: DataFrame, **equal) -> DataFrame:
-    """Documents that match, the newest first by place."""
+    """Documents that match, the newest first."""
     for c, v in equal.items():
         if v is not None:
             documents = documents.where(F.col(c) == v)
-    return documents.withColumn("place", F.row_number().over(Window.orderBy(F.desc("created_at"), "id")).cast("long"))
+    return documents.orderBy(F.desc("created_at"), "id")
+
+
+def extraction_summary(blocks: DataFrame, tables: DataFrame, images: DataFrame) -> DataFrame:
+    """(doc_id, total_blocks, content_blocks, boilerplate_blocks, corrected_blocks, table_count, image_count, total_ner_entities) from blocks with is_boilerplate, was_corrected and entities, and a row for each table and image."""
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False))
+    b = blocks.groupBy("doc_id").agg(F.count("*").alias("total_blocks"), F.count_if(~flag("is_boilerplate")).alias("content_blocks"), F.count_if(flag("is_boilerplate")).alias("boilerplate_blocks"), F.count_if(flag("was_corrected")).alias("corrected_blocks"), F.sum(F.coalesce(F.size("entities"), F.lit(0))).alias("total_ner_entities"))
+    n = lambda df, c: df.groupBy("doc_id").agg(F.count("*").alias(c))
+    j = b.join(n(tables, "table_count"), "doc_id", "left").join(n(images, "image_count"), "doc_id", "left")
+    return j.fillna(0, ["table_count", "image_count"])
 
 
 def cascade_delete(table: DataFrame, gone: DataFrame, key: str) -> DataFrame:
@@ -55,5 +64,12 @@ def cascade_delete(table: DataFrame, gone: DataFrame, key: str) -> DataFrame:
 
 
 def collection_name(name):
-    """The collection of a classification; null for names that aren't letters, digits, blanks and underscores."""
-    return F.when(name.rlike("^[A-Za-z][A-Za-z0-9_ ]{1,49}$"), F.concat(F.lower(F.replace(name, F.lit(" "), F.lit("_"))), F.lit("_collection")))
+    """The collection of a classification; null for names that aren't letters, digits and blanks, or don't begin with a letter."""
+    t = F.trim(name)
+    return F.when(t.rlike("^[A-Za-z][A-Za-z0-9 ]*$"), F.concat(F.lower(F.replace(t, F.lit(" "), F.lit("_"))), F.lit("_collection")))
+
+
+def registrable(anchors, least: int = 3):
+    """The anchors that aren't blank, trimmed; null if they are too few to register a classification."""
+    said = F.filter(F.transform(anchors, lambda a: F.trim(a)), lambda a: a != "")
+    return F.when(F.size(said) >= least, said)

@@ -52,20 +52,20 @@ class _Page(HTMLParser):
 
 
 def articles(pages: DataFrame, least: int = 40) -> DataFrame:
-    """(page_id, title, paragraphs, text): h1 or else the title, paragraphs longer than ``least``, all text outside skipped parts. A null page gives empty values."""
+    """(page_id, url, title, paragraphs, every, text): h1 or else the title, paragraphs longer than ``least`` and all of them, all text outside skipped parts. A null page gives empty values."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for i, html in zip(pdf["page_id"], pdf["html"], strict=True):
+            for i, url, html in zip(pdf["page_id"], pdf["url"], pdf["html"], strict=True):
                 p = _Page()
                 p.feed(html or "")
                 p.close()
                 clean = [" ".join(x.split()) for x in p.paragraphs]
-                rows.append((i, " ".join((p.h1 or p.title).split()), [x for x in clean if len(x) > least], " ".join(" ".join(p.loose).split())))
-            yield pd.DataFrame(rows, columns=["page_id", "title", "paragraphs", "text"])
+                rows.append((i, url, " ".join((p.h1 or p.title).split()), [x for x in clean if len(x) > least], clean, " ".join(" ".join(p.loose).split())))
+            yield pd.DataFrame(rows, columns=["page_id", "url", "title", "paragraphs", "every", "text"])
 
-    return pages.select("page_id", "html").mapInPandas(read, "page_id bigint, title string, paragraphs array<string>, text string")
+    return pages.select("page_id", "url", "html").mapInPandas(read, "page_id bigint, url string, title string, paragraphs array<string>, every array<string>, text string")
 
 
 def body_v1(a: DataFrame, least: int = 100) -> DataFrame:
@@ -74,12 +74,26 @@ def body_v1(a: DataFrame, least: int = 100) -> DataFrame:
     return a.select("page_id", "title", F.when(F.length(t) < least, F.col("text")).otherwise(t).alias("body"))
 
 
+def source_of(url: Column) -> Column:
+    """The news site that a URL belongs to."""
+    return F.when(F.contains(url, F.lit("thehindu.com")), "thehindu.com").when(F.contains(url, F.lit("pib.gov.in")), "pib.gov.in").otherwise("web")
+
+
 def body_v2(a: DataFrame, least: int = 100) -> DataFrame:
-    """Paragraphs as one line; pages without a title or with too little text are rejected."""
-    return a.select("page_id", "title", F.array_join("paragraphs", " ").alias("body")).where((F.col("title") != "") & (F.length("body") >= least))
+    """Paragraphs as one line, and the source; pages without a title or with too little text are rejected."""
+    return a.select("page_id", "title", F.array_join("paragraphs", " ").alias("body"), source_of(F.coalesce("url", F.lit(""))).alias("source")).where((F.col("title") != "") & (F.length("body") >= least))
+
+
+#: Phrases of paragraphs that sell the paper instead of telling news.
+BLOCKED = ["subscribed with another email", "account subscription benefits", "premium stories", "unlock these with subscription", "view from india", "first day first show", "today's cache", "download of the top 5"]
+
+
+def body_v4(a: DataFrame, cap: int = 3000) -> DataFrame:
+    """All paragraphs, cut to the cap."""
+    return a.select("page_id", "title", F.substring(F.array_join("every", " "), 1, cap).alias("body"))
 
 
-def body_v3(a: DataFrame, blocked: list[str], most: int = 12, cap: int = 3000) -> DataFrame:
+def body_v3(a: DataFrame, blocked: list[str] = BLOCKED, most: int = 12, cap: int = 3000) -> DataFrame:
     """The first paragraphs without blocked phrases, cut to the cap; titles of ten characters at least."""
     free = F.filter("paragraphs", lambda p: ~F.exists(F.array(*map(F.lit, blocked)), lambda b: F.contains(F.lower(p), b)))
     return a.where(F.length("title") >= 10).select("page_id", "title", F.substring(F.array_join(F.slice(free, 1, most), " "), 1, cap).alias("body"))
