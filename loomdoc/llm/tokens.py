@@ -21,6 +21,7 @@ import hashlib
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -30,12 +31,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import written
+from .hashing import byte_offsets
 
 SHARD_IDS = 1 << 20
 SAMPLE_DOCS = 1000
 SAMPLE_CHARS = 8192
 DICT_BYTES = 64 << 10
 LEVEL = 3
+#: Text encoded at once.
+BYTES_AT_ONCE = 12 << 20
 #: Pieces that a worker remembers.
 CACHE = 600_000
 SHARD_SCHEMA = "first_id bigint, seq bigint, n_docs bigint, n_ids bigint, dict_sha256 string, width int, ids_index binary, offset_index binary, count_index binary, frames binary"
@@ -83,17 +87,17 @@ class Encoder:
         lists = pc.split_pattern(pc.fill_null(texts.cast(pa.large_string()), ""), " ")
         pieces = lists.flatten().dictionary_encode()
         which, names = np.asarray(pieces.indices), pieces.dictionary.to_pylist()
-        new = [x for x in names if x not in self.place]
+        where = np.fromiter(map(self.place.get, names, repeat(-1)), np.int64, len(names))
+        out = np.flatnonzero(where < 0)
+        new = [names[i] for i in out.tolist()]
         more, at = self._encoded(new)
-        room = CACHE - len(self.place)
-        if len(new) <= room:
+        if len(new) <= CACHE - len(self.place):
+            where[out] = len(self.place) + np.arange(len(new))
             self._remember(new, more, at)
             new = []
-        where = np.fromiter((self.place.get(x, -1) for x in names), np.int64, len(names))
         begin, end = self.begin[where], self.begin[where + 1]
         ids = self.ids[: self.used]
         if new:  # beyond what is remembered
-            out = np.flatnonzero(where < 0)
             begin[out], end[out] = self.used + at[:-1], self.used + at[1:]
             ids = np.concatenate([ids, more])
         size = end - begin
@@ -157,8 +161,8 @@ def write_ids(docs: DataFrame, out: str, tokenizer: str, end_id: int | None = No
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, schema, strict=True)], schema=schema)
 
         for batch in batches:
-            for i in range(0, batch.num_rows, 512):
-                part = batch.slice(i, 512)
+            for i, j in _slices(batch.column(1)):
+                part = batch.slice(i, j - i)
                 ids, at = enc(part.column(1), end_id)
                 for name, a, b in zip(part.column(0).to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
                     ids_of.append(name)
@@ -175,6 +179,15 @@ def write_ids(docs: DataFrame, out: str, tokenizer: str, end_id: int | None = No
     ordered.mapInArrow(pack, SHARD_SCHEMA).write.parquet(f"{out}/shards")
 
 
+def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """(begin, end) of rows to be encoded at once: the more, the fewer pieces are looked up again; one text may be longer than BYTES_AT_ONCE."""
+    off, at = byte_offsets(texts)[0], 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(off, off[at] + BYTES_AT_ONCE, "right")) - 1)
+        yield at, min(to, len(texts))
+        at = min(to, len(texts))
+
+
 def _packed_ids(named: pa.Array) -> bytes:
     """Doc ids as a validity byte and eight bytes each."""
     return np.asarray(named.is_valid()).astype("u1").tobytes() + np.asarray(named.fill_null(0)).astype("<i8").tobytes()
