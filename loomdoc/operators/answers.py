@@ -36,7 +36,7 @@ def unfenced(c: Column) -> Column:
 def _json(c: Column, schema: str) -> Column:
     """c as JSON, null if it is none; line ends within strings are let through."""
     got = F.from_json(c, f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad", "allowUnquotedControlChars": "true"})
-    return F.when(c.startswith("{"), bound(got, lambda x: F.when(x["_bad"].isNull(), x)))
+    return F.when(c.startswith("{") & c.endswith("}"), bound(got, lambda x: F.when(x["_bad"].isNull(), x)))
 
 
 def parse_answer(raw: Column) -> Column:

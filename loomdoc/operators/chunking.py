@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from ..functions.text import S, bound, repair_ellipsis, sentences
 
@@ -126,3 +128,41 @@ def sampled_content(text: Column, cap: int = 14_000, min_chars: int = 30, most:
 def chunk_statistics(chunks: DataFrame) -> DataFrame:
     n = F.col("character_count")
     return chunks.agg(F.count("*").alias("chunks"), F.avg(n).alias("avg_chars"), F.min(n).alias("min_chars"), F.max(n).alias("max_chars"))
+
+
+def _recursive(text: str, most: int, overlap: int, separators: list[str]) -> list[str]:
+    """Pieces of a text at the first separator that it holds, each led by it, packed up to ``most`` characters with the last ones, up to ``overlap``, once more; a longer piece is parted at the next separators."""
+    at = next(i for i, s in enumerate(separators) if s == "" or s in text)
+    sep, rest = separators[at], separators[at + 1 :]
+    pieces = list(text) if sep == "" else [x for x in (p if i == 0 else sep + p for i, p in enumerate(text.split(sep))) if x]
+    out: list[str] = []
+    held: list[str] = []
+
+    def flush() -> None:
+        if (said := "".join(held).strip()):
+            out.append(said)
+
+    for piece in pieces:
+        if len(piece) >= most and rest:
+            flush()
+            held.clear()
+            out += _recursive(piece, most, overlap, rest)
+            continue
+        size = sum(map(len, held))
+        if held and size + len(piece) > most:
+            flush()
+            while held and (size > overlap or size + len(piece) > most):
+                size -= len(held.pop(0))
+        held.append(piece)
+    flush()
+    return out
+
+
+def recursive_chunks(docs: DataFrame, most: int = 1000, overlap: int = 200, separators: tuple[str, ...] = ("\n\n", "\n", " ", "")) -> DataFrame:
+    """(doc_id, chunk_index, text): texts parted at the coarsest separators that give chunks of at most ``most`` characters; blank texts have none."""
+
+    @F.pandas_udf(ArrayType(StringType()))
+    def parted(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: _recursive(t, most, overlap, list(separators)) if t and t.strip() else [])
+
+    return docs.select("doc_id", F.posexplode(parted("text")).alias("chunk_index", "text"))

@@ -167,8 +167,8 @@ def upsert(stored: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     return stored.join(new.select(*key).distinct(), key, "left_anti").unionByName(last)
 
 
-def point_id(name: Column, namespace: str = "6ba7b8119dad11d180b400c04fd430c8") -> Column:
-    """A version-5 UUID: SHA-1 of namespace and name with version and variant bits set."""
+def point_id(name: Column, namespace: str = "6ba7b8109dad11d180b400c04fd430c8") -> Column:
+    """A version-5 UUID, by default in the namespace of domain names: SHA-1 of namespace and name with version and variant bits set."""
     h = F.sha1(F.concat(F.unhex(F.lit(namespace)), name.cast("binary")))
     variant = F.substring(F.lower(F.hex(F.conv(F.substring(h, 17, 2), 16, 10).cast("int").bitwiseAND(0x3F).bitwiseOR(0x80))), -2, 2)
     return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(variant, F.substring(h, 19, 2)), F.substring(h, 21, 12))

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..operators import boilerplate as P
 from ..operators import chunking as C
 from ..operators import tables as X
+from ..operators.postprocess import postprocess
 from ..sources.layout import BLOCKS_SQL, blocks
 from .registry import SQL, query, table
 
@@ -342,3 +343,14 @@ def f7_window_statistics(spark, d):
 @query(f"WITH {BLOCKS_SQL} SELECT count(*) AS chunks, avg(length(text)) AS avg_chars, min(length(text)) AS min_chars, max(length(text)) AS max_chars FROM blocks")
 def f7_chunk_statistics(spark, d):
     return C.chunk_statistics(blocks(table(spark, d, "documents")).select(F.length("text").alias("character_count")))
+
+
+@query()
+def e15_postprocessed_blocks(spark, d):
+    e = postprocess(_put(spark, d))
+    return e.select("doc_id", "seq", "type", "boilerplate_type", "is_boilerplate", "was_corrected", "text", F.size("entities").alias("n_entities"))
+
+
+@query()
+def f6_recursive_chunks(spark, d):
+    return C.recursive_chunks(table(spark, d, "documents"))

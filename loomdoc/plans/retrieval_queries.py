@@ -251,6 +251,7 @@ def a19_upsert(spark, d):
     return out.withColumn("version", F.when(F.col("version") >= 0, F.floor(F.col("version") / 1000)).otherwise(F.col("version")))
 
 
-@query()
+@query("""WITH h AS (SELECT vec_id, sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode('doc:chk_' || vec_id)) AS h FROM embeddings)
+  SELECT vec_id, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || lower(hex((('0x' || h[17:18])::INT & 63) | 128)) || h[19:20] || '-' || h[21:32] AS point_id FROM h""")
 def a19_point_ids(spark, d):
     return _points(spark, d).select("vec_id", V.point_id(F.concat(F.lit("doc:chk_"), F.col("vec_id").cast("string"))).alias("point_id"))

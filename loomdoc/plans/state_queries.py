@@ -6,6 +6,7 @@ from ..operators import evaluation as E
 from ..operators import state as S
 from ..sources import web as W
 from ..sources.layout import BLOCKS_SQL, blocks
+from .catalogue_queries import PAPERS as PAPERS_SQL
 from .registry import query, table
 
 
@@ -72,16 +73,14 @@ def j4_cache_stats(spark, d):
     return S.cache_stats(_stored(spark, d), NOW)
 
 
-#: Papers with their words in order of trial.
-PAPERS = [("GS-3", ["econom", "ai", "tech"]), ("GS-2", ["un", "court", "law"]), ("GS-1", ["histor", "the", "la"])]
-TAG = "CASE " + " ".join(f"WHEN {' OR '.join(f'contains(lower(title), {chr(39)}{w}{chr(39)})' for w in ws)} THEN '{t}'" for t, ws in PAPERS) + " ELSE 'GS-2' END"
+TAG = PAPERS_SQL.replace("contains(t,", "contains(lower(title),")
 ARTICLES = f"a AS (SELECT doc_id AS place, left(text, 60) AS title, left(text, 200) AS summary, DATE '2024-01-01' + (doc_id % 30)::INT AS date, CASE WHEN doc_id % 3 = 0 THEN 'high' ELSE 'low' END AS priority FROM documents), articles AS (SELECT *, {TAG} AS tag, md5(title || date::VARCHAR)[:12] AS id FROM a)"
 TODAY = "DATE '2024-01-28'"
 
 
 def _articles(spark, d):
     a = table(spark, d, "documents").select(F.col("doc_id").alias("place"), F.substring("text", 1, 60).alias("title"), F.substring("text", 1, 200).alias("summary"), F.expr("date_add(DATE '2024-01-01', cast(doc_id % 30 as int))").alias("date"), F.when(F.col("doc_id") % 3 == 0, "high").otherwise("low").alias("priority"))
-    return a.withColumns({"tag": S.tag_by_words(F.col("title"), PAPERS, "GS-2"), "id": S.article_id(F.col("title"), F.col("date"))})
+    return a.withColumns({"tag": S.tag_by_words(F.col("title"), S.PAPERS, "GS-2"), "id": S.article_id(F.col("title"), F.col("date"))})
 
 
 @query(f"WITH {ARTICLES} SELECT place, tag, id FROM articles")
@@ -100,9 +99,9 @@ def k5_retention(spark, d):
     return S.retained(_articles(spark, d), F.expr(TODAY), 5).select("id", "place")
 
 
-@query(f"WITH {ARTICLES} SELECT id, date, row_number() OVER (PARTITION BY date ORDER BY (priority = 'high') DESC, id, articles.place) AS place FROM articles WHERE date >= {TODAY} - 5 AND tag = 'GS-1' AND (contains(lower(title), 'er') OR contains(lower(summary), 'er'))")
+@query(f"WITH {ARTICLES} SELECT id, date, row_number() OVER (PARTITION BY date ORDER BY (priority = 'high') DESC, id, articles.place) AS place FROM articles WHERE date >= {TODAY} - 5 AND tag = 'GS-3' AND (contains(lower(title), 'er') OR contains(lower(summary), 'er'))")
 def k6_feed(spark, d):
-    return S.feed(_articles(spark, d), F.expr(TODAY), 5, "GS-1", "er").select("id", "date", "place")
+    return S.feed(_articles(spark, d), F.expr(TODAY), 5, "GS-3", "er").select("id", "date", "place")
 
 
 @query(f"WITH {ARTICLES} SELECT date, tag, count(*) AS n, count(*) FILTER (WHERE priority = 'high') AS important FROM articles GROUP BY ALL")
@@ -114,7 +113,7 @@ def _page_articles(spark, d):
     """Articles with a page's whole title and body; tags read both. Pages have no date, so it follows from their number."""
     a = W.body_v1(W.articles(table(spark, d, "pages")))
     a = a.select(F.col("page_id").alias("place"), "title", F.col("body").alias("summary"), F.expr("date_add(DATE '2024-01-01', cast(page_id % 30 as int))").alias("date"), F.when(F.col("page_id") % 3 == 0, "high").otherwise("low").alias("priority"))
-    return a.withColumns({"tag": S.tag_by_words(F.concat_ws(" ", "title", "summary"), PAPERS, "GS-2"), "id": S.article_id(F.col("title"), F.col("date"))})
+    return a.withColumns({"tag": S.tag_by_words(F.concat_ws(" ", "title", "summary"), S.PAPERS, "GS-2"), "id": S.article_id(F.col("title"), F.col("date"))})
 
 
 @query()

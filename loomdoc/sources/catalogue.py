@@ -73,3 +73,8 @@ def registrable(anchors, least: int = 3):
     """The anchors that aren't blank, trimmed; null if they are too few to register a classification."""
     said = F.filter(F.transform(anchors, lambda a: F.trim(a)), lambda a: a != "")
     return F.when(F.size(said) >= least, said)
+
+
+def write_chunks(chunks: DataFrame, out: str, key: str = "doc_id") -> None:
+    """Chunks as JSON lines, a folder for each document."""
+    chunks.repartition(key).write.partitionBy(key).mode("overwrite").json(out)

