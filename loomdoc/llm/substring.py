@@ -4,8 +4,9 @@ Seeds: from each text's hashes of ``SEED_WORDS`` words, winnowing keeps the leas
 in a row, so each stretch of ``span`` words has exactly one anchor, and equal stretches have equal anchors. Documents are
 joined on the anchors that occur in more than one. Extension: around a shared anchor, each stretch that lies to its left
 and right is keyed by (anchor, hash of the whole stretch), 96 bits together, and held against the smallest document with that key.
-Neighbouring repeated stretches join to maximal repeats, all of ``span`` words or more, and a word is removed if a repeat
-covers it that also starts in a document with a smaller id.
+Neighbouring repeated stretches join to maximal repeats, all of ``span`` words or more (``maximal``), and a word is removed if a repeat
+covers it that also starts in a document with a smaller id. An anchor is extended to both sides at once, by all stretches around it, because the document that
+shares the most to its left need not be the one that shares the most to its right.
 
 An anchor with at most ``HOT`` records is worked on beside the others of its hash partition. A hotter one is not gathered:
 its stretches are first reduced to (key, smallest document) on the map side and then joined under salted keys. Both ways give the same rows.
@@ -92,15 +93,24 @@ def repeats(d: DataFrame, span: int = SPAN) -> DataFrame:
     return side.unionByName(found)
 
 
+def maximal(marks: list[dict], span: int) -> list[tuple[int, int]]:
+    """(begin, end) in words of the maximal repeats of a text: stretches that start one word after the other are one repeat."""
+    starts = sorted({m["at"] + i for m in marks or [] for i in range(MOST) if m["mask"] >> i & 1})
+    out: list[tuple[int, int]] = []
+    for s in starts:
+        if out and s == out[-1][1] - span + 1:
+            out[-1] = (out[-1][0], s + span)
+        else:
+            out.append((s, s + span))
+    return out
+
+
 def _cut(ws: list[str], marks: list[dict], span: int) -> list[str]:
-    gone = np.zeros(len(ws) + 1, np.int32)
-    for m in marks or []:
-        for i in range(MOST):
-            if m["mask"] >> i & 1:
-                gone[m["at"] + i] += 1
-                gone[m["at"] + i + span] -= 1
-    keep = np.cumsum(gone)[:-1] == 0
-    return [w for w, k in zip(ws, keep.tolist(), strict=True) if k]
+    out, at = [], 0
+    for begin, end in maximal(marks, span):
+        out += ws[at : max(at, begin)]
+        at = max(at, end)
+    return out + ws[at:]
 
 
 def _marked(docs: DataFrame, id_col: str, text: str, span: int) -> DataFrame:
