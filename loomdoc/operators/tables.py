@@ -104,9 +104,12 @@ def blob_lines(blocks: DataFrame) -> DataFrame:
 
 
 def split_diagram(text: Column, mark: str = "---SUMMARY---") -> Column:
-    """struct(code, summary) of a diagram block; without the mark all is summary."""
-    at = F.locate(mark, text)
-    return F.when(at > 0, F.struct(F.trim(F.substring(text, F.lit(1), at - 1)).alias("code"), F.trim(F.substring(text, at + len(mark), F.length(text))).alias("summary"))).otherwise(F.struct(F.lit(None).cast("string").alias("code"), F.trim(text).alias("summary")))
+    """struct(code, summary) of a diagram block: what stands before and after the mark; without it a fenced block and what follows; without that all is summary."""
+    at, fence = F.locate(mark, text), r"(?is)```mermaid.*?```"
+    parts = lambda code, summary: F.struct(F.trim(code).alias("code"), F.trim(summary).alias("summary"))
+    marked = parts(F.substring(text, F.lit(1), at - 1), F.substring(text, at + len(mark), F.length(text)))
+    fenced = parts(F.regexp_extract(text, fence, 0), F.regexp_extract(text, fence + "(.*)", 1))
+    return F.when(at > 0, marked).when(text.rlike(fence), fenced).otherwise(parts(F.lit(""), text))
 
 
 #: Entity labels with their patterns, in order of priority.

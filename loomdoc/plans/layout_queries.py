@@ -199,10 +199,13 @@ def e9_table_row_texts(spark, d):
     return X.row_texts(_tables(spark, d))
 
 
-@query("""SELECT doc_id, CASE WHEN instr(t, '---SUMMARY---') > 0 THEN trim(t[:instr(t, '---SUMMARY---') - 1]) END AS code, trim(CASE WHEN instr(t, '---SUMMARY---') > 0 THEN t[instr(t, '---SUMMARY---') + 13:] ELSE t END) AS summary
-  FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN text ELSE 'graph ' || lang || ' ---SUMMARY--- ' || text END AS t FROM documents)""")
+@query("""WITH d AS (SELECT doc_id, doc_id % 3 AS k, lang, text FROM documents)
+  SELECT doc_id, CASE k WHEN 1 THEN 'graph ' || lang WHEN 2 THEN '```Mermaid graph ' || chr(10) || lang || '```' ELSE '' END AS code, trim(text) AS summary FROM d""")
 def e10_split_diagrams(spark, d):
-    t = F.when(F.col("doc_id") % 3 == 0, F.col("text")).otherwise(F.concat(F.lit("graph "), "lang", F.lit(" ---SUMMARY--- "), "text"))
+    n = F.col("doc_id")
+    marked = F.concat(F.lit("graph "), "lang", F.lit(" ---SUMMARY--- "), "text")
+    fenced = F.concat(F.lit("```Mermaid graph \n"), "lang", F.lit("``` "), "text")
+    t = F.when(n % 3 == 1, marked).when(n % 3 == 2, fenced).otherwise(F.col("text"))
     return table(spark, d, "documents").select("doc_id", X.split_diagram(t).alias("x")).select("doc_id", "x.*")
 
 

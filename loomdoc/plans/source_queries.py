@@ -55,6 +55,12 @@ def a14_merged_batches(spark, d):
     return C.merge_batches(p.unionByName(again)).select("doc_id", "page_num", "text")
 
 
+@query(f"""WITH {TEXTS}, e AS (SELECT doc_id, unnest(range(1, max(page_num) + 2)) AS page_num FROM t GROUP BY doc_id) SELECT doc_id, page_num FROM e ANTI JOIN (SELECT * FROM t WHERE page_num % 3 <> 2) USING (doc_id, page_num)""")
+def a14_missing_pages(spark, d):
+    p = pages_of(_blocks(spark, d))
+    return C.missing_pages(p.where("page_num % 3 <> 2"), p.groupBy("doc_id").agg((F.max("page_num") + 1).alias("pages")))
+
+
 @query(f"WITH {BLOCKS_SQL} SELECT doc_id, count(*) AS n_blocks, count(*) FILTER (WHERE type = 'heading') AS n_headings, count(DISTINCT page_num) AS n_pages, sum(length(text))::BIGINT AS n_chars FROM blocks GROUP BY doc_id")
 def a15_summaries(spark, d):
     return C.summary(_blocks(spark, d))

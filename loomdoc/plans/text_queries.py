@@ -102,6 +102,15 @@ def d7_repeated_words(spark, d):
     return _with(spark, d, "replace(text, 'the ', 'the the ')").select("doc_id", "seq", T.collapse_repeats(F.col("raw")).alias("text"))
 
 
+PARTED = "replace(replace(text, 'on', ' ṇ on'), 'er', 'x  ṣ  er')"
+LETTER, MARKS = "[\\p{L}\\p{N}_]", "[ṇṣśñṭḍṛḷṃḥĀāĪīŪūṚṛṜṝḶḷḸḹṂṃḤḥÑñṬṭḌḍṆṇŚśṢṣ]"
+
+
+@query(_sql(PARTED, _nest("raw", [(f"({LETTER})\\s+({MARKS})\\s*({LETTER})", "\\1\\2\\3"), (f"({LETTER})\\s+({MARKS})", "\\1\\2")])))
+def d8_rejoined_diacritics(spark, d):
+    return _with(spark, d, PARTED).select("doc_id", "seq", T.rejoin_diacritics(F.col("raw")).alias("text"))
+
+
 WIDE = "replace(replace(text, ' ', '  '), '.', '.\n\n\n\n')"
 
 

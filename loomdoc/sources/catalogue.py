@@ -30,6 +30,12 @@ def merge_batches(batches: DataFrame) -> DataFrame:
     return batches.withColumn("n", last).where("n = 1").drop("n")
 
 
+def missing_pages(pages: DataFrame, counts: DataFrame) -> DataFrame:
+    """(doc_id, page_num) of the pages that no batch has. counts: (doc_id, pages)."""
+    every = counts.select("doc_id", F.explode(F.sequence(F.lit(1).cast("long"), F.col("pages").cast("long"))).alias("page_num"))
+    return every.join(pages.select("doc_id", "page_num").distinct(), ["doc_id", "page_num"], "left_anti")
+
+
 def fill_pages(pages: DataFrame, counts: DataFrame) -> DataFrame:
     """All pages of each document, those that are missing as blank ones."""
     every = counts.select("doc_id", F.explode(F.sequence(F.lit(1).cast("long"), F.col("pages").cast("long"))).alias("page_num"))
