@@ -9,7 +9,7 @@ OPENING = "A licence line that many different documents share word for word, up
 
 def test_whole_titles_and_bodies(spark, tmp_path):
     filler = "<p>" + "zzz " * 100 + "</p>"
-    pages = [(30 * i, f"https://a.org/{i}", f"<html><body><h1>{OPENING}{i}</h1>{filler}<p>{'zzz ' * 20} {word}.</p></body></html>") for i, word in [(1, "economy"), (2, "zzz"), (3, "histors"), (5, "court"), (4, "zzz")]]
+    pages = [(30 * i, f"https://a.org/{i}", f"<html><body><h1>{OPENING}{i}</h1>{filler}<p>{'zzz ' * 20} {word}.</p></body></html>") for i, word in [(1, "economy"), (2, "zzz"), (3, "history"), (5, "court"), (4, "zzz")]]
     pages += [(90 + 27, "https://a.org/late", f"<h1>Zzz</h1>{filler}<p>{'zzz ' * 20} ERZ.</p>"), (90 + 28, "https://a.org/none", f"<h1>Zzz</h1>{filler}"), (30 * 7, "https://a.org/again", f"<h1>{OPENING}1</h1>{filler}")]
     spark.createDataFrame(pages, "page_id bigint, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     run = lambda name: plans.QUERIES[name](spark, str(tmp_path)).collect()
