@@ -39,7 +39,7 @@ SAMPLE_CHARS = 8192
 DICT_BYTES = 64 << 10
 LEVEL = 3
 #: Text encoded at once.
-BYTES_AT_ONCE = 12 << 20
+BYTES_AT_ONCE = 6 << 20
 #: Pieces that a worker remembers.
 CACHE = 600_000
 SHARD_SCHEMA = "first_id bigint, seq bigint, n_docs bigint, n_ids bigint, dict_sha256 string, width int, ids_index binary, offset_index binary, count_index binary, frames binary"
