@@ -152,9 +152,16 @@ def bound(c: Column, f: Callable[[Column], Column]) -> Column:
 
 
 def repair_confusions(c: Column, pairs: list[tuple[str, str]] = CONFUSIONS) -> Column:
-    """What recognition makes of words. Texts without any of it are told by one look."""
-    found = "|".join(f"(?:{p})" for p, _ in pairs)
-    return bound(c, lambda x: F.when(x.rlike(found), _each(x, pairs)).otherwise(x))
+    """What recognition makes of words. Texts without any of it are told by one look, and of the pairs only those are tried whose group is there."""
+
+    def found(some: list[tuple[str, str]]) -> str:
+        """One alternation of whole words, so that a place within a word is left at once."""
+        whole = [p[2:-2] for p, _ in some if p.startswith(r"\b") and p.endswith(r"\b")]
+        return "|".join([*(f"(?:{p})" for p, _ in some if not (p.startswith(r"\b") and p.endswith(r"\b"))), *([rf"\b(?:{'|'.join(whole)})\b"] if whole else [])])
+
+    groups = [pairs[i : i + 16] for i in range(0, len(pairs), 16)]
+    tried = lambda x, some: bound(x, lambda y: F.when(y.rlike(found(some)), _each(y, some)).otherwise(y))
+    return bound(c, lambda x: F.when(x.rlike(found(pairs)), reduce(tried, groups, x)).otherwise(x))
 
 
 def _either(phrases: list[str]) -> str:
