@@ -107,14 +107,16 @@ def entities(kind: Column, value: Column) -> Column:
 
 def disclosing_terms(d: DataFrame, spans: DataFrame) -> DataFrame:
     """(term, ratio): terms that give a protected entity away; ratio: the largest PMI / IC over the entities."""
-    named = spans.select("key", "start", "end", F.explode(entities(F.col("kind"), F.col("value"))).alias("entity"))
-    at = written(named, "entities")
-    c = d.select("key", F.coalesce("t", F.lit("")).alias("t")).join(if_small(at), "key").select("key", "entity", _around(F.col("t"), F.col("start").cast("int"), F.col("end").cast("int")).alias("around")).where(F.size("around") > 0)
+    named = entities(F.col("kind"), F.col("value"))
+    at = spans.select("key", "start", "end", named.alias("entities"))
+    around = _around(F.col("t"), F.col("start").cast("int"), F.col("end").cast("int"))
+    c = d.select("key", F.coalesce("t", F.lit("")).alias("t")).join(if_small(at), "key").select("key", "entities", around.alias("around")).where(F.size("around") > 0)
+    c = written(c, "contexts").withColumn("entity", F.explode("entities"))
     pairs = c.select("key", "entity", F.xxhash64("around").alias("context"), F.explode(F.array_distinct("around")).alias("term"))
     # in steps, so that a common pair is pre-aggregated: documents of a context, then contexts
     near = pairs.distinct().groupBy("entity", "term", "context").agg(F.count("*").alias("docs")).groupBy("entity", "term").agg(F.count("*").alias("contexts"), F.sum("docs").alias("both"))
     near = written(near.where(F.col("contexts") >= MIN_CONTEXTS), "near")
-    of_entity = at.select("key", "entity").distinct().groupBy("entity").agg(F.count("*").alias("df_e"))
+    of_entity = at.select("key", F.explode("entities").alias("entity")).distinct().groupBy("entity").agg(F.count("*").alias("df_e"))
     # outer, as a filter for empty arrays would be pushed down with a copy of all that makes the array
     of_term = d.select(F.explode_outer(F.array_distinct(terms_in(F.coalesce("t", F.lit(""))))).alias("term")).groupBy("term").agg(F.count("*").alias("df_t"))
     whole = F.lit(float(max(2, d.count())))
