@@ -159,7 +159,7 @@ def a22_null_keeping_updates(spark, d):
     return S.update_with_coalesce(c, c.where("c_custkey % 4 = 0").select("c_custkey", F.when(F.col("c_custkey") % 3 == 0, "new").alias("c_mktsegment")), "c_custkey", ["c_mktsegment"])
 
 
-TYPES = ", ".join(f"'{t}'" for t in E.TYPES)
+TYPES = "'heading', 'paragraph', 'list_item', 'caption', 'footer', 'header', 'footnote', 'diagram', 'blank_page'"
 AUDIT = f"""{BLOCKS_SQL}, audit AS (SELECT doc_id, count(*) > 0 AS has_blocks, bool_and(page_num >= 1) AS pages_valid, count(*) FILTER (WHERE trim(text) = '') = 0 AS no_empty_text, bool_and(type IN ({TYPES})) AS types_valid,
   count(DISTINCT seq) = count(*) AS ids_unique, count(*) FILTER (WHERE type = 'heading') > 0 AS has_headings FROM blocks GROUP BY ALL),
   a AS (SELECT *, ((NOT has_blocks)::INT + (NOT pages_valid)::INT + (NOT no_empty_text)::INT + (NOT types_valid)::INT + (NOT ids_unique)::INT + (NOT has_headings)::INT)::BIGINT AS failed FROM audit),

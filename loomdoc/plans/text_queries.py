@@ -92,7 +92,7 @@ def d5_split_words(spark, d):
 LISTS = "concat(case seq % 4 when 0 then '  > ' when 1 then '3) ' when 2 then '-- ' else '➢ ' end, text, '\n 12: more')"
 
 
-@query(_sql(LISTS, _nest("raw", [(T.BULLETS, "• "), ("(?m)^[ \\t]*([0-9]{1,2})[.)\\]:][ \\t]+", "\\1. ")])))
+@query(_sql(LISTS, _nest("raw", [("(?m)^[ \\t]*(?:[•‣◦⁃▪▫●○’➢▸▹►▻➔→>*]|-{1,2}|–|—)[ \\t]+", "• "), ("(?m)^[ \\t]*([0-9]{1,2})[.)\\]:][ \\t]+", "\\1. ")])))
 def d6_list_markers(spark, d):
     return _with(spark, d, LISTS).select("doc_id", "seq", T.normalise_lists(F.col("raw")).alias("text"))
 
@@ -185,8 +185,9 @@ def d16_ellipses(spark, d):
     return _with(spark, d, SNIPPETS).select("doc_id", "seq", T.repair_ellipsis(F.col("raw")).alias("text"))
 
 
-ASKED = "concat(case seq % 5 when 0 then 'What is the ' when 1 then 'Explain about the ' when 2 then 'Compare in 150 words ' when 3 then 'status of what is a ' else 'Evolution of ' end, left(text, 60), case when seq % 2 = 0 then '''s rise?.' else ' ' end)"
-OPEN = "|".join(o.replace(" ", f"{S}+") + f"{S}+" for o in T.QUESTION_OPENINGS)
+ASKED = "concat(case seq % 5 when 0 then 'What is the ' when 1 then 'Explain about the ' when 2 then 'Compare in 150 words ' when 3 then 'status of what is a ' else 'Evolution of ' end, text, case when seq % 2 = 0 then '''s rise?.' else ' ' end)"
+OPENINGS = "what is an|what is a|what is|what are|explain|discuss|define|describe|analyze|meaning of|about|write a note on|write about|details of|the|current status and milestones of|current status of|status and milestones of|status of|milestones of|updates on"
+OPEN = "|".join(o.replace(" ", f"{S}+") + f"{S}+" for o in OPENINGS.split("|"))
 
 
 @query(_sql(ASKED, f"trim(replace(regexp_replace(trim(regexp_replace(trim(lower(raw)), '[?.!,;]+$', '')), '^(?:{OPEN})+', ''), '''s', ''))"))
@@ -215,9 +216,17 @@ def d20_decode_redirects(spark, d):
     return table(spark, d, "pages").select("page_id", T.decode_redirect(token).alias("target"))
 
 
-KIND = "CASE " + " ".join(f"WHEN regexp_matches(q, '\\b({t})\\b') THEN '{{{i}}}'" for i, (_, t, _) in enumerate(T.INTENTS)) + " ELSE '{5}' END"
-NAMES = [k for k, _, _ in T.INTENTS] + [T.DEFAULT_INTENT[0]]
-LENGTHS = [str(n) for _, _, n in T.INTENTS] + [str(T.DEFAULT_INTENT[1])]
+#: Words that tell a question's kind, written out for SQL.
+TELLING = [
+    "diff|difference|differentiate|compare|comparison|versus|vs|distinguish|distinction|tabular|table",
+    "summar|summary|brief|briefly|short|shortly|gist|nutshell|key points|takeaway|snapshot|overview",
+    "in detail|detailed|indetail|critically analyze|critically evaluate|examine|discuss in detail|comprehensive|elaborate|assess|evaluate",
+    "timeline|evolution|chronolog|trace the history|historical development|phases of",
+    "explain|what is|how does|what are|describe|concept of|meaning of|define",
+]
+KIND = "CASE " + " ".join(f"WHEN regexp_matches(q, '\\b({t})\\b') THEN '{{{i}}}'" for i, t in enumerate(TELLING)) + " ELSE '{5}' END"
+NAMES = ["differentiate", "summary", "indetail", "timeline", "explain", "standard_mains"]
+LENGTHS = ["250", "150", "400", "300", "200", "250"]
 TOLD = "nullif(regexp_extract(q, '([0-9]{2,4})[ \\t]*words?\\b', 1), '')::INT"
 
 
