@@ -244,6 +244,12 @@ def citations(c: Column) -> Column:
     return F.sort_array(F.array_distinct(F.regexp_extract_all(c, F.lit(r"\[(chk_[A-Za-z0-9_]+)\]"), F.lit(1))))
 
 
+def simple_page(c: Column, least: int = 50) -> Column:
+    """A page's text with runs of line ends and blanks squeezed; null for pages that are too short."""
+    t = _each(c, [(r"\n+", "\n"), (" +", " ")])
+    return bound(t, lambda x: F.when(F.length(x) > least, x))
+
+
 def sentences(c: Column) -> Column:
     return F.filter(F.split(F.trim(c), rf"(?<=[.?!]){S}+"), lambda s: s != "")
 

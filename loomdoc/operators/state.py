@@ -176,6 +176,25 @@ def cleared(cache: DataFrame, mode: Column | None = None) -> DataFrame:
     return cache.agg(F.count("*") if mode is None else F.count_if(mode)).toDF("removed")
 
 
+def log_rows(calls: DataFrame, query: str = "query", ms: str = "latency_ms", most: int = 80) -> DataFrame:
+    """Calls as they are logged: the question on one line, cut to ``most`` characters, and the time to two places."""
+    said = F.replace(F.substring(query, 1, most), F.lit("\n"), F.lit(" "))
+    return calls.withColumns({query: said, ms: F.round(ms, 2)})
+
+
+def day_statistics(articles: DataFrame) -> DataFrame:
+    """(date, tag, n, important): articles of a day and tag, and those of high priority."""
+    return articles.groupBy("date", "tag").agg(F.count("*").alias("n"), F.count_if(F.col("priority") == "high").alias("important"))
+
+
+def backfilled(articles: DataFrame, stored: DataFrame, days: DataFrame) -> DataFrame:
+    """(date, articles, added) for each of the days: its articles, and those that are new to the stored ones. Articles: (place, id, date)."""
+    every = articles.groupBy("date").agg(F.count("*").alias("articles"))
+    new = new_articles(articles, stored).groupBy("date").agg(F.count("*").alias("added"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return days.join(every, "date", "left").join(new, "date", "left").select("date", zero("articles"), zero("added"))
+
+
 def storage_counts(**stores: DataFrame) -> DataFrame:
     """(store, rows) of the named tables."""
     out = None

@@ -37,6 +37,14 @@ def b1_duplicate_pages(spark, d):
     return B.duplicate_pages(pages_of(_blocks(spark, d)))
 
 
+KEPT = DUP_PAGES.replace("FROM blocks GROUP BY ALL)", "FROM blocks WHERE type NOT IN ('header', 'footer') GROUP BY ALL)")
+
+
+@query(f"{KEPT} SELECT doc_id, seq FROM blocks ANTI JOIN dup USING (doc_id, page_num)")
+def b1_kept_blocks(spark, d):
+    return B.drop_duplicate_pages(_blocks(spark, d)).select("doc_id", "seq")
+
+
 @query(f"""{WITH}, x AS (SELECT *, type = 'heading' AND lag(type) OVER w = type AND lag(page_num) OVER w = page_num AND lag(lower(trim(text))) OVER w = lower(trim(text)) AS again
   FROM blocks WINDOW w AS (PARTITION BY doc_id ORDER BY seq)) SELECT doc_id, seq, type, text FROM x WHERE NOT coalesce(again, false)""")
 def b8_repeated_headings(spark, d):

@@ -178,12 +178,10 @@ def e5_e6_degenerate_tables(spark, d):
     return _tables(spark, d).select("doc_id", X.degenerate(F.col("headers"), F.col("rows")).alias("reason"))
 
 
-SAME = "list_transform(headers, lambda h: 'same ')"
-
-
-@query(f"""{TABLES} SELECT doc_id, array_to_string(CASE WHEN len(headers) = 2 THEN ['Field', 'Value'] WHEN len(headers) > 1 THEN list_transform(headers, lambda h, i: 'Column_' || i) ELSE ['same '] END, ',') AS headers FROM tables""")
+@query(f"""{TABLES}, s AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN list_transform(headers, lambda h: 'same ') ELSE headers END AS h FROM tables)
+  SELECT doc_id, array_to_string(CASE WHEN len(h) > 1 AND len(list_distinct(list_transform(h, lambda x: lower(trim(x))))) = 1 THEN CASE WHEN len(h) = 2 THEN ['Field', 'Value'] ELSE list_transform(h, lambda x, i: 'Column_' || i) END ELSE h END, ',') AS headers FROM s""")
 def e7_repaired_headers(spark, d):
-    same = F.transform("headers", lambda h: F.lit("same "))
+    same = F.when(F.col("doc_id") % 2 == 0, F.transform("headers", lambda h: F.lit("same "))).otherwise(F.col("headers"))
     return _tables(spark, d).select("doc_id", F.array_join(X.repair_headers(same), ",").alias("headers"))
 
 
@@ -199,6 +197,14 @@ def e9_table_row_texts(spark, d):
     return X.row_texts(_tables(spark, d))
 
 
+@query(f"""{TABLES}, r AS (SELECT doc_id, headers, CASE WHEN doc_id % 2 = 0 THEN 'Crops' ELSE '' END AS caption, unnest(list_transform(rows, lambda q: list_concat(q, ['more']))) AS row, generate_subscripts(rows, 1) AS i FROM tables)
+  SELECT doc_id, 'tbl_' || doc_id || '_row_' || i AS block_id, CASE WHEN caption <> '' THEN 'Table (' || caption || '): ' ELSE 'Table: ' END || array_to_string(list_transform(row, lambda c, k: coalesce(headers[k], 'Column_' || k) || ': ' || trim(c)), ' | ') AS text FROM r""")
+def e9_captioned_row_texts(spark, d):
+    """Rows with a cell more than there are headers."""
+    t = _tables(spark, d).withColumn("rows", F.transform("rows", lambda r: F.array_append(r, F.lit("more"))))
+    return X.row_texts(t, F.when(F.col("doc_id") % 2 == 0, "Crops").otherwise(""))
+
+
 @query("""WITH d AS (SELECT doc_id, doc_id % 3 AS k, lang, text FROM documents)
   SELECT doc_id, CASE k WHEN 1 THEN 'graph ' || lang WHEN 2 THEN '```Mermaid graph ' || chr(10) || lang || '```' ELSE '' END AS code, trim(text) AS summary FROM d""")
 def e10_split_diagrams(spark, d):

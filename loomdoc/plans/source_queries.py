@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from ..functions.text import simple_page
+from ..operators import state as S
 from ..sources import catalogue as C
 from ..sources import web as W
 from ..sources.layout import BLOCKS_SQL, blocks, pages_of
@@ -33,8 +35,7 @@ def a6_weak_pages(spark, d):
 
 @query("""SELECT doc_id, text FROM (SELECT doc_id, regexp_replace(regexp_replace(text, '\\n+', chr(10), 'g'), ' +', ' ', 'g') AS text FROM documents) WHERE length(text) > 50""")
 def a8_simple_pages(spark, d):
-    t = F.regexp_replace(F.regexp_replace("text", r"\n+", "\n"), " +", " ")
-    return table(spark, d, "documents").select("doc_id", t.alias("text")).where(F.length("text") > 50)
+    return table(spark, d, "documents").select("doc_id", simple_page(F.col("text")).alias("text")).where("text IS NOT NULL")
 
 
 TEXTS = f"{BLOCKS_SQL}, t AS (SELECT doc_id, page_num, string_agg(text, ' ' ORDER BY seq) AS text FROM blocks GROUP BY ALL)"
@@ -98,7 +99,7 @@ def a15_extraction_summaries(spark, d):
 
 @query("SELECT conv_id, turn, replace(left(text, 80), chr(10), ' ') AS query, round(length(text) / 7.0, 2) AS latency_ms FROM conversations")
 def a28_log_rows(spark, d):
-    return table(spark, d, "conversations").select("conv_id", "turn", F.replace(F.substring("text", 1, 80), F.lit("\n"), F.lit(" ")).alias("query"), F.round(F.length("text") / 7.0, 2).alias("latency_ms"))
+    return S.log_rows(table(spark, d, "conversations").select("conv_id", "turn", F.col("text").alias("query"), (F.length("text") / 7.0).alias("latency_ms")))
 
 
 @query()

@@ -106,7 +106,7 @@ def k6_feed(spark, d):
 
 @query(f"WITH {ARTICLES} SELECT date, tag, count(*) AS n, count(*) FILTER (WHERE priority = 'high') AS important FROM articles GROUP BY ALL")
 def k4_k8_day_statistics(spark, d):
-    return _articles(spark, d).groupBy("date", "tag").agg(F.count("*").alias("n"), F.count_if(F.col("priority") == "high").alias("important"))
+    return S.day_statistics(_articles(spark, d))
 
 
 def _page_articles(spark, d):
@@ -139,7 +139,7 @@ def k6_page_feed(spark, d):
 
 @query()
 def k4_k8_page_day_statistics(spark, d):
-    return _page_articles(spark, d).groupBy("date", "tag").agg(F.count("*").alias("n"), F.count_if(F.col("priority") == "high").alias("important"))
+    return S.day_statistics(_page_articles(spark, d))
 
 
 @query(f"SELECT unnest(range({TODAY} - 7, {TODAY} + 1, INTERVAL 1 DAY))::DATE AS date, (SELECT count(*) FROM documents) AS documents")
@@ -182,9 +182,7 @@ def k9_backfill_page_days(spark, d):
     """One run for each of the last days: its articles, and those that are new to the stored ones."""
     a = _page_articles(spark, d).select("place", "id", "date")
     days = spark.range(1).select(F.explode(F.expr(f"sequence(date_sub({TODAY}, 7), {TODAY})")).alias("date"))
-    every = a.groupBy("date").agg(F.count("*").alias("articles"))
-    new = S.new_articles(a, a.where("place % 4 = 0")).groupBy("date").agg(F.count("*").alias("added"))
-    return days.join(every, "date", "left").join(new, "date", "left").select("date", F.coalesce("articles", F.lit(0)).cast("long").alias("articles"), F.coalesce("added", F.lit(0)).cast("long").alias("added"))
+    return S.backfilled(a, a.where("place % 4 = 0"), days)
 
 
 def _extracted(spark, d):
