@@ -21,7 +21,6 @@ import hashlib
 import os
 import zlib
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -39,9 +38,9 @@ SAMPLE_CHARS = 8192
 DICT_BYTES = 64 << 10
 LEVEL = 3
 #: Text encoded at once.
-BYTES_AT_ONCE = 6 << 20
+BYTES_AT_ONCE = 8 << 20
 #: Pieces that a worker remembers.
-CACHE = 600_000
+CACHE = 1_000_000
 SHARD_SCHEMA = "first_id bigint, seq bigint, n_docs bigint, n_ids bigint, dict_sha256 string, width int, ids_index binary, offset_index binary, count_index binary, frames binary"
 
 
@@ -54,14 +53,14 @@ class Encoder:
 
         self.tok = Tokenizer.from_file(path)
         self.width = 2 if self.tok.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
-        self.place: dict[str, int] = {}
+        self.known = pa.array([], pa.large_string())
         self.begin, self.ids, self.used = np.zeros(1 << 12, np.int64), np.empty(1 << 14, np.uint32), 0
 
     def _encoded(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of pieces one after the other, and where each piece's begin (one more than pieces): many in one text, told apart by their offsets."""
         ids, counts = [], []
         for i in range(0, len(pieces), 20_000):
-            some = [pieces[j : j + 200] for j in range(i, min(i + 20_000, len(pieces)), 200)]
+            some = [pieces[j : j + 50] for j in range(i, min(i + 20_000, len(pieces)), 50)]
             for part, e in zip(some, self.tok.encode_batch([" ".join(p) for p in some], add_special_tokens=False), strict=True):
                 ends = np.cumsum([len(x) + 1 for x in part])
                 at = np.fromiter((o[0] for o in e.offsets), np.int64, len(e.offsets))
@@ -71,29 +70,30 @@ class Encoder:
             return np.empty(0, np.uint32), np.zeros(1, np.int64)
         return np.concatenate(ids), np.concatenate([[0], np.cumsum(np.concatenate(counts))])
 
-    def _remember(self, pieces: list[str], ids: np.ndarray, at: np.ndarray) -> None:
-        n = len(self.place)
+    def _remember(self, pieces: pa.Array, ids: np.ndarray, at: np.ndarray) -> None:
+        n = len(self.known)
         while len(self.begin) < n + len(pieces) + 1:
             self.begin = np.concatenate([self.begin, np.zeros_like(self.begin)])
         while len(self.ids) < self.used + len(ids):
             self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
         self.ids[self.used : self.used + len(ids)] = ids
         self.begin[n + 1 : n + 1 + len(pieces)] = self.used + at[1:]
-        self.place.update(zip(pieces, range(n, n + len(pieces)), strict=True))
+        self.known = pa.concat_arrays([self.known, pieces])
         self.used += len(ids)
 
     def __call__(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where each text's begin (one more than texts)."""
         lists = pc.split_pattern(pc.fill_null(texts.cast(pa.large_string()), ""), " ")
         pieces = lists.flatten().dictionary_encode()
-        which, names = np.asarray(pieces.indices), pieces.dictionary.to_pylist()
-        where = np.fromiter(map(self.place.get, names, repeat(-1)), np.int64, len(names))
+        which, names = np.asarray(pieces.indices), pieces.dictionary
+        where = np.asarray(pc.fill_null(pc.index_in(names, value_set=self.known), -1)).astype(np.int64)
         out = np.flatnonzero(where < 0)
-        new = [names[i] for i in out.tolist()]
+        fresh = names.take(pa.array(out))
+        new = fresh.to_pylist()
         more, at = self._encoded(new)
-        if len(new) <= CACHE - len(self.place):
-            where[out] = len(self.place) + np.arange(len(new))
-            self._remember(new, more, at)
+        if len(new) <= CACHE - len(self.known):
+            where[out] = len(self.known) + np.arange(len(new))
+            self._remember(fresh, more, at)
             new = []
         begin, end = self.begin[where], self.begin[where + 1]
         ids = self.ids[: self.used]
