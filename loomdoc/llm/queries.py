@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, mixing, neardup, oracles, pii, quality, sharding, substring, tokens, toxicity, urls
+from . import bpe, decontam, mixing, neardup, oracles, pii, quality, sharding, substring, tokens, toxicity, urls
 from .common import shared_dir
 
 
@@ -68,8 +68,27 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op11_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digest(_table(spark, sf_dir, "documents"), _tokenizer())
+
+
+QUERIES = [
+    op1_near_duplicates,
+    op2_toxicity,
+    op3_substring_dedup,
+    op4_url_filters,
+    op5_token_files,
+    op6_source_mixing,
+    op7_personal_data,
+    op8_sharding,
+    op9_quality_rules,
+    op10_decontamination,
+    op11_byte_pairs,
+]
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_duplicates, op2_toxicity, op3_substring_dedup, op4_url_filters, op5_token_files, op6_source_mixing, op7_personal_data, op8_sharding, op9_quality_rules, op10_decontamination)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
