@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, mixing, neardup, oracles, pii, quality, sharding, substring, tokens, toxicity, urls
+from . import bpe, decontam, mixing, neardup, oracles, pii, quality, sharding, substring, tokens, toxicity, urls, whitening
 from .common import shared_dir
 
 
@@ -72,6 +72,10 @@ def op11_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(_table(spark, sf_dir, "documents"), _tokenizer())
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = [
     op1_near_duplicates,
     op2_toxicity,
@@ -84,6 +88,7 @@ QUERIES = [
     op9_quality_rules,
     op10_decontamination,
     op11_byte_pairs,
+    op12_whitening,
 ]
 
 
