@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, mixing, neardup, oracles, pii, quality, sharding, substring, tokens, toxicity, urls, whitening
-from .common import shared_dir
+from . import bpe, decontam, fim, mixing, neardup, oracles, pii, quality, sharding, substring, tokens, toxicity, urls, whitening
+from .common import shared_dir, written
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,6 +76,11 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(_table(spark, sf_dir, "embeddings"))
 
 
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = written(fim.store(_table(spark, sf_dir, "documents")), "fim-store")
+    return fim.digest(fim.transform(stored))
+
+
 QUERIES = [
     op1_near_duplicates,
     op2_toxicity,
@@ -89,6 +94,7 @@ QUERIES = [
     op10_decontamination,
     op11_byte_pairs,
     op12_whitening,
+    op13_fill_in_middle,
 ]
 
 
@@ -97,4 +103,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_sharding": oracles.SHARDING, "op9_quality_rules": oracles.QUALITY, "op10_decontamination": oracles.DECONTAMINATION}
+    return {"op8_sharding": oracles.SHARDING, "op9_quality_rules": oracles.QUALITY, "op10_decontamination": oracles.DECONTAMINATION, "op13_fill_in_middle": oracles.FILL_IN_MIDDLE}
