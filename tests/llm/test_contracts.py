@@ -145,3 +145,32 @@ def test_substring_texts(docs):
     got, text = {r["doc_id"]: r["text"] for r in out.collect()}, dict(docs[1])
     for i, (_, gone, digest) in brute.op3(docs[1]).items():
         assert (brute.sha(got[i]) == digest) if gone else (got[i] == text[i])
+
+
+def phrase_rows(n):
+    """Different documents of 50 words around one phrase of 20, the seed of all; the last one's second half repeats the first one's."""
+    phrase = " ".join(f"p{k}" for k in range(20))
+    return [(i, " ".join([*(f"a{i}x{k}" for k in range(15)), phrase, *(f"b{i}x{k}" for k in range(15))])) for i in range(n)]
+
+
+@pytest.mark.parametrize("hot", [2000, 10])
+def test_substring_one_anchor_many_stretches(spark, monkeypatch, hot):
+    """With so few bits of a stretch's hash in use that many collide, comparing the words keeps all."""
+    from loomdoc.llm import substring
+
+    monkeypatch.setattr(substring, "BITS", 6)
+    monkeypatch.setattr(substring, "HOT", hot)
+    rows = phrase_rows(1500)
+    got = substring.digest(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)).collect()
+    assert len(got) == len(rows) and all(r["n_removed"] == 0 and r["n_words"] == 50 for r in got)
+
+
+def test_substring_repeated_ids_and_long_texts(spark):
+    """Rows of one id never remove each other, whatever their texts; texts of 100,000 words and more are cut as short ones are."""
+    from loomdoc.llm import substring
+
+    word = lambda k: f"w{k * 7919 % 100_003}"
+    long = [word(k) for k in range(120_000)]
+    rows = [(7, " ".join(long)), (7, " ".join(long[50_000:])), (9, "x " * 10 + " ".join(long[1000:101_000]) + " y"), (8, "z z " * 60_000), (8, "z z " * 60_000), (10, "z " * 51)]
+    got = sorted((r["doc_id"], r["n_words"], r["n_removed"]) for r in substring.digest(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect())
+    assert got == [(7, 70_000, 0), (7, 120_000, 0), (8, 120_000, 0), (8, 120_000, 0), (9, 100_011, 100_000), (10, 51, 51)]
