@@ -226,16 +226,18 @@ def texts(transformed: DataFrame, restore: bool = False) -> DataFrame:
     return transformed.select("doc_id", "form", "frames", "bytes", "chars", "units").mapInArrow(run, "doc_id bigint, text string")
 
 
-def digest(transformed: DataFrame) -> DataFrame:
-    """(doc_id, n, form, prefix_chars, middle_chars, output_sha256, restored_sha256) of the transformed texts."""
+def digest(stored: DataFrame, seed: int = SEED) -> DataFrame:
+    """(doc_id, n, form, prefix_chars, middle_chars, output_sha256, restored_sha256) of each stored text: one worker transforms it, streams the output's frames and takes it apart again."""
+    names = ["doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256"]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out, back = [], []
-            for form, f in zip(batch.column(2).to_pylist(), _frames(batch, 5), strict=True):
-                out.append(_sha(_stream(f, 0, f.bytes[-1])))
-                back.append(out[-1] if form == "plain" else _sha(restored(f, form)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(out, pa.string()), pa.array(back, pa.string())], names=["doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256"])
+            rows = []
+            for i, f in zip(batch.column(0).to_pylist(), _frames(batch, 1), strict=True):
+                n, form, prefix, middle, out = _transformed(i, f, seed)
+                rows.append((i, n, form, prefix, middle, sha := _sha(_stream(out, 0, out.bytes[-1])), sha if form == "plain" else _sha(restored(out, form))))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 7, kinds, strict=True)], names=names)
 
-    d = transformed.select("doc_id", "n", "form", "prefix_chars", "middle_chars", "frames", "bytes", "chars", "units")
+    d = stored.select("doc_id", "frames", "bytes", "chars", "units")
     return d.mapInArrow(run, "doc_id bigint, n bigint, form string, prefix_chars bigint, middle_chars bigint, output_sha256 string, restored_sha256 string")

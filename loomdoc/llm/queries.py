@@ -77,8 +77,7 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = written(fim.store(_table(spark, sf_dir, "documents")), "fim-store")
-    return fim.digest(fim.transform(stored))
+    return fim.digest(written(fim.store(_table(spark, sf_dir, "documents")), "fim-store"))
 
 
 QUERIES = [

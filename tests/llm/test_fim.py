@@ -59,13 +59,14 @@ def test_plain_version(size, monkeypatch):
 def test_rows(spark):
     data = rows()
     docs = spark.createDataFrame([(i, t, "x", 1) for i, t in data], SCHEMA).repartition(3)
-    moved = fim.transform(fim.store(docs))
+    stored = fim.store(docs)
+    moved = fim.transform(stored)
     key = lambda r: tuple((x is None, x) for x in r)
-    got = sorted(((r["doc_id"], r["n"], r["form"], r["prefix_chars"], r["middle_chars"], r["output_sha256"], r["restored_sha256"]) for r in fim.digest(moved).collect()), key=key)
+    got = sorted(((r["doc_id"], r["n"], r["form"], r["prefix_chars"], r["middle_chars"], r["output_sha256"], r["restored_sha256"]) for r in fim.digest(stored).collect()), key=key)
     assert got == sorted(((i, *plain(i, t)[0]) for i, t in data), key=key)
     assert sorted((r["doc_id"] is None, r["doc_id"], r["text"]) for r in fim.texts(moved).collect()) == sorted((i is None, i, plain(i, t)[1]) for i, t in data)
     assert sorted((r["doc_id"] is None, r["doc_id"], r["text"]) for r in fim.texts(moved, restore=True).collect()) == sorted((i is None, i, t or "") for i, t in data)
-    assert fim.digest(fim.transform(fim.store(docs.limit(0)))).count() == 0
+    assert fim.digest(fim.store(docs.limit(0))).count() == 0
 
 
 def test_only_cut_frames_are_decompressed(monkeypatch):
