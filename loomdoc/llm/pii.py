@@ -11,7 +11,9 @@ passage are one context, so a copied text doesn't condemn its words.
 Defined cases: null and empty texts have no spans; a doc_id that repeats with another text is another row; repeated
 rows are each given; further columns are ignored by ``find`` and pass through ``sanitise``; an empty table gives an empty result.
 
-Offsets come from splitting a text at the matches and summing lengths, in time proportional to the text.
+Offsets come from splitting a text at the matches and summing lengths, in time proportional to the text. Contexts are taken from
+blocks of ``BLOCK`` characters that a text is cut into once, beside the array of its spans, so that a row holds a text once however many
+spans it has; told terms are found by one join of the words of the texts that hold any.
 The patterns below carry possessive quantifiers and look-behinds where these change nothing but the time on long runs.
 """
 
@@ -35,6 +37,7 @@ NEEDED = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 CHAR = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"  # of a term
 CONTEXT = 8
 CONTEXT_CHARS = 160
+BLOCK = 512
 MIN_CONTEXTS = 3
 GENERALISE, REMOVE = 0.8, 0.95
 
@@ -76,24 +79,44 @@ def terms_in(text: Column) -> Column:
     return F.array_remove(F.split(F.translate(text, UPPER, LOWER), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), "")
 
 
-def _around(t: Column, start: Column, end: Column) -> Column:
-    """The CONTEXT terms before start and after end, whatever stands between: from CONTEXT_CHARS characters if these hold as many, or else more, up to the whole text. A term that the window cuts is left out."""
-    after = F.length(t) - end
+def _let(x: Column, f) -> Column:
+    """f(x), with x worked out once."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
+def blocks(t: Column) -> Column:
+    """A text in blocks of BLOCK characters."""
+    return F.regexp_extract_all(t, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+
+def _part(b: Column, begin: Column, n: Column) -> Column:
+    """n characters of a text in blocks, after the first begin ones: only the blocks that hold them are touched."""
+    first = F.floor(begin / BLOCK).cast("int")
+    some = F.slice(b, first + 1, F.floor((begin + n) / BLOCK).cast("int") - first + 1)
+    return F.when(n > 0, F.array_join(some, "").substr((begin - first * BLOCK + 1).cast("int"), n.cast("int"))).otherwise("")
+
+
+def _around(t: Column, start: Column, end: Column, b: Column | None = None, length: Column | None = None) -> Column:
+    """The CONTEXT terms before start and after end, whatever stands between: from CONTEXT_CHARS characters if these hold as many, or else from more and more, up to the whole text. A term that the window cuts is left out. b: the text's blocks, length: its characters, where they are known."""
+    b, length = blocks(t) if b is None else b, F.length(t) if length is None else length
+    start, end = start.cast("int"), end.cast("int")
+    after = length - end
 
     def before(n: Column) -> Column:
-        x = t.substr(start - n + 1, n)
+        x = _part(b, start - n, n)
         return terms_in(F.when(n < start, F.regexp_replace(x, f"^{CHAR}+", "")).otherwise(x))
 
     def behind(n: Column) -> Column:
-        x = t.substr(end + 1, n)
+        x = _part(b, end, n)
         return terms_in(F.when(n < after, F.regexp_replace(x, f"{CHAR}++$", "")).otherwise(x))
 
-    def enough(side, most: Column) -> Column:
-        some, more = (side(F.least(most, F.lit(n))) for n in (CONTEXT_CHARS, 16 * CONTEXT_CHARS))
-        return F.when(F.size(some) >= CONTEXT, some).when(F.size(more) >= CONTEXT, more).otherwise(side(most))
+    def enough(side, most: Column, sizes=(CONTEXT_CHARS, 16 * CONTEXT_CHARS, 256 * CONTEXT_CHARS)) -> Column:
+        if not sizes:
+            return side(most)
+        return _let(side(F.least(most, F.lit(sizes[0]))), lambda some: F.when((F.size(some) >= CONTEXT) | (most <= sizes[0]), some).otherwise(enough(side, most, sizes[1:])))
 
-    left, right = enough(before, start), enough(behind, after)
-    return F.concat(F.slice(left, F.greatest(F.size(left) - CONTEXT + 1, F.lit(1)), CONTEXT), F.slice(right, 1, CONTEXT))
+    last = _let(enough(before, start), lambda left: F.slice(left, F.greatest(F.size(left) - CONTEXT + 1, F.lit(1)), CONTEXT))
+    return F.concat(last, F.slice(enough(behind, after), 1, CONTEXT))
 
 
 def entities(kind: Column, value: Column) -> Column:
@@ -107,14 +130,18 @@ def entities(kind: Column, value: Column) -> Column:
 
 def disclosing_terms(d: DataFrame, spans: DataFrame) -> DataFrame:
     """(term, ratio): terms that give a protected entity away; ratio: the largest PMI / IC over the entities."""
-    named = spans.select("key", "start", "end", F.explode(entities(F.col("kind"), F.col("value"))).alias("entity"))
-    at = written(named, "entities")
-    c = d.select("key", F.coalesce("t", F.lit("")).alias("t")).join(if_small(at), "key").select("key", "entity", _around(F.col("t"), F.col("start").cast("int"), F.col("end").cast("int")).alias("around")).where(F.size("around") > 0)
-    pairs = c.select("key", "entity", F.xxhash64("around").alias("context"), F.explode(F.array_distinct("around")).alias("term"))
+    named = spans.select("key", "start", "end", entities(F.col("kind"), F.col("value")).alias("entities"))
+    at = written(named.groupBy("key").agg(F.collect_list(F.struct("start", "end", "entities")).alias("at")), "entities")
+    t = F.coalesce("t", F.lit(""))
+    texts = d.select("key", blocks(t).alias("b"), F.length(t).alias("length"))
+    met = texts.join(if_small(at, width=F.length(F.to_json("at"))), "key")
+    seen = F.transform("at", lambda s: F.struct(s["entities"].alias("entities"), _around(t, s["start"], s["end"], F.col("b"), F.col("length")).alias("around")))
+    c = met.select("key", F.explode(seen).alias("c")).where(F.size("c.around") > 0)
+    pairs = c.select("key", F.explode("c.entities").alias("entity"), F.xxhash64("c.around").alias("context"), F.array_distinct("c.around").alias("terms")).select("key", "entity", "context", F.explode("terms").alias("term"))
     # in steps, so that a common pair is pre-aggregated: documents of a context, then contexts
     near = pairs.distinct().groupBy("entity", "term", "context").agg(F.count("*").alias("docs")).groupBy("entity", "term").agg(F.count("*").alias("contexts"), F.sum("docs").alias("both"))
     near = written(near.where(F.col("contexts") >= MIN_CONTEXTS), "near")
-    of_entity = at.select("key", "entity").distinct().groupBy("entity").agg(F.count("*").alias("df_e"))
+    of_entity = named.select("key", F.explode("entities").alias("entity")).distinct().groupBy("entity").agg(F.count("*").alias("df_e"))
     # outer, as a filter for empty arrays would be pushed down with a copy of all that makes the array
     of_term = d.select(F.explode_outer(F.array_distinct(terms_in(F.coalesce("t", F.lit(""))))).alias("term")).groupBy("term").agg(F.count("*").alias("df_t"))
     whole = F.lit(float(max(2, d.count())))
@@ -130,17 +157,21 @@ def find(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFra
     spans = written(base_spans(d.select("key", F.coalesce("t", F.lit("")).alias("t"))), "spans").distinct()
     terms = written(disclosing_terms(d, spans), "terms")
     t = F.coalesce(F.col("t"), F.lit(""))
-    told = d.select("key", F.explode_outer(F.array_distinct(terms_in(t))).alias("term")).join(terms, "term").distinct()
-    # each told term is looked for by itself, so that only its own occurrences become rows
-    low, alone = F.translate("t", UPPER, LOWER), F.concat(F.lit(f"(?<!{CHAR})\\Q"), "term", F.lit(f"\\E(?!{CHAR})"))
-    rows = d.join(if_small(written(told, "told")), "key").select("key", "term", "ratio", F.regexp_extract_all(low, alone, F.lit(0)).alias("m"), F.split(low, alone).alias("p"))
-    at = _pieces(rows, ["key", "term", "ratio"], "m", "p", 0)
-    span = lambda kind, ratio: F.struct("start", F.array_position(F.array(*[F.lit(k) for k in KINDS]), kind).cast("int").alias("ord"), "end", kind.alias("kind"), ratio.alias("ratio"))
-    every = spans.select("key", span(F.col("kind"), F.lit(None).cast("double")).alias("s")).unionByName(at.select("key", span(F.lit("term"), F.col("ratio")).alias("s")))
+    told = d.select("key", F.explode_outer(F.array_distinct(terms_in(t))).alias("term")).join(if_small(terms, width=F.length("term")), "term")
+    # the words of a text that holds told terms, with their offsets; then a join finds these among them
+    keys = written(told.select("key").distinct(), "told")
+    low = F.translate(t, UPPER, LOWER)
+    rows = d.join(if_small(keys, width=F.length("key")), "key", "left_semi").select("key", F.regexp_extract_all(low, F.lit(f"{CHAR}++"), F.lit(0)).alias("m"), F.split(low, f"{CHAR}++").alias("p"))
+    at = _pieces(rows, ["key"], "m", "p", 0).join(if_small(terms, width=F.length("term")), F.col("value") == F.col("term"))
+    every = spans.select("key", "kind", "start", "end", F.lit(None).cast("double").alias("ratio")).unionByName(at.select("key", F.lit("term").alias("kind"), "start", "end", "ratio"))
+    # a term inside personal data is already covered: by a span that begins before it or with it, or by one that begins within it
+    own = lambda c: F.when(F.col("kind") != "term", F.col(c))
+    upto, onward = (Window.partitionBy("key").orderBy(o).rangeBetween(Window.unboundedPreceding, 0) for o in (F.asc("start"), F.desc("start")))
+    every = every.withColumns({"reach": F.max(own("end")).over(upto), "next": F.min(own("start")).over(onward)})
+    free = ~F.coalesce(F.col("reach") > F.col("start"), F.lit(False)) & ~F.coalesce(F.col("next") < F.col("end"), F.lit(False))
+    place = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind")).cast("int").alias("ord")
+    every = every.where((F.col("kind") != "term") | free).select("key", F.struct("start", place, "end", "kind", "ratio").alias("s"))
     found = every.groupBy("key").agg(F.sort_array(F.collect_set("s")).alias("spans"))
-    # a term inside personal data is already covered
-    base = F.filter("spans", lambda s: s["kind"] != "term")
-    found = found.withColumn("spans", F.filter("spans", lambda s: (s["kind"] != "term") | ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))))
     none = F.array().cast(found.schema["spans"].dataType)
     return d.drop("t").join(written(found, "found"), "key", "left").select("key", "doc_id", F.coalesce("spans", none).alias("spans"))
 
