@@ -31,6 +31,17 @@ def word_windows(articles: DataFrame, size: int = 250, step: int = 200, least: i
     return a.select("url", F.format_string("ca_%s_%03d", F.substring(F.sha2("url", 256), 1, 8), n).alias("chunk_id"), F.size("w").cast("long").alias("n_words"), F.concat(F.lit("Title: "), F.col("title"), F.lit("\n\n"), F.array_join("w", " ")).alias("text"))
 
 
+def article_chunks(articles: DataFrame, size: int = 250, overlap: int = 50, least: int = 30) -> DataFrame:
+    """articles (url, body, ...) with chunk_id and text: the whole body of up to size words as one chunk, else overlapping windows; short tails are left out; ids count from 1."""
+    ws, own = F.split("body", f"{S}+"), [F.col(c) for c in articles.columns if c != "body"]
+    n = F.size("ws")
+    starts = F.sequence(F.lit(0), n - 1, F.lit(size - overlap))
+    windows = F.filter(F.transform(starts, lambda i: F.slice("ws", i + 1, size)), lambda w: F.size(w) >= least)
+    texts = F.when(n <= size, F.array("body")).otherwise(F.transform(windows, lambda w: F.array_join(w, " ")))
+    c = articles.withColumn("ws", F.array_remove(ws, "")).select(*own, F.posexplode(texts).alias("i", "text"))
+    return c.withColumn("chunk_id", F.format_string("ca_%s_%03d", F.substring(F.sha2("url", 256), 1, 8), F.col("i") + 1)).drop("i")
+
+
 def sentence_chunks(text: Column, most: int = 180) -> Column:
     """Chunks of whole sentences of at most ``most`` words; a chunk starts with the last sentence of the one before, if that had more. A fold over the sentences."""
     clean = repair_ellipsis(text)
