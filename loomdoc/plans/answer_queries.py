@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import answers as A
+from ..operators import quiz
 from ..sources.layout import BLOCKS_SQL, blocks
 from .registry import query, table
 
@@ -152,3 +153,51 @@ def d23_prompts(spark, d):
     mode = F.when(n % 4 == 0, "mains").when(n % 4 == 1, "prelims").when(n % 4 == 2, "current_affairs").otherwise("else")
     sub = F.when(n % 5 == 0, "Mains").when(n % 5 == 1, "mcq").when(n % 5 == 2, "EXPLAIN").when(n % 5 == 3, "summary").otherwise("other")
     return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", A.prompt_name(mode, sub, text, intent(text)["archetype"]).alias("prompt"))
+
+
+#: The themes are the operator's own; all else of a question is written out here.
+THEMES_SQL = "[" + ", ".join("[" + ", ".join("'" + x.replace("'", "''") + "'" for x in t) + "]" for t in quiz.THEMES) + "]"
+QUESTIONS = f"""r AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'General Studies' ELSE source END AS subject, CASE WHEN doc_id % 3 = 0 THEN lang WHEN doc_id % 2 = 0 THEN 'file ' || doc_id || '.pdf' WHEN doc_id % 7 = 0 THEN 'General Studies' ELSE source END AS title, (doc_id % 23)::INT AS n_asked,
+    list_filter(list_transform(string_split(regexp_replace(regexp_replace(CASE WHEN doc_id % 5 = 0 THEN '' ELSE text END, '\\s+', ' ', 'g'), '([.?!]) ', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: length(x) > 35 AND length(x) < 220 AND NOT regexp_matches(lower(x), '^(page|chapter|module|paper|figure|table)\\b')) AS said FROM documents),
+  i AS (SELECT *, unnest(range(0, n_asked)) AS i, len(said) AS n FROM r),
+  p AS (SELECT doc_id, i, n, subject, title, said[i * 3 % greatest(n, 1) + 1] AS s1, said[(i * 3 + 1) % greatest(n, 1) + 1] AS s2, said[(i * 3 + 2) % greatest(n, 1) + 1] AS s3, list_transform(({THEMES_SQL})[i % 20 + 1], lambda x: replace(x, '{{title}}', title)) AS t FROM i),
+  w AS (SELECT *, array_to_string(string_split(s1, ' ')[1:3], ' ') AS w1, array_to_string(string_split(s2, ' ')[1:3], ' ') AS w2, array_to_string(string_split(s3, ' ')[1:3], ' ') AS w3 FROM p),
+  q AS (SELECT doc_id, i AS id, CASE WHEN n >= 4 THEN CASE i % 4
+      WHEN 0 THEN 'With reference to ' || title || ', consider the following statements:' || chr(10) || '1. ' || s1 || chr(10) || '2. ' || s2 || chr(10) || '3. ' || s3 || chr(10) || chr(10) || 'Which of the statements given above is/are correct?'
+      WHEN 1 THEN 'Given below are two statements, one labelled as Assertion (A) and the other as Reason (R) in the context of ' || title || ':' || chr(10) || 'Assertion (A): ' || s1 || chr(10) || 'Reason (R): ' || s2 || chr(10) || chr(10) || 'In the light of the above statements, choose the correct answer from the options given below:'
+      WHEN 2 THEN 'Consider the following pairs regarding ' || title || ':' || chr(10) || '1. ' || w1 || ' : ' || left(s1, 90) || '...' || chr(10) || '2. ' || w2 || ' : ' || left(s2, 90) || '...' || chr(10) || '3. ' || w3 || ' : ' || left(s3, 90) || '...' || chr(10) || chr(10) || 'How many of the above pairs is/are correctly matched?'
+      ELSE 'With reference to ' || title || ', which one of the following statements best reflects the analytical findings?' END
+    ELSE CASE i % 4
+      WHEN 0 THEN 'Consider the following statements regarding ' || t[1] || ' in the context of ' || subject || ':' || chr(10) || '1. ' || t[2] || chr(10) || '2. ' || t[3] || chr(10) || '3. ' || t[4] || chr(10) || chr(10) || 'Which of the statements given above is/are correct?'
+      WHEN 1 THEN 'Given below are two statements regarding ' || t[1] || ':' || chr(10) || 'Assertion (A): ' || t[2] || chr(10) || 'Reason (R): ' || t[3] || chr(10) || chr(10) || 'In the context of the statements above, which one of the following is correct?'
+      WHEN 2 THEN 'Consider the following pairs regarding ' || t[1] || ':' || chr(10) || '1. Statutory Basis : ' || left(t[2], 80) || '...' || chr(10) || '2. Nodal Enforcement : ' || left(t[3], 80) || '...' || chr(10) || '3. Institutional Review : ' || left(t[4], 80) || '...' || chr(10) || chr(10) || 'How many of the above pairs is/are correctly matched?'
+      ELSE 'Regarding ' || t[1] || ', which one of the following statements is correct in the context of ' || subject || '?' END END AS question,
+    CASE i % 4 WHEN 0 THEN '1 and 2 only|2 and 3 only|1 and 3 only|1, 2, and 3'
+      WHEN 1 THEN 'Both (A) and (R) are true and (R) is the correct explanation of (A)|Both (A) and (R) are true but (R) is NOT the correct explanation of (A)|(A) is true but (R) is false|(A) is false but (R) is true'
+      WHEN 2 THEN 'Only one pair|Only two pairs|All three pairs|None of the pairs'
+      ELSE CASE WHEN n >= 4 THEN left(s1, 125) || CASE WHEN length(s1) > 125 THEN '...' ELSE '' END || '|' || left(s2, 125) || CASE WHEN length(s2) > 125 THEN '...' ELSE '' END || '|The governing statutory framework expressly prohibits any empirical evaluation or audit.|None of the statements are consistent with standard reference parameters.'
+        ELSE left(t[2], 125) || CASE WHEN length(t[2]) > 125 THEN '...' ELSE '' END || '|' || left(t[3], 125) || CASE WHEN length(t[3]) > 125 THEN '...' ELSE '' END || '|' || t[1] || ' operates exclusively without reference to standard constitutional safeguards.|None of the above statements are correct.' END END AS options,
+    CASE WHEN n >= 4 THEN CASE i % 4 WHEN 0 THEN 'Statements 1 and 2 are directly substantiated by the document: ' || chr(39) || left(s1, 80) || '...' || chr(39) || ' and ' || chr(39) || left(s2, 80) || '...' || chr(39) || '.'
+      WHEN 1 THEN 'Based on the analysis of ' || title || ', both Assertion and Reason represent valid propositions grounded in the reference text.' WHEN 2 THEN 'Pairs 1 and 2 are correctly matched with their standard reference definitions from the source text.' ELSE 'The statement ' || chr(39) || left(s1, 90) || '...' || chr(39) || ' represents the verified conceptual principle.' END
+    ELSE CASE i % 4 WHEN 0 THEN 'Statements 1 and 3 are correct. Statement 2 contains standard distractor conditions.' WHEN 1 THEN 'Both (A) and (R) reflect established UPSC principles for ' || subject || '.'
+      WHEN 2 THEN 'Two pairs are correctly matched according to standard UPSC reference texts.' ELSE 'Statement 1 accurately conveys the core statutory and institutional provisions of ' || t[1] || '.' END END AS explanation, ((i * 2 + 1) % 4)::BIGINT AS correct FROM w)"""
+
+
+@query(f"WITH {QUESTIONS} SELECT * FROM q")
+def l9_fallback_questions(spark, d):
+    n = F.col("doc_id")
+    r = table(spark, d, "documents").select(
+        "doc_id",
+        F.when(n % 7 == 0, "").otherwise(F.col("source")).alias("subject"),
+        F.when(n % 3 == 0, F.col("lang")).alias("topic"),
+        F.when(n % 2 == 0, F.format_string("file %d.pdf", n)).otherwise("").alias("pdf_name"),
+        (n % 23).alias("count"),
+        F.when(n % 5 == 0, "").otherwise(F.col("text")).alias("content"),
+    )
+    return quiz.fallback_questions(r, "doc_id").withColumn("options", F.array_join("options", "|"))
+
+
+@query(f"WITH {QUESTIONS} SELECT id % 4 AS kind, correct, count(*) AS questions, count(DISTINCT doc_id) AS requests FROM q GROUP BY ALL")
+def l9_question_kinds(spark, d):
+    q = l9_fallback_questions(spark, d)
+    return q.groupBy((F.col("id") % 4).alias("kind"), "correct").agg(F.count("*").alias("questions"), F.count_distinct("doc_id").alias("requests"))
