@@ -1,10 +1,14 @@
 """Queries of vector search, classification, routing and context. ``embeddings`` are vector points; their label is class and collection; a point's number in its label is its chunk number."""
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import routing as R
+from ..operators import vector_index
 from ..operators import vectors as V
+from ..shared import shared_dir
 from .registry import query, table
 
 CHUNKS = "chunks AS (SELECT vec_id, embedding, label::BIGINT AS file, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS chunk_no FROM embeddings)"
@@ -27,6 +31,22 @@ def g3_top_k(spark, d):
     return _hits(spark, d)
 
 
+def _indexed_hits(spark, d):
+    p = _points(spark, d)
+    index = vector_index.build(p, f"{shared_dir(spark)}/loomdoc-{spark.sparkContext.applicationId}/cells-{uuid.uuid4().hex}", 15)
+    return vector_index.search(index, p.where("vec_id % 50 = 0"), 15)
+
+
+@query()
+def g3_indexed_top_k(spark, d):
+    return _indexed_hits(spark, d).select("qid", "collection", "id", "score", "rank")
+
+
+@query()
+def g3_index_recall(spark, d):
+    return vector_index.recall(_indexed_hits(spark, d), _hits(spark, d))
+
+
 BEST = f"{HITS}, one AS (SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY qid, id ORDER BY collection, rank) = 1), best AS (SELECT qid, collection, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM one QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) <= 15)"
 
 
