@@ -4,6 +4,8 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..operators import reingest
+from ..operators.chunking import word_windows
 from ..shared import shared_dir
 from ..streaming import news, stages
 from .registry import query, table
@@ -96,3 +98,38 @@ def a36_stage_outcomes(spark, d):
 def a36_file_statuses(spark, d):
     last = _statuses(spark, d).groupBy("file_id").agg(F.max_by("status", "at").alias("status"))
     return last.groupBy(F.coalesce("status", F.lit("none")).alias("status")).agg(F.count("*").alias("files"))
+
+
+#: The documents as they were: some with other words, some not there yet, some that have gone since.
+BEFORE = "SELECT doc_id, source, CASE WHEN doc_id % 3 = 0 THEN 'older words ' || text ELSE text END AS text FROM documents WHERE doc_id % 10 <> 4 UNION ALL SELECT -1 - doc_id, source, text FROM documents WHERE doc_id % 20 = 7"
+
+
+def _windows(docs):
+    """Windows of words, by document."""
+    c = word_windows(docs.select(F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("url"), F.col("source").alias("title"), "text"))
+    return c.select(F.substring("url", 5, 30).cast("long").alias("doc_id"), "chunk_id", "n_words", "text")
+
+
+def _reingested(spark, d):
+    docs, out = table(spark, d, "documents"), _fresh(spark, "store")
+    docs.createOrReplaceTempView("loomdoc_before")
+    before = spark.sql(BEFORE.replace("FROM documents", "FROM loomdoc_before"))
+    reports = [reingest.reingest(x, out, _windows) for x in (before, docs.select("doc_id", "source", "text"), docs.select("doc_id", "source", "text"))]
+    return out, reports
+
+
+@query("""WITH w AS (SELECT doc_id, 'doc/' || doc_id AS url, source, list_filter(string_split_regex(text, '[ \\t\\n\\x0b\\f\\r]+'), lambda x: x <> '') AS ws FROM documents),
+  i AS (SELECT doc_id, url, source, ws, unnest(range(0, len(ws), 200)) AS i FROM w), c AS (SELECT doc_id, url, source, i, ws[i + 1:i + 250] AS c FROM i)
+  SELECT doc_id, 'ca_' || sha256(url)[:8] || '_' || printf('%03d', row_number() OVER (PARTITION BY url ORDER BY i) - 1) AS chunk_id, len(c)::BIGINT AS n_words, 'Title: ' || source || chr(10) || chr(10) || array_to_string(c, ' ') AS text FROM c WHERE len(c) >= 30""")
+def a38_reingested_chunks(spark, d):
+    out, _ = _reingested(spark, d)
+    return reingest.stored(spark, out)
+
+
+@query(f"""WITH b AS ({BEFORE}), j AS (SELECT b.doc_id AS was, n.doc_id AS now, b.text IS NOT DISTINCT FROM n.text AS same FROM b FULL JOIN documents n USING (doc_id)),
+  r AS (SELECT 1 AS run, count(was) AS new, 0 AS changed, 0 AS gone, 0 AS kept FROM j UNION ALL SELECT 2, count(*) FILTER (was IS NULL), count(*) FILTER (was IS NOT NULL AND now IS NOT NULL AND NOT same), count(*) FILTER (now IS NULL), count(*) FILTER (was IS NOT NULL AND now IS NOT NULL AND same) FROM j
+    UNION ALL SELECT 3, 0, 0, 0, count(now) FROM j) SELECT run::BIGINT AS run, new, changed, gone, kept, run < 3 AS wrote FROM r""")
+def a38_reingest_runs(spark, d):
+    _, reports = _reingested(spark, d)
+    rows = [(i + 1, r["new"], r["changed"], r["gone"], r["kept"], r["buckets"] > 0) for i, r in enumerate(reports)]  # three runs
+    return spark.createDataFrame(rows, "run bigint, new bigint, changed bigint, gone bigint, kept bigint, wrote boolean")
