@@ -1,158 +1,155 @@
-"""What recognition makes of words, as ``pattern => replacement``, applied in this order."""
+"""What recognition makes of words, as (pattern, replacement), applied in this order."""
 
 CONFUSIONS = [
-    tuple(line.split(" => "))
-    for line in r"""
-\bThls\b => This
-\bthls\b => this
-\bsublecl\b => subject
-\bcondillon\b => condition
-\bcondillons\b => conditions
-\bthal\b => that
-\bil\b => it
-\bnol\b => not
-\{ho\b => the
-\blo\b => to
-\bwhlch\b => which
-\bwilh\b => with
-\bElforn\b => Ellora
-\bTempte\b => Temple
-\baud\b => and
-\bAud\b => And
-\bThiugs\b => Things
-\bthiugs\b => things
-\bPreachiug\b => Preaching
-\bpreachiug\b => preaching
-\bfiņd\b => find
-\bTne\b => The
-\bI'he\b => The
-\beaste['']?n\b => eastern
-\brnle\b => rule
-\bFhe\b => The
-\bgrealust\b => greatest
-\bsurious\b => serious
-\bsurhus\b => serious
-\bmeanirig\b => meaning
-\bterins\b => terms
-\bSyslem\b => System
-\bfoumndations\b => foundations
-\bfoumndatios\b => foundations
-\bHinduslan\b => Hindustan
-\bHíndu\b => Hindu
-\bÍndia\b => India
-\bgrulling\b => gruelling
-\bGrulling\b => Gruelling
-\bplebianize\b => plebeianize
-\bPlebianize\b => Plebeianize
-\bKesselschlact\b => Kesselschlacht
-\bkesselschlact\b => kesselschlacht
-\bSull[- ]k[iu]tl?\b => Sulh-kul
-\bentrused\b => entrusted
-\breligon\b => religion
-\bunifed\b => unified
-\bcial\b => social
-SOCIAL SCIENCE PART 1 SOCIAL SCIENCE - PART 1 => SOCIAL SCIENCE - PART I
-SOCIAL SCIENCE - PART 1 SOCIAL SCIENCE - PART 1 => SOCIAL SCIENCE - PART I
-\bmonotheistsant\b => monotheist saint
-\bMonotheistsant\b => Monotheist Saint
-\bSikhismsant\b => Sikhism saint
-\bHindusiant\b => Hindu saint
-\bBhaktisant\b => Bhakti saint
-\bgurubhakti\b => guru bhakti
-\bGurubhakti\b => Guru Bhakti
-\bRajputstate\b => Rajput state
-\brajputstate\b => Rajput state
-\bMughalcourt\b => Mughal court
-\bmughalcourt\b => Mughal court
-\bMughalempire\b => Mughal Empire
-\bmughalempire\b => Mughal Empire
-\bInbrceding\b => Inbreeding
-\binbrceding\b => inbreeding
-\bMeasurcments\b => Measurements
-\bmeasurcments\b => measurements
-\bCollcction\b => Collection
-\bcollcction\b => collection
-\bComposd\b => Composed
-\bPrintcd\b => Printed
-\bGrcatcr\b => Greater
-\bgrcatcr\b => greater
-\bDclhi\b => Delhi
-\bPhasc-Il\b => Phase-II
-\bPhasc\b => Phase
-\bLathccf\b => Latheef
-\blathccf\b => latheef
-\bshas\s+defined\b => has defined
-\bdealswith\b => deals with
-\bDealswith\b => Deals with
-\bNew\s+Dehi\b => New Delhi
-\bnew\s+dehi\b => new delhi
-\bhominds\b => hominids
-\bpopulatoin\b => population
-\bPopulatoin\b => Population
-\bvariaiton\b => variation
-\bVariaiton\b => Variation
-\bvariaitons\b => variations
-\bVariaitons\b => Variations
-\banthroplogical\b => anthropological
-\bAnthroplogical\b => Anthropological
-\banthroplogist\b => anthropologist
-\bAnthroplogist\b => Anthropologist
-\banthroplogists\b => anthropologists
-\bAnthroplogists\b => Anthropologists
-\banthroplogic\b => anthropologic
-\bphysicai\b => physical
-\bPhysicai\b => Physical
-\bbiologicai\b => biological
-\bBiologicai\b => Biological
-\bcuitural\b => cultural
-\bCuitural\b => Cultural
-\bsoicety\b => society
-\bSoicety\b => Society
-\bsoicetal\b => societal
-\bSoicetal\b => Societal
-\bkinshp\b => kinship
-\bKinshp\b => Kinship
-\bmarraiage\b => marriage
-\bMarraiage\b => Marriage
-\bmarraiages\b => marriages
-\bdescnt\b => descent
-\bDescnt\b => Descent
-\blineaage\b => lineage
-\bLineaage\b => Lineage
-\blineaages\b => lineages
-\btribal\s+socites\b => tribal societies
-\bTribal\s+Socites\b => Tribal Societies
-\bethnicty\b => ethnicity
-\bEthnicty\b => Ethnicity
-\bethnogarphy\b => ethnography
-\bEthnogarphy\b => Ethnography
-\bethnogarphic\b => ethnographic
-\banthropoogy\b => anthropology
-\bAnthropoogy\b => Anthropology
-\bsocio-cultual\b => socio-cultural
-\bSocio-Cultual\b => Socio-Cultural
-\bsociocultual\b => sociocultural
-\bpastoralsim\b => pastoralism
-\bPastoralsim\b => Pastoralism
-\bnomadsim\b => nomadism
-\bNomadsim\b => Nomadism
-\bpeasnatry\b => peasantry
-\bPeasnatry\b => Peasantry
-\bfunctionailsm\b => functionalism
-\bFunctionailsm\b => Functionalism
-\bstructurailsm\b => structuralism
-\bStructurailsm\b => Structuralism
-\bsymobl\b => symbol
-\bSymobl\b => Symbol
-\bsymobls\b => symbols
-\brituai\b => ritual
-\bRituai\b => Ritual
-\brituais\b => rituals
-\bsymbosim\b => symbolism
-\bSymbosim\b => Symbolism
-\btotemisn\b => totemism
-\bTotemisn\b => Totemism
-\banimisn\b => animism
-\bAnimisn\b => Animism
-""".strip().splitlines()
+    (r"\bThls\b", r"This"),
+    (r"\bthls\b", r"this"),
+    (r"\bsublecl\b", r"subject"),
+    (r"\bcondillon\b", r"condition"),
+    (r"\bcondillons\b", r"conditions"),
+    (r"\bthal\b", r"that"),
+    (r"\bil\b", r"it"),
+    (r"\bnol\b", r"not"),
+    (r"\{ho\b", r"the"),
+    (r"\blo\b", r"to"),
+    (r"\bwhlch\b", r"which"),
+    (r"\bwilh\b", r"with"),
+    (r"\bElforn\b", r"Ellora"),
+    (r"\bTempte\b", r"Temple"),
+    (r"\baud\b", r"and"),
+    (r"\bAud\b", r"And"),
+    (r"\bThiugs\b", r"Things"),
+    (r"\bthiugs\b", r"things"),
+    (r"\bPreachiug\b", r"Preaching"),
+    (r"\bpreachiug\b", r"preaching"),
+    (r"\bfiņd\b", r"find"),
+    (r"\bTne\b", r"The"),
+    (r"\bI'he\b", r"The"),
+    (r"\beaste['']?n\b", r"eastern"),
+    (r"\brnle\b", r"rule"),
+    (r"\bFhe\b", r"The"),
+    (r"\bgrealust\b", r"greatest"),
+    (r"\bsurious\b", r"serious"),
+    (r"\bsurhus\b", r"serious"),
+    (r"\bmeanirig\b", r"meaning"),
+    (r"\bterins\b", r"terms"),
+    (r"\bSyslem\b", r"System"),
+    (r"\bfoumndations\b", r"foundations"),
+    (r"\bfoumndatios\b", r"foundations"),
+    (r"\bHinduslan\b", r"Hindustan"),
+    (r"\bHíndu\b", r"Hindu"),
+    (r"\bÍndia\b", r"India"),
+    (r"\bgrulling\b", r"gruelling"),
+    (r"\bGrulling\b", r"Gruelling"),
+    (r"\bplebianize\b", r"plebeianize"),
+    (r"\bPlebianize\b", r"Plebeianize"),
+    (r"\bKesselschlact\b", r"Kesselschlacht"),
+    (r"\bkesselschlact\b", r"kesselschlacht"),
+    (r"\bSull[- ]k[iu]tl?\b", r"Sulh-kul"),
+    (r"\bentrused\b", r"entrusted"),
+    (r"\breligon\b", r"religion"),
+    (r"\bunifed\b", r"unified"),
+    (r"\bcial\b", r"social"),
+    (r"SOCIAL SCIENCE PART 1 SOCIAL SCIENCE - PART 1", r"SOCIAL SCIENCE - PART I"),
+    (r"SOCIAL SCIENCE - PART 1 SOCIAL SCIENCE - PART 1", r"SOCIAL SCIENCE - PART I"),
+    (r"\bmonotheistsant\b", r"monotheist saint"),
+    (r"\bMonotheistsant\b", r"Monotheist Saint"),
+    (r"\bSikhismsant\b", r"Sikhism saint"),
+    (r"\bHindusiant\b", r"Hindu saint"),
+    (r"\bBhaktisant\b", r"Bhakti saint"),
+    (r"\bgurubhakti\b", r"guru bhakti"),
+    (r"\bGurubhakti\b", r"Guru Bhakti"),
+    (r"\bRajputstate\b", r"Rajput state"),
+    (r"\brajputstate\b", r"Rajput state"),
+    (r"\bMughalcourt\b", r"Mughal court"),
+    (r"\bmughalcourt\b", r"Mughal court"),
+    (r"\bMughalempire\b", r"Mughal Empire"),
+    (r"\bmughalempire\b", r"Mughal Empire"),
+    (r"\bInbrceding\b", r"Inbreeding"),
+    (r"\binbrceding\b", r"inbreeding"),
+    (r"\bMeasurcments\b", r"Measurements"),
+    (r"\bmeasurcments\b", r"measurements"),
+    (r"\bCollcction\b", r"Collection"),
+    (r"\bcollcction\b", r"collection"),
+    (r"\bComposd\b", r"Composed"),
+    (r"\bPrintcd\b", r"Printed"),
+    (r"\bGrcatcr\b", r"Greater"),
+    (r"\bgrcatcr\b", r"greater"),
+    (r"\bDclhi\b", r"Delhi"),
+    (r"\bPhasc-Il\b", r"Phase-II"),
+    (r"\bPhasc\b", r"Phase"),
+    (r"\bLathccf\b", r"Latheef"),
+    (r"\blathccf\b", r"latheef"),
+    (r"\bshas\s+defined\b", r"has defined"),
+    (r"\bdealswith\b", r"deals with"),
+    (r"\bDealswith\b", r"Deals with"),
+    (r"\bNew\s+Dehi\b", r"New Delhi"),
+    (r"\bnew\s+dehi\b", r"new delhi"),
+    (r"\bhominds\b", r"hominids"),
+    (r"\bpopulatoin\b", r"population"),
+    (r"\bPopulatoin\b", r"Population"),
+    (r"\bvariaiton\b", r"variation"),
+    (r"\bVariaiton\b", r"Variation"),
+    (r"\bvariaitons\b", r"variations"),
+    (r"\bVariaitons\b", r"Variations"),
+    (r"\banthroplogical\b", r"anthropological"),
+    (r"\bAnthroplogical\b", r"Anthropological"),
+    (r"\banthroplogist\b", r"anthropologist"),
+    (r"\bAnthroplogist\b", r"Anthropologist"),
+    (r"\banthroplogists\b", r"anthropologists"),
+    (r"\bAnthroplogists\b", r"Anthropologists"),
+    (r"\banthroplogic\b", r"anthropologic"),
+    (r"\bphysicai\b", r"physical"),
+    (r"\bPhysicai\b", r"Physical"),
+    (r"\bbiologicai\b", r"biological"),
+    (r"\bBiologicai\b", r"Biological"),
+    (r"\bcuitural\b", r"cultural"),
+    (r"\bCuitural\b", r"Cultural"),
+    (r"\bsoicety\b", r"society"),
+    (r"\bSoicety\b", r"Society"),
+    (r"\bsoicetal\b", r"societal"),
+    (r"\bSoicetal\b", r"Societal"),
+    (r"\bkinshp\b", r"kinship"),
+    (r"\bKinshp\b", r"Kinship"),
+    (r"\bmarraiage\b", r"marriage"),
+    (r"\bMarraiage\b", r"Marriage"),
+    (r"\bmarraiages\b", r"marriages"),
+    (r"\bdescnt\b", r"descent"),
+    (r"\bDescnt\b", r"Descent"),
+    (r"\blineaage\b", r"lineage"),
+    (r"\bLineaage\b", r"Lineage"),
+    (r"\blineaages\b", r"lineages"),
+    (r"\btribal\s+socites\b", r"tribal societies"),
+    (r"\bTribal\s+Socites\b", r"Tribal Societies"),
+    (r"\bethnicty\b", r"ethnicity"),
+    (r"\bEthnicty\b", r"Ethnicity"),
+    (r"\bethnogarphy\b", r"ethnography"),
+    (r"\bEthnogarphy\b", r"Ethnography"),
+    (r"\bethnogarphic\b", r"ethnographic"),
+    (r"\banthropoogy\b", r"anthropology"),
+    (r"\bAnthropoogy\b", r"Anthropology"),
+    (r"\bsocio-cultual\b", r"socio-cultural"),
+    (r"\bSocio-Cultual\b", r"Socio-Cultural"),
+    (r"\bsociocultual\b", r"sociocultural"),
+    (r"\bpastoralsim\b", r"pastoralism"),
+    (r"\bPastoralsim\b", r"Pastoralism"),
+    (r"\bnomadsim\b", r"nomadism"),
+    (r"\bNomadsim\b", r"Nomadism"),
+    (r"\bpeasnatry\b", r"peasantry"),
+    (r"\bPeasnatry\b", r"Peasantry"),
+    (r"\bfunctionailsm\b", r"functionalism"),
+    (r"\bFunctionailsm\b", r"Functionalism"),
+    (r"\bstructurailsm\b", r"structuralism"),
+    (r"\bStructurailsm\b", r"Structuralism"),
+    (r"\bsymobl\b", r"symbol"),
+    (r"\bSymobl\b", r"Symbol"),
+    (r"\bsymobls\b", r"symbols"),
+    (r"\brituai\b", r"ritual"),
+    (r"\bRituai\b", r"Ritual"),
+    (r"\brituais\b", r"rituals"),
+    (r"\bsymbosim\b", r"symbolism"),
+    (r"\bSymbosim\b", r"Symbolism"),
+    (r"\btotemisn\b", r"totemism"),
+    (r"\bTotemisn\b", r"Totemism"),
+    (r"\banimisn\b", r"animism"),
+    (r"\bAnimisn\b", r"Animism"),
 ]

@@ -113,6 +113,21 @@ def score(audited: DataFrame, covered: DataFrame, issues: DataFrame) -> DataFram
     return j.select("doc_id", s.alias("score"), F.when(s >= 90, "Excellent").when(s >= 75, "Good").when(s >= 55, "Fair").otherwise("Poor").alias("rating"))
 
 
+#: The least score of a document that can be asked about.
+READY = 75.0
+
+
+def readiness(scores: DataFrame, least: float = READY) -> DataFrame:
+    """(doc_id, score, ready)."""
+    return scores.select("doc_id", "score", (F.col("score") >= least).alias("ready"))
+
+
+def ready_documents(scores: DataFrame, least: float = READY) -> DataFrame:
+    """(documents, ready, mean_score, least_score) of all documents."""
+    s = F.col("score")
+    return scores.agg(F.count("*").alias("documents"), F.count_if(s >= least).alias("ready"), F.round(F.avg(s), 4).alias("mean_score"), F.min(s).alias("least_score"))
+
+
 def roll_up(scores: DataFrame) -> DataFrame:
     return scores.groupBy("rating").agg(F.count("*").alias("n"), F.round(F.avg("score"), 4).alias("mean_score"))
 

@@ -38,11 +38,12 @@ def expires(created: Column, mode: Column, ttl: float = 604_800.0, news_ttl: flo
     return F.when(mode == "current_affairs", created + news_ttl).when(mode.isin("prelims", "mains"), created + ttl)
 
 
-def cache_store(cache: DataFrame, new: DataFrame, most: int) -> DataFrame:
-    """The cache with answered, ungated entries in it (the newest of a key), cut to the newest ``most``: a distributed top-k by creation."""
+def cache_store(cache: DataFrame, new: DataFrame, most: int | None = None) -> DataFrame:
+    """The cache with answered, ungated entries in it (the newest of a key), if asked cut to the newest ``most``: a distributed top-k by creation."""
     every = cache.unionByName(new.where("answered AND NOT gated").drop("answered", "gated"))
     last = F.row_number().over(Window.partitionBy("cache_key").orderBy(F.desc("created_at")))
-    return every.withColumn("n", last).where("n = 1").drop("n").orderBy(F.desc("created_at"), "cache_key").limit(most)
+    kept = every.withColumn("n", last).where("n = 1").drop("n")
+    return kept if most is None else kept.orderBy(F.desc("created_at"), "cache_key").limit(most)
 
 
 def cache_stats(cache: DataFrame, now: float) -> DataFrame:

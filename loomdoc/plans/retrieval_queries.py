@@ -124,18 +124,9 @@ def retrieval(spark, d):
     return j.select("qid", "label", "probability", F.coalesce("n_siblings", F.lit(0)).cast("long").alias("n_siblings"), "best", "gated")
 
 
-ASK = "cand AS (SELECT a.item_id AS qid, b.doc_id AS id, a.text AS query, b.text, 0.0 AS score FROM benchmark a JOIN documents b ON b.doc_id % 40 = a.item_id % 40 AND a.item_id < 40)"
 W = "list_distinct(list_filter(string_split_regex(lower({0}), '[^a-z0-9]+'), lambda w: w <> ''))"
 
 
-@query(f"""WITH {ASK}, s AS (SELECT qid, id, round(len(list_intersect({W.format('query')}, {W.format('text')})) / len({W.format('query')}), 6) AS rerank_score FROM cand)
-  SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rerank_score DESC, id) AS rank FROM s QUALIFY rank <= 8""")
-def g9_rerank(spark, d):
-    b = table(spark, d, "benchmark").where("item_id < 40").select(F.col("item_id").alias("qid"), F.col("text").alias("query"), (F.col("item_id") % 40).alias("m"))
-    c = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", (F.col("doc_id") % 40).alias("m")).join(b, "m").select("qid", "id", "query", "text", F.lit(0.0).alias("score"))
-    return V.rerank(c, V.overlap_scorer, 8)
-
-
 @query("""WITH d AS (SELECT doc_id, list_filter(string_split(lower(text), ' '), lambda t: t <> '') AS ts FROM documents), n AS (SELECT count(*) AS n, avg(len(ts)) AS mean FROM d),
   tf AS (SELECT doc_id, len, t, count(*) AS tf FROM (SELECT doc_id, len(ts) AS len, unnest(ts) AS t FROM d) GROUP BY ALL), df AS (SELECT t, count(*) AS df FROM tf GROUP BY t),
   q AS (SELECT item_id AS qid, unnest(list_distinct(list_filter(string_split(lower(text), ' '), lambda t: t <> ''))) AS t FROM benchmark WHERE item_id % 50 = 0)
@@ -166,6 +157,11 @@ def _searched(spark, d):
     return V.rerank(c, V.overlap_scorer, 8)
 
 
+@query(f"WITH {SEARCHED} SELECT * FROM reranked")
+def g9_rerank(spark, d):
+    return _searched(spark, d)
+
+
 @query(f"WITH {SEARCHED} SELECT * FROM reranked")
 def g9_reranked_search(spark, d):
     return _searched(spark, d)
@@ -176,11 +172,11 @@ def g1_hashed_embeddings(spark, d):
     return V.embed(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "embedding")
 
 
-LOCAL, WEB = "l AS (SELECT user_id AS qid, max(value - 60) AS l FROM events WHERE event_id % 3 = 0 GROUP BY ALL)", "w AS (SELECT user_id AS qid, max(value - 50) AS w FROM events WHERE event_id % 3 = 1 GROUP BY ALL)"
+LOCAL, WEB = "l AS (SELECT user_id AS qid, max(value - 60) AS l FROM events WHERE event_id % 2 = 0 GROUP BY ALL)", "w AS (SELECT user_id AS qid, max(value - 50) AS w FROM events WHERE event_id % 2 = 1 GROUP BY ALL)"
 
 
 def _scores(spark, d, part, less):
-    return table(spark, d, "events").where(f"event_id % 3 = {part}").select(F.col("user_id").alias("qid"), (F.col("value") - less).alias("score"))
+    return table(spark, d, "events").where(f"event_id % 2 = {part}").select(F.col("user_id").alias("qid"), (F.col("value") - less).alias("score"))
 
 
 @query(f"WITH {LOCAL}, {WEB} SELECT qid, CASE WHEN l >= 0 THEN 'local' WHEN w IS NOT NULL AND (l IS NULL OR w > l) THEN 'web' ELSE 'local' END AS chosen FROM l FULL JOIN w USING (qid)")
@@ -197,7 +193,7 @@ ROUTE = "CASE qid % 3 WHEN 0 THEN 'high_confidence' WHEN 1 THEN 'medium_confiden
 
 
 @query(f"""WITH {LOCAL}, {WEB}, r AS (SELECT qid, {ROUTE} AS how FROM l), f AS (SELECT r.qid, how, l < 0 AND coalesce(w > l, false) AND how <> 'all' AS replaced FROM r JOIN l USING (qid) LEFT JOIN w USING (qid)),
-  c AS (SELECT user_id AS qid, 0 AS o, value - 60 AS score FROM events WHERE event_id % 3 = 0 UNION ALL SELECT user_id, 1, value - 50 FROM events WHERE event_id % 3 = 1)
+  c AS (SELECT user_id AS qid, 0 AS o, value - 60 AS score FROM events WHERE event_id % 2 = 0 UNION ALL SELECT user_id, 1, value - 50 FROM events WHERE event_id % 2 = 1)
   SELECT f.qid, CASE WHEN replaced THEN how || '_cross_collection_fallback' ELSE how END AS how, count(*) AS n, round(max(score), 6) AS best FROM f JOIN c ON c.qid = f.qid AND c.o = replaced::INT GROUP BY ALL""")
 def h4_replaced_candidates(spark, d):
     own, others = _scores(spark, d, 0, 60), _scores(spark, d, 1, 50)
@@ -223,20 +219,17 @@ def h8_merged_providers(spark, d):
     return R.merge_providers(r, F.contains("url", F.lit("example.net")))
 
 
-PLACED = """c AS (SELECT doc_id % 50 AS qid, source AS file, CASE WHEN doc_id % 11 = 0 THEN 'note' ELSE 'chk_' || (doc_id * 7 % 1000) END AS chunk_id, left(text, 40) AS text FROM documents),
-  placed AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY file, coalesce(nullif(regexp_extract(chunk_id, '([0-9]+)$', 1), '')::INT, 9999), chunk_id, text) AS place FROM c)"""
+CONTEXTS = f"""WITH {SEARCHED}, c AS (SELECT qid, source AS file, 'chk_' || doc_id AS chunk_id, text, doc_id FROM reranked JOIN documents ON doc_id = id),
+  placed AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY file, doc_id, chunk_id) AS place FROM c)
+  SELECT qid, string_agg('[' || chunk_id || '] ' || text, chr(10) || '---' || chr(10) ORDER BY place) AS context FROM placed GROUP BY qid"""
 
 
-@query(f"WITH {PLACED} SELECT qid, string_agg('[' || chunk_id || '] ' || text, chr(10) || '---' || chr(10) ORDER BY place) AS context FROM placed WHERE chunk_id <> 'note' GROUP BY qid")
+@query(CONTEXTS)
 def h10_h11_context(spark, d):
-    chunk = F.when(F.col("doc_id") % 11 == 0, "note").otherwise(F.concat(F.lit("chk_"), (F.col("doc_id") * 7 % 1000).cast("string")))
-    c = table(spark, d, "documents").select((F.col("doc_id") % 50).alias("qid"), F.col("source").alias("file"), chunk.alias("chunk_id"), F.substring("text", 1, 40).alias("text"))
-    return R.context_text(R.prompt_order(c).where("chunk_id <> 'note'"))
+    return h10_h11_question_context(spark, d)
 
 
-@query(f"""WITH {SEARCHED}, c AS (SELECT qid, source AS file, 'chk_' || doc_id AS chunk_id, text, doc_id FROM reranked JOIN documents ON doc_id = id),
-  placed AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY file, doc_id, chunk_id) AS place FROM c)
-  SELECT qid, string_agg('[' || chunk_id || '] ' || text, chr(10) || '---' || chr(10) ORDER BY place) AS context FROM placed GROUP BY qid""")
+@query(CONTEXTS)
 def h10_h11_question_context(spark, d):
     """A context for each question from its reranked hits, whole texts: a group is 8 hits at most."""
     hits = _searched(spark, d).select("qid", F.col("id").alias("doc_id"))
@@ -244,12 +237,12 @@ def h10_h11_question_context(spark, d):
     return R.context_text(R.prompt_order(c))
 
 
-@query("""WITH q AS (SELECT DISTINCT user_id AS qid, CASE WHEN user_id % 2 = 0 THEN 'current_affairs' ELSE 'mains' END AS mode FROM events), c AS (SELECT user_id AS qid, max(value - 100) AS best FROM events WHERE event_id % 4 = 0 GROUP BY ALL)
+@query("""WITH q AS (SELECT DISTINCT user_id AS qid, CASE WHEN user_id % 2 = 0 THEN 'current_affairs' ELSE 'mains' END AS mode FROM events), c AS (SELECT user_id AS qid, max(value - 100) AS best FROM events GROUP BY ALL)
   SELECT qid, best IS NULL OR best < CASE WHEN mode = 'current_affairs' THEN -5.0 ELSE 0.0 END AS gated FROM q LEFT JOIN c USING (qid)""")
 def h12_gate(spark, d):
     e = table(spark, d, "events")
     q = e.select(F.col("user_id").alias("qid")).distinct().withColumn("mode", F.when(F.col("qid") % 2 == 0, "current_affairs").otherwise("mains"))
-    return R.gate(q, e.where("event_id % 4 = 0").select(F.col("user_id").alias("qid"), (F.col("value") - 100).alias("score")))
+    return R.gate(q, e.select(F.col("user_id").alias("qid"), (F.col("value") - 100).alias("score")))
 
 
 @query("""WITH cit AS (SELECT conv_id * 100 + turn AS qid, 'chk_' || (conv_id * 3 + turn) AS chunk_id FROM conversations), c AS (SELECT 'chk_' || doc_id AS chunk_id, source AS file_id, text FROM documents), f AS (SELECT DISTINCT source AS file_id, 'File ' || source AS original_filename FROM documents WHERE source <> 'src3')

@@ -7,6 +7,7 @@ from ..operators import state as S
 from ..sources import web as W
 from ..sources.layout import BLOCKS_SQL, blocks
 from .catalogue_queries import PAPERS as PAPERS_SQL
+from .ingest_queries import ARTICLES_SQL
 from .registry import query, table
 
 
@@ -40,14 +41,14 @@ def _cache(spark, d):
 
 NOW = 7000.0
 RAW = "c AS (SELECT user_id::VARCHAR AS cache_key, event_id::DOUBLE AS created_at, (event_id + CASE WHEN event_type = 'view' THEN 100 ELSE 3000 END)::DOUBLE AS expires_at, event_id % 5 <> 0 AS answered, event_id % 7 = 0 AS gated FROM events)"
-STORED = f"{RAW}, s AS (SELECT cache_key, created_at, expires_at FROM c WHERE answered AND NOT gated QUALIFY row_number() OVER (PARTITION BY cache_key ORDER BY created_at DESC) = 1), stored AS (SELECT * FROM s ORDER BY created_at DESC, cache_key LIMIT 100)"
+STORED = f"{RAW}, s AS (SELECT cache_key, created_at, expires_at FROM c WHERE answered AND NOT gated QUALIFY row_number() OVER (PARTITION BY cache_key ORDER BY created_at DESC) = 1), stored AS (SELECT * FROM s)"
 
 
 def _stored(spark, d):
     """A third of the entries was there before."""
     c = _cache(spark, d)
     old = c.where("created_at % 3 = 0 AND answered AND NOT gated").drop("answered", "gated")
-    return S.cache_store(old, c.where("created_at % 3 <> 0"), 100)
+    return S.cache_store(old, c.where("created_at % 3 <> 0"))
 
 
 @query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN event_id + 21600.0 WHEN 3 THEN NULL ELSE event_id + 604800.0 END::DOUBLE AS expires_at FROM events")
@@ -73,14 +74,14 @@ def j4_cache_stats(spark, d):
     return S.cache_stats(_stored(spark, d), NOW)
 
 
-TAG = PAPERS_SQL.replace("contains(t,", "contains(lower(title),")
-ARTICLES = f"a AS (SELECT doc_id AS place, left(text, 60) AS title, left(text, 200) AS summary, DATE '2024-01-01' + (doc_id % 30)::INT AS date, CASE WHEN doc_id % 3 = 0 THEN 'high' ELSE 'low' END AS priority FROM documents), articles AS (SELECT *, {TAG} AS tag, md5(title || date::VARCHAR)[:12] AS id FROM a)"
+TAG = PAPERS_SQL.replace("contains(t,", "contains(lower(concat_ws(' ', title, summary)),")
+ARTICLES = f"a AS (SELECT doc_id AS place, string_split(text, chr(10))[1] AS title, text AS summary, DATE '2024-01-01' + (doc_id % 30)::INT AS date, CASE WHEN doc_id % 3 = 0 THEN 'high' ELSE 'low' END AS priority FROM documents), articles AS (SELECT *, {TAG} AS tag, md5(title || date::VARCHAR)[:12] AS id FROM a)"
 TODAY = "DATE '2024-01-28'"
 
 
 def _articles(spark, d):
-    a = table(spark, d, "documents").select(F.col("doc_id").alias("place"), F.substring("text", 1, 60).alias("title"), F.substring("text", 1, 200).alias("summary"), F.expr("date_add(DATE '2024-01-01', cast(doc_id % 30 as int))").alias("date"), F.when(F.col("doc_id") % 3 == 0, "high").otherwise("low").alias("priority"))
-    return a.withColumns({"tag": S.tag_by_words(F.col("title"), S.PAPERS, "GS-2"), "id": S.article_id(F.col("title"), F.col("date"))})
+    a = table(spark, d, "documents").select(F.col("doc_id").alias("place"), F.substring_index("text", "\n", 1).alias("title"), F.col("text").alias("summary"), F.expr("date_add(DATE '2024-01-01', cast(doc_id % 30 as int))").alias("date"), F.when(F.col("doc_id") % 3 == 0, "high").otherwise("low").alias("priority"))
+    return a.withColumns({"tag": S.tag_by_words(F.concat_ws(" ", "title", "summary"), S.PAPERS, "GS-2"), "id": S.article_id(F.col("title"), F.col("date"))})
 
 
 @query(f"WITH {ARTICLES} SELECT place, tag, id FROM articles")
@@ -116,36 +117,48 @@ def _page_articles(spark, d):
     return a.withColumns({"tag": S.tag_by_words(F.concat_ws(" ", "title", "summary"), S.PAPERS, "GS-2"), "id": S.article_id(F.col("title"), F.col("date"))})
 
 
-@query()
+#: Articles of pages as the markup of the given pages tells them.
+PAGE_TEXT = "trim(regexp_replace(replace(regexp_replace(regexp_replace(h, '<[^>]*>', ' ', 'g'), '&amp;?', '&', 'g'), '&quot;', '\"'), '[ \\t\\n\\x0b\\f\\r]+', ' ', 'g'))"
+PAGE_ARTICLES = f"""{ARTICLES_SQL}, b AS (SELECT page_id AS place, title, array_to_string(paragraphs, chr(10)) AS body, {PAGE_TEXT} AS whole FROM articles JOIN plain USING (page_id)),
+  s AS (SELECT place, title, CASE WHEN length(body) < 100 THEN whole ELSE body END AS summary, DATE '2024-01-01' + (place % 30)::INT AS date, CASE WHEN place % 3 = 0 THEN 'high' ELSE 'low' END AS priority FROM b), pa AS (SELECT *, {TAG} AS tag, md5(title || date::VARCHAR)[:12] AS id FROM s)"""
+
+
+@query(f"WITH {PAGE_ARTICLES} SELECT place, tag, id FROM pa")
 def k1_k2_page_tags(spark, d):
     return _page_articles(spark, d).select("place", "tag", "id")
 
 
-@query()
+@query(f"WITH {PAGE_ARTICLES} SELECT id, place, title FROM pa WHERE id NOT IN (SELECT id FROM pa WHERE place % 4 = 0) QUALIFY row_number() OVER (PARTITION BY id ORDER BY place) = 1")
 def k3_new_page_articles(spark, d):
     a = _page_articles(spark, d).select("place", "title", "id")
     return S.new_articles(a, a.where("place % 4 = 0")).select("id", "place", "title")
 
 
-@query()
+@query(f"WITH {PAGE_ARTICLES} SELECT id, place FROM pa WHERE date >= {TODAY} - 5")
 def k5_page_retention(spark, d):
     return S.retained(_page_articles(spark, d), F.expr(TODAY), 5).select("id", "place")
 
 
-@query()
+@query(f"WITH {PAGE_ARTICLES} SELECT id, date, row_number() OVER (PARTITION BY date ORDER BY (priority = 'high') DESC, id, pa.place) AS place FROM pa WHERE date >= {TODAY} - 5 AND (contains(lower(title), 'er') OR contains(lower(summary), 'er'))")
 def k6_page_feed(spark, d):
     return S.feed(_page_articles(spark, d), F.expr(TODAY), 5, None, "er").select("id", "date", "place")
 
 
-@query()
+@query(f"WITH {PAGE_ARTICLES} SELECT date, tag, count(*) AS n, count(*) FILTER (WHERE priority = 'high') AS important FROM pa GROUP BY ALL")
 def k4_k8_page_day_statistics(spark, d):
     return S.day_statistics(_page_articles(spark, d))
 
 
-@query(f"SELECT unnest(range({TODAY} - 7, {TODAY} + 1, INTERVAL 1 DAY))::DATE AS date, (SELECT count(*) FROM documents) AS documents")
+@query(f"WITH {ARTICLES}, d AS (SELECT unnest(range({TODAY} - 7, {TODAY} + 1, INTERVAL 1 DAY))::DATE AS date), n AS (SELECT date FROM articles WHERE id NOT IN (SELECT id FROM articles WHERE place % 4 = 0) QUALIFY row_number() OVER (PARTITION BY id ORDER BY place) = 1) SELECT date, (SELECT count(*) FROM articles a WHERE a.date = d.date) AS articles, (SELECT count(*) FROM n WHERE n.date = d.date) AS added FROM d")
 def k9_backfill_days(spark, d):
-    n = table(spark, d, "documents").agg(F.count("*").alias("documents"))
-    return n.select(F.explode(F.expr(f"sequence(date_sub({TODAY}, 7), {TODAY})")).alias("date"), "documents")
+    """One run for each of the last days: its articles, and those that are new to the stored ones."""
+    return _backfilled(spark, _articles(spark, d))
+
+
+def _backfilled(spark, articles):
+    a = articles.select("place", "id", "date")
+    days = spark.range(1).select(F.explode(F.expr(f"sequence(date_sub({TODAY}, 7), {TODAY})")).alias("date"))
+    return S.backfilled(a, a.where("place % 4 = 0"), days)
 
 
 @query("""SELECT user_id AS id, arg_max(event_type, (ts, event_id)) AS status FROM events GROUP BY ALL""")
@@ -165,7 +178,7 @@ AUDIT = f"""{BLOCKS_SQL}, audit AS (SELECT doc_id, count(*) > 0 AS has_blocks, b
   a AS (SELECT *, ((NOT has_blocks)::INT + (NOT pages_valid)::INT + (NOT no_empty_text)::INT + (NOT types_valid)::INT + (NOT ids_unique)::INT + (NOT has_headings)::INT)::BIGINT AS failed FROM audit),
   cov AS (SELECT doc_id, round(100.0 * count(DISTINCT page_num) FILTER (WHERE seq % 11 <> 3) / (max(page_num) + doc_id % 2), 2) AS coverage FROM blocks GROUP BY doc_id),
   iss AS (SELECT doc_id, count(*) FILTER (WHERE length(text) < 5) AS critical, count(*) FILTER (WHERE length(text) BETWEEN 5 AND 20) AS major, count(*) FILTER (WHERE length(text) > 2000) AS minor FROM blocks GROUP BY doc_id),
-  v AS (SELECT doc_id, round(100 - 0.3 * (100 - coverage) - 2.2 * failed - 15 * critical - 5 * major - 2 * minor, 1) AS raw, greatest(0.0, least(100.0, raw)) AS score FROM a JOIN cov USING (doc_id) JOIN iss USING (doc_id)),
+  v AS (SELECT doc_id, round(100 - 0.3::DOUBLE * (100 - coverage) - 2.2::DOUBLE * failed - 15 * critical - 5 * major - 2 * minor, 1) AS raw, greatest(0.0, least(100.0, raw)) AS score FROM a JOIN cov USING (doc_id) JOIN iss USING (doc_id)),
   scores AS (SELECT *, CASE WHEN score >= 90 THEN 'Excellent' WHEN score >= 75 THEN 'Good' WHEN score >= 55 THEN 'Fair' ELSE 'Poor' END AS rating FROM v)"""
 
 
@@ -177,12 +190,9 @@ def _scores(spark, d, audited=None):
     return E.score(E.audit(b) if audited is None else audited, E.coverage(b.where("seq % 11 <> 3"), expected), issues)
 
 
-@query()
+@query(f"WITH {PAGE_ARTICLES}, d AS (SELECT unnest(range({TODAY} - 7, {TODAY} + 1, INTERVAL 1 DAY))::DATE AS date), n AS (SELECT date FROM pa WHERE id NOT IN (SELECT id FROM pa WHERE place % 4 = 0) QUALIFY row_number() OVER (PARTITION BY id ORDER BY place) = 1) SELECT date, (SELECT count(*) FROM pa a WHERE a.date = d.date) AS articles, (SELECT count(*) FROM n WHERE n.date = d.date) AS added FROM d")
 def k9_backfill_page_days(spark, d):
-    """One run for each of the last days: its articles, and those that are new to the stored ones."""
-    a = _page_articles(spark, d).select("place", "id", "date")
-    days = spark.range(1).select(F.explode(F.expr(f"sequence(date_sub({TODAY}, 7), {TODAY})")).alias("date"))
-    return S.backfilled(a, a.where("place % 4 = 0"), days)
+    return _backfilled(spark, _page_articles(spark, d))
 
 
 def _extracted(spark, d):
@@ -205,14 +215,29 @@ def l1_nine_rule_audit(spark, d):
     return E.nine_rules(_extracted(spark, d))
 
 
-@query()
+#: Scores by the nine rules: coverage, issues and ratings as above.
+NINE_SCORES = NINE + f""", n AS (SELECT *, ({' + '.join(f'(NOT {r})::INT' for r in E.RULES)})::BIGINT AS failed FROM nine),
+  {AUDIT[AUDIT.index("cov AS"):AUDIT.index("v AS (SELECT doc_id, round")]}{AUDIT[AUDIT.index("v AS (SELECT doc_id, round"):].replace("FROM a JOIN", "FROM n JOIN")}"""
+
+
+@query(f"WITH {NINE_SCORES} SELECT doc_id, score, rating FROM scores")
 def l3_nine_rule_scores(spark, d):
     return _scores(spark, d, E.nine_rules(_extracted(spark, d)))
 
 
-@query(f"WITH {AUDIT} SELECT doc_id, has_blocks, pages_valid, no_empty_text, types_valid, ids_unique, has_headings, failed FROM a")
+@query(f"WITH {NINE_SCORES} SELECT doc_id, score, score >= 75 AS ready FROM scores")
+def l3_readiness(spark, d):
+    return E.readiness(l3_nine_rule_scores(spark, d))
+
+
+@query(f"WITH {NINE_SCORES} SELECT count(*) AS documents, count(*) FILTER (score >= 75) AS ready, round(avg(score), 4) AS mean_score, min(score) AS least_score FROM scores")
+def l3_ready_documents(spark, d):
+    return E.ready_documents(l3_nine_rule_scores(spark, d))
+
+
+@query(f"WITH {NINE} SELECT *, ({' + '.join(f'(NOT {r})::INT' for r in E.RULES)})::BIGINT AS failed FROM nine")
 def l1_audit(spark, d):
-    return E.audit(blocks(table(spark, d, "documents")))
+    return l1_nine_rule_audit(spark, d)
 
 
 @query(f"WITH {BLOCKS_SQL}, t AS (SELECT doc_id, trim(text) AS t FROM blocks WHERE length(trim(text)) > 40 GROUP BY ALL HAVING count(DISTINCT page_num) > 1) SELECT doc_id, count(*) AS texts FROM t GROUP BY doc_id")

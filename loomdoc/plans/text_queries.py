@@ -261,24 +261,23 @@ def d25_citations(spark, d):
     return _with(spark, d, CITED).select("doc_id", "seq", F.array_join(T.citations(F.col("raw")), ",").alias("cited"))
 
 
-@query("""WITH p AS (SELECT doc_id, unnest(ps) AS text, generate_subscripts(ps, 1) - 1 AS i0 FROM (SELECT doc_id, string_split(text, chr(10)) AS ps FROM documents)),
-  k AS (SELECT doc_id, text, row_number() OVER (PARTITION BY doc_id ORDER BY i0) - 1 AS i, count(*) OVER (PARTITION BY doc_id) AS n FROM p WHERE length(trim(text)) > 30),
-  s AS (SELECT *, sum(length(text)) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS upto FROM k WHERE i % greatest(1, n // 12) = 0)
-  SELECT doc_id, i AS place, text FROM s WHERE upto <= 14000""")
-def d26_sampled_paragraphs(spark, d):
-    from ..operators.chunking import sampled_paragraphs
-
-    return sampled_paragraphs(table(spark, d, "documents"))
+QUIZ = """WITH t AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(text, '\\s+', ' ', 'g'), '([.?!])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS s FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'Chapter one is a heading of some length. ' ELSE '' END || text AS text FROM documents)),
+  u AS (SELECT doc_id, trim(unnest(s)) AS sentence, generate_subscripts(s, 1) AS i FROM t), k AS (SELECT * FROM u WHERE length(sentence) > 35 AND length(sentence) < 220 AND NOT regexp_matches(lower(sentence), '^(page|chapter|module|paper|figure|table)\\b'))
+  SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n, sentence FROM k"""
 
 
-@query("""WITH t AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(text, '\\s+', ' ', 'g'), '([.?!])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS s FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'Chapter one is a heading of some length. ' ELSE '' END || text AS text FROM documents)),
-  u AS (SELECT doc_id, trim(unnest(s)) AS sentence, generate_subscripts(s, 1) AS i FROM t), k AS (SELECT * FROM u WHERE length(sentence) > 35 AND length(sentence) < 220 AND NOT regexp_matches(lower(sentence), '^(page|chapter|module|paper|figure|table)\\b'))
-  SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n, sentence FROM k""")
+@query(QUIZ)
 def d27_quiz_sentences(spark, d):
     text = F.concat(F.when(F.col("doc_id") % 3 == 0, "Chapter one is a heading of some length. ").otherwise(""), "text")
     return table(spark, d, "documents").select("doc_id", F.posexplode(T.quiz_sentences(text)).alias("i", "sentence")).select("doc_id", (F.col("i") + 1).cast("long").alias("n"), "sentence")
 
 
+@query(QUIZ)
+def d27_sentences(spark, d):
+    return d27_quiz_sentences(spark, d)
+
+
+
 @query("""SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN CASE doc_id % 4 WHEN 0 THEN 2048 WHEN 1 THEN 800 WHEN 2 THEN 800 ELSE greatest(1024, floor(2.5 * (doc_id % 900))::BIGINT) END WHEN 1 THEN 1200 ELSE 768 END::BIGINT AS max_tokens FROM documents""")
 def d22_budgets_of_modes(spark, d):
     n = F.col("doc_id")
@@ -291,18 +290,19 @@ def d22_budgets_of_modes(spark, d):
 SPACED = "replace(text, chr(10), chr(10) || chr(10))"
 
 
-@query(f"""WITH t AS (SELECT doc_id, {SPACED} AS text FROM documents), p AS (SELECT doc_id, text, list_filter(list_transform(string_split(text, chr(10) || chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: length(x) > 30) AS ps FROM t),
+SAMPLED = f"""WITH t AS (SELECT doc_id, {SPACED} AS text FROM documents), p AS (SELECT doc_id, text, list_filter(list_transform(string_split(text, chr(10) || chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: length(x) > 30) AS ps FROM t),
   k AS (SELECT doc_id, unnest(ps) AS x, generate_subscripts(ps, 1) - 1 AS i, len(ps) AS n FROM p WHERE length(text) > 1500 AND len(ps) > 6), s AS (SELECT *, sum(length(x)) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM k WHERE i % greatest(1, n // 12) = 0),
   g AS (SELECT doc_id, string_agg(x, chr(10) || chr(10) ORDER BY i) AS got FROM s WHERE upto <= 1500 GROUP BY doc_id)
-  SELECT doc_id, coalesce(got, left(text, 1500)) AS sampled FROM p LEFT JOIN g USING (doc_id)""")
+  SELECT doc_id, coalesce(got, left(text, 1500)) AS sampled FROM p LEFT JOIN g USING (doc_id)"""
+
+
+@query(SAMPLED)
 def d26_sampled_contents(spark, d):
     from ..operators.chunking import sampled_content
 
     return table(spark, d, "documents").select("doc_id", sampled_content(F.replace("text", F.lit("\n"), F.lit("\n\n")), 1500).alias("sampled"))
 
 
-@query("""WITH t AS (SELECT doc_id, string_split(regexp_replace(trim(text, E' \\t\\n\\x0b\\f\\r'), '([.?!])[ \\t\\n\\x0b\\f\\r]+', '\\1' || chr(1), 'g'), chr(1)) AS s FROM documents)
-  SELECT doc_id, s AS sentence, n FROM (SELECT doc_id, unnest(s) AS s, generate_subscripts(s, 1)::BIGINT AS n FROM t) WHERE length(s) > 35 AND length(s) < 220""")
-def d27_sentences(spark, d):
-    s = table(spark, d, "documents").select("doc_id", F.posexplode(T.sentences(F.btrim(F.col("text"), F.lit(" \t\n\x0b\f\r")))).alias("n", "sentence"))
-    return s.select("doc_id", (F.col("n") + 1).cast("long").alias("n"), "sentence").where((F.length("sentence") > 35) & (F.length("sentence") < 220))
+@query(SAMPLED)
+def d26_sampled_paragraphs(spark, d):
+    return d26_sampled_contents(spark, d)
