@@ -178,7 +178,7 @@ AUDIT = f"""{BLOCKS_SQL}, audit AS (SELECT doc_id, count(*) > 0 AS has_blocks, b
   a AS (SELECT *, ((NOT has_blocks)::INT + (NOT pages_valid)::INT + (NOT no_empty_text)::INT + (NOT types_valid)::INT + (NOT ids_unique)::INT + (NOT has_headings)::INT)::BIGINT AS failed FROM audit),
   cov AS (SELECT doc_id, round(100.0 * count(DISTINCT page_num) FILTER (WHERE seq % 11 <> 3) / (max(page_num) + doc_id % 2), 2) AS coverage FROM blocks GROUP BY doc_id),
   iss AS (SELECT doc_id, count(*) FILTER (WHERE length(text) < 5) AS critical, count(*) FILTER (WHERE length(text) BETWEEN 5 AND 20) AS major, count(*) FILTER (WHERE length(text) > 2000) AS minor FROM blocks GROUP BY doc_id),
-  v AS (SELECT doc_id, round(100 - 0.3::DOUBLE * (100 - coverage) - 2.2::DOUBLE * failed - 15 * critical - 5 * major - 2 * minor, 1) AS raw, greatest(0.0, least(100.0, raw)) AS score FROM a JOIN cov USING (doc_id) JOIN iss USING (doc_id)),
+  v AS (SELECT doc_id, round(((100 - 0.3::DOUBLE * (100 - coverage) - 2.2::DOUBLE * failed - 15 * critical - 5 * major - 2 * minor)::VARCHAR)::DECIMAL(30, 20), 1)::DOUBLE AS raw, greatest(0.0, least(100.0, raw)) AS score FROM a JOIN cov USING (doc_id) JOIN iss USING (doc_id)),
   scores AS (SELECT *, CASE WHEN score >= 90 THEN 'Excellent' WHEN score >= 75 THEN 'Good' WHEN score >= 55 THEN 'Fair' ELSE 'Poor' END AS rating FROM v)"""
 
 
