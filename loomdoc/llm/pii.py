@@ -13,7 +13,7 @@ rows are each given; further columns are ignored by ``find`` and pass through ``
 
 Offsets come from splitting a text at the matches and summing lengths, in time proportional to the text. Contexts are taken from
 blocks of ``BLOCK`` characters that a text is cut into once, beside the array of its spans, so that a row holds a text once however many
-spans it has; told terms are found by one join of the words of the texts that hold any.
+spans it has; the told terms of a text are found by one pattern if there are up to ``ALTERNATIVES``, and else by a join of its words.
 The patterns below carry possessive quantifiers and look-behinds where these change nothing but the time on long runs.
 """
 
@@ -39,6 +39,8 @@ CONTEXT = 8
 CONTEXT_CHARS = 160
 BLOCK = 512
 MIN_CONTEXTS = 3
+#: Terms that are looked for in a text by one pattern.
+ALTERNATIVES = 32
 GENERALISE, REMOVE = 0.8, 0.95
 
 
@@ -158,11 +160,16 @@ def find(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFra
     terms = written(disclosing_terms(d, spans), "terms")
     t = F.coalesce(F.col("t"), F.lit(""))
     told = d.select("key", F.explode_outer(F.array_distinct(terms_in(t))).alias("term")).join(if_small(terms, width=F.length("term")), "term")
-    # the words of a text that holds told terms, with their offsets; then a join finds these among them
-    keys = written(told.select("key").distinct(), "told")
+    held = written(told.groupBy("key").agg(F.sort_array(F.collect_set("term")).alias("terms")), "told")
     low = F.translate(t, UPPER, LOWER)
-    rows = d.join(if_small(keys, width=F.length("key")), "key", "left_semi").select("key", F.regexp_extract_all(low, F.lit(f"{CHAR}++"), F.lit(0)).alias("m"), F.split(low, f"{CHAR}++").alias("p"))
-    at = _pieces(rows, ["key"], "m", "p", 0).join(if_small(terms, width=F.length("term")), F.col("value") == F.col("term"))
+    # one pattern finds the few told terms of a text; where there are many, all its words come with their offsets, and a join finds these among them
+    few = held.where(F.size("terms") <= ALTERNATIVES)
+    alone = F.concat(F.lit(f"(?<!{CHAR})(?:"), F.array_join(F.transform("terms", lambda w: F.concat(F.lit("\\Q"), w, F.lit("\\E"))), "|"), F.lit(f")(?!{CHAR})"))
+    some = d.join(if_small(few, width=F.length(F.array_join("terms", " "))), "key").withColumn("alone", alone)
+    some = some.select("key", F.regexp_extract_all(low, F.col("alone"), F.lit(0)).alias("m"), F.split(low, F.col("alone")).alias("p"))
+    many = held.where(F.size("terms") > ALTERNATIVES).select("key")
+    most = d.join(if_small(many, width=F.length("key")), "key", "left_semi").select("key", F.regexp_extract_all(low, F.lit(f"{CHAR}++"), F.lit(0)).alias("m"), F.split(low, f"{CHAR}++").alias("p"))
+    at = _pieces(some, ["key"], "m", "p", 0).unionByName(_pieces(most, ["key"], "m", "p", 0)).join(if_small(terms, width=F.length("term")), F.col("value") == F.col("term"))
     every = spans.select("key", "kind", "start", "end", F.lit(None).cast("double").alias("ratio")).unionByName(at.select("key", F.lit("term").alias("kind"), "start", "end", "ratio"))
     # a term inside personal data is already covered: by a span that begins before it or with it, or by one that begins within it
     own = lambda c: F.when(F.col("kind") != "term", F.col(c))

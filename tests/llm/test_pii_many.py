@@ -32,3 +32,16 @@ def test_contexts_over_seas_of_signs(spark, sea):
     t = "w1 w2 w3 " + "-" * sea + " a@b.cd " + "-" * sea + " v1 v2"
     d = spark.createDataFrame([(t, t.index("a@"), t.index("a@") + 6)], "t string, s int, e int")
     assert d.select(pii._around(F.col("t"), F.col("s"), F.col("e"))).first()[0] == ["w1", "w2", "w3", "v1", "v2"]
+
+
+def test_both_ways_to_find_told_terms(spark, monkeypatch):
+    """By one pattern and by a join of words, the spans are the same: terms within terms, at both ends, beside letters beyond ASCII."""
+    rows = [(i, f"Zan zanzibar u{i}@z{i}.org ann@x.org ZANZIBAR,zan\u00e9 zanzibarx v{i}@q{i}.org zan") for i in range(40)] + [(100 + i, f"plain text {i}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = []
+    for n in (32, 0):
+        monkeypatch.setattr(pii, "ALTERNATIVES", n)
+        found.append(sorted((r["doc_id"], tuple((s["kind"], s["start"], s["end"]) for s in r["spans"])) for r in pii.find(docs).collect()))
+    assert found[0] == found[1]
+    told = {rows[3][1][a:b] for kind, a, b in dict(found[0])[3] if kind == "term"}
+    assert {"Zan", "zanzibar", "ZANZIBAR", "zan\u00e9", "zanzibarx", "zan"} <= told
