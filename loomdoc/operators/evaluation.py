@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -149,3 +150,37 @@ def quiz_scores(questions: DataFrame, answers: DataFrame) -> DataFrame:
 
 def latency(log: DataFrame, by: list[str]) -> DataFrame:
     return log.groupBy(*by).agg(F.count("*").alias("n"), F.round(F.avg("latency_ms"), 4).alias("mean_ms"), F.round(F.percentile("latency_ms", F.lit(0.5)), 4).alias("p50_ms"), F.round(F.percentile("latency_ms", F.lit(0.95)), 4).alias("p95_ms"), F.max("latency_ms").alias("max_ms"))
+
+
+#: How far a value of a sketch may be off, as a share of the value.
+ACCURACY = 0.01
+
+
+def latency_sketch(log: DataFrame, by: list[str], accuracy: float = ACCURACY) -> DataFrame:
+    """(by..., bucket, n, total, most): counts of latencies in buckets whose bounds grow by a constant factor.
+
+    A sketch of bounded size (a value of a microsecond up to a day makes some 1,300 buckets), and one that merges by adding up: sketches of days give, added up, those of one pass.
+    Latencies of zero or less have the bucket null.
+    """
+    ms = F.col("latency_ms").cast("double")
+    bucket = F.when(ms > 0, F.ceil(F.log(ms) / F.lit(_growth(accuracy)))).cast("int")
+    return log.where(ms.isNotNull()).groupBy(*by, bucket.alias("bucket")).agg(F.count("*").alias("n"), F.sum(ms).alias("total"), F.max(ms).alias("most"))
+
+
+def _growth(accuracy: float) -> float:
+    """The logarithm of the factor between bounds."""
+    return math.log((1 + accuracy) / (1 - accuracy))
+
+
+def merged_sketches(sketches: DataFrame, by: list[str]) -> DataFrame:
+    return sketches.groupBy(*by, "bucket").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.max("most").alias("most"))
+
+
+def sketch_latency(sketches: DataFrame, by: list[str], accuracy: float = ACCURACY, shares: tuple[float, ...] = (0.5, 0.95)) -> DataFrame:
+    """(by..., n, mean_ms, p50_ms, p95_ms, max_ms) from sketches; a percentile is the value of rank ceil(share * n), within ``accuracy`` of it."""
+    w = Window.partitionBy(*by)
+    s = sketches.withColumns({"upto": F.sum("n").over(w.orderBy(F.asc_nulls_first("bucket")).rowsBetween(Window.unboundedPreceding, 0)), "of": F.sum("n").over(w)})
+    g = _growth(accuracy)
+    middle = F.coalesce(2 * F.exp(F.col("bucket") * F.lit(g)) / (1 + math.exp(g)), F.lit(0.0))
+    at = [F.round(F.min(F.when(F.col("upto") >= F.ceil(F.lit(q) * F.col("of")), middle)), 4).alias(f"p{round(100 * q)}_ms") for q in shares]
+    return s.groupBy(*by).agg(F.sum("n").alias("n"), F.round(F.sum("total") / F.sum("n"), 4).alias("mean_ms"), *at, F.max("most").alias("max_ms"))

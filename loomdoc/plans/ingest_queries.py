@@ -4,10 +4,12 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import reingest
+from ..operators import recheck, reingest
 from ..operators.chunking import word_windows
 from ..shared import shared_dir
-from ..streaming import news, stages
+from ..sources import collections
+from ..sources.layout import BLOCKS_SQL, blocks
+from ..streaming import news, protocol, stages
 from .registry import query, table
 
 
@@ -133,3 +135,88 @@ def a38_reingest_runs(spark, d):
     _, reports = _reingested(spark, d)
     rows = [(i + 1, r["new"], r["changed"], r["gone"], r["kept"], r["buckets"] > 0) for i, r in enumerate(reports)]  # three runs
     return spark.createDataFrame(rows, "run bigint, new bigint, changed bigint, gone bigint, kept bigint, wrote boolean")
+
+
+POINTS_BEFORE = "b AS (SELECT vec_id, 'p' || vec_id AS point_id, vec_id % 37 AS file_id, 'chk_' || vec_id AS chunk_id, 'class ' || label AS classification, 'first' AS text, embedding AS vector, label % 2 AS c FROM embeddings)"
+
+
+def _collected(spark, d):
+    """Two collections: filled, some points stored again or added, two files removed."""
+    where, own = _fresh(spark, "collections"), uuid.uuid4().hex[:12]
+    n = F.col("vec_id")
+    b = table(spark, d, "embeddings").select(n, F.concat(F.lit("p"), n.cast("string")).alias("point_id"), (n % 37).alias("file_id"), F.concat(F.lit("chk_"), n.cast("string")).alias("chunk_id"), F.concat(F.lit("class "), F.col("label").cast("string")).alias("classification"), F.lit("first").alias("text"), F.col("embedding").alias("vector"), (F.col("label") % 2).alias("c"))
+    new = b.where("vec_id % 4 = 0").withColumn("text", F.lit("again")).unionByName(b.where("vec_id % 10 = 3").withColumns({"point_id": F.concat(F.lit("n"), n.cast("string")), "text": F.lit("added")}))
+    gone = spark.range(3, 6, 2).withColumnRenamed("id", "file_id")
+    names = [f"loomdoc_{own}_even", f"loomdoc_{own}_odd"]
+    collections.ensure(spark, names, where)
+    for c, name in enumerate(names):
+        part = lambda df: df.where(F.col("c") == c).select(*spark.table(name).columns)  # noqa: B023, E731
+        collections.put(collections.upserted(spark.table(name), part(b)), name, where)
+        collections.put(collections.upserted(spark.table(name), part(new)), name, where)
+        collections.put(collections.removed(spark.table(name), gone), name, where)
+    return [spark.table(x).withColumn("c", F.lit(i)) for i, x in enumerate(names)]
+
+
+@query(f"""WITH {POINTS_BEFORE}, n AS (SELECT * REPLACE ('again' AS text) FROM b WHERE vec_id % 4 = 0 UNION ALL SELECT * REPLACE ('n' || vec_id AS point_id, 'added' AS text) FROM b WHERE vec_id % 10 = 3), u AS (SELECT * FROM b WHERE vec_id % 4 <> 0 UNION ALL SELECT * FROM n)
+  SELECT c, point_id, file_id, chunk_id, classification, text, len(vector)::INT AS dims FROM u WHERE file_id NOT IN (3, 5)""")
+def a21_collections(spark, d):
+    even, odd = _collected(spark, d)
+    return even.unionByName(odd).select("c", "point_id", "file_id", "chunk_id", "classification", "text", F.size("vector").alias("dims"))
+
+
+@query("SELECT doc_id AS file_id, lower(source) AS folder, lower(source) || '/' || doc_id || '.pdf' AS path, octet_length(encode(coalesce(text, '')))::BIGINT AS length, md5(coalesce(text, '')) AS md5 FROM documents")
+def a18_uploads(spark, d):
+    out = _fresh(spark, "uploads")
+    collections.upload(table(spark, d, "documents").select(F.col("doc_id").alias("file_id"), F.upper("source").alias("classification"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content")), out)
+    return collections.uploads(spark, out).select("file_id", "folder", "path", F.octet_length("content").cast("long").alias("length"), F.md5("content").alias("md5"))
+
+
+@query()
+def a17_folder_files(spark, d):
+    """The tables' files by name and size."""
+    return collections.folder_files(spark, d, "*.parquet").select("path", "name", "length")
+
+
+#: Pages of which some come out empty, and how many rounds each takes to come out right: 0 to 4.
+TRIES = f"{BLOCKS_SQL}, pg AS (SELECT doc_id, page_num, count(*) AS n FROM blocks GROUP BY ALL), need AS (SELECT *, CASE WHEN (doc_id + page_num) % 3 = 0 THEN (doc_id + 2 * page_num) % 5 ELSE 0 END AS need FROM pg)"
+
+
+@query(f"""WITH RECURSIVE {TRIES}, r AS (SELECT doc_id, page_num, need, 0 AS attempts, need > 0 AS missing FROM need
+    UNION ALL SELECT doc_id, page_num, need, attempts + 1, need > attempts + 1 FROM r WHERE missing AND attempts < 3)
+  SELECT doc_id, page_num::BIGINT AS page_num, max(attempts)::INT AS attempts, NOT bool_and(missing) AS has_text FROM r GROUP BY ALL""")
+def a13_rechecked_pages(spark, d):
+    pg = blocks(table(spark, d, "documents")).groupBy("doc_id", F.col("page_num").cast("long").alias("page_num")).agg(F.count("*").alias("n"))
+    need = F.when((F.col("doc_id") + F.col("page_num")) % 3 == 0, (F.col("doc_id") + 2 * F.col("page_num")) % 5).otherwise(0)
+
+    def page(after):
+        here = F.col("need") <= after
+        return [F.when(here, "text").otherwise("").alias("text"), (~here & (F.col("need") % 2 == 0)).alias("is_blank"), F.when(~here & (F.col("need") % 2 == 1), "timeout").alias("error")]
+
+    def extract(todo, n):
+        return todo.withColumn("need", need).select("doc_id", "page_num", *page(n))
+
+    first = pg.withColumn("need", need).select("doc_id", "page_num", *page(0))
+    rows, _ = recheck.rechecked(first, extract, _fresh(spark, "recheck"))
+    return rows.select("doc_id", "page_num", "attempts", (F.col("text") != "").alias("has_text"))
+
+
+PROTOCOL = """e AS (SELECT user_id, ts, event_id, CASE event_type WHEN 'purchase' THEN 'r' WHEN 'error' THEN 'e' WHEN 'signup' THEN 'd' ELSE 'p' END AS c FROM events),
+  g AS (SELECT *, coalesce(ts - lag(ts) OVER w >= INTERVAL 6 HOUR, true)::INT AS new FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), n AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM g),
+  sessions AS (SELECT user_id, min(ts) AS start, count(*) AS events, string_agg(c, '' ORDER BY ts, event_id) AS sequence FROM n GROUP BY user_id, s),
+  told AS (SELECT user_id, start::VARCHAR AS start, events, sequence, CASE WHEN contains(sequence, 'e') THEN 'error' WHEN contains(sequence, 'r') THEN 'result' ELSE 'none' END AS outcome, regexp_matches(sequence, '^p*[re]d$') AS whole FROM sessions)"""
+
+
+def _protocol(e):
+    kind = F.when(F.col("event_type") == "purchase", "result").when(F.col("event_type") == "error", "error").when(F.col("event_type") == "signup", "done").otherwise("progress")
+    return e.select("user_id", F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("no"), kind.alias("type"))
+
+
+@query(f"WITH {PROTOCOL} SELECT user_id, events, sequence, outcome, whole FROM told")
+def m_protocol_sessions(spark, d):
+    return protocol.sessions(_protocol(table(spark, d, "events")), "6 hours").drop("start")
+
+
+@query(f"WITH {PROTOCOL} SELECT outcome, whole, count(*) AS sessions, sum(events)::BIGINT AS events FROM told GROUP BY ALL")
+def m_protocol_outcomes(spark, d):
+    s = protocol.sessions(_protocol(table(spark, d, "events")), "6 hours")
+    return s.groupBy("outcome", "whole").agg(F.count("*").alias("sessions"), F.sum("events").alias("events"))

@@ -315,3 +315,25 @@ def l7_quiz_scores(spark, d):
 @query("SELECT event_type AS stage, user_id % 5 AS mode, count(*) AS n, round(avg(value), 4) AS mean_ms, round(quantile_cont(value, 0.5), 4) AS p50_ms, round(quantile_cont(value, 0.95), 4) AS p95_ms, max(value) AS max_ms FROM events GROUP BY ALL")
 def l11_latency(spark, d):
     return E.latency(table(spark, d, "events").select(F.col("event_type").alias("stage"), (F.col("user_id") % 5).alias("mode"), F.col("value").alias("latency_ms")), ["stage", "mode"])
+
+
+G = "ln(1.01::DOUBLE / 0.99::DOUBLE)"
+SKETCH = f"k AS (SELECT event_type AS stage, user_id % 5 AS mode, CASE WHEN value > 0 THEN ceil(ln(value) / {G})::INT END AS bucket, count(*) AS n, sum(value) AS total, max(value) AS most FROM events WHERE value IS NOT NULL GROUP BY ALL)"
+
+
+def _sketches(spark, d, *more):
+    e = table(spark, d, "events").select(F.col("event_type").alias("stage"), (F.col("user_id") % 5).alias("mode"), F.col("value").alias("latency_ms"), F.to_date("ts").alias("day"))
+    return E.latency_sketch(e, ["stage", "mode", *more])
+
+
+@query(f"WITH {SKETCH} SELECT stage, mode, bucket, n, round(total, 4) AS total, most FROM k")
+def l11_merged_sketches(spark, d):
+    """Sketches of days, added up."""
+    m = E.merged_sketches(_sketches(spark, d, "day"), ["stage", "mode"])
+    return m.withColumn("total", F.round("total", 4))
+
+
+@query(f"""WITH {SKETCH}, u AS (SELECT *, sum(n) OVER (PARTITION BY stage, mode ORDER BY bucket NULLS FIRST ROWS UNBOUNDED PRECEDING) AS upto, sum(n) OVER (PARTITION BY stage, mode) AS of_all, coalesce(2 * exp(bucket * {G}) / (1 + exp({G})), 0) AS middle FROM k)
+  SELECT stage, mode, sum(n)::BIGINT AS n, round(sum(total) / sum(n), 4) AS mean_ms, round(min(middle) FILTER (upto >= ceil(0.5::DOUBLE * of_all)), 4) AS p50_ms, round(min(middle) FILTER (upto >= ceil(0.95::DOUBLE * of_all)), 4) AS p95_ms, max(most) AS max_ms FROM u GROUP BY ALL""")
+def l11_sketched_latency(spark, d):
+    return E.sketch_latency(E.merged_sketches(_sketches(spark, d, "day"), ["stage", "mode"]), ["stage", "mode"])
