@@ -1,10 +1,11 @@
 """URL filters: fixed host and path rules, then association rules mined from labels (operator 4; DataFrame functions and Spark's FP-growth only).
 
 A URL's tokens are its host labels, host suffixes, path segments that are not numbers, and query names;
-query values are none. FP-growth mines the
-token combinations of labelled URLs together with the label; combinations that imply the label with at least
-``min_confidence``, on at least ``min_rows`` rows (and ``min_support`` of all, if that is given), become block rules, without those that a
-shorter one already covers. Each rule is indexed under its rarest token only (inverted index), so a URL meets few
+query values are none. Tokens that imply the label by themselves are rules, and no longer combination with them is needed. FP-growth mines
+the combinations of the other tokens in the labelled URLs that are bad, on at least ``min_rows`` of these (and
+``min_support`` of all labelled rows, if that is given); their confidence is counted over all labelled rows, and those that reach ``min_confidence`` become block rules, without those
+that a shorter one already covers. Tokens that stand in the same labelled URLs, as those of one template, count as one while combinations are mined (else a template of n
+tokens would have 2^n), and each of them fits in a rule for any other. Each rule is indexed under its rarest token only (inverted index), so a URL meets few
 rules, and a rule fits if all its tokens are there. Fixed rules win over mined ones.
 
 Defined cases: a null URL, or one without ``://``, has an empty host and path, no tokens, and is allowed; repeated
@@ -33,7 +34,7 @@ RULES = [
 MIN_SUPPORT = 0.0
 MIN_ROWS = 20
 MIN_CONFIDENCE = 0.6
-BLOCK = "=block"
+SALTS = 16
 
 
 def host_of(url: Column) -> Column:
@@ -65,26 +66,49 @@ def fixed_rule(host: Column, path: Column, rules: list[tuple[str, str, str]]) ->
     return out
 
 
+FOUND = "antecedent array<string>, confidence double, rarest string, alternatives array<array<string>>"
+
+
 def mined_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_rows: int = MIN_ROWS) -> DataFrame:
-    """(antecedent, confidence, rarest) from (tokens, bad): token combinations that imply the label."""
+    """(antecedent, confidence, rarest, alternatives) from (tokens, bad): token combinations that imply the label, and for each of their tokens those that fit as well."""
     spark = labelled.sparkSession
-    t = labelled.where("bad IS NOT NULL AND size(tokens) > 0")
-    t = written(t.select(F.when(F.col("bad"), F.concat("tokens", F.array(F.lit(BLOCK)))).otherwise(F.col("tokens")).alias("items")), "transactions")
-    total = t.count()
-    empty = spark.createDataFrame([], "antecedent array<string>, confidence double, rarest string")
-    if not total:
-        return empty
-    model = FPGrowth(itemsCol="items", minSupport=max(min_support, min_rows / total), minConfidence=min_confidence).fit(t) if min_rows <= total else None
-    if model is None:
-        return empty
-    rules = model.associationRules.where(F.col("consequent")[0] == BLOCK).select(F.sort_array("antecedent").alias("antecedent"), "confidence")
-    rules = written(rules.withColumn("id", F.sha2(F.array_join("antecedent", "\n"), 256)), "rules")
-    single = model.freqItemsets.where(F.size("items") == 1).select(F.col("items")[0].alias("token"), F.col("freq"))
-    keyed = rules.select("id", "antecedent", "confidence", F.explode("antecedent").alias("token")).join(single, "token")
-    keyed = written(keyed.groupBy("id").agg(F.first("antecedent").alias("antecedent"), F.first("confidence").alias("confidence"), F.min(F.struct("freq", "token"))["token"].alias("rarest")), "keyed")
-    short = keyed.select(F.col("rarest").alias("token"), F.col("antecedent").alias("short"), F.col("id").alias("sid"))
-    covered = keyed.select("id", "antecedent", F.explode("antecedent").alias("token")).join(short, "token").where((F.col("id") != F.col("sid")) & (F.size(F.array_except("short", "antecedent")) == 0)).select("id").distinct()
-    return written(keyed.join(covered, "id", "left_anti").select("antecedent", "confidence", "rarest"), "kept_rules")
+    t = labelled.where("bad IS NOT NULL AND size(tokens) > 0").select("bad", F.array_distinct("tokens").alias("tokens"))
+    t = written(t.withColumn("row", F.monotonically_increasing_id()), "labelled")
+    total, n_bad = t.agg(F.count("*"), F.count_if("bad")).first()
+    least = max(min_rows, min_support * total)
+    if n_bad < least or not n_bad:
+        return spark.createDataFrame([], FOUND)
+    # where a token stands, as a sum that doesn't depend on order
+    places = F.sum(F.xxhash64("row").cast("decimal(38,0)")).alias("places")
+    each = t.select("row", "bad", F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"), F.count_if("bad").alias("n_bad"), places)
+    each = written(each.where(F.col("n_bad") >= least), "tokens")
+    alone = F.col("n_bad") / F.col("n") >= min_confidence
+    singles = each.where(alone).select(F.array("token").alias("antecedent"), (F.col("n_bad") / F.col("n")).alias("confidence"), F.col("token").alias("rarest"), F.array(F.array("token")).alias("alternatives"))
+    same = each.where(~alone).groupBy("n", "n_bad", "places").agg(F.sort_array(F.collect_list("token")).alias("tokens"))
+    classes = written(same.select(F.get("tokens", F.lit(0)).alias("item"), "n", "tokens"), "classes")
+    of = classes.select("item", F.explode("tokens").alias("token"))
+    rows = t.select("row", "bad", F.explode("tokens").alias("token")).join(of, "token").groupBy("row", "bad").agg(F.collect_set("item").alias("items"))
+    rows = written(rows.where(F.size("items") > 1), "rows")
+    bad = rows.where("bad").select("items")
+    n = bad.count()
+    if n < least:
+        return written(singles, "kept_rules")
+    model = FPGrowth(itemsCol="items", minSupport=least / n, minConfidence=1.0).fit(bad)
+    c = model.freqItemsets.where((F.size("items") > 1) & (F.col("freq") >= least)).select(F.sort_array("items").alias("items"), F.col("freq").alias("n_bad"))
+    c = c.withColumn("id", F.sha2(F.array_join("items", "\n"), 256))
+    keyed = c.select("id", "items", "n_bad", F.explode("items").alias("item")).join(classes.select("item", "n"), "item")
+    keyed = written(keyed.groupBy("id").agg(F.first("items").alias("items"), F.first("n_bad").alias("n_bad"), F.min(F.struct("n", "item"))["item"].alias("rarest")), "candidates")
+    # over all labelled rows; those of a common token are dealt over salts
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS))).select("row", "items", "salt", F.explode("items").alias("rarest"))
+    dealt = keyed.select("id", F.col("items").alias("wanted"), "rarest", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+    counted = salted.join(dealt, ["rarest", "salt"]).where(F.size(F.array_except("wanted", "items")) == 0).groupBy("id").agg(F.count("*").alias("n"))
+    sure = written(keyed.join(counted, "id").withColumn("confidence", F.col("n_bad") / F.col("n")).where(F.col("confidence") >= min_confidence).select("id", "items", "confidence", "rarest"), "sure")
+    short = sure.select(F.col("rarest").alias("item"), F.col("items").alias("short"), F.col("id").alias("sid"))
+    covered = sure.select("id", "items", F.explode("items").alias("item")).join(short, "item").where((F.col("id") != F.col("sid")) & (F.size(F.array_except("short", "items")) == 0)).select("id").distinct()
+    kept = sure.join(covered, "id", "left_anti")
+    told = kept.select("id", "items", "confidence", "rarest", F.posexplode("items").alias("i", "item")).join(classes.select("item", "tokens"), "item")
+    told = told.groupBy("id").agg(F.first("items").alias("antecedent"), F.first("confidence").alias("confidence"), F.first("rarest").alias("rarest"), F.transform(F.sort_array(F.collect_list(F.struct("i", "tokens"))), lambda x: x["tokens"]).alias("alternatives"))
+    return written(singles.unionByName(told.drop("id")), "kept_rules")
 
 
 def judge(pages: DataFrame, labels: DataFrame | None = None, page_id: str = "page_id", url: str = "url", label_id: str = "doc_id", label: str = "toxic", rules: list[tuple[str, str, str]] = RULES, **mining) -> DataFrame:
@@ -98,7 +122,9 @@ def judge(pages: DataFrame, labels: DataFrame | None = None, page_id: str = "pag
     else:
         given = labels.select(F.col(label_id).alias("page_id"), (F.col(label) == 1).alias("bad"))
         found = mined_rules(p.select("page_id", tokens_of(u).alias("tokens")).join(given, "page_id").select("tokens", "bad"), **mining)
-        meet = open_pages.select("key", "tokens", F.explode("tokens").alias("rarest")).join(found, "rarest").where(F.size(F.array_except("antecedent", "tokens")) == 0)
+        # under each token that fits for the rarest one
+        index = found.select("confidence", "alternatives", F.explode(F.element_at("alternatives", F.array_position("antecedent", F.col("rarest")).cast("int"))).alias("token"))
+        meet = open_pages.select("key", "tokens", F.explode("tokens").alias("token")).join(index, "token").where(F.forall("alternatives", lambda a: F.arrays_overlap(a, "tokens")))
         blocked = meet.groupBy("key").agg(F.max("confidence").alias("confidence"))
     out = p.join(blocked, "key", "left")
     verdict = F.coalesce(F.col("fixed")["verdict"], F.when(F.col("confidence").isNotNull(), "block").otherwise("allow"))
