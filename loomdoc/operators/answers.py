@@ -177,3 +177,50 @@ def prompt_name(mode: Column, sub_mode: Column, query: Column, archetype: Column
     mains = F.concat(F.lit("mains/"), archetype)
     news = F.when((low == "mains") & (query != ""), mains).when(low == "mains", "news/article").when(low.isin("mcq", "explain"), F.concat(F.lit("news/"), low)).otherwise("news/summary")
     return F.when(mode == "mains", mains).when(mode == "current_affairs", news).when(mode == "prelims", "prelims")
+
+
+#: How an answer of each kind is built; {wl} stands for its length in words.
+DIRECTIVES = {
+    "differentiate": """\
+Target: ~{wl} words. Format exactly as:
+1. Overview: 1 sentence summarizing the core distinction.
+2. Comparison Table (Markdown, 4-6 rows):
+   | Basis | Entity A | Entity B |
+   | :--- | :--- | :--- |
+   Rows must cover: Definition, Core Characteristics, Scope/Function, Key Differences, Examples/Application from context.
+3. Synthesis: 1-2 sentences on the overarching relationship or conclusion.""",
+    "summary": """\
+Target: ~{wl} words. Be strictly concise. Format exactly as:
+1. Snapshot: 1 sentence — the core concept, event, or principle.
+2. Key Points: 3-4 bullet points with bold key terms, stages, or facts from context.
+3. Bottom Line: 1 concluding takeaway sentence.""",
+    "explain": """\
+Target: ~{wl} words. Format exactly as:
+1. Definition & Core Concept: 1-2 clear sentences defining the concept or topic.
+2. Stages / Mechanism / Key Pillars: 2-4 structured bullets explaining the components, stages, or mechanism from context.
+3. Significance & Application: 2 bullets on its importance, practical relevance, or impact based on context.""",
+    "indetail": """\
+Target: ~{wl} words. Format exactly as:
+1. Context & Overview: 1-2 sentences grounding the topic and its core scope from context.
+2. Multi-Dimensional Analysis: bold sub-headings analyzing the key dimensions present in the context.
+3. Critical Insights / Key Characteristics: 2-3 balanced analytical bullets evaluating the topic.
+4. Summary & Conclusion: 2 concrete, context-grounded concluding points.""",
+    "timeline": """\
+Target: ~{wl} words. Format exactly as:
+1. Genesis: 1-2 sentences on the origin or starting phase.
+2. Milestones: chronological bullets with bold phases/years and the transition each represents from context.
+3. Contemporary Relevance: 1-2 sentences on modern status, implications, or application.""",
+    "standard_mains": """\
+Target: ~{wl} words. Format exactly as:
+1. Introduction: 1-2 sentences — clear definition, background, or benchmark from context.
+2. Analytical Body: 2-3 sub-headed thematic sections with bold key terms and direct analysis.
+3. Conclusion: 2 balanced, context-grounded takeaways.""",
+}
+
+
+def directive(archetype: Column, word_limit: Column) -> Column:
+    """The directive of a long answer: its kind's, with its length; kinds without one of their own take the standard one."""
+    chosen = F.lit(DIRECTIVES["standard_mains"])
+    for kind, text in DIRECTIVES.items():
+        chosen = F.when(archetype == kind, text).otherwise(chosen)
+    return F.replace(chosen, F.lit("{wl}"), word_limit.cast("string"))

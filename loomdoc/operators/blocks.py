@@ -156,6 +156,33 @@ def patch_pages(blocks: DataFrame, patches: DataFrame) -> DataFrame:
     return blocks.join(patches.select("doc_id", "page_num").distinct(), ["doc_id", "page_num"], "left_anti").unionByName(patches)
 
 
+#: What a list item begins with.
+LIST_STARTS = ["•", "-", "*", "1.", "2.", "3.", "4.", "5.", "(a)", "(b)", "(i)"]
+
+
+def reextracted(found: DataFrame) -> DataFrame:
+    """(doc_id, page_num, block_id, type, text, y0) of raw blocks (doc_id, page_num, b_idx, text, y0) of pages that are extracted again; blank ones are left out."""
+    text = F.regexp_replace("text", r"(?U)\A\s+|\s+\z", "")
+    line = ~F.col("text").rlike(r"[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]") & (F.length("text") < 80) & ~F.col("text").endswith(".")
+    item = F.exists(F.array(*map(F.lit, LIST_STARTS)), lambda p: F.startswith(F.col("text"), p))
+    f = found.withColumn("text", text).where("text <> ''")
+    return f.select("doc_id", "page_num", F.format_string("blk_re_p%d_%04d", F.col("page_num").cast("int"), F.col("b_idx").cast("int")).alias("block_id"), F.when(line, "heading").when(item, "list_item").otherwise("paragraph").alias("type"), "text", "y0")
+
+
+def with_reextracted(blocks: DataFrame, found: DataFrame, partial: DataFrame) -> DataFrame:
+    """blocks (doc_id, seq, page_num, block_id, type, text, y0) with the pages that were extracted again, and each block's place in its document by page and height.
+
+    partial: (doc_id, page_num) of pages whose old blocks go; a document for which nothing new is found stays as it is. Of blocks at one height the old ones come first, in their order.
+    """
+    new = reextracted(found)
+    gone = partial.select("doc_id", "page_num").distinct().join(new.select("doc_id").distinct(), "doc_id", "left_semi")
+    columns = ["doc_id", "page_num", "block_id", "type", "text", "y0"]
+    kept = blocks.join(gone, ["doc_id", "page_num"], "left_anti").select(*columns, F.lit(0).alias("kind"), F.format_string("%020d", "seq").alias("at"))
+    every = kept.unionByName(new.select(*columns, F.lit(1).alias("kind"), F.col("block_id").alias("at")))
+    order = Window.partitionBy("doc_id").orderBy("page_num", F.coalesce("y0", F.lit(0.0)), "kind", "at")
+    return every.withColumn("place", F.row_number().over(order).cast("long")).drop("kind", "at")
+
+
 def approximate_boxes(blocks: DataFrame) -> DataFrame:
     """Flags boxes that only stand for the whole page."""
     box = F.array("x0", "y0", "x1", "y1")

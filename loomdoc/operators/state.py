@@ -86,6 +86,33 @@ def feed(articles: DataFrame, today: Column, days: int = 5, tag: str | None = No
     return a.withColumn("place", F.row_number().over(Window.partitionBy("date").orderBy(F.desc(F.col("priority") == "high"), "id")).cast("long"))
 
 
+def client_filter(articles: DataFrame, tag: str = "all", search: str = "") -> DataFrame:
+    """The articles of a day that a reader sees: of one tag, unless it is "all", and with the words that are searched for in title or summary, in any case."""
+    if tag != "all":
+        articles = articles.where(F.col("tag") == tag)
+    if search:
+        has = lambda c: F.coalesce(F.contains(F.lower(c), F.lit(search.lower())), F.lit(False))
+        articles = articles.where(has("title") | has("summary"))
+    return articles
+
+
+MESSAGES = "session_id string, role string, content string, at bigint, bucket int"
+
+
+def append_messages(messages: DataFrame, out: str, buckets: int = 64) -> None:
+    """Adds messages (session_id, role, content, at) to a folder in buckets of sessions; those without a session are left out."""
+    m = messages.where("coalesce(session_id, '') <> ''").select("session_id", "role", "content", F.col("at").cast("long").alias("at"))
+    m.withColumn("bucket", F.pmod(F.xxhash64("session_id"), F.lit(buckets)).cast("int")).write.mode("append").partitionBy("bucket").parquet(out)
+
+
+def messages_of(spark, out: str, sessions: list[str] | None = None, buckets: int = 64) -> DataFrame:
+    """The messages of a folder; of some sessions, only their buckets are read."""
+    m = spark.read.schema(MESSAGES).parquet(out)
+    if sessions is not None:
+        m = m.where(F.col("bucket").isin([r["b"] for r in spark.createDataFrame([(s,) for s in sessions], "s string").select(F.pmod(F.xxhash64("s"), F.lit(buckets)).cast("int").alias("b")).distinct().collect()]) & F.col("session_id").isin(sessions))  # as many as are named
+    return m.drop("bucket")
+
+
 def latest_status(events: DataFrame) -> DataFrame:
     """(id, status) after the last event of each document."""
     return events.groupBy("id").agg(F.max_by("status", F.struct("at", "no")).alias("status"))

@@ -4,10 +4,11 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import recheck, reingest
+from ..operators import blocks as B
+from ..operators import recheck, reingest, state
 from ..operators.chunking import word_windows
 from ..shared import shared_dir
-from ..sources import collections
+from ..sources import catalogue, collections
 from ..sources.layout import BLOCKS_SQL, blocks
 from ..streaming import news, protocol, stages
 from .registry import query, table
@@ -220,3 +221,78 @@ def m_protocol_sessions(spark, d):
 def m_protocol_outcomes(spark, d):
     s = protocol.sessions(_protocol(table(spark, d, "events")), "6 hours")
     return s.groupBy("outcome", "whole").agg(F.count("*").alias("sessions"), F.sum("events").alias("events"))
+
+
+@query("""WITH w AS (SELECT doc_id, 'doc/' || doc_id AS url, source, list_filter(string_split_regex(text, '[ \\t\\n\\x0b\\f\\r]+'), lambda x: x <> '') AS ws FROM documents),
+  i AS (SELECT doc_id, url, source, ws, unnest(range(0, len(ws), 200)) AS i FROM w), c AS (SELECT doc_id, url, source, i, ws[i + 1:i + 250] AS c FROM i)
+  SELECT doc_id, count(*) AS chunk_count, sum(len(c))::BIGINT AS words, string_agg('ca_' || sha256(url)[:8] || '_' || printf('%03d', n), ',' ORDER BY n) AS chunk_ids FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY i) - 1 AS n FROM c WHERE len(c) >= 30) GROUP BY doc_id""")
+def a16_chunk_files(spark, d):
+    out = _fresh(spark, "chunks")
+    catalogue.write_chunk_buckets(_windows(table(spark, d, "documents")), out)
+    c = catalogue.read_chunks(spark, out, "doc_id bigint, chunk_id string, n_words bigint, text string")
+    return c.groupBy("doc_id").agg(F.count("*").alias("chunk_count"), F.sum("n_words").alias("words"), F.array_join(F.sort_array(F.collect_list("chunk_id")), ",").alias("chunk_ids"))
+
+
+#: Documents with three files each, of which some aren't there, vectors, and documents that go, some of them unknown.
+CASCADE = """d AS (SELECT doc_id AS id, CASE WHEN doc_id % 6 <> 0 THEN 'u/' || doc_id || '.pdf' END AS file_path, 'e/' || doc_id || '.json' AS extracted_json_path, CASE WHEN doc_id % 4 <> 0 THEN 'p/' || doc_id || '.json' END AS preprocessed_json_path FROM documents),
+  f AS (SELECT file_path AS path FROM d WHERE id % 5 <> 0 AND file_path IS NOT NULL UNION ALL SELECT extracted_json_path FROM d WHERE id % 7 <> 0 UNION ALL SELECT preprocessed_json_path FROM d WHERE preprocessed_json_path IS NOT NULL),
+  v AS (SELECT vec_id, vec_id // 3 AS file_id FROM embeddings), g AS (SELECT DISTINCT doc_id * CASE WHEN doc_id % 9 = 0 THEN -1 ELSE 1 END AS id FROM labels WHERE quality = 0),
+  j AS (SELECT g.id, d.id IS NOT NULL AS found, file_path, file_path IN (SELECT path FROM f) AS pdf, extracted_json_path IN (SELECT path FROM f) AS ext, preprocessed_json_path IN (SELECT path FROM f) AS pre FROM g LEFT JOIN d USING (id)),
+  report AS (SELECT id, found, (SELECT count(*) FROM v WHERE file_id = j.id) AS vectors_deleted, found AS record_deleted, coalesce(pdf, false) AS pdf_deleted, coalesce(ext, false) AS extracted_deleted, coalesce(pre, false) AS preprocessed_deleted,
+    CASE WHEN NOT found THEN '' ELSE array_to_string(list_filter([CASE WHEN NOT coalesce(pdf, false) THEN 'PDF file not found on disk (path: ' || coalesce(file_path, 'None') || ') — skipped.' END, CASE WHEN NOT coalesce(ext, false) THEN 'Extracted JSON not found on disk — skipped.' END, CASE WHEN NOT coalesce(pre, false) THEN 'Preprocessed JSON not found on disk — skipped.' END], lambda x: x IS NOT NULL), '|') END AS warnings FROM j)"""
+
+
+def _cascade(spark, d):
+    n = F.col("doc_id")
+    docs = table(spark, d, "documents").select(n.alias("id"), F.when(n % 6 != 0, F.format_string("u/%d.pdf", n)).alias("file_path"), F.format_string("e/%d.json", n).alias("extracted_json_path"), F.when(n % 4 != 0, F.format_string("p/%d.json", n)).alias("preprocessed_json_path"))
+    files = docs.where("id % 5 <> 0").select(F.col("file_path").alias("path")).unionAll(docs.where("id % 7 <> 0").select("extracted_json_path")).unionAll(docs.select("preprocessed_json_path")).where("path IS NOT NULL")
+    vectors = table(spark, d, "embeddings").select("vec_id", F.floor(F.col("vec_id") / 3).alias("file_id"))
+    gone = table(spark, d, "labels").where("quality = 0").select((n * F.when(n % 9 == 0, -1).otherwise(1)).alias("id"))
+    return catalogue.cascade(docs, vectors, files, gone)
+
+
+@query(f"WITH {CASCADE} SELECT * FROM report")
+def a25_cascade_reports(spark, d):
+    return _cascade(spark, d)[1].withColumn("warnings", F.array_join("warnings", "|"))
+
+
+@query(f"""WITH {CASCADE}, k AS (SELECT * FROM j WHERE found) SELECT 'documents' AS store, count(*) AS rows FROM d WHERE id NOT IN (SELECT id FROM k) UNION ALL SELECT 'vectors', count(*) FROM v WHERE file_id NOT IN (SELECT id FROM k)
+  UNION ALL SELECT 'files', count(*) FROM f WHERE path NOT IN (SELECT p FROM (SELECT unnest([d.file_path, d.extracted_json_path, d.preprocessed_json_path]) AS p FROM k JOIN d USING (id)) WHERE p IS NOT NULL)""")
+def a25_kept_stores(spark, d):
+    kept, _ = _cascade(spark, d)
+    one = lambda k: kept[k].agg(F.count("*").alias("rows")).select(F.lit(k).alias("store"), "rows")
+    return one("documents").unionByName(one("vectors")).unionByName(one("files"))
+
+
+#: Pages in fours: the third ones were partial, the fourth ones missing; both are read again, in every fifth document in vain.
+AGAIN = f"""{BLOCKS_SQL}, old AS (SELECT doc_id, seq, page_num, 'blk_' || seq AS block_id, type, text, y0 FROM blocks WHERE page_num % 4 <> 3),
+  raw AS (SELECT doc_id, page_num, seq % 5 AS b, trim(CASE seq % 6 WHEN 0 THEN '- ' || text WHEN 1 THEN '1. ' || text || ' and so on until the line is a long one, longer than a heading may be' ELSE text END, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS text, (seq * 97 % 842)::DOUBLE AS y0 FROM blocks WHERE page_num % 4 >= 2 AND doc_id % 5 <> 0),
+  new AS (SELECT doc_id, page_num, printf('blk_re_p%d_%04d', page_num, b) AS block_id, CASE WHEN length(text) < 80 AND NOT ends_with(text, '.') THEN 'heading' WHEN regexp_matches(text, '^(•|-|\\*|[1-5]\\.|\\(a\\)|\\(b\\)|\\(i\\))') THEN 'list_item' ELSE 'paragraph' END AS type, text, y0 FROM raw WHERE text <> ''),
+  every AS (SELECT doc_id, page_num, block_id, type, text, y0, 0 AS kind, printf('%020d', seq) AS k FROM old WHERE NOT (page_num % 4 = 2 AND doc_id IN (SELECT doc_id FROM new)) UNION ALL SELECT doc_id, page_num, block_id, type, text, y0, 1, block_id FROM new)"""
+
+
+@query(f"WITH {AGAIN} SELECT doc_id, page_num, block_id, type, text, row_number() OVER (PARTITION BY doc_id ORDER BY page_num, y0, kind, k) AS place FROM every")
+def b26_reextracted_pages(spark, d):
+    b, n = blocks(table(spark, d, "documents")), F.col("seq")
+    old = b.where("page_num % 4 <> 3").select("doc_id", "seq", "page_num", F.format_string("blk_%d", "seq").alias("block_id"), "type", "text", "y0")
+    text = F.when(n % 6 == 0, F.concat(F.lit("- "), "text")).when(n % 6 == 1, F.concat(F.lit("1. "), "text", F.lit(" and so on until the line is a long one, longer than a heading may be"))).otherwise(F.col("text"))
+    raw = b.where("page_num % 4 >= 2 AND doc_id % 5 <> 0").select("doc_id", "page_num", (n % 5).alias("b_idx"), text.alias("text"), (n * 97 % 842).cast("double").alias("y0"))
+    return B.with_reextracted(old, raw, b.where("page_num % 4 = 2")).drop("y0")
+
+
+@query(f"WITH {POINTS_SQL}, a AS (SELECT DISTINCT url, title, body, gs_category FROM tagged) SELECT url, title FROM a WHERE gs_category = 'GS-3' AND (contains(lower(title), 'er') OR contains(lower(body), 'er'))")
+def l8_client_filter(spark, d):
+    from ..sources import web
+
+    a = web.articles(table(spark, d, "pages")).where("url IS NOT NULL AND title <> ''").select("url", "title", F.array_join("paragraphs", " ").alias("summary")).where(F.length("summary") >= 100)
+    a = a.withColumn("tag", state.tag_by_words(F.concat_ws(" ", "title", "summary"), state.PAPERS, "GS-2"))
+    return state.client_filter(a, "GS-3", "ER").select("url", "title").distinct()
+
+
+@query("SELECT conv_id::VARCHAR AS session_id, role, text AS content, turn AS at FROM conversations WHERE conv_id IS NOT NULL")
+def i3_appended_messages(spark, d):
+    out = _fresh(spark, "messages")
+    m = table(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("session_id"), "role", F.col("text").alias("content"), F.col("turn").cast("long").alias("at"))
+    for part in (m.where("at % 2 = 0"), m.where("at % 2 = 1"), m.withColumn("session_id", F.lit(""))):
+        state.append_messages(part, out)
+    return state.messages_of(spark, out)

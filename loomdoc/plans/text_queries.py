@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators.answers import DIRECTIVES, directive
 from ..sources.layout import BLOCKS_SQL, blocks
 from .registry import query, table
 
@@ -306,3 +307,14 @@ def d26_sampled_contents(spark, d):
 @query(SAMPLED)
 def d26_sampled_paragraphs(spark, d):
     return d26_sampled_contents(spark, d)
+
+
+#: The directives' texts are the operator's own; which one a question gets, and its length, is SQL.
+DIRECTIVES_SQL = "CASE archetype " + " ".join(f"WHEN '{k}' THEN '{t.replace(chr(39), chr(39) * 2)}'" for k, t in DIRECTIVES.items()) + " END"
+
+
+@query(f"""WITH {BLOCKS_SQL}, t AS (SELECT doc_id, seq, trim(lower({ASKED})) AS q FROM blocks), u AS (SELECT *, {_fill(NAMES)} AS archetype, coalesce({TOLD}, {_fill(LENGTHS)})::BIGINT AS word_limit FROM t)
+  SELECT doc_id, seq, replace({DIRECTIVES_SQL}, '{{wl}}', word_limit::VARCHAR) AS directive FROM u""")
+def d23_directives(spark, d):
+    asked = blocks(table(spark, d, "documents")).select("doc_id", "seq", T.intent(F.expr(ASKED)).alias("i"))
+    return asked.select("doc_id", "seq", directive(F.col("i")["archetype"], F.col("i")["word_limit"]).alias("directive"))

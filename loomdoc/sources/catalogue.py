@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -69,6 +69,39 @@ def cascade_delete(table: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     return table.join(gone.select(key).distinct(), key, "left_anti")
 
 
+#: What is told of stores that didn't hold a document's file.
+PDF_GONE = ("PDF file not found on disk (path: ", ") — skipped.")
+JSON_GONE = {"extracted": "Extracted JSON not found on disk — skipped.", "preprocessed": "Preprocessed JSON not found on disk — skipped."}
+STORES = {"pdf": "file_path", "extracted": "extracted_json_path", "preprocessed": "preprocessed_json_path"}
+
+
+def cascade(documents: DataFrame, vectors: DataFrame, files: DataFrame, gone: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
+    """What stays in each store, and a report on each document that goes.
+
+    documents: (id, file_path, extracted_json_path, preprocessed_json_path, ...); vectors: (file_id, ...); files: (path, ...); gone: (id). The report: (id, found,
+    vectors_deleted, and for each kind of file whether it was deleted, warnings); of documents that aren't there only that they weren't found.
+    """
+    asked = gone.select("id").distinct()
+    going = asked.join(documents.select("id", *STORES.values(), F.lit(True).alias("found")), "id", "left")
+    counts = vectors.join(asked.withColumnRenamed("id", "file_id"), "file_id", "left_semi").groupBy(F.col("file_id").alias("id")).agg(F.count("*").alias("vectors_deleted"))
+    paths = going.select("id", F.explode(F.create_map(*[x for k, c in STORES.items() for x in (F.lit(k), F.col(c))])).alias("kind", "path")).where("path IS NOT NULL")
+    there = paths.join(files.select("path").distinct(), "path")
+    held = there.groupBy("id").agg(F.collect_set("kind").alias("kinds"))
+    j = going.join(counts, "id", "left").join(held, "id", "left")
+    has = lambda k: F.coalesce(F.array_contains("kinds", k), F.lit(False))
+    pdf = F.concat(F.lit(PDF_GONE[0]), F.coalesce("file_path", F.lit("None")), F.lit(PDF_GONE[1]))
+    told = F.array_compact(F.array(F.when(~has("pdf"), pdf), *[F.when(~has(k), F.lit(t)) for k, t in JSON_GONE.items()]))
+    found = F.coalesce("found", F.lit(False))
+    report = j.select("id", found.alias("found"), F.coalesce("vectors_deleted", F.lit(0)).cast("long").alias("vectors_deleted"), found.alias("record_deleted"), *[has(k).alias(f"{k}_deleted") for k in STORES], F.when(found, told).otherwise(F.array().cast("array<string>")).alias("warnings"))
+    known = going.where("found").select("id")
+    kept = {
+        "documents": documents.join(asked, "id", "left_anti"),
+        "vectors": vectors.join(known.withColumnRenamed("id", "file_id"), "file_id", "left_anti"),
+        "files": files.join(paths.select("path").distinct(), "path", "left_anti"),
+    }
+    return kept, report
+
+
 def collection_name(name):
     """The collection of a classification; null for names that aren't letters, digits and blanks, or don't begin with a letter."""
     t = F.trim(name)
@@ -82,5 +115,20 @@ def registrable(anchors, least: int = 3):
 
 
 def write_chunks(chunks: DataFrame, out: str, key: str = "doc_id") -> None:
-    """Chunks as JSON lines, a folder for each document."""
+    """Chunks as JSON lines, a folder for each document: for as many documents as a folder should have folders."""
     chunks.repartition(key).write.partitionBy(key).mode("overwrite").json(out)
+
+
+def write_chunk_buckets(chunks: DataFrame, out: str, key: str = "doc_id", buckets: int = 256) -> None:
+    """Chunks as JSON lines in buckets of documents, a file for each bucket with a document's chunks side by side: as many folders whatever the number of documents."""
+    b = chunks.withColumn("bucket", F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(buckets)).cast("int"))
+    b.repartition(buckets, "bucket").sortWithinPartitions("bucket", key).write.partitionBy("bucket").mode("overwrite").json(out)
+
+
+def read_chunks(spark: SparkSession, out: str, schema: str, of: list | None = None, key: str = "doc_id", buckets: int = 256) -> DataFrame:
+    """The chunks of a folder; of some documents, only their buckets are read."""
+    c = spark.read.schema(f"{schema}, bucket int").json(out)
+    if of is not None:
+        places = spark.createDataFrame([(str(x),) for x in of], "k string").select(F.pmod(F.xxhash64("k"), F.lit(buckets)).cast("int").alias("b")).distinct()
+        c = c.where(F.col("bucket").isin([r["b"] for r in places.collect()]) & F.col(key).cast("string").isin([str(x) for x in of]))  # as many as are named
+    return c.drop("bucket")

@@ -135,3 +135,21 @@ def test_latency_sketches(spark):
         for q in (50, 95):
             exact = v[-(-q * len(v) // 100) - 1]
             assert abs(told[stage][f"p{q}_ms"] - max(exact, 0)) <= evaluation.ACCURACY * max(exact, 0) + 1e-4
+
+
+def test_messages_and_chunks_of_some(spark, tmp_path):
+    from loomdoc.operators import state
+    from loomdoc.sources import catalogue
+
+    m = spark.createDataFrame([("a", "user", "hi", 1), ("b", "user", "yo", 1), (None, "user", "lost", 1), ("", "user", "lost", 2), ("a", "assistant", "there", 2)], "session_id string, role string, content string, at int")
+    state.append_messages(m.where("at = 1"), f"{tmp_path}/m")
+    state.append_messages(m.where("at = 2"), f"{tmp_path}/m")
+    assert sorted((r["session_id"], r["content"]) for r in state.messages_of(spark, f"{tmp_path}/m").collect()) == [("a", "hi"), ("a", "there"), ("b", "yo")]
+    one = state.messages_of(spark, f"{tmp_path}/m", ["a"])
+    assert [r["content"] for r in one.orderBy("at").collect()] == ["hi", "there"] and "PartitionFilters: [" in plan(one)
+    c = spark.createDataFrame([(i, f"chk_{k}", f"text {k}") for i in range(30) for k in range(3)], "doc_id bigint, chunk_id string, text string")
+    catalogue.write_chunk_buckets(c, f"{tmp_path}/c", buckets=4)
+    assert len([d for d in os.listdir(f"{tmp_path}/c") if d.startswith("bucket=")]) <= 4
+    schema = "doc_id bigint, chunk_id string, text string"
+    assert catalogue.read_chunks(spark, f"{tmp_path}/c", schema, buckets=4).count() == 90
+    assert sorted(r["doc_id"] for r in catalogue.read_chunks(spark, f"{tmp_path}/c", schema, [3, 7], buckets=4).collect()) == [3, 3, 3, 7, 7, 7]
