@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .vectors import best
+
 #: Rows that the centres are fitted on, queries that the number of probes is found with, and cells, at most.
 SAMPLE, TRIALS, CELLS = 20_000, 500, 4096
 ROUNDS = 12
@@ -137,14 +139,8 @@ def search(index: Index, queries: DataFrame, k: int, probes: int | None = None,
         for batch in batches:
             for i in range(batch.num_rows):
                 (ids, m), (qids, qs) = cut(batch.column(1)[i]), cut(batch.column(2)[i])
-                s, n = np.round(qs @ m.T, 6) + 0.0, min(k, len(ids))
-                # the n best of each row, ties by id: all that reach the n-th score, then the least ids among these
-                least = -np.partition(-s, n - 1, axis=1)[:, n - 1 : n]
-                at, of = np.nonzero(s >= least)
-                order = np.lexsort((ids[of], -s[at, of], at))
-                at, of = at[order], of[order]
-                kept = np.arange(len(at)) - np.searchsorted(at, at) < n
-                at, of = at[kept], of[kept]
+                s = np.round(qs @ m.T, 6) + 0.0
+                at, of = best(s, ids, k)
                 whose = np.full(len(at), batch.column(0)[i].as_py())
                 yield pa.RecordBatch.from_arrays([pa.array(qids[at]), pa.array(whose), pa.array(ids[of]), pa.array(s[at, of])], schema=schema)
 

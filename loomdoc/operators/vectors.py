@@ -21,6 +21,17 @@ def embed(df: DataFrame, text: str = "text", dims: int = 64) -> DataFrame:
     return e.withColumn("embedding", F.transform("counts", lambda x: F.when(F.col("norm") > 0, x / F.col("norm")).otherwise(0.0))).drop("slots", "counts", "norm")
 
 
+def best(score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k largest scores of each row, equal ones by id: all that reach the k-th score, and the least ids among these."""
+    n = min(k, score.shape[1])
+    least = -np.partition(-score, n - 1, axis=1)[:, n - 1 : n]
+    row, at = np.nonzero(score >= least)
+    order = np.lexsort((ids[at], -score[row, at], row))
+    row, at = row[order], at[order]
+    kept = np.arange(len(row)) - np.searchsorted(row, row) < n
+    return row[kept], at[kept]
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding", collection: str = "label", block: int = BLOCK) -> DataFrame:
     """(qid, collection, id, score): each query's k nearest of each collection by dot product, exact; equal scores by id. Scores are rounded to 6 places.
 
@@ -43,9 +54,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id"
                 ids, m = matrix(batch.column(1)[i])
                 qids, q = matrix(batch.column(2)[i])
                 score = np.round(q @ m.T, 6) + 0.0
-                for r in range(len(qids)):
-                    best = np.lexsort((ids, -score[r]))[:k]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), qids[r])), pa.array(np.full(len(best), batch.column(0)[i].as_py())), pa.array(ids[best]), pa.array(score[r][best])], schema=schema)
+                row, at = best(score, ids, k)
+                yield pa.RecordBatch.from_arrays([pa.array(qids[row]), pa.array(np.full(len(row), batch.column(0)[i].as_py())), pa.array(ids[at]), pa.array(score[row, at])], schema=schema)
 
     # every block meets every query block: the queries are a stated share of the rows, and a pair is one matrix product
     parts = max(1, -(-n // block))
@@ -161,6 +171,19 @@ def bm25_top(docs: DataFrame, queries: DataFrame, k: int, k1: float = 1.5, b: fl
     return found.withColumn("rank", rank).where(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("long"))
 
 
+def numbered(df: DataFrame, by: str, order: str, name: str, block: int = 1 << 16) -> DataFrame:
+    """df with each row's number, from 1, among those of its ``by``, in the order of a whole number: numbers within blocks of it, and the rows of the blocks before.
+
+    So a group with a third of all rows is dealt over as many tasks as it has blocks.
+    """
+    b = df.withColumn("__block", F.floor(F.col(order) / block))
+    sizes = b.groupBy(by, "__block").agg(F.count("*").alias("__n"))
+    ahead = Window.partitionBy(by).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)  # a row a block
+    sizes = sizes.select(by, "__block", F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias("__ahead"))
+    within = F.row_number().over(Window.partitionBy(by, "__block").orderBy(order))
+    return b.withColumn("__within", within).join(sizes, [by, "__block"]).withColumn(name, (F.col("__within") + F.col("__ahead")).cast("long")).drop("__block", "__within", "__ahead")
+
+
 def upsert(stored: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     """stored with new's rows in place of those with the same key; of new's own duplicates the largest ``version`` wins."""
     last = new.withColumn("n", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("version")))).where("n = 1").drop("n")

@@ -2,7 +2,6 @@
 
 import uuid
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import routing as R
@@ -17,6 +16,11 @@ HITS = f"""hits AS (SELECT a.vec_id AS qid, b.label::BIGINT AS collection, b.vec
   row_number() OVER (PARTITION BY a.vec_id, b.label ORDER BY round({DOT}, 6) DESC, b.vec_id) AS rank FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0 QUALIFY rank <= 15)"""
 
 
+def _fresh(spark, name):
+    """A folder of its own in the shared place."""
+    return f"{shared_dir(spark)}/loomdoc-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
 def _points(spark, d):
     return table(spark, d, "embeddings")
 
@@ -33,7 +37,7 @@ def g3_top_k(spark, d):
 
 def _indexed_hits(spark, d):
     p = _points(spark, d)
-    index = vector_index.build(p, f"{shared_dir(spark)}/loomdoc-{spark.sparkContext.applicationId}/cells-{uuid.uuid4().hex}", 15)
+    index = vector_index.build(p, _fresh(spark, "cells"), 15)
     return vector_index.search(index, p.where("vec_id % 50 = 0"), 15)
 
 
@@ -94,7 +98,7 @@ def h1_h2_routes(spark, d):
 
 
 def _chunks(spark, d):
-    return _points(spark, d).select("vec_id", F.col("label").cast("long").alias("file"), F.row_number().over(Window.partitionBy("label").orderBy("vec_id")).cast("long").alias("chunk_no"))
+    return V.numbered(_points(spark, d).select("vec_id", F.col("label").cast("long").alias("file")), "file", "vec_id", "chunk_no").select("vec_id", "file", "chunk_no")
 
 
 ANCHORS = f"{BEST}, {CHUNKS}, anchors AS (SELECT qid, file, chunk_no, score, rank FROM best JOIN chunks ON id = vec_id WHERE rank <= 5)"
@@ -103,8 +107,8 @@ SIBLINGS = f"""{ANCHORS}, a AS (SELECT *, unnest([-2, -1, 1, 2]) AS hop FROM anc
   siblings AS (SELECT qid, file, no AS chunk_no, round(score * pow(0.9, abs(hop)), 6) AS score, hop::BIGINT AS hop, anchor_no FROM f WHERE NOT EXISTS (SELECT 1 FROM anchors x WHERE x.qid = f.qid AND x.file = f.file AND x.chunk_no = f.no))"""
 
 
-def _anchors(spark, d, best=None):
-    return (_best(spark, d) if best is None else best).where("rank <= 5").join(_chunks(spark, d).withColumnRenamed("vec_id", "id"), "id").select("qid", "file", "chunk_no", "score", "rank")
+def _anchors(spark, d, best=None, chunks=None):
+    return (_best(spark, d) if best is None else best).where("rank <= 5").join((_chunks(spark, d) if chunks is None else chunks).withColumnRenamed("vec_id", "id"), "id").select("qid", "file", "chunk_no", "score", "rank")
 
 
 @query(f"WITH {SIBLINGS} SELECT * FROM siblings")
@@ -116,8 +120,12 @@ def h7_siblings(spark, d):
   SELECT c.qid, c.label, c.probability, coalesce(n_siblings, 0) AS n_siblings, best, best IS NULL OR best < 0 AS gated FROM c LEFT JOIN g USING (qid) LEFT JOIN w USING (qid)""".replace(BEST + ",", BEST + ", " + CLASSES + ",", 1))
 def retrieval(spark, d):
     """The flagship: classify, search, merge, expand by neighbours, gate."""
-    top = _best(spark, d)
-    near = R.siblings(_anchors(spark, d, top), _chunks(spark, d), 2).groupBy("qid").agg(F.count("*").alias("n_siblings"))
+    # used three times: searched once
+    where = f"{_fresh(spark, 'retrieval')}/"
+    _best(spark, d).write.parquet(f"{where}best")
+    _chunks(spark, d).write.parquet(f"{where}chunks")
+    top, chunks = spark.read.parquet(f"{where}best"), spark.read.parquet(f"{where}chunks")
+    near = R.siblings(_anchors(spark, d, top, chunks), chunks, 2).groupBy("qid").agg(F.count("*").alias("n_siblings"))
     c = _classes(spark, d).where("rank = 1").select("qid", "label", "probability")
     g = top.groupBy("qid").agg(F.max("score").alias("best"))
     j = c.join(g, "qid", "left").join(near, "qid", "left").join(R.gate(c.select("qid", F.lit("mains").alias("mode")), top), "qid")
