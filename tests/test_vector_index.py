@@ -50,3 +50,11 @@ def test_hot_cell_ties_and_odd_rows(spark, tmp_path, monkeypatch, block):
 def test_empty(spark, tmp_path):
     v = spark.createDataFrame([], "vec_id bigint, embedding array<float>, label int")
     assert I.build(v, f"file://{tmp_path}/e", 5) is None
+
+
+@pytest.mark.parametrize("block", [1, 3, 1 << 16])
+def test_numbers_by_blocks(spark, block):
+    rows = [(i * 7 % 50, i % 3) for i in range(50)]
+    got = V.numbered(spark.createDataFrame(rows, "vec_id bigint, label int").repartition(4), "label", "vec_id", "no", block).collect()
+    want = {(v, g): n + 1 for g in range(3) for n, v in enumerate(sorted(v for v, x in rows if x == g))}
+    assert {(r["vec_id"], r["label"]): r["no"] for r in got} == want
