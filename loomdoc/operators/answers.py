@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import bound
 from .chunking import sentence_chunks
+from .classes import each, values
 
 BLOCK_TYPES = ["heading", "paragraph", "list_item", "diagram"]
 #: What tells a diagram's code.
@@ -119,18 +120,16 @@ def active_classes(fixed: list[str], registered: DataFrame) -> DataFrame:
 
 def rebuilt_scores(classified: DataFrame, classes: DataFrame) -> DataFrame:
     """(qid, label, score): the winner has its confidence, the others share the rest alike; a winner that is no class gives no rows. classified: (qid, label, confidence)."""
-    n = classes.agg(F.count("*").alias("n"))
-    won = classified.join(F.broadcast(classes.select("label")), "label", "left_semi").select("qid", F.col("label").alias("winner"), "confidence")
-    j = won.join(F.broadcast(classes.select("label").join(F.broadcast(n), how="cross")), how="cross")  # as many rows as classes, each
-    rest = F.round((1 - F.col("confidence")) / F.greatest(F.col("n") - 1, F.lit(1)), 4)
+    labels = values(classes, "label")
+    j = classified.where(F.col("label").isin(labels)).select("qid", F.col("label").alias("winner"), "confidence", each(labels, "string").alias("label"))
+    rest = F.round((1 - F.col("confidence")) / max(len(labels) - 1, 1), 4)
     return j.select("qid", "label", F.when(F.col("label") == F.col("winner"), F.col("confidence")).otherwise(rest).alias("score"))
 
 
 def uniform_scores(questions: DataFrame, classes: DataFrame) -> DataFrame:
     """(qid, classification, label, score) where classifying failed: all classes alike, the first named."""
-    n = classes.agg(F.count("*").alias("n"), F.min_by("label", "place").alias("first"))
-    c = classes.select("label").join(F.broadcast(n), how="cross")
-    return questions.select("qid").join(F.broadcast(c), how="cross").select("qid", F.col("first").alias("classification"), "label", F.round(1 / F.col("n"), 4).alias("score"))
+    labels, first = values(classes, "label"), classes.agg(F.min_by("label", "place")).first()[0]
+    return questions.select("qid", F.lit(first).cast("string").alias("classification"), each(labels, "string").alias("label"), F.lit(round(1 / max(len(labels), 1), 4)).alias("score"))
 
 
 def result_rows(found: DataFrame, most: int = 8) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .classes import each, values
+
 
 def route(classes: DataFrame, collections: DataFrame, high: float = 0.7, low: float = 0.5) -> DataFrame:
     """(qid, collection, how): one collection for a sure classification, two for a fair one, all of them else. Classes without a collection drop out after the choice."""
@@ -12,7 +14,8 @@ def route(classes: DataFrame, collections: DataFrame, high: float = 0.7, low: fl
     how = F.when(best >= high, "single").when(best >= low, "dual").otherwise("all")
     c = classes.withColumn("how", how)
     named = c.where((F.col("how") == "single") & (F.col("rank") <= 1) | (F.col("how") == "dual") & (F.col("rank") <= 2)).join(collections, "label").select("qid", "collection", "how")
-    every = c.where("how = 'all' AND rank = 1").select("qid", "how").join(F.broadcast(collections.select("collection").distinct()), how="cross").select("qid", "collection", "how")
+    kind = collections.schema["collection"].dataType.simpleString()
+    every = c.where("how = 'all' AND rank = 1").select("qid", each(values(collections, "collection"), kind).alias("collection"), "how")
     return named.unionByName(every)
 
 
