@@ -55,7 +55,7 @@ def _rows(docs: DataFrame, id_col: str, text: str) -> DataFrame:
 
 
 def _anchored(d: DataFrame, span: int, whole: bool) -> DataFrame:
-    """(doc, anchor) of each text; if whole, a record for each run of at most MOST stretches with one anchor: doc, anchor, h, at, and the stretches' hashes."""
+    """A record for each run of at most MOST stretches with one anchor: doc, anchor; if whole, also h, at, and the stretches' hashes."""
     out = pa.schema([("doc", pa.int64()), ("anchor", pa.int64())] + ([("h", pa.int64()), ("at", pa.int32()), ("wide", pa.list_(pa.int64()))] if whole else []))
     drop = np.uint64(64 - BITS)
 
@@ -71,10 +71,10 @@ def _anchored(d: DataFrame, span: int, whole: bool) -> DataFrame:
                 row = np.repeat(np.arange(len(lengths)), np.maximum(lengths - span + 1, 0))
                 start = where - (np.cumsum(lengths) - lengths)[row]
                 new = np.flatnonzero(np.concatenate([[True], (m[1:] != m[:-1]) | (row[1:] != row[:-1])]))
-                if whole:  # runs longer than MOST, as in periodic texts, are cut
-                    size = np.diff(np.append(new, len(m)))
-                    parts = -(-size // MOST)
-                    new = np.repeat(new, parts) + MOST * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
+                # runs longer than MOST, as in periodic texts, are cut
+                size = np.diff(np.append(new, len(m)))
+                parts = -(-size // MOST)
+                new = np.repeat(new, parts) + MOST * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
                 cols = [pa.array(np.asarray(batch.column(0))[row[new]]), pa.array(m[new].view(np.int64))]
                 if whole:
                     wide = (runs(h, span)[where] >> drop).view(np.int64)
@@ -91,7 +91,7 @@ def matches(d: DataFrame, span: int = SPAN) -> DataFrame:
     seeds = written(seeds.select("anchor", F.when(F.col("n") > HOT, F.ceil(F.col("n") / max(HOT, 1)).cast("int")).otherwise(0).alias("salts")), "seeds")
     hot = written(seeds.where("salts > 0"), "hot")
     every = _anchored(d, span, True).join(if_small(hot), "anchor", "left")
-    every = every.withColumn("salt", F.coalesce(F.pmod(F.xxhash64("doc", "h"), F.col("salts")).cast("int") + 1, F.lit(0))).drop("salts")
+    every = every.withColumn("salt", F.coalesce(F.pmod(F.xxhash64("doc", "h", "at"), F.col("salts")).cast("int") + 1, F.lit(0))).drop("salts")
     dealt = seeds.select("anchor", F.explode(F.when(F.col("salts") > 0, F.sequence(F.lit(1), F.col("salts"))).otherwise(F.array(F.lit(0)))).alias("salt"))
     joined = every.join(dealt, ["anchor", "salt"])
     here = F.struct("doc", "h", (F.col("at") + F.col("i")).alias("pos"))
