@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -10,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import shared_dir
+
 BLOCK = 2048
 
 
@@ -119,9 +122,25 @@ def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75)
     return q.join(df, "t").join(tf, "t").groupBy("qid", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
 
 
-def bm25_top(docs: DataFrame, queries: DataFrame, k: int, k1: float = 1.5, b: float = 0.75, block: int = 512) -> DataFrame:
+def bm25_top(docs: DataFrame, queries: DataFrame, k: int, k1: float = 1.5, b: float = 0.75, block: int = 512, most: int = 20_000) -> DataFrame:
     """(qid, id, score, rank): each query's k best of all documents by ``bm25``; equal scores by id.
 
+    The driver holds the terms of ``most`` queries at once. More are searched for in lots, by a hash of their ids, and the hits of a lot are written before the next one.
+    """
+    lots = -(-queries.count() // most)
+    if lots <= 1:
+        return _bm25_lot(docs, queries, k, k1, b, block)
+    spark = docs.sparkSession
+    out = f"{shared_dir(spark)}/loomdoc-{spark.sparkContext.applicationId}/bm25-{uuid.uuid4().hex}"
+    for lot in range(lots):
+        own = queries.where(F.pmod(F.xxhash64(F.col("qid").cast("long")), F.lit(lots)) == lot)
+        _bm25_lot(docs, own, k, k1, b, block).write.mode("append").parquet(out)
+    return spark.read.parquet(out)
+
+
+def _bm25_lot(docs: DataFrame, queries: DataFrame, k: int, k1: float, b: float, block: int) -> DataFrame:
+    """The search for queries whose terms the driver holds.
+
     Terms of the queries and their weights go to the workers in blocks of queries; a block of documents meets a block of queries in one matrix product, and a task keeps k rows a query.
     """
     tokens = lambda c: F.array_remove(F.split(F.lower(c), " "), "")

@@ -58,3 +58,11 @@ def test_numbers_by_blocks(spark, block):
     got = V.numbered(spark.createDataFrame(rows, "vec_id bigint, label int").repartition(4), "label", "vec_id", "no", block).collect()
     want = {(v, g): n + 1 for g in range(3) for n, v in enumerate(sorted(v for v, x in rows if x == g))}
     assert {(r["vec_id"], r["label"]): r["no"] for r in got} == want
+
+
+def test_questions_in_lots(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(300)
+    q = spark.read.parquet(f"{DATA}/benchmark.parquet").selectExpr("item_id AS qid", "text")
+    rows = lambda df: sorted((r["qid"], r["rank"], r["id"], round(r["score"], 6)) for r in df.collect())
+    once, lots = V.bm25_top(docs, q, 4), V.bm25_top(docs, q, 4, most=15)
+    assert rows(once) == rows(lots) and len(rows(once)) > 40
