@@ -13,6 +13,8 @@ further samples, several times over (``trees``), and each part is worked on in t
 the number of trees grows with the bucket to the power of 0.4, so that a pair at 0.8 meets in one of them with a probability of some 0.95 where the other
 pairs of the bucket lie at some 0.57, and comparisons grow as the bucket to the power of 1.4. Pairs of larger buckets are held against one bit of each of ``POOL``
 samples first and verified only if these agree as often as four standard deviations below the threshold.
+Splits only join what they find, cheaply; what they may have missed is found exactly (``between_classes``): of the texts whose larger buckets still hold two classes, all pairs of
+different classes that can reach the threshold by the weights of the runs that they share are verified, so that no link of a bucket is lost, however large it is.
 Classes are the connected components of the verified links, by alternating large and small stars over the leaders.
 
 Defined cases: exact copies, of any length, are one class; texts of fewer than five words are one run;
@@ -25,6 +27,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import reduce
 from itertools import chain, repeat
 
 import numpy as np
@@ -284,21 +287,33 @@ def links_of(signed: DataFrame, fetch: Fetch, idf: Broadcast, threshold: float =
     mixed = _mixed(left, "band")
     left = written(met(left, mixed, "band").where("n > 2 AND node <> lead").select("band", "n", "node", "c", "root"), "left")
     few, many = left.where(F.col("n") <= SMALL), left.where(F.col("n") > SMALL)
-    more = [written(verified(written(unknown(_small_pairs(few, "band"), known), "few_pairs"), fetch, idf).where(F.col("sim") >= enough).distinct(), "few_linked")]
+    more = [written(verified(written(unknown(_small_pairs(few, "band"), known), "few_pairs"), fetch, idf).distinct(), "few_tested")]
     if not many.isEmpty():
-        more += split_up(many, known, fetch, idf, threshold)
-    extra = more[0]
-    for x in more[1:]:
-        extra = extra.unionByName(x)
-    # links between classes: components of the roots alone
-    root = comp.withColumnRenamed("root", "r")
+        alone = many.select("node").distinct().select(F.col("node").alias("lead"), F.lit(0).alias("salt"), F.lit(0).alias("role"), "node")
+        texts = written(fetch(written(alone, "alone")).select("node", "t").dropDuplicates(["node"]), "texts")
+        more += split_up(many, known, texts, idf, threshold)
+        known = reduce(DataFrame.unionByName, more, known)
+    comp = joined_up(comp, more, enough)
+    if many.isEmpty():
+        return comp
+    now = many.select("band", "node", "c").join(comp, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    still = written(met(now, _mixed(now, "band").select("band", "n"), "band").select("node", "root").distinct(), "still")
+    if still.isEmpty():
+        return comp
+    return joined_up(comp, [between_classes(still, known, texts, fetch_from(texts), idf, threshold)], enough)
+
+
+def joined_up(comp: DataFrame, tested: list[DataFrame], enough: float) -> DataFrame:
+    """comp (node, root) and the links among tested (lead, node, sim), between its classes or others: (node, root) of both."""
+    extra = reduce(DataFrame.unionByName, tested).where(F.col("sim") >= enough)
+    root = comp.withColumnRenamed("root", "r")  # components of the roots alone
     over = extra.join(root.withColumnRenamed("node", "lead"), "lead", "left").select(F.coalesce("r", "lead").alias("a"), "node").join(root, "node", "left").select("a", F.coalesce("r", "node").alias("b")).where("a <> b").distinct()
     over = written(over, "over")
     if over.isEmpty():
         return comp
     again = written(components(over), "again").select(F.col("node").alias("old"), F.col("root").alias("new"))
     lone = again.select(F.col("old").alias("node"), F.col("new").alias("root")).join(comp.select("node"), "node", "left_anti")
-    return comp.join(if_small(again, KEYS), F.col("root") == F.col("old"), "left").select("node", F.coalesce("new", "root").alias("root")).unionByName(lone)
+    return written(comp.join(if_small(again, KEYS), F.col("root") == F.col("old"), "left").select("node", F.coalesce("new", "root").alias("root")).unionByName(lone), "joined_up")
 
 
 def unknown(pairs: DataFrame, known: DataFrame) -> DataFrame:
@@ -307,20 +322,72 @@ def unknown(pairs: DataFrame, known: DataFrame) -> DataFrame:
     return pairs.distinct().join(either, ["lead", "node"], "left_anti")
 
 
-def split_up(rows: DataFrame, known: DataFrame, fetch: Fetch, idf: Broadcast, threshold: float) -> list[DataFrame]:
-    """Links found by splitting large buckets; rows: (band, n, node, c, root)."""
-    alone = rows.select("node").distinct().select(F.col("node").alias("lead"), F.lit(0).alias("salt"), F.lit(0).alias("role"), "node")
-    texts = written(fetch(written(alone, "alone")).select("node", "t").dropDuplicates(["node"]), "texts")
+def fetch_from(texts: DataFrame) -> Fetch:
+    """Brings texts from (node, t)."""
+    return lambda wanted: wanted.join(texts, "node")
 
-    def near(wanted: DataFrame) -> DataFrame:
-        return wanted.join(texts, "node")
 
+def _weighted(texts: DataFrame, idf: Broadcast) -> DataFrame:
+    """(node, root, s, w, total): each run of each text with its weight and that of the whole text. texts: (node, root, t)."""
+    schema = pa.schema([("node", pa.binary()), ("root", pa.binary()), ("s", pa.int64()), ("w", pa.float64()), ("total", pa.float64())])
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in batches:
+            for at, to in cws.slices(big.column(2)):
+                batch = big.slice(at, to - at)
+                row, s, w = _sets(batch.column(2), idf.value)
+                w = w.astype(np.float64)
+                who = pa.array(row)
+                columns = [batch.column(0).cast(pa.binary()).take(who), batch.column(1).cast(pa.binary()).take(who), s.view(np.int64), w, np.bincount(row, w, batch.num_rows)[row]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    return texts.select("node", "root", "t").mapInArrow(find, "node binary, root binary, s bigint, w double, total double")
+
+
+def between_classes(rows: DataFrame, known: DataFrame, texts: DataFrame, fetch: Fetch, idf: Broadcast, threshold: float) -> DataFrame:
+    """(lead, node, sim) of all pairs of different classes at the threshold, and of some others; those of known are left out. rows: (node, root).
+
+    Runs that only one class holds are in no such pair. The others are ordered, rare ones first. Two texts of weights a and b are at the threshold t if they share t / (1 + t) * (a + b) or more, so much of both
+    comes after the first run that they share, that run included. So only the runs of a text that t of its weight, at least, does not come before are joined on. A run's largest class does not meet
+    itself: at most four times as many pairs are looked at as lie between classes.
+    """
+    slack = 1 - 1e-9  # sums in another order
+    sets = written(_weighted(texts.join(rows, "node"), idf), "sets")
+    held = sets.groupBy("s").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("s", "n")
+    after = Window.partitionBy("node").orderBy(F.desc("n"), F.desc("s")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    heads = met(sets, written(held, "held"), "s").withColumn("rest", F.sum("w").over(after)).where(F.col("rest") >= threshold * slack * F.col("total"))
+    heads = written(heads.select("s", "node", "root", "total", "rest"), "heads")
+    of = heads.groupBy("s", "root").agg(F.count("*").alias("m")).groupBy("s").agg(F.sum("m").alias("n"), F.max(F.struct("m", "root")).alias("x"), F.count("*").alias("roots"))
+    of = written(of.where("roots > 1").select("s", "n", (F.col("n") - F.col("x.m")).alias("others"), F.col("x.root").alias("top")), "runs")
+    meet = written(met(heads, of, "s"), "meet")
+
+    # a hot run is dealt in cells of at most some HOT by HOT texts
+    def parts(n: str) -> Column:
+        return F.ceil(F.col(n) / HOT).cast("int")
+
+    def own(n: str) -> Column:
+        return F.pmod(F.xxhash64("node"), parts(n)).cast("int")
+
+    def every(n: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), parts(n) - 1))
+
+    a = meet.where("root <> top").select("s", own("others").alias("i"), every("n").alias("j"), F.col("node").alias("lead"), F.col("root").alias("lead_root"), F.col("total").alias("lead_total"), F.col("rest").alias("lead_rest"))
+    b = meet.select("s", every("others").alias("i"), own("n").alias("j"), "node", "root", "top", "total", "rest")
+    least = threshold / (1 + threshold) * slack * (F.col("total") + F.col("lead_total"))
+    pairs = a.join(b, ["s", "i", "j"]).where((F.col("root") != F.col("lead_root")) & ((F.col("root") == F.col("top")) | (F.col("node") > F.col("lead"))) & (F.least("rest", "lead_rest") >= least))
+    pairs = written(unknown(pairs.select(F.least("lead", "node").alias("lead"), F.greatest("lead", "node").alias("node")), known), "between")
+    return written(verified(pairs, fetch, idf).distinct(), "between_tested")
+
+
+def split_up(rows: DataFrame, known: DataFrame, texts: DataFrame, idf: Broadcast, threshold: float) -> list[DataFrame]:
+    """Pairs (lead, node, sim) tested by splitting large buckets; rows: (band, n, node, c, root), texts: (node, t)."""
+    near = fetch_from(texts)
     pool = written(_pools(texts, idf), "pool")
     size = sum(STEPS)
     # the samples of a tree are drawn from the pool by the tree's name
     draw = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda j: F.col("names")[F.pmod(F.xxhash64("bucket", j), F.lit(POOL)).cast("int")])
     cur = written(rows.join(pool.select("node", "bits"), "node").select(F.col("band").alias("bucket"), "node", "c", "root", "bits"), "whole")
-    links, at = [], 0
+    tested, at = [], 0
     first = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("c"), F.desc("node")))
     for i, step in enumerate(chain((0,), STEPS, repeat(0))):  # buckets as they are, then split; after the last split, leaders go on to leave them
         if i == 1:
@@ -348,13 +415,13 @@ def split_up(rows: DataFrame, known: DataFrame, fetch: Fetch, idf: Broadcast, th
             new = written(verified(both.select("lead", "node"), near, idf).distinct(), "tested")
             known = known.unionByName(new)
             found = new.where(F.col("sim") >= threshold - 1e-12)
-            links.append(found)
+            tested.append(new)
             # linked classes are one from here on: the larger root gives way to the least that it is linked to
             lo, hi = F.least("root", "lead_root"), F.greatest("root", "lead_root")
             joined = both.join(found, ["lead", "node"]).groupBy(hi.alias("root")).agg(F.min(lo).alias("of"))
             cur = cur.join(if_small(written(joined, "joined"), KEYS), "root", "left").withColumn("root", F.coalesce("of", "root"))
         cur = written(cur.select("bucket", "node", "c", "root", "bits", *(["path"] if i else ["n"])), f"rest_{at}")
-    return links
+    return tested
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:

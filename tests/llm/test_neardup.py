@@ -135,3 +135,25 @@ def test_classes_beyond_the_broadcast_bounds(spark, monkeypatch):
     for name, value in (("KEYS", 4), ("HOT", 3), ("GROUP", 5)):
         monkeypatch.setattr(neardup, name, value)
     assert {(r["id"], r["class_id"]) for r in neardup.classes(docs).collect()} == want
+
+
+def twins(n):
+    """n pairs of twins, at some 0.81 of each other; all texts begin alike and are at some 0.65 of the others."""
+    base = " ".join(f"b{i}" for i in range(150))
+    tail = lambda name, k: " ".join(f"{name}x{j}" for j in range(k))
+    return [" ".join([base, tail(f"p{i}", 12), tail(f"p{i}{side}", 10 + i % 2)]) for i in range(n) for side in "lr"]
+
+
+def test_no_link_of_a_large_bucket_is_lost(spark):
+    n = 200
+    texts = twins(n)
+    near = brute.near_pairs(texts, 0.6)
+    assert all(near[2 * i, 2 * i + 1] > 0.802 for i in range(n)) and max(s for (i, j), s in near.items() if i // 2 != j // 2) < 0.75
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    signed = neardup._bands(docs.selectExpr("cast(doc_id as string) AS key", "doc_id AS id", "unhex(md5(text)) AS node", "text AS t"), spark.sparkContext.broadcast(neardup.shingle_weights(docs.selectExpr("text AS t"))))
+    bands = {r["id"]: set(r["bands"]) for r in signed.collect()}
+    meet = {i for i in range(n) if bands[2 * i] & bands[2 * i + 1]}
+    assert len(meet) > 0.98 * n
+    of = {r["id"]: r["class_id"] for r in neardup.classes(docs).collect()}
+    assert [i for i in meet if of[2 * i + 1] != 2 * i] == []
+    assert all(of[2 * i] == 2 * i for i in range(n))
