@@ -380,7 +380,7 @@ def between_classes(rows: DataFrame, known: DataFrame, texts: DataFrame, fetch:
 
 
 def split_up(rows: DataFrame, known: DataFrame, texts: DataFrame, idf: Broadcast, threshold: float) -> list[DataFrame]:
-    """Pairs (lead, node, sim) tested by splitting large buckets; rows: (band, n, node, c, root), texts: (node, t)."""
+    """Pairs (lead, node, sim) tested by splitting large buckets; rows: (band, n, node, c, root), texts: (node, t). It may miss some, which ``between_classes`` finds afterwards."""
     near = fetch_from(texts)
     pool = written(_pools(texts, idf), "pool")
     size = sum(STEPS)

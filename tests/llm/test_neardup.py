@@ -157,3 +157,20 @@ def test_no_link_of_a_large_bucket_is_lost(spark):
     of = {r["id"]: r["class_id"] for r in neardup.classes(docs).collect()}
     assert [i for i in meet if of[2 * i + 1] != 2 * i] == []
     assert all(of[2 * i] == 2 * i for i in range(n))
+
+
+def test_pairs_between_classes_are_those_of_all_pairs(spark, monkeypatch):
+    texts = list(dict.fromkeys(twins(30) + hot()[:120]))
+    d = spark.createDataFrame([(t, i % 3) for i, t in enumerate(texts)], "t string, part int").selectExpr("unhex(md5(t)) AS node", "t", "part")
+    number = {bytes(r["node"]): texts.index(r["t"]) for r in d.collect()}
+    idf = spark.sparkContext.broadcast(neardup.shingle_weights(d.select("t")))
+    for name, value in (("KEYS", 4), ("HOT", 7), ("GROUP", 5)):
+        monkeypatch.setattr(neardup, name, value)
+    rows = d.selectExpr("node", "CASE WHEN part = 0 THEN unhex('00') ELSE node END AS root")  # a third of the texts are one class
+    known = spark.createDataFrame([], "lead binary, node binary, sim double")
+    found = neardup.between_classes(rows, known, d.select("node", "t"), neardup.fetch_from(d.select("node", "t")), idf, 0.8).collect()
+    got = {tuple(sorted((number[bytes(r["lead"])], number[bytes(r["node"])]))): r["sim"] for r in found}
+    near = {(i, j): x for (i, j), x in brute.near_pairs(texts, 0.5).items() if i % 3 or j % 3}
+    assert len(got) == len(found) and {p for p, x in near.items() if x > 0.801} <= {p for p, x in got.items() if x >= 0.8}
+    assert all(abs(near[p] - x) < 0.002 for p, x in got.items())
+    assert len(got) < 0.7 * len(texts) ** 2 / 2

@@ -8,6 +8,7 @@ import corpus_pipeline
 import duckdb
 import pytest
 from loomdoc.llm import oracles
+from test_neardup import twins
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 ITEMS = "item_id bigint, text string"
@@ -59,3 +60,10 @@ def test_odd_rows(spark, tmp_path, stage):
         out = stage(spark, d, where)
         assert last or out.columns == docs.columns
         assert out.count() <= 2 * d.count()
+
+
+def test_one_of_each_near_pair_is_kept(spark):
+    """Four hundred texts that begin alike, in pairs: splits of their bucket part some pairs."""
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(twins(200))], DOCS).repartition(3)
+    kept = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").select("doc_id").collect()}
+    assert kept == set(range(0, 400, 2))
