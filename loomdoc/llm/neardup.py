@@ -9,7 +9,7 @@ a run in less than N / RARE documents counts as one in N / RARE, which is where
 samples of a band share a bucket. The member with the largest buckets leads a bucket, and each other member is verified against it with its exact
 weighted Jaccard similarity: as many comparisons as members. A bucket whose members are then of one class is done. Of the others, one with at most
 ``SMALL`` members has each of its pairs of different classes verified. Of a larger one the ``LEADERS`` members most like the rest meet the others and leave it; what is left is split by
-further samples, several times over (``trees``), and each part is worked on in the same way and split again, until no bucket with two classes is left. A pair of similarity s stays together in a split by one sample with probability s;
+further samples, several times over (``trees``), and each part is worked on in the same way and split again, until no bucket with two classes is left or a split joins next to nothing (``WORTH``). A pair of similarity s stays together in a split by one sample with probability s;
 the number of trees grows with the bucket to the power of 0.4, so that a pair at 0.8 meets in one of them with a probability of some 0.95 where the other
 pairs of the bucket lie at some 0.57, and comparisons grow as the bucket to the power of 1.4. Pairs of larger buckets are held against one bit of each of ``POOL``
 samples first and verified only if these agree as often as four standard deviations below the threshold.
@@ -47,6 +47,8 @@ RARE = 1024
 SMALL = LEADERS = 8
 #: Samples by which larger buckets are split, and how many of them make the first split, a further one, and how many further ones there are.
 POOL, STEPS = 256, (6, 4, 8, 16, 32)
+#: Splits go on while one joins so many classes for each of its buckets; each is some forty jobs, whose traces the driver holds, and the exact pass finds what is left.
+WORTH = 0.01
 #: Members verified against one copy of their leader's text; buckets above HOT rows are joined by broadcast.
 GROUP, HOT = 256, 1000
 #: Rows of keys, of 100 bytes at most, that are broadcast.
@@ -411,6 +413,7 @@ def split_up(rows: DataFrame, known: DataFrame, texts: DataFrame, idf: Broadcast
         pairs = met(cur.drop("n"), heads, "bucket").where(after & (F.col("root") != F.col("lead_root")) & _likely(threshold))
         both = written(unknown(pairs.select("lead", "node", "lead_root", "root"), known), "likely")
         cur = cur.where(F.col("n") > LEADERS).join(heads.select("bucket", F.col("lead").alias("node")), ["bucket", "node"], "left_anti")
+        joins = 0
         if not both.isEmpty():
             new = written(verified(both.select("lead", "node"), near, idf).distinct(), "tested")
             known = known.unionByName(new)
@@ -418,8 +421,11 @@ def split_up(rows: DataFrame, known: DataFrame, texts: DataFrame, idf: Broadcast
             tested.append(new)
             # linked classes are one from here on: the larger root gives way to the least that it is linked to
             lo, hi = F.least("root", "lead_root"), F.greatest("root", "lead_root")
-            joined = both.join(found, ["lead", "node"]).groupBy(hi.alias("root")).agg(F.min(lo).alias("of"))
-            cur = cur.join(if_small(written(joined, "joined"), KEYS), "root", "left").withColumn("root", F.coalesce("of", "root"))
+            joined = written(both.join(found, ["lead", "node"]).groupBy(hi.alias("root")).agg(F.min(lo).alias("of")), "joined")
+            joins = joined.count()
+            cur = cur.join(F.broadcast(joined) if joins <= KEYS else joined, "root", "left").withColumn("root", F.coalesce("of", "root"))
+        if i and joins < WORTH * rows_left:
+            break
         cur = written(cur.select("bucket", "node", "c", "root", "bits", *(["path"] if i else ["n"])), f"rest_{at}")
     return tested
 

@@ -174,3 +174,15 @@ def test_pairs_between_classes_are_those_of_all_pairs(spark, monkeypatch):
     assert len(got) == len(found) and {p for p, x in near.items() if x > 0.801} <= {p for p, x in got.items() if x >= 0.8}
     assert all(abs(near[p] - x) < 0.002 for p, x in got.items())
     assert len(got) < 0.7 * len(texts) ** 2 / 2
+
+
+def test_splits_end_with_the_first_that_joins_nothing(spark, monkeypatch):
+    """Texts at some 0.65 of each other: no split joins any, and the exact pass follows the first."""
+    names, write = [], neardup.written
+    monkeypatch.setattr(neardup, "written", lambda df, name: names.append(name) or write(df, name))
+    texts = twins(121)[::2]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    got = {r["id"]: r["class_id"] for r in neardup.classes(docs).collect()}
+    assert got == {i: i for i in range(len(texts))}
+    assert [n for n in names if n.startswith("part_")] == ["part_0", "part_6"]
+    assert "between" in names
