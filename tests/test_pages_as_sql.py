@@ -38,3 +38,7 @@ def test_news_bodies(same):
     got = same("a30_news_bodies", cut_pages() + empty)
     assert len(got) == len(CUT) + 1
     assert {g[2] for g in got} >= {f"{SAID}&quot", f'{SAID}"', f"{SAID}&quo", f"{SAID}&", "first"}
+
+
+def test_tags(same):
+    assert len(same("k1_k2_page_tags", cut_pages())) == len(CUT)
