@@ -42,3 +42,8 @@ def test_news_bodies(same):
 
 def test_tags(same):
     assert len(same("k1_k2_page_tags", cut_pages())) == len(CUT)
+
+
+def test_new_articles(same):
+    got = same("k3_new_page_articles", [(4 * i + 1, url, html) for i, (_, url, html) in enumerate(cut_pages())])
+    assert {g[2] for g in got} >= {f"{SAID}&quot", f'{SAID}"', f"{SAID}&quo"}
