@@ -47,3 +47,8 @@ def test_tags(same):
 def test_new_articles(same):
     got = same("k3_new_page_articles", [(4 * i + 1, url, html) for i, (_, url, html) in enumerate(cut_pages())])
     assert {g[2] for g in got} >= {f"{SAID}&quot", f'{SAID}"', f"{SAID}&quo"}
+
+
+def test_feed(same):
+    got = same("k6_page_feed", [(30 * i + 29, url, html) for i, (_, url, html) in enumerate(cut_pages())])
+    assert [int(g[2]) for g in sorted(got, key=lambda g: int(g[2]))] == list(range(1, len(CUT) + 1))
