@@ -52,3 +52,8 @@ def test_new_articles(same):
 def test_feed(same):
     got = same("k6_page_feed", [(30 * i + 29, url, html) for i, (_, url, html) in enumerate(cut_pages())])
     assert [int(g[2]) for g in sorted(got, key=lambda g: int(g[2]))] == list(range(1, len(CUT) + 1))
+
+
+def test_filter(same):
+    got = same("l8_client_filter", cut_pages())
+    assert len(got) == len(CUT) and f"{SAID}&quot" in {g[0] for g in got}
