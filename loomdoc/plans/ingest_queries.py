@@ -58,8 +58,7 @@ def k10_kept_news(spark, d):
 
 @query(f"WITH {POINTS_SQL} SELECT count(DISTINCT url) AS scraped_articles, count(*) AS chunks_upserted, 'success' AS status FROM points")
 def k10_ingest_summary(spark, d):
-    s = news.summary(spark, _ingested(spark, d))
-    return s.groupBy("status").agg(F.sum("scraped_articles").alias("scraped_articles"), F.sum("chunks_upserted").alias("chunks_upserted"))
+    return news.totals(spark, _ingested(spark, d))
 
 
 @query(f"WITH {ARTICLES_SQL} SELECT page_id, title, array_to_string(paragraphs, ' ') AS body FROM articles WHERE title <> '' AND length(array_to_string(paragraphs, ' ')) >= 100")

@@ -3,6 +3,8 @@
 import duckdb
 import pytest
 from loomdoc import plans
+from loomdoc.streaming import news
+from pyspark.sql import functions as F
 
 SAID = "The economy of "
 CUT = ["&quot", "&quo", "&qu", "&q", "&", "&a", "&am", "&amp", "&amp;", "&quot;", "&copy", "&lt", "&ampquot;", "&amp;quot;", "&amp;amp;quot;", "\u00a0R&amp;D", "&amp;lt;"]
@@ -57,3 +59,28 @@ def test_feed(same):
 def test_filter(same):
     got = same("l8_client_filter", cut_pages())
     assert len(got) == len(CUT) and f"{SAID}&quot" in {g[0] for g in got}
+
+
+#: Two pairs of URLs that share the first 32 bits of their SHA-256, and with them the ids of their chunks.
+ALIKE = ["https://a.org/46230", "https://a.org/95836", "https://a.org/54029", "https://a.org/95918"]
+
+
+def alike_pages(first=26):
+    return [(first + i, url, PAGE.format(f"Title {i}", FILLER.format(i), "word " * (40 + 300 * (i % 2)))) for i, url in enumerate(ALIKE)]
+
+
+def test_summary(same):
+    assert [g[0] for g in same("k10_ingest_summary", alike_pages() + cut_pages())] == [str(6 + len(CUT))]
+
+
+def test_summary_of_no_articles(same):
+    assert same("k10_ingest_summary", [(1, "https://a.org/1", None)]) == [("0", "0", "success")]
+
+
+def test_summary_of_many_batches(spark, tmp_path):
+    for first in (0, 30):
+        spark.createDataFrame(alike_pages(first), "page_id bigint, url string, html string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/pages.parquet")
+    news.ingest(news.pages_stream(spark, str(tmp_path), files=1), f"{tmp_path}/points", f"{tmp_path}/checkpoint", F.expr("DATE '2024-01-01'"))
+    assert news.stored(spark, f"{tmp_path}/points").select("batch").distinct().count() == 2
+    assert [tuple(r) for r in news.totals(spark, f"{tmp_path}/points").collect()] == [(4, 6, "success")]
+    assert {(r["url"], r["page_id"]) for r in news.current(spark, f"{tmp_path}/points").collect()} == {(url, 30 + i) for i, url in enumerate(ALIKE)}
