@@ -84,3 +84,7 @@ def test_summary_of_many_batches(spark, tmp_path):
     assert news.stored(spark, f"{tmp_path}/points").select("batch").distinct().count() == 2
     assert [tuple(r) for r in news.totals(spark, f"{tmp_path}/points").collect()] == [(4, 6, "success")]
     assert {(r["url"], r["page_id"]) for r in news.current(spark, f"{tmp_path}/points").collect()} == {(url, 30 + i) for i, url in enumerate(ALIKE)}
+
+
+def test_kept_news(same):
+    assert len(same("k10_kept_news", alike_pages())) == 6
