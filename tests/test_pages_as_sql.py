@@ -88,3 +88,8 @@ def test_summary_of_many_batches(spark, tmp_path):
 
 def test_kept_news(same):
     assert len(same("k10_kept_news", alike_pages())) == 6
+
+
+def test_news_ingest(same):
+    got = same("k10_news_ingest", alike_pages() + cut_pages())
+    assert {u for g in got for u in ALIKE if u in g} == set(ALIKE) and len(got) == 6 + len(CUT)
