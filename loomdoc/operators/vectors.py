@@ -17,11 +17,24 @@ BLOCK = 2048
 
 
 def embed(df: DataFrame, text: str = "text", dims: int = 64) -> DataFrame:
-    """df with embedding: the offline stand-in of a model. Words are hashed to dimensions, counted and brought to unit length; zeros for no words."""
-    slots = F.transform(F.array_remove(F.split(F.lower(text), r"[^a-z0-9\x{80}-\x{10FFFF}]+"), ""), lambda w: F.pmod(F.xxhash64(w), F.lit(dims)).cast("int"))
-    e = df.withColumn("slots", slots).withColumn("counts", F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.size(F.filter("slots", lambda s: s == i)).cast("double")))
-    e = e.withColumn("norm", F.sqrt(F.aggregate("counts", F.lit(0.0), lambda a, x: a + x * x)))
-    return e.withColumn("embedding", F.transform("counts", lambda x: F.when(F.col("norm") > 0, x / F.col("norm")).otherwise(0.0))).drop("slots", "counts", "norm")
+    """df with embedding: the offline stand-in of a model. Words are hashed to dimensions, counted and brought to unit length; zeros for no words.
+
+    Words are hashed in Spark; what goes to the workers is the small number of each word's dimension, which they count.
+    """
+    slots = F.transform(F.array_remove(F.split(F.lower(text), r"[^a-z0-9\x{80}-\x{10FFFF}]+"), ""), lambda w: F.pmod(F.xxhash64(w), F.lit(dims)).cast("byte" if dims <= 128 else "int"))
+
+    @F.arrow_udf("array<double>")
+    def unit(slots: pa.Array) -> pa.Array:
+        out = np.zeros((len(slots), dims))
+        for lo in range(0, len(slots), BLOCK):
+            own = slots.slice(lo, BLOCK)
+            at = np.repeat(np.arange(len(own)) * dims, pc.fill_null(pc.list_value_length(own), 0).to_numpy(zero_copy_only=False))
+            counts = np.bincount(at + own.flatten().to_numpy(zero_copy_only=False), minlength=len(own) * dims).reshape(-1, dims)
+            norm = np.sqrt((counts * counts).sum(1, dtype=float))[:, None]
+            np.divide(counts, norm, out=out[lo : lo + BLOCK], where=norm > 0)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(slots) + 1, dtype=np.int32) * dims), pa.array(out.ravel()))
+
+    return df.withColumn("embedding", unit(slots))
 
 
 def best(score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
